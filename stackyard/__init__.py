@@ -6,3 +6,11 @@ work runs on executors.  See README.md for the operator map.
 """
 
 __version__ = "0.1.0"
+
+# Functions that run inside Python workers (mapInPandas / applyInPandas
+# bodies) are shipped by value, so executors need no copy of this package.
+import sys as _sys
+
+from pyspark import cloudpickle as _cloudpickle
+
+_cloudpickle.register_pickle_by_value(_sys.modules[__name__])
