@@ -1,3 +1,274 @@
-"""Registered queries."""
+"""Streams (IO11, R1-R9).
 
-from stackyard.plans.registry import query  # noqa: F401
+Stream runs read files cut from ``events`` in time order (file i holds the
+i-th time range, one file per micro-batch), run with ``availableNow`` and a
+checkpoint under the shared folder, and return what the sink wrote.  The
+queries whose final result does not depend on batch boundaries have an
+oracle; the late-row query (R4) depends on them by design and is checked
+against a brute-force model in the tests.
+"""
+
+from pyspark.sql import functions as F
+
+from stackyard.operators.aggregates import last_per_key
+from stackyard.plans.registry import query
+from stackyard.session import scratch_path
+from stackyard.streaming import events as EV
+from stackyard.streaming.sinks import ingest_logs, read_upserted, upsert_batch
+from stackyard.streaming.state import running_state
+from stackyard.tables import load
+
+N_FILES = 4
+JSON_TIME = {"timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"}
+EVENT_COLS = ["event_id", "ts", "user_id", "event_type", "value"]
+
+
+def event_files(spark, sf, extra=None, fmt="parquet"):
+    """Write ``events`` as N_FILES time-ordered files (plus ``extra`` rows as
+    a later file); return (folder, schema).
+
+    The file source takes files in modification-time order, so each time
+    range is appended by its own write, one after the other.
+    """
+    root = scratch_path(spark, "events-src")
+    ev = load(spark, sf, "events").select(*EVENT_COLS)
+    edges = ev.select(F.percentile_approx("ts", [i / N_FILES for i in range(1, N_FILES)], 10000)
+                      .alias("q")).first()["q"]
+    bounds = [None, *edges, None]
+
+    def put(df):
+        w = df.coalesce(1).write.mode("append")
+        (w.options(**JSON_TIME).json(root) if fmt == "json" else w.parquet(root))
+
+    for lo, hi in zip(bounds[:-1], bounds[1:]):
+        cond = F.lit(True)
+        if lo is not None:
+            cond = cond & (F.col("ts") > F.lit(str(lo)).cast("timestamp_ntz"))
+        if hi is not None:
+            cond = cond & (F.col("ts") <= F.lit(str(hi)).cast("timestamp_ntz"))
+        put(ev.where(cond))
+    if extra is not None:
+        put(extra(ev))
+    return root, ev.schema
+
+
+def read_stream(spark, root, schema, fmt="parquet"):
+    r = spark.readStream.schema(schema).option("maxFilesPerTrigger", "1")
+    return r.options(**JSON_TIME).json(root) if fmt == "json" else r.parquet(root)
+
+
+def run_available_now(writer, ckpt):
+    q = writer.option("checkpointLocation", ckpt).trigger(availableNow=True).start()
+    q.awaitTermination()
+    if q.exception():
+        raise q.exception()
+    return q
+
+
+@query("io11_ingest_logs", "IO11", sql="""
+SELECT event_id, ts, user_id, event_type, value FROM events
+""")
+def io11_ingest_logs(spark, sf):
+    src, schema = event_files(spark, sf, fmt="json")
+    out, ckpt = scratch_path(spark, "io11-out"), scratch_path(spark, "io11-ckpt")
+    q = ingest_logs(spark, src, schema, out, ckpt, fmt="json", max_files_per_trigger=1,
+                    options=JSON_TIME)
+    q.awaitTermination()
+    return spark.read.parquet(out)
+
+
+HOURLY_AGGS = lambda: [F.count(F.lit(1)).alias("n_events"),
+                       F.round(F.sum("value"), 2).alias("value_sum")]
+
+
+@query("r1_tumbling_count", "R1", sql="""
+SELECT date_trunc('hour', ts) AS window_start, date_trunc('hour', ts) + INTERVAL 1 HOUR AS window_end,
+       event_type, COUNT(*) AS n_events, round(SUM(value), 2) AS value_sum
+FROM events GROUP BY 1, 2, 3
+""")
+def r1_tumbling_count(spark, sf):
+    return EV.windowed(load(spark, sf, "events"), "ts", "tumbling:1 hour", ["event_type"],
+                       HOURLY_AGGS())
+
+
+@query("r1_tumbling_count_stream", "R1", sql="""
+SELECT date_trunc('hour', ts) AS window_start, date_trunc('hour', ts) + INTERVAL 1 HOUR AS window_end,
+       event_type, COUNT(*) AS n_events, round(SUM(value), 2) AS value_sum
+FROM events GROUP BY 1, 2, 3
+""")
+def r1_tumbling_count_stream(spark, sf):
+    src, schema = event_files(spark, sf)
+    table, staging = scratch_path(spark, "r1-table"), scratch_path(spark, "r1-stage")
+    agg = EV.windowed(read_stream(spark, src, schema), "ts", "tumbling:1 hour", ["event_type"],
+                      HOURLY_AGGS(), delay="1 hour")
+    # update mode: each batch emits the windows it changed; window state is
+    # dropped once the watermark passes; the sink keeps the newest per window
+    fn = upsert_batch(table, staging, ["window_start", "event_type"], buckets=8)
+    run_available_now(agg.writeStream.foreachBatch(fn).outputMode("update"),
+                      scratch_path(spark, "r1-ckpt"))
+    return read_upserted(spark, table)
+
+
+@query("r2_sliding_avg", "R2", sql="""
+WITH b AS (SELECT event_type, value,
+                  time_bucket(INTERVAL '15 minutes', ts) - k * INTERVAL '15 minutes' AS ws
+           FROM events, (SELECT unnest(generate_series(0, 3)) AS k))
+SELECT ws AS window_start, ws + INTERVAL 1 HOUR AS window_end, event_type,
+       COUNT(*) AS n_events, round(AVG(value), 6) AS value_avg
+FROM b GROUP BY 1, 2, 3
+""")
+def r2_sliding_avg(spark, sf):
+    return EV.windowed(load(spark, sf, "events"), "ts", "sliding:1 hour/15 minutes", ["event_type"],
+                       [F.count(F.lit(1)).alias("n_events"),
+                        F.round(F.avg("value"), 6).alias("value_avg")])
+
+
+@query("r3_session_window", "R3", sql="""
+WITH g AS (SELECT user_id, ts,
+                  CASE WHEN lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) IS NULL
+                         OR ts >= lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id)
+                                  + INTERVAL 30 MINUTE THEN 1 ELSE 0 END AS brk,
+                  event_id
+           FROM events),
+     s AS (SELECT user_id, ts, SUM(brk) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS sid
+           FROM g)
+SELECT MIN(ts) AS window_start, MAX(ts) + INTERVAL 30 MINUTE AS window_end, user_id,
+       COUNT(*) AS n_events
+FROM s GROUP BY user_id, sid
+""")
+def r3_session_window(spark, sf):
+    return EV.windowed(load(spark, sf, "events"), "ts", "session:30 minutes", ["user_id"],
+                       [F.count(F.lit(1)).alias("n_events")])
+
+
+def _late_rows(ev):
+    """Derived late rows: every tenth event re-sent three hours back in time."""
+    return (ev.where(F.col("event_id") % 10 == 0)
+            .withColumn("ts", F.col("ts") - F.expr("INTERVAL 3 HOURS")))
+
+
+@query("r4_late_rows_dropped", "R4")
+def r4_late_rows_dropped(spark, sf):
+    """Hourly counts of a stream whose last file re-sends rows three hours
+    late; rows behind the watermark (1 hour) are dropped, the rest counted."""
+    src, schema = event_files(spark, sf, extra=_late_rows)
+    out = scratch_path(spark, "r4-out")
+    agg = EV.windowed(read_stream(spark, src, schema), "ts", "tumbling:1 hour", ["event_type"],
+                      [F.count(F.lit(1)).alias("n_events")], delay="1 hour")
+    run_available_now(agg.writeStream.format("parquet").option("path", out).outputMode("append"),
+                      scratch_path(spark, "r4-ckpt"))
+    return spark.read.parquet(out)
+
+
+def _repeats(ev):
+    """Derived repeats: every twentieth event sent again in a later file."""
+    return ev.where(F.col("event_id") % 20 == 0)
+
+
+@query("r5_dedup_stream", "R5", sql="""
+SELECT event_id, ts, user_id, event_type, value FROM events
+""")
+def r5_dedup_stream(spark, sf):
+    src, schema = event_files(spark, sf, extra=_repeats)
+    out = scratch_path(spark, "r5-out")
+    d = EV.dedup_events(read_stream(spark, src, schema), "event_id", "ts", delay="40 days")
+    run_available_now(d.writeStream.format("parquet").option("path", out).outputMode("append"),
+                      scratch_path(spark, "r5-ckpt"))
+    return spark.read.parquet(out)
+
+
+@query("r6_enrich", "R6", sql="""
+SELECT event_id, event_type, c_name, c_mktsegment
+FROM events LEFT JOIN customer ON user_id = c_custkey
+""")
+def r6_enrich(spark, sf):
+    ev = load(spark, sf, "events").select("event_id", "event_type", "user_id")
+    cust = load(spark, sf, "customer").select(F.col("c_custkey").alias("user_id"), "c_name",
+                                              "c_mktsegment")
+    return EV.enrich(ev, cust, "user_id", "left").drop("user_id")
+
+
+@query("r6_enrich_stream", "R6", sql="""
+SELECT event_id, event_type, c_name, c_mktsegment
+FROM events LEFT JOIN customer ON user_id = c_custkey
+""")
+def r6_enrich_stream(spark, sf):
+    src, schema = event_files(spark, sf)
+    cust = load(spark, sf, "customer").select(F.col("c_custkey").alias("user_id"), "c_name",
+                                              "c_mktsegment")
+    s = read_stream(spark, src, schema).select("event_id", "event_type", "user_id")
+    out = scratch_path(spark, "r6-out")
+    run_available_now(EV.enrich(s, cust, "user_id", "left").drop("user_id").writeStream
+                      .format("parquet").option("path", out).outputMode("append"),
+                      scratch_path(spark, "r6-ckpt"))
+    return spark.read.parquet(out)
+
+
+@query("r7_running_state", "R7", sql="""
+SELECT user_id AS key, COUNT(*) AS n_events, round(SUM(value), 2) AS value_sum,
+       arg_max(event_id, (ts, event_id)) AS last_event_id, MAX(ts) AS last_ts
+FROM events GROUP BY user_id
+""")
+def r7_running_state(spark, sf):
+    src, schema = event_files(spark, sf)
+    out = scratch_path(spark, "r7-out")
+    st = running_state(read_stream(spark, src, schema), "user_id", "ts", "event_id", "value")
+
+    def keep(batch, batch_id):
+        batch.withColumn("batch_id", F.lit(batch_id)).write.mode("append").parquet(out)
+
+    run_available_now(st.writeStream.foreachBatch(keep).outputMode("update"),
+                      scratch_path(spark, "r7-ckpt"))
+    final = last_per_key(spark.read.parquet(out), ["key"], ["batch_id"],
+                         ["n_events", "value_sum", "last_event_id", "last_ts"])
+    return final.withColumn("value_sum", F.round("value_sum", 2))
+
+
+@query("r8_stream_upsert", "R8", sql="""
+SELECT user_id, event_id, ts, event_type, value FROM (
+  SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS rn
+  FROM events) WHERE rn = 1
+""")
+def r8_stream_upsert(spark, sf):
+    src, schema = event_files(spark, sf)
+    table, staging = scratch_path(spark, "r8-table"), scratch_path(spark, "r8-stage")
+    fn = upsert_batch(table, staging, ["user_id"], ["ts", "event_id"], buckets=16)
+    run_available_now(read_stream(spark, src, schema).writeStream.foreachBatch(fn),
+                      scratch_path(spark, "r8-ckpt"))
+    return read_upserted(spark, table).select(*EVENT_COLS)
+
+
+@query("r9_interval_join", "R9", sql="""
+SELECT v.user_id, v.event_id AS view_id, p.event_id AS purchase_id
+FROM events v JOIN events p
+  ON v.user_id = p.user_id AND p.ts >= v.ts AND p.ts <= v.ts + INTERVAL 1 HOUR
+WHERE v.event_type = 'view' AND p.event_type = 'purchase'
+""")
+def r9_interval_join(spark, sf):
+    ev = load(spark, sf, "events")
+    views = ev.where(F.col("event_type") == "view").select("user_id", F.col("event_id").alias("view_id"),
+                                                          F.col("ts").alias("view_ts"))
+    buys = ev.where(F.col("event_type") == "purchase").select(
+        "user_id", F.col("event_id").alias("purchase_id"), F.col("ts").alias("buy_ts"))
+    j = EV.interval_join(views, buys, "user_id", "view_ts", "buy_ts", "1 hour")
+    return j.select("user_id", "view_id", "purchase_id")
+
+
+@query("r9_interval_join_stream", "R9", sql="""
+SELECT v.user_id, v.event_id AS view_id, p.event_id AS purchase_id
+FROM events v JOIN events p
+  ON v.user_id = p.user_id AND p.ts >= v.ts AND p.ts <= v.ts + INTERVAL 1 HOUR
+WHERE v.event_type = 'view' AND p.event_type = 'purchase'
+""")
+def r9_interval_join_stream(spark, sf):
+    src, schema = event_files(spark, sf)
+    s = read_stream(spark, src, schema)
+    views = s.where(F.col("event_type") == "view").select(
+        "user_id", F.col("event_id").alias("view_id"), F.col("ts").alias("view_ts"))
+    buys = s.where(F.col("event_type") == "purchase").select(
+        "user_id", F.col("event_id").alias("purchase_id"), F.col("ts").alias("buy_ts"))
+    j = EV.interval_join(views, buys, "user_id", "view_ts", "buy_ts", "1 hour", delay="2 hours")
+    out = scratch_path(spark, "r9-out")
+    run_available_now(j.select("user_id", "view_id", "purchase_id").writeStream.format("parquet")
+                      .option("path", out).outputMode("append"), scratch_path(spark, "r9-ckpt"))
+    return spark.read.parquet(out)
