@@ -1,141 +1,248 @@
-"""Ordinal ids and top-n per key, safe under a hot key.
-
-``ordinal`` numbers every row of a group.  A plain
-``row_number() OVER (PARTITION BY key ...)`` sends a whole group to one task;
-if one key holds a third of the table, that task holds a third of the data.
-Instead the rows are range-partitioned on ``(key, order)``, so a big group
-is cut across many partitions, numbered locally inside each sorted
-partition, and shifted by the counts of the same key in earlier partitions.
-Only the first and last key of a partition can continue across a partition
-boundary, so the offset table has at most two rows per partition: a proven
-bound, which is broadcast.
+"""Per-key positions, ranks, running sums, lag/lead and top-n, safe under a
+hot key (SURVEY O3, K2, S10-S13).
+
+A plain ``row_number() OVER (PARTITION BY key ...)`` sends a whole group to
+one task; if one key holds a third of the table, that task holds a third of
+the data.  Here rows are first cut into range slices of ``(key, order)``
+(bounds from a bounded sample; each row's slice is a pure function of the
+row), numbered (and summed) by a window per ``(slice, key)``, and shifted by
+what the same key holds in earlier slices.  Only keys that continue across
+a slice boundary need a shift, at most about two per slice, so the offset
+table is bounded by the slice count and broadcast.  All of it runs in the
+JVM; no group is ever larger than a slice.
+
+Everything else is built on that position with aggregates and equi joins:
+``rank`` is the smallest position among equal values, ``dense_rank`` the
+position among distinct values, ``ntile`` arithmetic on position and group
+size, ``lag``/``lead`` an equi join on ``(key, position +- offset)``.
 
 ``top_n`` relies on Spark's window group limit: ``row_number() <= n`` is
 applied per map partition before the shuffle, so each task ships at most n
-rows per key (checked in tests via the plan).
+rows per key.
+
+Order items are column names (ascending) or ``desc("col")``.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
-def _order_cols(order):
-    return [F.col(o) if isinstance(o, str) else o for o in order]
+def desc(name: str) -> tuple[str, str]:
+    """Order item: ``name`` descending (nulls last), as in SQL."""
+    return (name, "desc")
 
 
-def _same(a: tuple, b: tuple) -> bool:
-    return all((x == y) or (pd.isna(x) and pd.isna(y)) for x, y in zip(a, b))
+def _spec(order) -> list[tuple[str, bool]]:
+    """Order items (``"col"`` or ``("col", "desc")``) -> ``[(col, is_desc)]``."""
+    out = []
+    for o in order:
+        if isinstance(o, str):
+            out.append((o, False))
+        else:
+            name, direction = o
+            out.append((name, direction.lower() == "desc"))
+    return out
 
 
-def _local_numbers(keys: list[str]):
-    """mapInPandas body: 1-based position of each row within its key run in
-    a partition already sorted by (keys, order)."""
-    from pyspark import TaskContext
+def _sort_cols(spec):
+    return [F.col(c).desc() if d else F.col(c).asc() for c, d in spec]
 
-    def run(batches):
-        pid = TaskContext.get().partitionId()
-        last_key, carry = None, 0
-        for pdf in batches:
-            if pdf.empty:
-                continue
-            local = pdf.groupby(keys, sort=False, dropna=False).cumcount().to_numpy() + 1
-            first = tuple(pdf.iloc[0][keys])
-            if last_key is not None and _same(first, last_key):
-                kdf = pdf[keys]
-                head = ((kdf == kdf.iloc[0]) | (kdf.isna() & kdf.iloc[0].isna())).all(axis=1)
-                local = local + carry * head.to_numpy()
-            last_key, carry = tuple(pdf.iloc[-1][keys]), int(local[-1])
-            yield pdf.assign(_pid=pid, _local=local)
-    return run
-
-
-def _boundary_runs(keys: list[str]):
-    """mapInPandas body: per partition, the first and the last key run with
-    their sizes (one row when the partition holds a single key)."""
-    from pyspark import TaskContext
-
-    def as_tuple(k):
-        return k if isinstance(k, tuple) else (k,)
-
-    def run(batches):
-        pid = TaskContext.get().partitionId()
-        first_key = last_key = None
-        first_n = last_n = 0
-        first_open = False
-        for pdf in batches:
-            if pdf.empty:
+
+def _lit(value, dtype):
+    if isinstance(dtype, T.TimestampNTZType) and value is not None:
+        return F.lit(str(value)).cast(dtype)
+    return F.lit(value).cast(dtype)
+
+
+def _before(spec, types, bound) -> Column:
+    """Row strictly before ``bound`` in the (key, order) sort, SQL null order
+    (nulls first ascending, last descending)."""
+    expr = F.lit(False)
+    for (c, d), v in reversed(list(zip(spec, bound))):
+        x, lv = F.col(c), _lit(v, types[c])
+        if v is None:
+            lt, eq = (x.isNotNull() if d else F.lit(False)), x.isNull()
+        elif d:
+            lt, eq = x.isNotNull() & (x > lv), F.coalesce(x == lv, F.lit(False))
+        else:
+            lt, eq = x.isNull() | (x < lv), F.coalesce(x == lv, F.lit(False))
+        expr = lt | (eq & expr)
+    return expr
+
+
+def _py_cmp(spec):
+    import functools
+
+    def cmp(a, b):
+        for (_, d), x, y in zip(spec, a, b):
+            if x == y:
                 continue
-            sizes = pdf.groupby(keys, sort=False, dropna=False).size()
-            runs = [(as_tuple(sizes.index[0]), int(sizes.iloc[0]))]
-            if len(sizes) > 1:
-                runs.append((as_tuple(sizes.index[-1]), int(sizes.iloc[-1])))
-            for key, cnt in runs:
-                if first_key is None:
-                    first_key, first_n, last_key, last_n, first_open = key, cnt, key, cnt, True
-                elif _same(key, last_key):
-                    last_n += cnt
-                    if first_open:
-                        first_n += cnt
-                else:
-                    first_open = False
-                    last_key, last_n = key, cnt
-        if first_key is None:
-            return
-        rows = [(pid, *first_key, first_n)]
-        if not _same(first_key, last_key):
-            rows.append((pid, *last_key, last_n))
-        yield pd.DataFrame(rows, columns=["_pid", *keys, "_n"])
-    return run
-
-
-def ordinal(df: DataFrame, keys: Sequence[str], order: Sequence[str | Column],
+            if x is None:
+                r = -1
+            elif y is None:
+                r = 1
+            else:
+                r = -1 if x < y else 1
+            return -r if d else r
+        return 0
+    return functools.cmp_to_key(cmp)
+
+
+def _slice_id(df: DataFrame, spec, n: int, per_slice: int = 20) -> Column:
+    """Deterministic range slice (0..n-1) of each row in (key, order).
+
+    Bounds come from a sample of about ``per_slice * n`` rows, collected once
+    (bounded by ``n``, not by the data); the slice is found with a balanced
+    CASE tree, ``log2 n`` comparisons per row.  Unlike a shuffle's range
+    sampling, the same rows always get the same slice, so several plans may
+    read it and agree.
+    """
+    names = [c for c, _ in spec]
+    total = df.count()
+    if total == 0 or n <= 1:
+        return F.lit(0)
+    frac = min(1.0, per_slice * n / total)
+    sample = sorted((tuple(r) for r in df.select(*names).sample(False, frac, 17).collect()),
+                    key=_py_cmp(spec))
+    bounds = []
+    for i in range(1, n):
+        b = sample[min(len(sample) - 1, i * len(sample) // n)] if sample else None
+        if b is not None and (not bounds or _py_cmp(spec)(bounds[-1]) < _py_cmp(spec)(b)):
+            bounds.append(b)
+    types = {f.name: f.dataType for f in df.schema.fields}
+
+    def tree(lo, hi):  # number of bounds <= row, searched in bounds[lo:hi]
+        if lo >= hi:
+            return F.lit(lo)
+        mid = (lo + hi) // 2
+        return F.when(_before(spec, types, bounds[mid]), tree(lo, mid)).otherwise(tree(mid + 1, hi))
+    return tree(0, len(bounds))
+
+
+def _positions(df: DataFrame, keys: list[str], order, sums: Sequence[str] = (),
+               partitions: int | None = None) -> DataFrame:
+    """``df`` plus ``_pos`` (0-based position in key) and ``_run_<c>``
+    (running sum of ``c`` up to and including the row; NULL adds nothing).
+
+    Rows are cut into ``n`` range slices of (key, order); a window numbers
+    rows per (slice, key), so a hot key is spread over many slices and
+    tasks.  A key that continues across slices is shifted by its rows in
+    earlier slices; only such keys need an offset (at most about two per
+    slice), so the offset table is bounded by ``n`` and broadcast.
+    """
+    keys, sums = list(keys), list(sums)
+    spark = df.sparkSession
+    n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    spec = [(k, False) for k in keys] + _spec(order)
+    sliced = df.withColumn("_rp", _slice_id(df, spec, n))
+    w = Window.partitionBy("_rp", *keys).orderBy(*_sort_cols(_spec(order)))
+    local = sliced.withColumn("_local", F.row_number().over(w))
+    for c in sums:
+        local = local.withColumn(f"_lsum_{c}", F.coalesce(
+            F.sum(c).over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow)), F.lit(0))
+            .cast("double"))
+    counts = sliced.groupBy("_rp", *keys).agg(
+        F.count(F.lit(1)).alias("_n"), *[F.coalesce(F.sum(c), F.lit(0)).cast("double")
+                                         .alias(f"_s_{c}") for c in sums])
+    span = Window.partitionBy(*keys)
+    prev = Window.partitionBy(*keys).orderBy("_rp").rowsBetween(Window.unboundedPreceding, -1)
+    crossing = counts.withColumn("_slices", F.count(F.lit(1)).over(span)).where("_slices > 1")
+    offsets = crossing.select(
+        F.col("_rp").alias("_o_rp"), *[F.col(k).alias(f"_k_{k}") for k in keys],
+        F.coalesce(F.sum("_n").over(prev), F.lit(0)).alias("_off"),
+        *[F.coalesce(F.sum(f"_s_{c}").over(prev), F.lit(0.0)).alias(f"_offs_{c}") for c in sums])
+    cond = F.col("_rp") == F.col("_o_rp")
+    for k in keys:
+        cond = cond & F.col(k).eqNullSafe(F.col(f"_k_{k}"))
+    # only keys crossing a slice boundary: at most ~2 rows per slice
+    j = local.join(F.broadcast(offsets), cond, "left")
+    return j.select(*df.columns,
+                    (F.col("_local") - 1 + F.coalesce(F.col("_off"), F.lit(0))).alias("_pos"),
+                    *[(F.col(f"_lsum_{c}") + F.coalesce(F.col(f"_offs_{c}"), F.lit(0.0)))
+                      .alias(f"_run_{c}") for c in sums])
+
+
+def ordinal(df: DataFrame, keys: Sequence[str], order: Sequence,
             out: str = "ordinal", base: int = 0, partitions: int | None = None) -> DataFrame:
     """O3: ``base``-based position of each row within its key, by ``order``.
 
     ``order`` must make rows unique within a key (add the id as the last
     column) so that reruns after an executor loss give the same ids.
     """
+    p = _positions(df, list(keys), order, partitions=partitions)
+    return p.select(*df.columns, (F.col("_pos") + base).alias(out))
+
+
+def running_sum(df: DataFrame, keys: Sequence[str], order: Sequence,
+                value: str, out: str = "running_sum",
+                partitions: int | None = None) -> DataFrame:
+    """S12 (rows frame): sum of ``value`` from the first row of the key up to
+    and including this row (``ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT
+    ROW``); NULL values add nothing."""
+    p = _positions(df, list(keys), order, [value], partitions=partitions)
+    return p.select(*df.columns, F.col(f"_run_{value}").alias(out))
+
+
+def ranks(df: DataFrame, keys: Sequence[str], value: str, tiebreak: str,
+          descending: bool = True, tiles: int | None = None,
+          partitions: int | None = None) -> DataFrame:
+    """``row_number``, ``rank``, ``dense_rank`` (and ``ntile(tiles)``)
+    of each row within its key, ordered by ``value`` (descending by default)
+    then ``tiebreak`` for ``row_number``/``ntile``."""
     keys = list(keys)
-    spark = df.sparkSession
-    n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ordc = _order_cols(order)
-    ranged = (df.repartitionByRange(n, *[F.col(k) for k in keys], *ordc)
-              .sortWithinPartitions(*[F.col(k) for k in keys], *ordc))
-    local_schema = T.StructType(df.schema.fields + [
-        T.StructField("_pid", T.IntegerType(), False),
-        T.StructField("_local", T.LongType(), False)])
-    numbered = ranged.mapInPandas(_local_numbers(keys), local_schema)
-    key_fields = [f for f in df.schema.fields if f.name in keys]
-    runs_schema = T.StructType([T.StructField("_pid", T.IntegerType(), False), *key_fields,
-                                T.StructField("_n", T.LongType(), False)])
-    # same (reused) exchange; only the key columns cross into Python here
-    runs = ranged.select(*keys).mapInPandas(_boundary_runs(keys), runs_schema)
-    w = (Window.partitionBy(*keys).orderBy("_pid")
-         .rowsBetween(Window.unboundedPreceding, -1))
-    offsets = (runs.withColumn("_off", F.coalesce(F.sum("_n").over(w), F.lit(0)))
-               .select("_pid", *[F.col(k).alias(f"_k_{k}") for k in keys], "_off"))
-    cond = F.col("_pid") == F.col("_o_pid")
+    v = desc(value) if descending else value
+    p = _positions(df, keys, [v, tiebreak], partitions=partitions)
+    # rank: first position among equal values (one row per (key, value))
+    first = p.groupBy(*keys, value).agg(F.min("_pos").alias("_first"))
+    # dense rank: position among the distinct values of the key
+    dense = _positions(first.select(*keys, value), keys, [v], partitions=partitions) \
+        .select(*keys, value, F.col("_pos").alias("_dense"))
+    sizes = p.groupBy(*keys).agg(F.count(F.lit(1)).alias("_size"))
+    on = [*keys, value]
+    j = p.join(first, on).join(dense, on).join(sizes, keys)
+    out = j.select(*df.columns, (F.col("_pos") + 1).alias("row_number"),
+                   (F.col("_first") + 1).alias("rank"), (F.col("_dense") + 1).alias("dense_rank"),
+                   "_pos", "_size")
+    if tiles:
+        q = F.floor(F.col("_size") / tiles)
+        r = F.col("_size") % tiles
+        big = r * (q + 1)
+        tile = (F.when(F.col("_pos") < big, F.floor(F.col("_pos") / (q + 1)) + 1)
+                .otherwise(r + F.floor((F.col("_pos") - big) / F.greatest(q, F.lit(1))) + 1))
+        out = out.withColumn("ntile", tile.cast("long"))
+    return out.drop("_pos", "_size")
+
+
+def shifted(df: DataFrame, keys: Sequence[str], order: Sequence,
+            cols: Sequence[str], offset: int = 1, prefix: str = "lag_",
+            partitions: int | None = None) -> DataFrame:
+    """``lag`` (offset > 0) or ``lead`` (offset < 0) of ``cols`` within
+    the key: an equi join on ``(key, position - offset)``.  A hot key does
+    not concentrate: the join key is unique per row."""
+    keys = list(keys)
+    p = _positions(df, keys, order, partitions=partitions)
+    other = p.select(*[F.col(k).alias(f"_sk_{k}") for k in keys],
+                     (F.col("_pos") + offset).alias("_spos"),
+                     *[F.col(c).alias(f"{prefix}{c}") for c in cols])
+    cond = F.col("_pos") == F.col("_spos")
     for k in keys:
-        cond = cond & F.col(k).eqNullSafe(F.col(f"_k_{k}"))
-    # at most 2 rows per partition: a bounded broadcast
-    joined = numbered.join(F.broadcast(offsets.withColumnRenamed("_pid", "_o_pid")), cond, "left")
-    return joined.select(*df.columns, (F.lit(base) - 1 + F.col("_local")
-                                       + F.coalesce(F.col("_off"), F.lit(0))).alias(out))
+        cond = cond & F.col(k).eqNullSafe(F.col(f"_sk_{k}"))
+    j = p.join(other, cond, "left")
+    return j.select(*df.columns, *[f"{prefix}{c}" for c in cols])
 
 
-def top_n(df: DataFrame, keys: Sequence[str], order: Sequence[str | Column], n: int,
+def top_n(df: DataFrame, keys: Sequence[str], order: Sequence, n: int,
           rank_col: str | None = None) -> DataFrame:
     """Top ``n`` rows per key by ``order`` (K2, S13); ``order`` should end in a
     unique tie-breaker.  Spark limits each map partition to n rows per key
     before the shuffle (window group limit), so a hot key ships n rows per
     task."""
-    w = Window.partitionBy(*keys).orderBy(*_order_cols(order))
+    w = Window.partitionBy(*keys).orderBy(*_sort_cols(_spec(order)))
     ranked = df.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= n)
     if rank_col:
         return ranked.withColumnRenamed("_rn", rank_col)

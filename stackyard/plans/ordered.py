@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from stackyard.operators import aggregates as A
-from stackyard.operators.ordinal import ordinal
+from stackyard.operators.ordinal import desc, ordinal
 from stackyard.plans.registry import query
 from stackyard.tables import load
 
@@ -35,7 +35,7 @@ FROM supplier
 """)
 def o3_ordinal_ids(spark, sf):
     sup = load(spark, sf, "supplier").select("s_nationkey", "s_suppkey", "s_name", "s_acctbal")
-    ids = ordinal(sup, ["s_nationkey"], [F.col("s_acctbal").desc(), F.col("s_suppkey")],
+    ids = ordinal(sup, ["s_nationkey"], [desc("s_acctbal"), "s_suppkey"],
                   out="server_id")
     return ids.select("s_nationkey", "s_suppkey", "server_id",
                       F.concat(F.lit("server."), F.col("server_id").cast("string"), F.lit("="),
