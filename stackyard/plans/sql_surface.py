@@ -23,7 +23,7 @@ def s1_scan_filter(spark, sf):
 
 
 @query("s2_multiway_join", "S2", sql="""
-SELECT r_name, n_name, round(SUM(l_extendedprice * (1 - l_discount)), 2) AS revenue,
+SELECT r_name, n_name, round(SUM(l_extendedprice * (1 - l_discount)), 4) AS revenue,
        COUNT(*) AS n_lines
 FROM customer JOIN orders ON c_custkey = o_custkey
      JOIN lineitem ON l_orderkey = o_orderkey
@@ -34,7 +34,7 @@ GROUP BY r_name, n_name
 """)
 def s2_multiway_join(spark, sf):
     return spark.sql("""
-        SELECT r_name, n_name, round(SUM(l_extendedprice * (1 - l_discount)), 2) AS revenue,
+        SELECT r_name, n_name, round(SUM(l_extendedprice * (1 - l_discount)), 4) AS revenue,
                COUNT(*) AS n_lines
         FROM {customer} c JOIN {orders} o ON c_custkey = o_custkey
              JOIN {lineitem} l ON l_orderkey = o_orderkey
@@ -110,7 +110,7 @@ def s5_asof_join(spark, sf):
 @query("s6_group_having", "S6", sql="""
 SELECT l_returnflag, l_linestatus, round(SUM(l_quantity), 2) AS sum_qty,
        round(SUM(l_extendedprice), 2) AS sum_base_price,
-       round(SUM(l_extendedprice * (1 - l_discount)), 2) AS sum_disc_price,
+       round(SUM(l_extendedprice * (1 - l_discount)), 4) AS sum_disc_price,
        round(AVG(l_quantity), 6) AS avg_qty, MIN(l_discount) AS min_disc, MAX(l_tax) AS max_tax,
        COUNT(*) AS count_order
 FROM lineitem GROUP BY l_returnflag, l_linestatus HAVING COUNT(*) > 9950
@@ -120,7 +120,7 @@ def s6_group_having(spark, sf):
     g = li.groupBy("l_returnflag", "l_linestatus").agg(
         F.round(F.sum("l_quantity"), 2).alias("sum_qty"),
         F.round(F.sum("l_extendedprice"), 2).alias("sum_base_price"),
-        F.round(F.sum(F.col("l_extendedprice") * (1 - F.col("l_discount"))), 2).alias("sum_disc_price"),
+        F.round(F.sum(F.col("l_extendedprice") * (1 - F.col("l_discount"))), 4).alias("sum_disc_price"),
         F.round(F.avg("l_quantity"), 6).alias("avg_qty"),
         F.min("l_discount").alias("min_disc"), F.max("l_tax").alias("max_tax"),
         F.count(F.lit(1)).alias("count_order"))
@@ -166,9 +166,10 @@ def s9_rollup(spark, sf):
 
 @query("s10_ranking", "S10", sql="""
 SELECT o_custkey, o_orderkey, o_totalprice,
-       row_number() OVER w AS row_number, rank() OVER w AS rank,
-       dense_rank() OVER w AS dense_rank, ntile(4) OVER w AS ntile
-FROM orders WINDOW w AS (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey)
+       row_number() OVER w AS row_number, rank() OVER v AS rank,
+       dense_rank() OVER v AS dense_rank, ntile(4) OVER w AS ntile
+FROM orders WINDOW w AS (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey),
+                   v AS (PARTITION BY o_custkey ORDER BY o_totalprice DESC)
 """)
 def s10_ranking(spark, sf):
     o = load(spark, sf, "orders").select("o_custkey", "o_orderkey", "o_totalprice")
@@ -323,7 +324,7 @@ SELECT l_orderkey, l_linenumber, l_partkey, abs(l_quantity - 25) AS dist,
        CAST(floor(l_extendedprice / 1000) AS BIGINT) AS k_floor,
        round(sqrt(l_extendedprice), 6) AS root, round(pow(l_discount, 2), 6) AS disc_sq,
        round(log10(l_extendedprice + 1), 6) AS lg, CAST(l_partkey % 7 AS BIGINT) AS m7,
-       round(l_extendedprice * (1 - l_discount) * (1 + l_tax), 2) AS charge,
+       round(l_extendedprice * (1 - l_discount) * (1 + l_tax), 6) AS charge,
        CAST(sign(l_quantity - 25) AS DOUBLE) AS sgn
 FROM lineitem
 """)
@@ -337,7 +338,7 @@ def s18_math_functions(spark, sf):
         F.round(F.pow("l_discount", 2), 6).alias("disc_sq"),
         F.round(F.log10(F.col("l_extendedprice") + 1), 6).alias("lg"),
         F.pmod("l_partkey", F.lit(7)).cast("long").alias("m7"),
-        F.round(F.col("l_extendedprice") * (1 - F.col("l_discount")) * (1 + F.col("l_tax")), 2)
+        F.round(F.col("l_extendedprice") * (1 - F.col("l_discount")) * (1 + F.col("l_tax")), 6)
         .alias("charge"),
         F.signum(F.col("l_quantity") - 25).alias("sgn"))
 

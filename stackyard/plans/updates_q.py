@@ -16,13 +16,13 @@ def _customer_changes(spark, sf):
     c = load(spark, sf, "customer")
     j = o.join(c, o.o_custkey == c.c_custkey)
     return j.select("c_custkey", "c_name", "c_nationkey",
-                    F.round(F.col("c_acctbal") - F.col("o_totalprice") / 100, 2).alias("c_acctbal"),
+                    F.round(F.col("c_acctbal") - F.col("o_totalprice") / 100, 4).alias("c_acctbal"),
                     F.col("o_orderpriority").alias("c_mktsegment"),
                     "o_orderdate", "o_orderkey")
 
 
 @query("u1_keyed_upsert", "U1", sql="""
-WITH ch AS (SELECT c_custkey, c_name, c_nationkey, round(c_acctbal - o_totalprice / 100, 2) AS c_acctbal,
+WITH ch AS (SELECT c_custkey, c_name, c_nationkey, round(c_acctbal - o_totalprice / 100, 4) AS c_acctbal,
                    o_orderpriority AS c_mktsegment,
                    row_number() OVER (PARTITION BY c_custkey ORDER BY o_orderdate DESC, o_orderkey DESC) AS rn
             FROM orders JOIN customer ON o_custkey = c_custkey)
