@@ -53,25 +53,29 @@ def _sort_cols(spec):
     return [F.col(c).desc() if d else F.col(c).asc() for c, d in spec]
 
 
-def _lit(value, dtype):
-    if isinstance(dtype, T.TimestampNTZType) and value is not None:
-        return F.lit(str(value)).cast(dtype)
-    return F.lit(value).cast(dtype)
-
-
-def _before(spec, types, bound) -> Column:
-    """Row strictly before ``bound`` in the (key, order) sort, SQL null order
-    (nulls first ascending, last descending)."""
-    expr = F.lit(False)
+def _sql_lit(value, dtype) -> str:
+    """SQL literal of a collected value, typed as the column."""
+    if value is None:
+        return f"CAST(NULL AS {dtype.simpleString()})"
+    if isinstance(dtype, T.TimestampType):  # collected as local wall time
+        return f"timestamp_micros({int(round(value.timestamp() * 1_000_000))})"
+    text = str(value).replace("\\", "\\\\").replace("'", "\\'")
+    return f"CAST('{text}' AS {dtype.simpleString()})"
+
+
+def _before(spec, types, bound) -> str:
+    """SQL: row strictly before ``bound`` in the (key, order) sort, SQL null
+    order (nulls first ascending, last descending)."""
+    expr = "false"
     for (c, d), v in reversed(list(zip(spec, bound))):
-        x, lv = F.col(c), _lit(v, types[c])
+        x, lv = f"`{c}`", _sql_lit(v, types[c])
         if v is None:
-            lt, eq = (x.isNotNull() if d else F.lit(False)), x.isNull()
+            lt, eq = (f"{x} IS NOT NULL" if d else "false"), f"{x} IS NULL"
         elif d:
-            lt, eq = x.isNotNull() & (x > lv), F.coalesce(x == lv, F.lit(False))
+            lt, eq = f"({x} IS NOT NULL AND {x} > {lv})", f"coalesce({x} = {lv}, false)"
         else:
-            lt, eq = x.isNull() | (x < lv), F.coalesce(x == lv, F.lit(False))
-        expr = lt | (eq & expr)
+            lt, eq = f"({x} IS NULL OR {x} < {lv})", f"coalesce({x} = {lv}, false)"
+        expr = f"({lt} OR ({eq} AND {expr}))"
     return expr
 
 
@@ -96,19 +100,22 @@ def _py_cmp(spec):
 def _slice_id(df: DataFrame, spec, n: int, per_slice: int = 20) -> Column:
     """Deterministic range slice (0..n-1) of each row in (key, order).
 
-    Bounds come from a sample of about ``per_slice * n`` rows, collected once
+    Bounds come from a sample of ``per_slice * n`` rows, collected once
     (bounded by ``n``, not by the data); the slice is found with a balanced
     CASE tree, ``log2 n`` comparisons per row.  Unlike a shuffle's range
     sampling, the same rows always get the same slice, so several plans may
     read it and agree.
     """
     names = [c for c, _ in spec]
-    total = df.count()
-    if total == 0 or n <= 1:
+    if n <= 1:
+        return F.lit(0)
+    # one job: the rows with the smallest hash of the sort columns, a
+    # deterministic pseudo-random sample (per-task top-k, then merge)
+    picked = (df.select(*names).orderBy(F.xxhash64(*names)).limit(per_slice * n)
+              .collect())
+    if not picked:
         return F.lit(0)
-    frac = min(1.0, per_slice * n / total)
-    sample = sorted((tuple(r) for r in df.select(*names).sample(False, frac, 17).collect()),
-                    key=_py_cmp(spec))
+    sample = sorted((tuple(r) for r in picked), key=_py_cmp(spec))
     bounds = []
     for i in range(1, n):
         b = sample[min(len(sample) - 1, i * len(sample) // n)] if sample else None
@@ -118,10 +125,12 @@ def _slice_id(df: DataFrame, spec, n: int, per_slice: int = 20) -> Column:
 
     def tree(lo, hi):  # number of bounds <= row, searched in bounds[lo:hi]
         if lo >= hi:
-            return F.lit(lo)
+            return str(lo)
         mid = (lo + hi) // 2
-        return F.when(_before(spec, types, bounds[mid]), tree(lo, mid)).otherwise(tree(mid + 1, hi))
-    return tree(0, len(bounds))
+        return (f"CASE WHEN {_before(spec, types, bounds[mid])} "
+                f"THEN {tree(lo, mid)} ELSE {tree(mid + 1, hi)} END")
+    # one SQL expression: a single call into the JVM however many bounds
+    return F.expr(tree(0, len(bounds))).cast("int")
 
 
 def _positions(df: DataFrame, keys: list[str], order, sums: Sequence[str] = (),
@@ -191,49 +200,59 @@ def running_sum(df: DataFrame, keys: Sequence[str], order: Sequence,
 def ranks(df: DataFrame, keys: Sequence[str], value: str, tiebreak: str,
           descending: bool = True, tiles: int | None = None,
           partitions: int | None = None) -> DataFrame:
-    """``row_number``, ``rank``, ``dense_rank`` (and ``ntile(tiles)``)
-    of each row within its key, ordered by ``value`` (descending by default)
-    then ``tiebreak`` for ``row_number``/``ntile``."""
+    """``row_number`` and ``ntile(tiles)`` by ``(value, tiebreak)``, and
+    ``rank`` / ``dense_rank`` by ``value`` (equal values share a rank), per
+    key.
+
+    Rank and dense rank come from the table of distinct ``(key, value)``
+    with their row counts (a partial aggregate): dense rank is the position
+    among distinct values, rank is one plus the rows with a better value
+    (running count minus own count).  That table is joined back by
+    ``(key, value)``.
+    """
     keys = list(keys)
     v = desc(value) if descending else value
     p = _positions(df, keys, [v, tiebreak], partitions=partitions)
-    # rank: first position among equal values (one row per (key, value))
-    first = p.groupBy(*keys, value).agg(F.min("_pos").alias("_first"))
-    # dense rank: position among the distinct values of the key
-    dense = _positions(first.select(*keys, value), keys, [v], partitions=partitions) \
-        .select(*keys, value, F.col("_pos").alias("_dense"))
-    sizes = p.groupBy(*keys).agg(F.count(F.lit(1)).alias("_size"))
-    on = [*keys, value]
-    j = p.join(first, on).join(dense, on).join(sizes, keys)
-    out = j.select(*df.columns, (F.col("_pos") + 1).alias("row_number"),
-                   (F.col("_first") + 1).alias("rank"), (F.col("_dense") + 1).alias("dense_rank"),
-                   "_pos", "_size")
+    distinct = df.groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_cnt"))
+    d = _positions(distinct, keys, [v], ["_cnt"], partitions=partitions).select(
+        *keys, value, (F.col("_pos") + 1).alias("dense_rank"),
+        (F.col("_run__cnt") - F.col("_cnt") + 1).cast("long").alias("rank"))
+    out = p.join(d, [*keys, value]).select(
+        *df.columns, (F.col("_pos") + 1).alias("row_number"), "rank", "dense_rank", "_pos")
     if tiles:
+        sizes = distinct.groupBy(*keys).agg(F.sum("_cnt").alias("_size"))
+        out = out.join(sizes, keys)
         q = F.floor(F.col("_size") / tiles)
         r = F.col("_size") % tiles
         big = r * (q + 1)
         tile = (F.when(F.col("_pos") < big, F.floor(F.col("_pos") / (q + 1)) + 1)
                 .otherwise(r + F.floor((F.col("_pos") - big) / F.greatest(q, F.lit(1))) + 1))
-        out = out.withColumn("ntile", tile.cast("long"))
-    return out.drop("_pos", "_size")
+        out = out.withColumn("ntile", tile.cast("long")).drop("_size")
+    return out.drop("_pos")
 
 
-def shifted(df: DataFrame, keys: Sequence[str], order: Sequence,
-            cols: Sequence[str], offset: int = 1, prefix: str = "lag_",
+def shifted(df: DataFrame, keys: Sequence[str], order: Sequence, cols: Sequence[str],
+            offset: int | Sequence[int] = 1, prefix: str | Sequence[str] = "lag_",
             partitions: int | None = None) -> DataFrame:
     """``lag`` (offset > 0) or ``lead`` (offset < 0) of ``cols`` within
-    the key: an equi join on ``(key, position - offset)``.  A hot key does
-    not concentrate: the join key is unique per row."""
+    the key, for one or several offsets from a single position pass: an equi
+    join on ``(key, position - offset)`` each.  A hot key does not
+    concentrate: the join key is unique per row."""
     keys = list(keys)
+    offsets = [offset] if isinstance(offset, int) else list(offset)
+    prefixes = [prefix] if isinstance(prefix, str) else list(prefix)
     p = _positions(df, keys, order, partitions=partitions)
-    other = p.select(*[F.col(k).alias(f"_sk_{k}") for k in keys],
-                     (F.col("_pos") + offset).alias("_spos"),
-                     *[F.col(c).alias(f"{prefix}{c}") for c in cols])
-    cond = F.col("_pos") == F.col("_spos")
-    for k in keys:
-        cond = cond & F.col(k).eqNullSafe(F.col(f"_sk_{k}"))
-    j = p.join(other, cond, "left")
-    return j.select(*df.columns, *[f"{prefix}{c}" for c in cols])
+    out, added = p, []
+    for off, pre in zip(offsets, prefixes):
+        other = p.select(*[F.col(k).alias(f"_sk_{k}") for k in keys],
+                         (F.col("_pos") + off).alias("_spos"),
+                         *[F.col(c).alias(f"{pre}{c}") for c in cols])
+        cond = F.col("_pos") == F.col("_spos")
+        for k in keys:
+            cond = cond & F.col(k).eqNullSafe(F.col(f"_sk_{k}"))
+        out = out.join(other, cond, "left").drop("_spos", *[f"_sk_{k}" for k in keys])
+        added += [f"{pre}{c}" for c in cols]
+    return out.select(*df.columns, *added)
 
 
 def top_n(df: DataFrame, keys: Sequence[str], order: Sequence, n: int,

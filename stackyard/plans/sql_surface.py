@@ -189,13 +189,12 @@ FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)
 def s11_lag_lead(spark, sf):
     ev = load(spark, sf, "events").select("event_id", "user_id", "ts", "event_type")
     order = ["ts", "event_id"]
-    lagged = O.shifted(ev, ["user_id"], order, ["event_type", "ts"], 1, "lag_")
-    led = O.shifted(ev, ["user_id"], order, ["event_type"], -1, "lead_") \
-        .select("event_id", "lead_event_type")
+    both = O.shifted(ev, ["user_id"], order, ["event_type", "ts"], [1, -1], ["lag_", "lead_"])
+    # first/last over the whole key: aggregates, joined back by key
     ends = ev.groupBy("user_id").agg(
         F.min_by("event_type", F.struct(*order)).alias("first_type"),
         F.max_by("event_type", F.struct(*order)).alias("last_type"))
-    return (lagged.join(led, "event_id").join(ends, "user_id")
+    return (both.join(ends, "user_id")
             .select("event_id", "user_id", "lag_event_type", "lag_ts", "lead_event_type",
                     "first_type", "last_type"))
 
