@@ -141,3 +141,16 @@ def test_telemetry_percentiles_are_sketches(spark):
     plan = r._jdf.queryExecution().optimizedPlan().toString()
     assert "percentile_approx" in plan
     assert r.where("p50 < v_min OR p50 > v_max").count() == 0
+
+
+def test_sessionize_matches_session_window_with_a_hot_user(spark):
+    from stackyard.operators.sessions import sessionize
+    from stackyard.streaming.events import windowed
+    ev = spark.read.parquet(f"{SMALL}/events.parquet")
+    # make user 7 own a third of all events
+    hot = ev.withColumn("user_id", F.when(F.col("event_id") % 3 == 0, F.lit(7)).otherwise(F.col("user_id")))
+    got = sessionize(hot, "user_id", "ts", "30 minutes", "event_id",
+                     [F.count(F.lit(1)).alias("n")], partitions=8)
+    exp = windowed(hot, "ts", "session:30 minutes", ["user_id"], [F.count(F.lit(1)).alias("n")])
+    key = lambda df: sorted(tuple(r) for r in df.select("user_id", "window_start", "window_end", "n").collect())
+    assert key(got) == key(exp)
