@@ -21,9 +21,7 @@ from stackyard.streaming.events import EPOCH_NTZ, interval_micros
 
 
 def _bucket(ts: str, width_us: int):
-    c = F.col(ts)
-    micros = (F.unix_micros(c) if False else
-              F.timestamp_diff("MICROSECOND", F.expr(EPOCH_NTZ), c.cast("timestamp_ntz")))
+    micros = F.timestamp_diff("MICROSECOND", F.expr(EPOCH_NTZ), F.col(ts).cast("timestamp_ntz"))
     return F.floor(micros / F.lit(width_us))
 
 

@@ -40,6 +40,6 @@ def query(name: str, rows: str, sql: str | None = None):
 def all_queries() -> dict[str, Query]:
     # import for side effects: each module registers its queries
     from stackyard.plans import (  # noqa: F401
-        activity, relational, text_ops, functions_q, ordered, joins_q, updates_q,
+        activity, text_ops, functions_q, ordered, joins_q, updates_q,
         io_q, streams_q, versions_q, sql_surface)
     return dict(_REGISTRY)

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupStateTimeout
 
-RUNNING_SCHEMA = "key long, n_events long, value_sum double, last_event_id long, last_ts timestamp_ntz"
+OUTPUT_SCHEMA = "key long, n_events long, value_sum double, last_event_id long, last_us long"
 STATE_SCHEMA = "n long, s double, last_id long, last_us long"
 
 
@@ -46,7 +46,7 @@ def running_state(df: DataFrame, key: str, ts: str, id_col: str, value: str) ->
                          F.col(id_col).cast("long").alias("_id"),
                          F.col(value).cast("double").alias("value"))
     out = prepared.groupBy("_k").applyInPandasWithState(
-        _update, "key long, n_events long, value_sum double, last_event_id long, last_us long",
+        _update, OUTPUT_SCHEMA,
         STATE_SCHEMA, "update", GroupStateTimeout.NoTimeout)
     return out.select("key", "n_events", "value_sum", "last_event_id",
                       F.timestamp_add("MICROSECOND", F.col("last_us"),
