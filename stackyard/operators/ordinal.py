@@ -97,40 +97,113 @@ def _py_cmp(spec):
     return functools.cmp_to_key(cmp)
 
 
-def _slice_id(df: DataFrame, spec, n: int, per_slice: int = 20) -> Column:
-    """Deterministic range slice (0..n-1) of each row in (key, order).
-
-    Bounds come from a sample of ``per_slice * n`` rows, collected once
-    (bounded by ``n``, not by the data); the slice is found with a balanced
-    CASE tree, ``log2 n`` comparisons per row.  Unlike a shuffle's range
-    sampling, the same rows always get the same slice, so several plans may
-    read it and agree.
-    """
+MAX_SLICES = 1 << 16
+_TREE_MAX = 64  # slices a CASE tree handles within codegen's method size
+
+
+def _slice_bounds(df: DataFrame, spec, n: int, per_slice: int = 20) -> list[tuple]:
+    """Up to ``n - 1`` increasing bounds of (key, order) from a sample of
+    ``per_slice * n`` rows, collected once (bounded by ``n``, not by the
+    data).  One job: the rows with the smallest hash of the sort columns, a
+    deterministic pseudo-random sample (per-task top-k, then merge)."""
     names = [c for c, _ in spec]
-    if n <= 1:
-        return F.lit(0)
-    # one job: the rows with the smallest hash of the sort columns, a
-    # deterministic pseudo-random sample (per-task top-k, then merge)
-    picked = (df.select(*names).orderBy(F.xxhash64(*names)).limit(per_slice * n)
+    picked = (df.select(*names).orderBy(F.xxhash64(*names), *names).limit(per_slice * n)
               .collect())
     if not picked:
-        return F.lit(0)
-    sample = sorted((tuple(r) for r in picked), key=_py_cmp(spec))
-    bounds = []
+        return []
+    cmp = _py_cmp(spec)
+    sample = sorted((tuple(r) for r in picked), key=cmp)
+    bounds: list[tuple] = []
     for i in range(1, n):
-        b = sample[min(len(sample) - 1, i * len(sample) // n)] if sample else None
-        if b is not None and (not bounds or _py_cmp(spec)(bounds[-1]) < _py_cmp(spec)(b)):
+        b = sample[min(len(sample) - 1, i * len(sample) // n)]
+        if not bounds or cmp(bounds[-1]) < cmp(b):
             bounds.append(b)
-    types = {f.name: f.dataType for f in df.schema.fields}
+    return bounds
+
+
+def _tree(spec, types, bounds, lo, hi) -> str:
+    """SQL: number of ``bounds[lo:hi]`` at or before the row (nested CASE)."""
+    if lo >= hi:
+        return str(lo)
+    mid = (lo + hi) // 2
+    return (f"CASE WHEN {_before(spec, types, bounds[mid])} "
+            f"THEN {_tree(spec, types, bounds, lo, mid)} "
+            f"ELSE {_tree(spec, types, bounds, mid + 1, hi)} END")
+
+
+def _ascending_key(spec, types) -> Column | None:
+    """A struct of the sort columns whose plain ascending order is the
+    (key, order) order with SQL null placement (nulls first ascending, last
+    descending); ``None`` when a descending column is not numeric, date or
+    time (it cannot be negated)."""
+    fields = []
+    for i, (c, d) in enumerate(spec):
+        x, t = F.col(c), types[c]
+        if not d:
+            fields.append(x.alias(f"v{i}"))
+            continue
+        if isinstance(t, (T.TimestampType, T.TimestampNTZType)):
+            v = F.timestamp_diff("MICROSECOND", F.expr("TIMESTAMP_NTZ'1970-01-01 00:00:00'"),
+                                 x.cast("timestamp_ntz"))
+        elif isinstance(t, T.DateType):
+            v = F.datediff(x, F.lit("1970-01-01").cast("date")).cast("long")
+        elif isinstance(t, (T.ByteType, T.ShortType, T.IntegerType, T.LongType)):
+            v = x.cast("decimal(20,0)")
+        elif isinstance(t, (T.FloatType, T.DoubleType, T.DecimalType)):
+            v = x
+        else:
+            return None
+        fields += [x.isNull().alias(f"n{i}"), (-v).alias(f"v{i}")]
+    return F.struct(*fields)
+
 
-    def tree(lo, hi):  # number of bounds <= row, searched in bounds[lo:hi]
-        if lo >= hi:
-            return str(lo)
-        mid = (lo + hi) // 2
-        return (f"CASE WHEN {_before(spec, types, bounds[mid])} "
-                f"THEN {tree(lo, mid)} ELSE {tree(mid + 1, hi)} END")
-    # one SQL expression: a single call into the JVM however many bounds
-    return F.expr(tree(0, len(bounds))).cast("int")
+def _with_slice(df: DataFrame, spec, n: int, out: str = "_rp",
+                per_slice: int = 20) -> DataFrame:
+    """``df`` plus a deterministic range slice id (0..n-1) of (key, order).
+
+    The slice is a pure function of the row and of bounds fixed for the
+    query, so every branch of a plan (and every rerun after an executor
+    loss) agrees on it, unlike a shuffle's own range sampling.
+
+    Bounds: the sort key of a sample of ``per_slice * n`` rows (those with
+    the smallest hash, a deterministic pick), cut into ``n`` quantiles; the
+    resulting array is a scalar subquery, evaluated once per query and
+    bounded by ``n``.  Lookup: a binary search over that array with
+    ``aggregate`` (``log2 n`` steps per row), whatever ``n`` is.
+    """
+    n = max(1, min(n, MAX_SLICES))
+    if n == 1:
+        return df.withColumn(out, F.lit(0))
+    names = [c for c, _ in spec]
+    types = {f.name: f.dataType for f in df.schema.fields}
+    key = _ascending_key(spec, types)
+    if key is None:  # descending text: a compiled CASE tree over fewer slices
+        bounds = _slice_bounds(df, spec, min(n, _TREE_MAX), per_slice)
+        if not bounds:
+            return df.withColumn(out, F.lit(0))
+        return df.withColumn(out, F.expr(_tree(spec, types, bounds, 0, len(bounds))).cast("int"))
+    sample = (df.select(key.alias("_k"), *names)
+              .orderBy(F.xxhash64(*names), *names).limit(per_slice * n).select("_k"))
+    whole = Window.orderBy("_k").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    ranked = sample.select("_k", F.row_number().over(Window.orderBy("_k")).alias("_i"),
+                           F.count(F.lit(1)).over(whole).alias("_c"))
+    quantile = F.floor((F.col("_i") - 1) * n / F.col("_c"))
+    bounds = (ranked.where(quantile >= 1).groupBy(quantile.alias("_q"))
+              .agg(F.min("_k").alias("_b"))
+              .agg(F.array_distinct(F.sort_array(F.collect_list("_b"))).alias("_bounds")))
+    steps = n.bit_length() + 1
+    mid = "CAST((acc.lo + acc.hi) div 2 AS INT)"
+    search = (f"aggregate(sequence(1, {steps}), named_struct('lo', 0, 'hi', size(_bounds)), "
+              f"(acc, i) -> CASE WHEN acc.lo >= acc.hi THEN acc "
+              f"WHEN _key < element_at(_bounds, {mid} + 1) "
+              f"THEN named_struct('lo', acc.lo, 'hi', {mid}) "
+              f"ELSE named_struct('lo', {mid} + 1, 'hi', acc.hi) END, "
+              f"acc -> acc.lo)")
+    return (df.withColumn("_key", key)
+            .withColumn("_bounds", F.coalesce(bounds.scalar(), F.array().cast(
+                T.ArrayType(sample.schema["_k"].dataType))))
+            .withColumn(out, F.expr(search).cast("int"))
+            .drop("_key", "_bounds"))
 
 
 def _positions(df: DataFrame, keys: list[str], order, sums: Sequence[str] = (),
@@ -148,7 +221,7 @@ def _positions(df: DataFrame, keys: list[str], order, sums: Sequence[str] = (),
     spark = df.sparkSession
     n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     spec = [(k, False) for k in keys] + _spec(order)
-    sliced = df.withColumn("_rp", _slice_id(df, spec, n))
+    sliced = _with_slice(df, spec, n)
     w = Window.partitionBy("_rp", *keys).orderBy(*_sort_cols(_spec(order)))
     local = sliced.withColumn("_local", F.row_number().over(w))
     for c in sums:

@@ -154,3 +154,15 @@ def test_sessionize_matches_session_window_with_a_hot_user(spark):
     exp = windowed(hot, "ts", "session:30 minutes", ["user_id"], [F.count(F.lit(1)).alias("n")])
     key = lambda df: sorted(tuple(r) for r in df.select("user_id", "window_start", "window_end", "n").collect())
     assert key(got) == key(exp)
+
+
+@pytest.mark.parametrize("slices", [1, 7, 300])
+def test_ordinal_with_descending_text_and_timestamps(spark, slices):
+    ev = spark.read.parquet(f"{SMALL}/events.parquet")
+    for order in ([O.desc("event_type"), "event_id"], [O.desc("ts"), O.desc("event_id")]):
+        got = {r.event_id: r.o for r in O.ordinal(ev, ["user_id"], order, out="o",
+                                                 partitions=slices).collect()}
+        cols = [F.col(o[0]).desc() if isinstance(o, tuple) else F.col(o) for o in order]
+        w = Window.partitionBy("user_id").orderBy(*cols)
+        exp = {r.event_id: r.o for r in ev.select("event_id", (F.row_number().over(w) - 1).alias("o")).collect()}
+        assert got == exp
