@@ -177,7 +177,9 @@ def _with_slice(df: DataFrame, spec, n: int, out: str = "_rp",
     names = [c for c, _ in spec]
     types = {f.name: f.dataType for f in df.schema.fields}
     key = _ascending_key(spec, types)
-    if key is None:  # descending text: a compiled CASE tree over fewer slices
+    if key is None or n <= _TREE_MAX:
+        # few slices (or descending text): a compiled CASE tree, bounds from
+        # one sample job now
         bounds = _slice_bounds(df, spec, min(n, _TREE_MAX), per_slice)
         if not bounds:
             return df.withColumn(out, F.lit(0))

@@ -1,35 +1,62 @@
 """Batch sessionization that survives a hot key.
 
 ``session_window`` in a batch plan shuffles every event of a key to one
-task and merges sessions there.  Here sessions are found as gaps and
-islands with the skew-safe position operators: the previous event time per
-key (lag), a boundary flag where the gap is reached, and a running count of
-boundaries as the session number; then one aggregate per (key, session).
-The session bounds follow Spark's session windows: start at the first
-event, end at the last event plus the gap; an event exactly ``gap`` after
-the previous one starts a new session.
+task and merges sessions there.  Here events are cut into the deterministic
+range slices of ``operators.ordinal`` (a hot key spans many slices), sessions
+are found inside each (slice, key) with window functions, and then stitched
+across slice boundaries: the first session of a slice continues the last
+session of the key's previous slice when the gap between them is below
+``gap``.  Stitching needs one row per (slice, key) and only keys that cross
+a slice boundary (about two per slice), a table bounded by the slice count
+that is broadcast.  One shuffle of the events, then one aggregate.
+
+Session bounds follow Spark's session windows: start at the first event,
+end at the last event plus the gap; an event exactly ``gap`` after the
+previous one starts a new session.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from stackyard.operators.ordinal import running_sum, shifted
+from stackyard.operators.ordinal import _with_slice
 
 
 def sessionize(df: DataFrame, key: str, ts: str, gap: str, tiebreak: str,
                aggs: Sequence[Column] = (), partitions: int | None = None) -> DataFrame:
     """``(window_start, window_end, key, aggs...)`` per session of ``key``."""
-    order = [ts, tiebreak]
-    lagged = shifted(df, [key], order, [ts], 1, "_prev_", partitions=partitions)
-    flagged = lagged.withColumn("_brk", F.when(
-        F.col(f"_prev_{ts}").isNull()
-        | (F.col(ts) >= F.col(f"_prev_{ts}") + F.expr(f"INTERVAL {gap}")), 1).otherwise(0))
-    numbered = running_sum(flagged, [key], order, "_brk", out="_session", partitions=partitions)
-    out = numbered.groupBy(key, "_session").agg(
-        F.min(ts).alias("window_start"),
-        (F.max(ts) + F.expr(f"INTERVAL {gap}")).alias("window_end"), *aggs)
+    n = partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    gap_iv = F.expr(f"INTERVAL {gap}")
+    sliced = _with_slice(df, [(key, False), (ts, False), (tiebreak, False)], n)
+    w = Window.partitionBy("_rp", key).orderBy(ts, tiebreak)
+    prev = F.lag(ts).over(w)
+    local = sliced.withColumn("_brk", F.when(prev.isNull() | (F.col(ts) >= prev + gap_iv), 1)
+                              .otherwise(0))
+    local = local.withColumn("_ls", F.sum("_brk").over(
+        w.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    # one row per (slice, key): first and last event time, local session count
+    per_slice = sliced.groupBy("_rp", key).agg(F.min(ts).alias("_first"),
+                                               F.max(ts).alias("_last"))
+    spans = per_slice.withColumn("_nsl", F.count(F.lit(1)).over(Window.partitionBy(key))) \
+        .where("_nsl > 1")
+    by_slice = Window.partitionBy(key).orderBy("_rp")
+    counts = local.groupBy("_rp", key).agg(F.max("_ls").alias("_s"))
+    spans = spans.join(counts, ["_rp", key])
+    cont = F.when(F.lag("_last").over(by_slice).isNotNull()
+                  & (F.col("_first") < F.lag("_last").over(by_slice) + gap_iv), 1).otherwise(0)
+    before = Window.partitionBy(key).orderBy("_rp").rowsBetween(Window.unboundedPreceding, -1)
+    upto = Window.partitionBy(key).orderBy("_rp").rowsBetween(Window.unboundedPreceding, 0)
+    shifts = (spans.withColumn("_c", cont)
+              .withColumn("_shift", F.coalesce(F.sum("_s").over(before), F.lit(0))
+                          - F.sum("_c").over(upto))
+              .select(F.col("_rp").alias("_o_rp"), F.col(key).alias("_o_key"), "_shift"))
+    # only keys crossing a slice boundary: bounded by the slice count
+    j = local.join(F.broadcast(shifts), (F.col("_rp") == F.col("_o_rp"))
+                   & F.col(key).eqNullSafe(F.col("_o_key")), "left")
+    sid = F.col("_ls") + F.coalesce(F.col("_shift"), F.lit(0))
+    out = j.groupBy(key, sid.alias("_session")).agg(
+        F.min(ts).alias("window_start"), (F.max(ts) + gap_iv).alias("window_end"), *aggs)
     return out.drop("_session")
