@@ -3,11 +3,13 @@ same key at or before the left row's time.
 
 Spark has no as-of join.  The usual composition (union both sides, then
 ``last(ignorenulls)`` over a window per key) puts a whole key in one task.
-Here the window is per ``(key, time bucket)``, so a hot key is spread over
-its buckets; a left row with no right row earlier in its own bucket takes
-the carry-in: the last right row of any earlier bucket, found by a window
-over one row per ``(key, bucket)`` (bounded by the number of buckets, not
-rows).  Equi joins and windows only; no pairs are formed.
+Here the union is cut into the deterministic range slices of
+``operators.ordinal`` on (key, time, side), so a hot key spans many slices;
+the window runs per (slice, key).  A left row with no right row earlier in
+its own slice takes the carry-in: the last right row of the key's earlier
+slices.  Only keys that cross a slice boundary need one (about two per
+slice), so the carry-in table is bounded by the slice count and broadcast.
+Equi joins and windows only; no pairs are formed.
 """
 
 from __future__ import annotations
@@ -17,56 +19,47 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from stackyard.streaming.events import EPOCH_NTZ, interval_micros
-
-
-def _bucket(ts: str, width_us: int):
-    micros = F.timestamp_diff("MICROSECOND", F.expr(EPOCH_NTZ), F.col(ts).cast("timestamp_ntz"))
-    return F.floor(micros / F.lit(width_us))
+from stackyard.operators.ordinal import _with_slice
 
 
 def asof_join(left: DataFrame, right: DataFrame, key: str, left_ts: str, right_ts: str,
               right_cols: Sequence[str], right_tiebreak: str | None = None,
-              bucket: str = "1 day") -> DataFrame:
+              partitions: int | None = None) -> DataFrame:
     """Left rows with ``right_cols`` of the matching right row (NULL when
     there is none).  Among right rows with equal time the largest
     ``right_tiebreak`` wins."""
-    w_us = interval_micros(bucket)
+    n = partitions or int(left.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     rcols = list(right_cols)
-    order_r = [F.col(right_ts)] + ([F.col(right_tiebreak)] if right_tiebreak else [])
     rstruct = F.struct(*[F.col(c).alias(c) for c in rcols])
-
-    r = right.select(F.col(key).alias("_k"), _bucket(right_ts, w_us).alias("_b"),
-                     F.col(right_ts).cast("timestamp_ntz").alias("_t"),
-                     F.lit(0).alias("_side"),
-                     (F.col(right_tiebreak) if right_tiebreak else F.lit(None)).alias("_tb"),
-                     rstruct.alias("_r"), F.lit(None).alias("_l"))
     lstruct = F.struct(*[F.col(c) for c in left.columns])
-    lft = left.select(F.col(key).alias("_k"), _bucket(left_ts, w_us).alias("_b"),
-                      F.col(left_ts).cast("timestamp_ntz").alias("_t"), F.lit(1).alias("_side"),
-                      F.lit(None).alias("_tb"), F.lit(None).cast(r.schema["_r"].dataType).alias("_r"),
-                      lstruct.alias("_l"))
+    tb = F.col(right_tiebreak) if right_tiebreak else F.lit(None)
+
+    r = right.select(F.col(key).alias("_k"), F.col(right_ts).cast("timestamp_ntz").alias("_t"),
+                     F.lit(0).alias("_side"), tb.alias("_tb"), rstruct.alias("_r"))
+    lft = left.select(F.col(key).alias("_k"), F.col(left_ts).cast("timestamp_ntz").alias("_t"),
+                      F.lit(1).alias("_side"), F.lit(None).cast(r.schema["_tb"].dataType).alias("_tb"),
+                      F.lit(None).cast(r.schema["_r"].dataType).alias("_r"), lstruct.alias("_l"))
     r = r.withColumn("_l", F.lit(None).cast(lft.schema["_l"].dataType))
-    u = r.unionByName(lft)
+    # rights sort before lefts at equal time: "at or before"
+    u = _with_slice(r.unionByName(lft), [("_k", False), ("_t", False), ("_side", False),
+                                         ("_tb", False)], n)
 
-    # in-bucket: last right row at or before each left row (rights sort first on ties)
-    w_in = (Window.partitionBy("_k", "_b").orderBy("_t", "_side", "_tb")
+    w_in = (Window.partitionBy("_rp", "_k").orderBy("_t", "_side", "_tb")
             .rowsBetween(Window.unboundedPreceding, Window.currentRow))
     matched = (u.withColumn("_in", F.last("_r", ignorenulls=True).over(w_in))
                .where(F.col("_side") == 1))
 
-    # carry-in from earlier buckets: one row per (key, bucket)
-    per_bucket = (right.select(F.col(key).alias("_k"), _bucket(right_ts, w_us).alias("_b"),
-                               F.struct(*order_r).alias("_o"), rstruct.alias("_r"))
-                  .groupBy("_k", "_b").agg(F.max_by("_r", "_o").alias("_r")))
-    left_buckets = lft.select("_k", "_b").distinct().withColumn(
-        "_r", F.lit(None).cast(per_bucket.schema["_r"].dataType))
-    w_prev = Window.partitionBy("_k").orderBy("_b").rangeBetween(Window.unboundedPreceding, -1)
-    carry = (per_bucket.unionByName(left_buckets)
-             .withColumn("_carry", F.last("_r", ignorenulls=True).over(w_prev))
-             .groupBy("_k", "_b").agg(F.first("_carry", ignorenulls=True).alias("_carry")))
-
-    out = matched.join(carry, ["_k", "_b"], "left")
+    # per (slice, key): the last right row; carried into the key's later slices
+    last_r = F.max(F.when(F.col("_side") == 0, F.struct("_t", "_tb", "_r")))
+    per_slice = u.groupBy("_rp", "_k").agg(last_r.alias("_last"))
+    crossing = per_slice.withColumn("_nsl", F.count(F.lit(1)).over(Window.partitionBy("_k"))) \
+        .where("_nsl > 1")
+    before = Window.partitionBy("_k").orderBy("_rp").rowsBetween(Window.unboundedPreceding, -1)
+    carry = crossing.select(F.col("_rp").alias("_c_rp"), F.col("_k").alias("_c_k"),
+                            F.last(F.col("_last")["_r"], ignorenulls=True).over(before)
+                            .alias("_carry"))
+    out = matched.join(F.broadcast(carry), (F.col("_rp") == F.col("_c_rp"))
+                       & F.col("_k").eqNullSafe(F.col("_c_k")), "left")
     best = F.coalesce(F.col("_in"), F.col("_carry"))
     return out.select(*[F.col("_l")[c].alias(c) for c in left.columns],
                       *[best[c].alias(c) for c in rcols])

@@ -103,7 +103,7 @@ def s5_asof_join(spark, sf):
     views = ev.where(F.col("event_type") == "view").select(
         "user_id", F.col("event_id").alias("view_id"), F.col("ts").alias("view_ts"))
     j = asof_join(buys, views, "user_id", "ts", "view_ts", ["view_id", "view_ts"],
-                  right_tiebreak="view_id", bucket="1 day")
+                  right_tiebreak="view_id")
     return j.select("purchase_id", "user_id", "view_id", "view_ts")
 
 

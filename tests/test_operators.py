@@ -67,8 +67,11 @@ def test_asof_join_matches_merge_asof(spark):
     buys = ev.where("event_type = 'purchase'").select(F.col("event_id").alias("pid"), "user_id", "ts")
     views = ev.where("event_type = 'view'").select("user_id", F.col("event_id").alias("vid"),
                                                    F.col("ts").alias("vts"))
+    # a hot user: every fourth event belongs to user 3, spread over many slices
+    hot = lambda df, c: df.withColumn("user_id", F.when(F.col(c) % 4 == 0, F.lit(3)).otherwise(F.col("user_id")))
+    buys, views = hot(buys, "pid"), hot(views, "vid")
     got = {r.pid: r.vid for r in asof_join(buys, views, "user_id", "ts", "vts", ["vid", "vts"],
-                                           "vid", bucket="6 hours").collect()}
+                                           "vid", partitions=12).collect()}
     b = buys.toPandas().sort_values("ts")
     v = views.toPandas().sort_values("vts")
     m = pd.merge_asof(b, v, left_on="ts", right_on="vts", by="user_id", direction="backward")
