@@ -15,7 +15,7 @@ from stackyard.sources import text as TX
 from stackyard.sources.jdbc import import_since, register_sources
 from stackyard.sources.sinks import backup_once, overwrite_days, write_table
 from stackyard.sources.topic import decode_topic, encode_topic
-from stackyard.sources.xml import overlay, read_xml_properties, write_xml_properties
+from stackyard.sources.xml import read_xml_properties, write_xml_properties
 from stackyard.tables import load
 
 
@@ -141,8 +141,9 @@ def io7_xml_overlay(spark, sf):
         F.col("r_name").alias("value"))
     path = scratch_path(spark, "io7")
     write_xml_properties(base, path)
-    # the overlay appends properties next to the existing set
-    write_xml_properties(overlay(base.limit(0), extra), path, mode="append")
+    # the overlay appends properties next to the existing set (IO4 append)
+    write_xml_properties(extra.withColumn("description", F.lit(None).cast("string")), path,
+                         mode="append")
     return read_xml_properties(spark, path)
 
 
@@ -161,17 +162,21 @@ EVENT_SCHEMA = "event_id bigint, ts timestamp_ntz, user_id bigint, event_type st
                "value double, props string"
 
 
+def _corrupt_error_events(rec):
+    """The producer of error events drops the closing brace: those values
+    are not valid JSON and must land in rejects (the whole value is kept)."""
+    text = F.col("value").cast("string")
+    is_err = F.get_json_object(text, "$.event_type") == "error"
+    return rec.withColumn("value", F.when(is_err, F.regexp_replace(text, "}$", "").cast("binary"))
+                          .otherwise(F.col("value")))
+
+
 @query("io12_decode_topic", "IO12", sql="""
 SELECT event_id, ts, user_id, event_type, value, props FROM events WHERE event_type <> 'error'
 """)
 def io12_decode_topic(spark, sf):
     ev = load(spark, sf, "events")
-    rec = encode_topic(ev, "user_id", "events", partitions=8)
-    # the producer truncates the payload of error events: those must land in rejects
-    bad = F.col("value").cast("string")
-    is_err = F.get_json_object(bad, "$.event_type") == "error"
-    rec = rec.withColumn("value", F.when(is_err, F.expr("substr(cast(value as string), 1, 20)")
-                                         .cast("binary")).otherwise(F.col("value")))
+    rec = _corrupt_error_events(encode_topic(ev, "user_id", "events", partitions=8))
     decoded, _ = decode_topic(rec, EVENT_SCHEMA, keep=())
     return decoded
 
@@ -181,10 +186,7 @@ SELECT COUNT(*) AS n_rejects FROM events WHERE event_type = 'error'
 """)
 def io12_topic_rejects(spark, sf):
     ev = load(spark, sf, "events")
-    rec = encode_topic(ev, "user_id", "events", partitions=8)
-    is_err = F.get_json_object(F.col("value").cast("string"), "$.event_type") == "error"
-    rec = rec.withColumn("value", F.when(is_err, F.expr("substr(cast(value as string), 1, 20)")
-                                         .cast("binary")).otherwise(F.col("value")))
+    rec = _corrupt_error_events(encode_topic(ev, "user_id", "events", partitions=8))
     _, rejects = decode_topic(rec, EVENT_SCHEMA, keep=())
     return rejects.agg(F.count(F.lit(1)).alias("n_rejects"))
 
