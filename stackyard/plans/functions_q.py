@@ -6,6 +6,7 @@ from stackyard.functions import strings as S
 from stackyard.plans.registry import query
 from stackyard.tables import load
 from stackyard.operators.joins import lookup
+from stackyard.plans.ordered import CLIENT_PORT
 
 EMAIL = r"[a-z0-9.]+@mail[0-9]+\.example\.com"
 
@@ -100,7 +101,7 @@ SELECT n_nationkey, n_name || ':' || CAST(n_nationkey AS VARCHAR) || ':2181' AS
 def x10_concat_literals(spark, sf):
     return load(spark, sf, "nation").select(
         "n_nationkey",
-        F.concat("n_name", F.lit(":"), F.col("n_nationkey").cast("string"), F.lit(":2181"))
+        F.concat("n_name", F.lit(":"), F.col("n_nationkey").cast("string"), F.lit(CLIENT_PORT))
         .alias("endpoint"),
         F.format_string("%s-%04d", "n_name", "n_nationkey").alias("label"))
 

@@ -7,6 +7,11 @@ from stackyard.operators.ordinal import desc, ordinal
 from stackyard.plans.registry import query
 from stackyard.tables import load
 
+# ZooKeeper's client port and its peer and election ports, the
+# usual suffixes of a quorum connect string and of a server list line.
+CLIENT_PORT = ":2181"
+PEER_PORTS = ":2888:3888"
+
 
 @query("o1_split_explode", "O1", sql="""
 SELECT p_partkey, unnest(string_split(p_name, ' ')) AS token FROM part
@@ -39,7 +44,7 @@ def o3_ordinal_ids(spark, sf):
                   out="server_id")
     return ids.select("s_nationkey", "s_suppkey", "server_id",
                       F.concat(F.lit("server."), F.col("server_id").cast("string"), F.lit("="),
-                               "s_name", F.lit(":2888:3888")).alias("server_line"))
+                               "s_name", F.lit(PEER_PORTS)).alias("server_line"))
 
 
 @query("o8_first_in_listing", "O8", sql="""
@@ -59,7 +64,7 @@ def a1_ordered_concat(spark, sf):
     nat = load(spark, sf, "nation")
     reg = load(spark, sf, "region")
     j = nat.join(reg, nat.n_regionkey == reg.r_regionkey)
-    return A.ordered_concat(j, ["r_regionkey", "r_name"], F.concat("n_name", F.lit(":2181")),
+    return A.ordered_concat(j, ["r_regionkey", "r_name"], F.concat("n_name", F.lit(CLIENT_PORT)),
                             ["n_nationkey"], ",", out="quorum")
 
 
