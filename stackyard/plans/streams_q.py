@@ -10,13 +10,13 @@ against a brute-force model in the tests.
 
 from pyspark.sql import functions as F
 
-from stackyard.operators.aggregates import last_per_key
 from stackyard.operators.sessions import sessionize
 from stackyard.plans.registry import query
 from stackyard.session import scratch_path
 from stackyard.streaming import events as EV
-from stackyard.streaming.sinks import ingest_logs, read_upserted, upsert_batch
-from stackyard.streaming.state import running_state
+from stackyard.streaming.sinks import (append_updates, ingest_logs, read_latest, read_upserted,
+                                      upsert_batch)
+from stackyard.streaming.state import running_state, running_totals
 from stackyard.tables import load
 
 N_FILES = 4
@@ -99,15 +99,14 @@ FROM events GROUP BY 1, 2, 3
 """)
 def r1_tumbling_count_stream(spark, sf):
     src, schema = event_files(spark, sf)
-    table, staging = scratch_path(spark, "r1-table"), scratch_path(spark, "r1-stage")
+    log = scratch_path(spark, "r1-log")
     agg = EV.windowed(read_stream(spark, src, schema), "ts", "tumbling:1 hour", ["event_type"],
                       HOURLY_AGGS(), delay="1 hour")
     # update mode: each batch emits the windows it changed; window state is
-    # dropped once the watermark passes; the sink keeps the newest per window
-    fn = upsert_batch(table, staging, ["window_start", "event_type"], buckets=8)
-    run_available_now(agg.writeStream.foreachBatch(fn).outputMode("update"),
+    # dropped once the watermark passes; the newest version per window wins
+    run_available_now(agg.writeStream.foreachBatch(append_updates(log)).outputMode("update"),
                       scratch_path(spark, "r1-ckpt"))
-    return read_upserted(spark, table)
+    return read_latest(spark, log, ["window_start", "event_type"])
 
 
 @query("r2_sliding_avg", "R2", sql="""
@@ -241,17 +240,26 @@ FROM events GROUP BY user_id
 """)
 def r7_running_state(spark, sf):
     src, schema = event_files(spark, sf)
-    out = scratch_path(spark, "r7-out")
+    log = scratch_path(spark, "r7-log")
     st = running_state(read_stream(spark, src, schema), "user_id", "ts", "event_id", "value")
+    run_available_now(st.writeStream.foreachBatch(append_updates(log)).outputMode("update"),
+                      scratch_path(spark, "r7-ckpt"))
+    return read_latest(spark, log, ["key"]).withColumn("value_sum", F.round("value_sum", 2))
 
-    def keep(batch, batch_id):
-        batch.withColumn("batch_id", F.lit(batch_id)).write.mode("append").parquet(out)
 
-    run_available_now(st.writeStream.foreachBatch(keep).outputMode("update"),
-                      scratch_path(spark, "r7-ckpt"))
-    final = last_per_key(spark.read.parquet(out), ["key"], ["batch_id"],
-                         ["n_events", "value_sum", "last_event_id", "last_ts"])
-    return final.withColumn("value_sum", F.round("value_sum", 2))
+@query("r7_running_totals", "R7", sql="""
+SELECT user_id AS key, COUNT(*) AS n_events, round(SUM(value), 2) AS value_sum,
+       arg_max(event_id, (ts, event_id)) AS last_event_id, MAX(ts) AS last_ts
+FROM events GROUP BY user_id
+""")
+def r7_running_totals(spark, sf):
+    src, schema = event_files(spark, sf)
+    log = scratch_path(spark, "r7t-log")
+    totals = running_totals(read_stream(spark, src, schema), "user_id", "ts", "event_id", "value")
+    # update mode: changed keys per batch; the newest version per key wins
+    run_available_now(totals.writeStream.foreachBatch(append_updates(log)).outputMode("update"),
+                      scratch_path(spark, "r7t-ckpt"))
+    return read_latest(spark, log, ["key"]).withColumn("value_sum", F.round("value_sum", 2))
 
 
 @query("r8_stream_upsert", "R8", sql="""

@@ -87,7 +87,9 @@ def dedup_events(df: DataFrame, id_col: str, ts: str, delay: str = "1 day") -> D
 
 def late_count(progress: Sequence[dict]) -> int:
     """Rows dropped as late by stateful operators, summed over the
-    query's ``recentProgress`` (``numRowsDroppedByWatermark``)."""
+    query's ``recentProgress`` (``numRowsDroppedByWatermark``).  Spark
+    counts rows as they reach the state store, after map-side partial
+    aggregation, so late input rows of one window and key may count once."""
     total = 0
     for p in progress:
         for op in p.get("stateOperators", []) or []:

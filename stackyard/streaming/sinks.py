@@ -83,3 +83,22 @@ def upsert_batch(path: str, staging: str, keys: Sequence[str], order: Sequence[s
 
 def read_upserted(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path).drop("_bucket", "_batch_id")
+
+
+def append_updates(path: str) -> Callable[[DataFrame, int], None]:
+    """A ``foreachBatch`` function for update-mode aggregates: append each
+    micro-batch's changed rows with its batch id (one write per batch; a
+    replayed batch rewrites its own ``_batch_id`` folder, so it is
+    idempotent).  Read with ``read_latest``."""
+    def apply(batch: DataFrame, batch_id: int) -> None:
+        (batch.withColumn("_batch_id", F.lit(batch_id).cast("long")).write.mode("overwrite")
+         .parquet(f"{path.rstrip('/')}/_batch_id={batch_id}"))
+    return apply
+
+
+def read_latest(spark: SparkSession, path: str, keys: Sequence[str]) -> DataFrame:
+    """The newest version of every key in an ``append_updates`` log: a
+    ``max_by`` on the batch id, combined map-side."""
+    log = spark.read.parquet(path)
+    cols = [c for c in log.columns if c not in (*keys, "_batch_id")]
+    return last_per_key(log, list(keys), ["_batch_id"], cols)
