@@ -184,28 +184,28 @@ def _with_slice(df: DataFrame, spec, n: int, out: str = "_rp",
         if not bounds:
             return df.withColumn(out, F.lit(0))
         return df.withColumn(out, F.expr(_tree(spec, types, bounds, 0, len(bounds))).cast("int"))
-    sample = (df.select(key.alias("_k"), *names)
-              .orderBy(F.xxhash64(*names), *names).limit(per_slice * n).select("_k"))
-    whole = Window.orderBy("_k").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    ranked = sample.select("_k", F.row_number().over(Window.orderBy("_k")).alias("_i"),
-                           F.count(F.lit(1)).over(whole).alias("_c"))
-    quantile = F.floor((F.col("_i") - 1) * n / F.col("_c"))
-    bounds = (ranked.where(quantile >= 1).groupBy(quantile.alias("_q"))
-              .agg(F.min("_k").alias("_b"))
-              .agg(F.array_distinct(F.sort_array(F.collect_list("_b"))).alias("_bounds")))
+    sample = (df.select(key.alias("__sy_k"), *names)
+              .orderBy(F.xxhash64(*names), *names).limit(per_slice * n).select("__sy_k"))
+    whole = Window.orderBy("__sy_k").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    ranked = sample.select("__sy_k", F.row_number().over(Window.orderBy("__sy_k")).alias("__sy_i"),
+                           F.count(F.lit(1)).over(whole).alias("__sy_c"))
+    quantile = F.floor((F.col("__sy_i") - 1) * n / F.col("__sy_c"))
+    bounds = (ranked.where(quantile >= 1).groupBy(quantile.alias("__sy_q"))
+              .agg(F.min("__sy_k").alias("__sy_b"))
+              .agg(F.array_distinct(F.sort_array(F.collect_list("__sy_b"))).alias("__sy_bounds")))
     steps = n.bit_length() + 1
     mid = "CAST((acc.lo + acc.hi) div 2 AS INT)"
-    search = (f"aggregate(sequence(1, {steps}), named_struct('lo', 0, 'hi', size(_bounds)), "
+    search = (f"aggregate(sequence(1, {steps}), named_struct('lo', 0, 'hi', size(__sy_bounds)), "
               f"(acc, i) -> CASE WHEN acc.lo >= acc.hi THEN acc "
-              f"WHEN _key < element_at(_bounds, {mid} + 1) "
+              f"WHEN __sy_key < element_at(__sy_bounds, {mid} + 1) "
               f"THEN named_struct('lo', acc.lo, 'hi', {mid}) "
               f"ELSE named_struct('lo', {mid} + 1, 'hi', acc.hi) END, "
               f"acc -> acc.lo)")
-    return (df.withColumn("_key", key)
-            .withColumn("_bounds", F.coalesce(bounds.scalar(), F.array().cast(
-                T.ArrayType(sample.schema["_k"].dataType))))
+    return (df.withColumn("__sy_key", key)
+            .withColumn("__sy_bounds", F.coalesce(bounds.scalar(), F.array().cast(
+                T.ArrayType(sample.schema["__sy_k"].dataType))))
             .withColumn(out, F.expr(search).cast("int"))
-            .drop("_key", "_bounds"))
+            .drop("__sy_key", "__sy_bounds"))
 
 
 def _positions(df: DataFrame, keys: list[str], order, sums: Sequence[str] = (),

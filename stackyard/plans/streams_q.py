@@ -15,7 +15,7 @@ from stackyard.plans.registry import query
 from stackyard.session import scratch_path
 from stackyard.streaming import events as EV
 from stackyard.streaming.sinks import (append_updates, ingest_logs, read_latest, read_upserted,
-                                      upsert_batch)
+                                      start_available_now, upsert_batch)
 from stackyard.streaming.state import running_state, running_totals
 from stackyard.tables import load
 
@@ -58,12 +58,8 @@ def read_stream(spark, root, schema, fmt="parquet"):
     return r.options(**JSON_TIME).json(root) if fmt == "json" else r.parquet(root)
 
 
-def run_available_now(writer, ckpt):
-    q = writer.option("checkpointLocation", ckpt).trigger(availableNow=True).start()
-    q.awaitTermination()
-    if q.exception():
-        raise q.exception()
-    return q
+def run_available_now(spark, writer, ckpt):
+    return start_available_now(spark, writer, ckpt)
 
 
 @query("io11_ingest_logs", "IO11", sql="""
@@ -104,7 +100,7 @@ def r1_tumbling_count_stream(spark, sf):
                       HOURLY_AGGS(), delay="1 hour")
     # update mode: each batch emits the windows it changed; window state is
     # dropped once the watermark passes; the newest version per window wins
-    run_available_now(agg.writeStream.foreachBatch(append_updates(log)).outputMode("update"),
+    run_available_now(spark, agg.writeStream.foreachBatch(append_updates(log)).outputMode("update"),
                       scratch_path(spark, "r1-ckpt"))
     return read_latest(spark, log, ["window_start", "event_type"])
 
@@ -165,7 +161,7 @@ def r3_session_window_stream(spark, sf):
     # append mode: a session is written once, when the watermark (max event
     # time minus one hour) passes its end; sessions still open stay in state
     out = scratch_path(spark, "r3-out")
-    run_available_now(sess.writeStream.format("parquet").option("path", out)
+    run_available_now(spark, sess.writeStream.format("parquet").option("path", out)
                       .outputMode("append"), scratch_path(spark, "r3-ckpt"))
     return spark.read.parquet(out)
 
@@ -184,7 +180,7 @@ def r4_late_rows_dropped(spark, sf):
     out = scratch_path(spark, "r4-out")
     agg = EV.windowed(read_stream(spark, src, schema), "ts", "tumbling:1 hour", ["event_type"],
                       [F.count(F.lit(1)).alias("n_events")], delay="1 hour")
-    run_available_now(agg.writeStream.format("parquet").option("path", out).outputMode("append"),
+    run_available_now(spark, agg.writeStream.format("parquet").option("path", out).outputMode("append"),
                       scratch_path(spark, "r4-ckpt"))
     return spark.read.parquet(out)
 
@@ -201,7 +197,7 @@ def r5_dedup_stream(spark, sf):
     src, schema = event_files(spark, sf, extra=_repeats)
     out = scratch_path(spark, "r5-out")
     d = EV.dedup_events(read_stream(spark, src, schema), "event_id", "ts", delay="40 days")
-    run_available_now(d.writeStream.format("parquet").option("path", out).outputMode("append"),
+    run_available_now(spark, d.writeStream.format("parquet").option("path", out).outputMode("append"),
                       scratch_path(spark, "r5-ckpt"))
     return spark.read.parquet(out)
 
@@ -227,7 +223,7 @@ def r6_enrich_stream(spark, sf):
                                               "c_mktsegment")
     s = read_stream(spark, src, schema).select("event_id", "event_type", "user_id")
     out = scratch_path(spark, "r6-out")
-    run_available_now(EV.enrich(s, cust, "user_id", "left").drop("user_id").writeStream
+    run_available_now(spark, EV.enrich(s, cust, "user_id", "left").drop("user_id").writeStream
                       .format("parquet").option("path", out).outputMode("append"),
                       scratch_path(spark, "r6-ckpt"))
     return spark.read.parquet(out)
@@ -242,7 +238,7 @@ def r7_running_state(spark, sf):
     src, schema = event_files(spark, sf)
     log = scratch_path(spark, "r7-log")
     st = running_state(read_stream(spark, src, schema), "user_id", "ts", "event_id", "value")
-    run_available_now(st.writeStream.foreachBatch(append_updates(log)).outputMode("update"),
+    run_available_now(spark, st.writeStream.foreachBatch(append_updates(log)).outputMode("update"),
                       scratch_path(spark, "r7-ckpt"))
     return read_latest(spark, log, ["key"]).withColumn("value_sum", F.round("value_sum", 2))
 
@@ -257,7 +253,7 @@ def r7_running_totals(spark, sf):
     log = scratch_path(spark, "r7t-log")
     totals = running_totals(read_stream(spark, src, schema), "user_id", "ts", "event_id", "value")
     # update mode: changed keys per batch; the newest version per key wins
-    run_available_now(totals.writeStream.foreachBatch(append_updates(log)).outputMode("update"),
+    run_available_now(spark, totals.writeStream.foreachBatch(append_updates(log)).outputMode("update"),
                       scratch_path(spark, "r7t-ckpt"))
     return read_latest(spark, log, ["key"]).withColumn("value_sum", F.round("value_sum", 2))
 
@@ -271,7 +267,7 @@ def r8_stream_upsert(spark, sf):
     src, schema = event_files(spark, sf)
     table, staging = scratch_path(spark, "r8-table"), scratch_path(spark, "r8-stage")
     fn = upsert_batch(table, staging, ["user_id"], ["ts", "event_id"], buckets=16)
-    run_available_now(read_stream(spark, src, schema).writeStream.foreachBatch(fn),
+    run_available_now(spark, read_stream(spark, src, schema).writeStream.foreachBatch(fn),
                       scratch_path(spark, "r8-ckpt"))
     return read_upserted(spark, table).select(*EVENT_COLS)
 
@@ -307,6 +303,6 @@ def r9_interval_join_stream(spark, sf):
         "user_id", F.col("event_id").alias("purchase_id"), F.col("ts").alias("buy_ts"))
     j = EV.interval_join(views, buys, "user_id", "view_ts", "buy_ts", "1 hour", delay="2 hours")
     out = scratch_path(spark, "r9-out")
-    run_available_now(j.select("user_id", "view_id", "purchase_id").writeStream.format("parquet")
+    run_available_now(spark, j.select("user_id", "view_id", "purchase_id").writeStream.format("parquet")
                       .option("path", out).outputMode("append"), scratch_path(spark, "r9-ckpt"))
     return spark.read.parquet(out)

@@ -102,3 +102,27 @@ def read_latest(spark: SparkSession, path: str, keys: Sequence[str]) -> DataFram
     log = spark.read.parquet(path)
     cols = [c for c in log.columns if c not in (*keys, "_batch_id")]
     return last_per_key(log, list(keys), ["_batch_id"], cols)
+
+
+def start_available_now(spark: SparkSession, writer, checkpoint: str,
+                        state_partitions: int | None = None):
+    """Start ``writer`` with ``availableNow`` and wait for it.
+
+    The number of state partitions of a stateful stream is fixed by
+    ``spark.sql.shuffle.partitions`` when the query first starts (then kept
+    in the checkpoint).  It is set for the start only, by default to the
+    cluster's parallelism (total executor cores), and the session value is
+    restored right after; the stream runs on a copy of the session conf.
+    """
+    n = state_partitions or spark.sparkContext.defaultParallelism
+    key = "spark.sql.shuffle.partitions"
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(n))
+    try:
+        q = writer.option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    finally:
+        spark.conf.set(key, before)
+    q.awaitTermination()
+    if q.exception():
+        raise q.exception()
+    return q

@@ -62,7 +62,8 @@ def test_top_n_is_limited_before_the_shuffle(skewed):
     assert df.count() == 3 * skewed.select("k").distinct().count()
 
 
-def test_asof_join_matches_merge_asof(spark):
+@pytest.mark.parametrize("slices", [12, 300])  # compiled tree and array search
+def test_asof_join_matches_merge_asof(spark, slices):
     ev = spark.read.parquet(f"{SMALL}/events.parquet")
     buys = ev.where("event_type = 'purchase'").select(F.col("event_id").alias("pid"), "user_id", "ts")
     views = ev.where("event_type = 'view'").select("user_id", F.col("event_id").alias("vid"),
@@ -71,7 +72,7 @@ def test_asof_join_matches_merge_asof(spark):
     hot = lambda df, c: df.withColumn("user_id", F.when(F.col(c) % 4 == 0, F.lit(3)).otherwise(F.col("user_id")))
     buys, views = hot(buys, "pid"), hot(views, "vid")
     got = {r.pid: r.vid for r in asof_join(buys, views, "user_id", "ts", "vts", ["vid", "vts"],
-                                           "vid", partitions=12).collect()}
+                                           "vid", partitions=slices).collect()}
     b = buys.toPandas().sort_values("ts")
     v = views.toPandas().sort_values("vts")
     m = pd.merge_asof(b, v, left_on="ts", right_on="vts", by="user_id", direction="backward")
@@ -146,14 +147,15 @@ def test_telemetry_percentiles_are_sketches(spark):
     assert r.where("p50 < v_min OR p50 > v_max").count() == 0
 
 
-def test_sessionize_matches_session_window_with_a_hot_user(spark):
+@pytest.mark.parametrize("slices", [8, 300])
+def test_sessionize_matches_session_window_with_a_hot_user(spark, slices):
     from stackyard.operators.sessions import sessionize
     from stackyard.streaming.events import windowed
     ev = spark.read.parquet(f"{SMALL}/events.parquet")
     # make user 7 own a third of all events
     hot = ev.withColumn("user_id", F.when(F.col("event_id") % 3 == 0, F.lit(7)).otherwise(F.col("user_id")))
     got = sessionize(hot, "user_id", "ts", "30 minutes", "event_id",
-                     [F.count(F.lit(1)).alias("n")], partitions=8)
+                     [F.count(F.lit(1)).alias("n")], partitions=slices)
     exp = windowed(hot, "ts", "session:30 minutes", ["user_id"], [F.count(F.lit(1)).alias("n")])
     key = lambda df: sorted(tuple(r) for r in df.select("user_id", "window_start", "window_end", "n").collect())
     assert key(got) == key(exp)

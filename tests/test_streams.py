@@ -25,7 +25,7 @@ def test_stream_window_equals_batch(spark):
     agg = EV.windowed(SQ.read_stream(spark, src, schema), "ts", "tumbling:1 hour", ["event_type"],
                       [F.count(F.lit(1)).alias("n")], delay="1 hour")
     fn = upsert_batch(table, stage, ["window_start", "event_type"], buckets=4)
-    SQ.run_available_now(agg.writeStream.foreachBatch(fn).outputMode("update"),
+    SQ.run_available_now(spark, agg.writeStream.foreachBatch(fn).outputMode("update"),
                          scratch_path(spark, "t-win-ckpt"))
     assert _rows(read_upserted(spark, table).select(*batch.columns)) == _rows(batch)
 
