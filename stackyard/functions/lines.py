@@ -78,3 +78,37 @@ def unlines(line_rows: DataFrame, id_col: str, line_col: str = "line",
     return (line_rows.groupBy(id_col)
             .agg(F.sort_array(F.collect_list(F.struct(order_col, line_col))).alias("_l"))
             .select(id_col, join_lines(F.col("_l")[line_col]).alias(out_col)))
+
+
+# Row form of the edits, on ``lines`` output.  A document's lines come from
+# one text value, so a window per document is bounded by that value.
+
+def comment_out(line_rows: DataFrame, pattern: str, marker: str = "#",
+                line_col: str = "line") -> DataFrame:
+    """O7 on line rows."""
+    ln = F.col(line_col)
+    return line_rows.withColumn(line_col, F.when(ln.rlike(pattern), F.concat(F.lit(marker), ln))
+                                .otherwise(ln))
+
+
+def drop_after(line_rows: DataFrame, pattern: str, id_col: str, line_col: str = "line",
+               order_col: str = "line_no") -> DataFrame:
+    """O6 on line rows: drop each line whose previous line matches."""
+    from pyspark.sql import Window
+    prev = F.lag(line_col).over(Window.partitionBy(id_col).orderBy(order_col))
+    return (line_rows.withColumn("_prev", prev)
+            .where(F.col("_prev").isNull() | ~F.col("_prev").rlike(pattern)).drop("_prev"))
+
+
+def insert_after(line_rows: DataFrame, pattern: str, new_line: str, id_col: str,
+                 line_col: str = "line", order_col: str = "line_no") -> DataFrame:
+    """O5 on line rows: a new line after each match; ``line_no`` is
+    renumbered 1.. per document."""
+    from pyspark.sql import Window
+    ln = F.col(line_col)
+    grown = line_rows.select(
+        "*", F.posexplode(F.when(ln.rlike(pattern), F.array(ln, F.lit(new_line)))
+                          .otherwise(F.array(ln))).alias("_sub", "_new"))
+    w = Window.partitionBy(id_col).orderBy(order_col, "_sub")
+    return (grown.withColumn(order_col, F.row_number().over(w))
+            .withColumn(line_col, F.col("_new")).drop("_sub", "_new"))

@@ -171,3 +171,18 @@ def test_ordinal_with_descending_text_and_timestamps(spark, slices):
         w = Window.partitionBy("user_id").orderBy(*cols)
         exp = {r.event_id: r.o for r in ev.select("event_id", (F.row_number().over(w) - 1).alias("o")).collect()}
         assert got == exp
+
+
+def test_line_row_edits_match_text_edits(spark):
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet").select("doc_id", "text")
+    pat = "(?i)licen[cs]e"
+    rows = L.lines(docs, "doc_id", "text")
+    cases = [
+        (L.comment_out(rows, pat), L.comment_out_text("text", pat)),
+        (L.drop_after(rows, pat, "doc_id"), L.drop_after_text("text", pat)),
+        (L.insert_after(rows, pat, "Reviewed", "doc_id"), L.insert_after_text("text", pat, "Reviewed")),
+    ]
+    for row_form, text_form in cases:
+        back = L.unlines(row_form, "doc_id")
+        exp = docs.select("doc_id", text_form.alias("text"))
+        assert back.exceptAll(exp).count() == 0 and exp.exceptAll(back).count() == 0
