@@ -19,7 +19,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from stackyard.operators.ordinal import _with_slice
+from stackyard.operators.ordinal import with_slice
 
 
 def asof_join(left: DataFrame, right: DataFrame, key: str, left_ts: str, right_ts: str,
@@ -41,7 +41,7 @@ def asof_join(left: DataFrame, right: DataFrame, key: str, left_ts: str, right_t
                       F.lit(None).cast(r.schema["_r"].dataType).alias("_r"), lstruct.alias("_l"))
     r = r.withColumn("_l", F.lit(None).cast(lft.schema["_l"].dataType))
     # rights sort before lefts at equal time: "at or before"
-    u = _with_slice(r.unionByName(lft), [("_k", False), ("_t", False), ("_side", False),
+    u = with_slice(r.unionByName(lft), [("_k", False), ("_t", False), ("_side", False),
                                          ("_tb", False)], n)
 
     w_in = (Window.partitionBy("_rp", "_k").orderBy("_t", "_side", "_tb")

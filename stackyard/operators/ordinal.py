@@ -157,7 +157,7 @@ def _ascending_key(spec, types) -> Column | None:
     return F.struct(*fields)
 
 
-def _with_slice(df: DataFrame, spec, n: int, out: str = "_rp",
+def with_slice(df: DataFrame, spec, n: int, out: str = "_rp",
                 per_slice: int = 20) -> DataFrame:
     """``df`` plus a deterministic range slice id (0..n-1) of (key, order).
 
@@ -223,7 +223,7 @@ def _positions(df: DataFrame, keys: list[str], order, sums: Sequence[str] = (),
     spark = df.sparkSession
     n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     spec = [(k, False) for k in keys] + _spec(order)
-    sliced = _with_slice(df, spec, n)
+    sliced = with_slice(df, spec, n)
     w = Window.partitionBy("_rp", *keys).orderBy(*_sort_cols(_spec(order)))
     local = sliced.withColumn("_local", F.row_number().over(w))
     for c in sums:
