@@ -38,13 +38,11 @@ def sessionize(df: DataFrame, key: str, ts: str, gap: str, tiebreak: str,
     local = local.withColumn("_ls", F.sum("_brk").over(
         w.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
     # one row per (slice, key): first and last event time, local session count
-    per_slice = sliced.groupBy("_rp", key).agg(F.min(ts).alias("_first"),
-                                               F.max(ts).alias("_last"))
+    per_slice = local.groupBy("_rp", key).agg(F.min(ts).alias("_first"), F.max(ts).alias("_last"),
+                                              F.max("_ls").alias("_s"))
     spans = per_slice.withColumn("_nsl", F.count(F.lit(1)).over(Window.partitionBy(key))) \
         .where("_nsl > 1")
     by_slice = Window.partitionBy(key).orderBy("_rp")
-    counts = local.groupBy("_rp", key).agg(F.max("_ls").alias("_s"))
-    spans = spans.join(counts, ["_rp", key])
     cont = F.when(F.lag("_last").over(by_slice).isNotNull()
                   & (F.col("_first") < F.lag("_last").over(by_slice) + gap_iv), 1).otherwise(0)
     before = Window.partitionBy(key).orderBy("_rp").rowsBetween(Window.unboundedPreceding, -1)
