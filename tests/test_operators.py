@@ -186,3 +186,21 @@ def test_line_row_edits_match_text_edits(spark):
         back = L.unlines(row_form, "doc_id")
         exp = docs.select("doc_id", text_form.alias("text"))
         assert back.exceptAll(exp).count() == 0 and exp.exceptAll(back).count() == 0
+
+
+def test_hot_key_is_split_and_offsets_are_bounded(skewed):
+    """The hot key (40% of rows) spans several slices, and the table of keys
+    crossing a slice boundary has at most two rows per slice."""
+    from stackyard.operators.ordinal import with_slice
+    n = 16
+    sliced = with_slice(skewed, [("k", False), ("v", False), ("id", False)], n)
+    counts = sliced.groupBy("_rp", "k").agg(F.count(F.lit(1)).alias("c"))
+    assert counts.where("k = 0").count() >= n // 4          # split, not one task
+    biggest = counts.agg(F.max("c")).first()[0]
+    assert biggest <= 2 * skewed.count() / n               # no slice far above its share
+    crossing = counts.groupBy("k").agg(F.count(F.lit(1)).alias("ns")).where("ns > 1")
+    assert counts.join(crossing, "k").count() <= 2 * n      # the broadcast bound
+    # deterministic: the same rows get the same slices on every evaluation
+    a = {r.id: r._rp for r in sliced.select("id", "_rp").collect()}
+    b = {r.id: r._rp for r in sliced.select("id", "_rp").collect()}
+    assert a == b
