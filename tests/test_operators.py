@@ -204,3 +204,10 @@ def test_hot_key_is_split_and_offsets_are_bounded(skewed):
     a = {r.id: r._rp for r in sliced.select("id", "_rp").collect()}
     b = {r.id: r._rp for r in sliced.select("id", "_rp").collect()}
     assert a == b
+
+
+def test_broadcast_hint_only_below_the_bound(spark):
+    nat = spark.read.parquet(f"{SMALL}/nation.parquet")
+    hinted = J.broadcast_if_small(nat, 25)._jdf.queryExecution().analyzed().toString()
+    plain = J.broadcast_if_small(nat, 24)._jdf.queryExecution().analyzed().toString()
+    assert "broadcast" in hinted.lower() and "broadcast" not in plain.lower()
