@@ -100,3 +100,16 @@ def member_of(node: ColumnOrName, csv_list: ColumnOrName, sep: str = ",") -> Col
     """exact membership of ``node`` in a separated list (``node1`` is not a
     member of ``node10,node2``; the substring hit of a regex is fixed)."""
     return F.array_contains(F.split(_c(csv_list), literal_pattern(sep)), _c(node))
+
+
+def exact_avg(total: ColumnOrName, count: ColumnOrName, scale: int = 2, digits: int = 6) -> Column:
+    """Average of non-negative values with ``scale`` decimals, rounded half
+    up to ``digits`` decimals in integer arithmetic: the sum is taken in
+    whole units of ``10**-scale`` first.  Engines that sum doubles in a
+    different order then still agree, even when the average falls exactly
+    on a rounding tie."""
+    units = F.round(_c(total) * (10 ** scale)).cast("long")
+    n = _c(count).cast("long")
+    shift = 10 ** (digits - scale)
+    half_up = F.floor((units * (2 * shift) + n) / (n * 2))  # exact: both sides are integers
+    return (half_up / F.lit(10 ** digits)).cast("double")

@@ -80,7 +80,7 @@ def telemetry_rollup(df: DataFrame, keys: Sequence[str], ts: str, value: str,
     every value of a group in one task.
     """
     aggs = [F.count(F.lit(1)).alias("n"), F.min(value).alias("v_min"),
-            F.max(value).alias("v_max"), F.avg(value).alias("v_avg")]
+            F.max(value).alias("v_max"), F.avg(value).alias("v_avg"), F.sum(value).alias("v_sum")]
     for p in percentiles:
         aggs.append(F.percentile_approx(value, p, accuracy).alias(f"p{int(round(p * 100)):02d}"))
     return (df.groupBy(F.window(ts, width).start.alias("window_start"), *keys).agg(*aggs))

@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from stackyard.functions.strings import exact_avg
 from stackyard.operators import aggregates as A
 from stackyard.operators.ordinal import desc, ordinal
 from stackyard.plans.registry import query
@@ -131,11 +132,14 @@ def a7_status_report(spark, sf):
 
 @query("a8_telemetry_rollup", "A8", sql="""
 SELECT date_trunc('hour', ts) AS window_start, event_type, COUNT(*) AS n,
-       MIN(value) AS v_min, MAX(value) AS v_max, round(AVG(value), 6) AS v_avg,
+       MIN(value) AS v_min, MAX(value) AS v_max,
+       floor((2 * CAST(round(SUM(value) * 100) AS BIGINT) * 10000 + COUNT(*)) / (2 * COUNT(*)))
+         / 1000000 AS v_avg,
        list_sort(list(value))[CAST(greatest(1, ceil(0.5 * COUNT(*))) AS BIGINT)] AS p50,
        list_sort(list(value))[CAST(greatest(1, ceil(0.95 * COUNT(*))) AS BIGINT)] AS p95
 FROM events GROUP BY 1, 2
 """)
 def a8_telemetry_rollup(spark, sf):
     r = A.telemetry_rollup(load(spark, sf, "events"), ["event_type"], "ts", "value", "1 hour")
-    return r.withColumn("v_avg", F.round("v_avg", 6))
+    # average rounded half up to 6 decimals exactly (values have 2 decimals)
+    return r.withColumn("v_avg", exact_avg("v_sum", "n")).drop("v_sum")

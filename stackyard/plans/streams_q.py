@@ -10,6 +10,7 @@ against a brute-force model in the tests.
 
 from pyspark.sql import functions as F
 
+from stackyard.functions.strings import exact_avg
 from stackyard.operators.sessions import sessionize
 from stackyard.plans.registry import query
 from stackyard.session import scratch_path
@@ -110,13 +111,16 @@ WITH b AS (SELECT event_type, value,
                   time_bucket(INTERVAL '15 minutes', ts) - k * INTERVAL '15 minutes' AS ws
            FROM events, (SELECT unnest(generate_series(0, 3)) AS k))
 SELECT ws AS window_start, ws + INTERVAL 1 HOUR AS window_end, event_type,
-       COUNT(*) AS n_events, round(AVG(value), 6) AS value_avg
+       COUNT(*) AS n_events,
+       floor((2 * CAST(round(SUM(value) * 100) AS BIGINT) * 10000 + COUNT(*)) / (2 * COUNT(*)))
+         / 1000000 AS value_avg
 FROM b GROUP BY 1, 2, 3
 """)
 def r2_sliding_avg(spark, sf):
-    return EV.windowed(load(spark, sf, "events"), "ts", "sliding:1 hour/15 minutes", ["event_type"],
-                       [F.count(F.lit(1)).alias("n_events"),
-                        F.round(F.avg("value"), 6).alias("value_avg")])
+    w = EV.windowed(load(spark, sf, "events"), "ts", "sliding:1 hour/15 minutes", ["event_type"],
+                    [F.count(F.lit(1)).alias("n_events"), F.sum("value").alias("_sum")])
+    # average rounded half up to 6 decimals exactly (values have 2 decimals)
+    return w.withColumn("value_avg", exact_avg("_sum", "n_events")).drop("_sum")
 
 
 @query("r3_session_window", "R3", sql="""
