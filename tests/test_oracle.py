@@ -1,5 +1,7 @@
 """Every registered query against its DuckDB oracle on the smallest tables."""
 
+import re
+
 import pytest
 
 from helpers import rows_of
@@ -13,7 +15,8 @@ QUERIES = E.queries()
 
 def test_every_query_has_an_oracle_or_a_reason():
     rows_only = {"r4_late_rows_dropped", "s8_approx_count_distinct"}  # see README
-    assert set(QUERIES) - set(SQL) == rows_only
+    library = {n for n in QUERIES if n != "pipeline" and not re.match(r"op\d+_", n)}
+    assert library - set(SQL) == rows_only
 
 
 def test_entry_runs(spark):
