@@ -7,15 +7,20 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from stackyard.llm.exact_dedup import exact_dedup
+from stackyard.llm.minmax_dedup import near_duplicates
 from stackyard.tables import load
 
 
+def op1_minmax_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(load(spark, sf_dir, "documents"))
+
+
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(load(spark, sf_dir, "documents"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op6_exact_dedup,)}
+    f.__name__: f for f in (op1_minmax_dedup, op6_exact_dedup)}
 
 ORACLES: dict[str, str] = {
     "op6_exact_dedup": """
