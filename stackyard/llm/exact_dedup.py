@@ -101,8 +101,9 @@ def identities(rows: DataFrame, block_bytes: int = BLOCK_BYTES, seeds: int = 8)
 
 def _grouped(rows: DataFrame, block_bytes: int) -> DataFrame:
     ids = saved(identities(rows, block_bytes), "identities")
-    groups = ids.groupBy("n_blocks", "name").agg(
-        F.max(F.struct("id", "rid")).alias("keeper"), F.count(F.lit(1)).alias("group_size"))
+    # written, so that the join below is a plain one, which AQE splits on a large group
+    groups = saved(ids.groupBy("n_blocks", "name").agg(
+        F.max(F.struct("id", "rid")).alias("keeper"), F.count(F.lit(1)).alias("group_size")), "groups")
     return ids.join(groups, ["n_blocks", "name"]).select(
         "rid", "id", F.col("keeper.id").alias("keep_id"), "group_size",
         (F.col("rid") == F.col("keeper.rid")).alias("kept"), F.col("sha").alias("text_sha256"))

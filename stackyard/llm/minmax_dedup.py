@@ -174,6 +174,9 @@ def _across(unsettled: DataFrame, percent: int) -> DataFrame:
 def _class_roots(classes: DataFrame, rows: DataFrame, width: int, percent: int,
                  levels: int) -> DataFrame:
     buckets = _buckets(classes)
+    # the one join that moves texts of the whole table; later ones read this part
+    rows = saved(rows.select("rid", "text").join(
+        buckets.select(F.col("node").alias("rid")).distinct(), "rid", "left_semi"), "candidates")
     star = (buckets.filter("node != pivot")
             .filter(_size_can_do(F.col("n"), F.col("pivot_n"), percent))
             .select(F.col("node").alias("a"), F.col("pivot").alias("b")).distinct())
