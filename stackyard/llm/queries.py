@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from stackyard.llm.exact_dedup import exact_dedup
 from stackyard.llm.minmax_dedup import near_duplicates
+from stackyard.llm.toxicity import toxicity
 from stackyard.tables import load
 
 
@@ -19,8 +20,12 @@ def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(load(spark, sf_dir, "documents"))
 
 
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity(load(spark, sf_dir, "documents"), load(spark, sf_dir, "labels"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_minmax_dedup, op6_exact_dedup)}
+    f.__name__: f for f in (op1_minmax_dedup, op6_exact_dedup, op8_toxicity)}
 
 ORACLES: dict[str, str] = {
     "op6_exact_dedup": """
