@@ -12,13 +12,17 @@ to a band: 32 bands.  A pair of similarity J shares no band with probability
    pairs that cannot reach the threshold by size are left out, and the rest
    are confirmed on full shingle sets.  Links are contracted to components.
 3. Members of a bucket that are then still in different components are
-   compared with each other.  Pairs known to be connected are never formed,
-   which is what keeps a bucket of thousands of near copies linear.  A bucket
-   that still holds many components is first divided by bands of further
-   permutations, so that only members alike beyond the shared band meet.
-
-No bucket is collected or cut.  Hot buckets are aggregated in the map tasks;
-joins on them are plain sort-merge joins that AQE splits.
+   compared with each other, across components only.  Pairs known to be
+   connected are never compared, which is what keeps a bucket of thousands of
+   near copies linear.  A bucket of up to ``CROWD`` such members is compared in
+   one group, so that each text travels once per bucket and not per pair;
+   buckets of the same members count once.  A larger one is first divided by
+   bands of further permutations, so that only members alike beyond the shared
+   band meet; what stays large after ``levels`` divisions goes through a join
+   on the bucket.
+
+No unbounded bucket is collected and none is cut.  Hot buckets are aggregated
+in the map tasks; joins on them are plain sort-merge joins that AQE splits.
 """
 
 from __future__ import annotations
@@ -93,7 +97,6 @@ def _signed(rows: DataFrame, width: int, bands: int, seed: int) -> DataFrame:
 
 def _comparer(width: int, percent: int):
     def run(batches):
-        import numpy as np
         import pyarrow as pa
         hasher = worker_state("word_hasher", WordHasher)
         for batch in batches:
@@ -110,15 +113,49 @@ def _comparer(width: int, percent: int):
                 for x, y in slabs([len(t) for t in held]):
                     sets.update(zip(nodes[x:y], hasher.shingle_sets(held[x:y], width)))
                 for i in range(lo, hi):
-                    p, q = sets[a[i]], sets[b[i]]
-                    both = len(np.intersect1d(p, q, assume_unique=True))
-                    if 100 * both >= percent * (len(p) + len(q) - both):
+                    if _similar(sets[a[i]], sets[b[i]], percent):
                         keep.append(i)
             yield pa.record_batch([pa.array([a[i] for i in keep], pa.int64()),
                                    pa.array([b[i] for i in keep], pa.int64())], names=["a", "b"])
     return run
 
 
+def _similar(p, q, percent: int) -> bool:
+    import numpy as np
+    both = len(np.intersect1d(p, q, assume_unique=True))
+    return 100 * both >= percent * (len(p) + len(q) - both)
+
+
+def _group_comparer(width: int, percent: int):
+    """Links between the components that meet in a small bucket."""
+    def run(table):
+        import pyarrow as pa
+        hasher = worker_state("word_hasher", WordHasher)
+        node, root = table.column("node").to_pylist(), table.column("root").to_pylist()
+        sets, texts_ = [], table.column("text").to_pylist()
+        for x, y in slabs([len(t) for t in texts_]):
+            sets += hasher.shingle_sets(texts_[x:y], width)
+        order = sorted(range(len(node)), key=lambda i: len(sets[i]))
+        joined = {r: r for r in root}
+
+        def top(r):
+            while joined[r] != r:
+                r = joined[r]
+            return r
+
+        links = []
+        for x, i in enumerate(order):
+            for j in order[x + 1:]:
+                if 100 * len(sets[i]) < percent * len(sets[j]):
+                    break
+                if top(root[i]) != top(root[j]) and _similar(sets[i], sets[j], percent):
+                    joined[top(root[i])] = top(root[j])
+                    links.append((node[i], node[j]))
+        return pa.table({"a": pa.array([a for a, _ in links], pa.int64()),
+                         "b": pa.array([b for _, b in links], pa.int64())})
+    return run
+
+
 def _links(pairs: DataFrame, rows: DataFrame, width: int, percent: int) -> DataFrame:
     """The pairs ``(a, b)`` whose full shingle sets are similar enough."""
     both = (pairs.join(rows.select(F.col("rid").alias("a"), F.col("text").alias("ta")), "a")
@@ -171,6 +208,18 @@ def _across(unsettled: DataFrame, percent: int) -> DataFrame:
     return pairs.filter(_size_can_do(F.col("na"), F.col("nb"), percent)).select("a", "b").distinct()
 
 
+def _group_links(small: DataFrame, rows: DataFrame, width: int, percent: int) -> DataFrame:
+    """Links inside buckets of at most ``CROWD`` members; equal member sets count once."""
+    same = small.groupBy("bucket").agg(
+        F.bit_xor(F.xxhash64("node")).alias("x"), F.bit_xor(F.xxhash64(F.lit(1), "node")).alias("y"),
+        F.count(F.lit(1)).alias("members"))
+    once = same.groupBy("x", "y", "members").agg(F.min("bucket").alias("bucket")).select("bucket")
+    members = small.select("bucket", "node", "root").join(once, "bucket", "left_semi")
+    return saved(members.join(rows.select(F.col("rid").alias("node"), "text"), "node")
+                 .groupBy("bucket").applyInArrow(_group_comparer(width, percent), "a bigint, b bigint"),
+                 "links")
+
+
 def _class_roots(classes: DataFrame, rows: DataFrame, width: int, percent: int,
                  levels: int) -> DataFrame:
     buckets = _buckets(classes)
@@ -184,18 +233,18 @@ def _class_roots(classes: DataFrame, rows: DataFrame, width: int, percent: int,
     roots = components(links)
     members = buckets.select("bucket", "node", "n")
     open_ = saved(_unsettled(_with_root(members, roots)), "unsettled")
-    across = None
+    small = open_.filter(F.col("members") <= CROWD)
     for level in range(1, levels + 1):
         crowded = open_.filter(F.col("members") > CROWD)
-        settled = open_.filter(F.col("members") <= CROWD)
-        across = settled if across is None else across.unionByName(settled)
         if crowded.isEmpty():
             break
         open_ = saved(_unsettled(_divided(crowded, rows, width, seed=1000 + level)), "unsettled")
-    else:
-        across = across.unionByName(open_)
-    more = _links(_across(across, percent), rows, width, percent)
-    return components(links.unionByName(more))
+        small = small.unionByName(open_.filter(F.col("members") <= CROWD))
+    links = links.unionByName(_group_links(small, rows, width, percent))
+    rest = open_.filter(F.col("members") > CROWD)
+    if not rest.isEmpty():
+        links = links.unionByName(_links(_across(rest, percent), rows, width, percent))
+    return components(links)
 
 
 def _groups(rows: DataFrame, width: int, percent: int, levels: int = 4) -> DataFrame:
