@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
+from stackyard.llm.bestfit_packing import pack
 from stackyard.llm.exact_dedup import exact_dedup
 from stackyard.llm.minmax_dedup import near_duplicates
 from stackyard.llm.toxicity import toxicity
@@ -16,6 +18,10 @@ def op1_minmax_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(load(spark, sf_dir, "documents"))
 
 
+def op5_bestfit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack(load(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(load(spark, sf_dir, "documents"))
 
@@ -25,7 +31,7 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_minmax_dedup, op6_exact_dedup, op8_toxicity)}
+    f.__name__: f for f in (op1_minmax_dedup, op5_bestfit_packing, op6_exact_dedup, op8_toxicity)}
 
 ORACLES: dict[str, str] = {
     "op6_exact_dedup": """
