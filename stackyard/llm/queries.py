@@ -10,7 +10,9 @@ from pyspark.sql import DataFrame, SparkSession
 from stackyard.llm.bestfit_packing import pack
 from stackyard.llm.exact_dedup import exact_dedup
 from stackyard.llm.minmax_dedup import near_duplicates
+from stackyard.llm.sharding import shard_documents
 from stackyard.llm.toxicity import toxicity
+from stackyard.llm.url_filter import PATTERN_RULES, filter_urls
 from stackyard.tables import load
 
 
@@ -18,6 +20,14 @@ def op1_minmax_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(load(spark, sf_dir, "documents"))
 
 
+def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_urls(load(spark, sf_dir, "pages"))
+
+
+def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shard_documents(load(spark, sf_dir, "documents"))
+
+
 def op5_bestfit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(load(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
@@ -31,9 +41,32 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_minmax_dedup, op5_bestfit_packing, op6_exact_dedup, op8_toxicity)}
+    f.__name__: f for f in (
+        op1_minmax_dedup, op3_url_filter, op4_sharding, op5_bestfit_packing, op6_exact_dedup,
+        op8_toxicity)}
+
+#: The same patterns as in url_filter, each run over every url (DuckDB has no \\b beside '-').
+_BLOCKED = " OR ".join(f"regexp_matches(lower(url), '{r.pattern}')" for r in PATTERN_RULES)
+_FIRST = ", ".join(f"CASE WHEN regexp_matches(lower(url), '{r.pattern}') THEN '{r.pattern}' END"
+                   for r in sorted(PATTERN_RULES, key=lambda r: r.pattern))
 
 ORACLES: dict[str, str] = {
+    "op3_url_filter": rf"""
+        WITH t AS (SELECT page_id, url,
+            coalesce(regexp_extract(url, '^.*?://([^/?#]*)', 1, 's'), '') AS raw_host,
+            coalesce(regexp_extract(url, '^.*?://[^/?#]*([^?#]*)', 1, 's'), '') AS path FROM pages),
+        h AS (SELECT *, translate(raw_host, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host
+              FROM t),
+        r AS (SELECT *, CASE
+            WHEN ('.' || host) LIKE '%.example.net' AND path LIKE '/en/%' THEN 'example.net/en/'
+            WHEN ('.' || host) LIKE '%.example.com' AND path LIKE '/de/%' THEN 'example.com/de/'
+            WHEN ('.' || host) LIKE '%.org' AND path LIKE '/fr/%' THEN 'org/fr/'
+            WHEN ('.' || host) LIKE '%.net' AND path LIKE '/%' THEN 'net/' END AS rule FROM h)
+        SELECT page_id, host, path, rule,
+            CASE WHEN rule IN ('net/', 'example.com/de/') THEN 'block' WHEN rule IS NOT NULL THEN 'allow'
+                 WHEN {_BLOCKED} THEN 'block' ELSE 'allow' END AS verdict,
+            CASE WHEN rule IS NULL THEN coalesce({_FIRST}) END AS pattern
+        FROM r""",
     "op6_exact_dedup": """
         WITH t AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
         g AS (SELECT text, max(doc_id) AS keep_id, count(*) AS group_size FROM t GROUP BY text)
