@@ -11,6 +11,7 @@ from stackyard.llm.bestfit_packing import pack
 from stackyard.llm.exact_dedup import exact_dedup
 from stackyard.llm.minmax_dedup import near_duplicates
 from stackyard.llm.sharding import shard_documents
+from stackyard.llm.token_counts import count_tokens
 from stackyard.llm.toxicity import toxicity
 from stackyard.llm.url_filter import PATTERN_RULES, filter_urls
 from stackyard.tables import load
@@ -40,10 +41,15 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity(load(spark, sf_dir, "documents"), load(spark, sf_dir, "labels"))
 
 
+def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return count_tokens(load(spark, sf_dir, "documents"),
+                        public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
         op1_minmax_dedup, op3_url_filter, op4_sharding, op5_bestfit_packing, op6_exact_dedup,
-        op8_toxicity)}
+        op8_toxicity, op9_token_counts)}
 
 #: The same patterns as in url_filter, each run over every url (DuckDB has no \\b beside '-').
 _BLOCKED = " OR ".join(f"regexp_matches(lower(url), '{r.pattern}')" for r in PATTERN_RULES)
