@@ -37,7 +37,7 @@ CACHED_WORDS = 500_000
 _SLAB_CHARS = 1 << 22
 
 #: A text with these is not lower-cased before the look-up (special strings, combining marks).
-_AS_IS = re.compile("<\\||[̀-ͯ᪰-᫿᷀-᷿⃐-⃿]")
+_AS_IS = re.compile("<\\||[\u0300-\u036f\u1ab0-\u1aff\u1dc0-\u1dff\u20d0-\u20ff]")
 
 
 class WordIds:

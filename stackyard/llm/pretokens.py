@@ -14,7 +14,7 @@ import re
 SPACES = " \t\n\r\x0b\x0c"
 _CHUNK = re.compile(f"[{SPACES}]*[^{SPACES}]+|[{SPACES}]+")
 #: White space other than ASCII, and characters that libraries take for white space or not.
-_OTHER = re.compile("[\x1c-\x1f\x85\xa0 ᠎ -​    　﻿]")
+_OTHER = re.compile("[\x1c-\x1f\x85\xa0\u1680\u180e\u2000-\u200b\u2028\u2029\u202f\u205f\u3000\ufeff]")
 
 
 def chunks(text: str) -> list[str]:

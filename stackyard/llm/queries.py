@@ -6,8 +6,10 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from stackyard.llm.bestfit_packing import pack
+from stackyard.llm.bpe_codec import decode, encode
 from stackyard.llm.exact_dedup import exact_dedup
 from stackyard.llm.minmax_dedup import near_duplicates
 from stackyard.llm.sharding import shard_documents
@@ -37,6 +39,14 @@ def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(load(spark, sf_dir, "documents"))
 
 
+def op7_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ranks, pattern = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
+    ids = encode(load(spark, sf_dir, "documents"), ranks, pattern)
+    return decode(ids, ranks, pattern).select(
+        "doc_id", F.expr("CAST(octet_length(ids) / 4 AS BIGINT)").alias("n_tokens"),
+        F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity(load(spark, sf_dir, "documents"), load(spark, sf_dir, "labels"))
 
@@ -49,7 +59,7 @@ def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
         op1_minmax_dedup, op3_url_filter, op4_sharding, op5_bestfit_packing, op6_exact_dedup,
-        op8_toxicity, op9_token_counts)}
+        op7_bpe_codec, op8_toxicity, op9_token_counts)}
 
 #: The same patterns as in url_filter, each run over every url (DuckDB has no \\b beside '-').
 _BLOCKED = " OR ".join(f"regexp_matches(lower(url), '{r.pattern}')" for r in PATTERN_RULES)
