@@ -13,6 +13,7 @@ from stackyard.llm.bpe_codec import decode, encode
 from stackyard.llm.exact_dedup import exact_dedup
 from stackyard.llm.minmax_dedup import near_duplicates
 from stackyard.llm.sharding import shard_documents
+from stackyard.llm.syncmers import fingerprints
 from stackyard.llm.token_counts import count_tokens
 from stackyard.llm.toxicity import toxicity
 from stackyard.llm.url_filter import PATTERN_RULES, filter_urls
@@ -56,10 +57,14 @@ def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
                         public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN)
 
 
+def op10_syncmers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints(load(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
         op1_minmax_dedup, op3_url_filter, op4_sharding, op5_bestfit_packing, op6_exact_dedup,
-        op7_bpe_codec, op8_toxicity, op9_token_counts)}
+        op7_bpe_codec, op8_toxicity, op9_token_counts, op10_syncmers)}
 
 #: The same patterns as in url_filter, each run over every url (DuckDB has no \\b beside '-').
 _BLOCKED = " OR ".join(f"regexp_matches(lower(url), '{r.pattern}')" for r in PATTERN_RULES)
