@@ -74,25 +74,26 @@ def _signer(width: int, rows: int, bands: int, seed: int):
         import xxhash
         hasher = worker_state("word_hasher", WordHasher)
         for batch in batches:
-            rid, text = batch.column("rid"), batch.column("text").to_pylist()
+            text = batch.column("text").to_pylist()
+            kept = [n for n in batch.schema.names if n != "text"]
             for lo, hi in slabs([len(t) for t in text]):
                 sets = hasher.shingle_sets(text[lo:hi], width)
                 full = [s for s in sets if len(s)]
                 keys = iter(band_keys(full, rows, bands, seed) if full else [])
                 none = np.zeros(0, np.int64)
-                yield pa.record_batch([
-                    rid.slice(lo, hi - lo),
+                yield pa.record_batch([*(batch.column(n).slice(lo, hi - lo) for n in kept),
                     pa.array([len(s) for s in sets], pa.int64()),
                     pa.array([xxhash.xxh3_128_digest(s.tobytes()) for s in sets], pa.binary()),
                     pa.array([next(keys) if len(s) else none for s in sets], pa.list_(pa.int64())),
-                ], names=["rid", "n", "digest", "bands"])
+                ], names=[*kept, "n", "digest", "bands"])
     return run
 
 
 def _signed(rows: DataFrame, width: int, bands: int, seed: int) -> DataFrame:
-    return rows.select("rid", "text").mapInArrow(
-        _signer(width, ROWS_PER_BAND, bands, seed),
-        "rid bigint, n bigint, digest binary, bands array<bigint>")
+    """The columns of ``rows`` but ``text``, and ``n, digest, bands`` of its shingle set."""
+    kept = "".join(f"{f.name} {f.dataType.simpleString()}, " for f in rows.schema if f.name != "text")
+    return rows.mapInArrow(_signer(width, ROWS_PER_BAND, bands, seed),
+                           kept + "n bigint, digest binary, bands array<bigint>")
 
 
 def _comparer(width: int, percent: int):
@@ -158,8 +159,8 @@ def _group_comparer(width: int, percent: int):
 
 def _links(pairs: DataFrame, rows: DataFrame, width: int, percent: int) -> DataFrame:
     """The pairs ``(a, b)`` whose full shingle sets are similar enough."""
-    both = (pairs.join(rows.select(F.col("rid").alias("a"), F.col("text").alias("ta")), "a")
-            .join(rows.select(F.col("rid").alias("b"), F.col("text").alias("tb")), "b"))
+    both = (pairs.join(rows.select(F.col("node").alias("a"), F.col("text").alias("ta")), "a")
+            .join(rows.select(F.col("node").alias("b"), F.col("text").alias("tb")), "b"))
     return saved(both.select("a", "b", "ta", "tb").mapInArrow(
         _comparer(width, percent), "a bigint, b bigint"), "links")
 
@@ -169,13 +170,10 @@ def _size_can_do(a: Column, b: Column, percent: int) -> Column:
 
 
 def _buckets(classes: DataFrame) -> DataFrame:
-    """``(bucket, node, n, pivot, pivot_n, members)`` of buckets with two or more members."""
-    members = classes.select("node", "n", F.explode("bands").alias("bucket"))
-    heads = members.groupBy("bucket").agg(F.min(F.struct("node", "n")).alias("head"),
-                                          F.count(F.lit(1)).alias("members"))
-    heads = heads.filter("members > 1").select(
-        "bucket", F.col("head.node").alias("pivot"), F.col("head.n").alias("pivot_n"), "members")
-    return saved(members.join(heads, "bucket"), "buckets")
+    """``(bucket, node, pivot)`` of buckets with two or more members."""
+    members = classes.select("node", F.explode("bands").alias("bucket"))
+    heads = members.groupBy("bucket").agg(F.min("node").alias("pivot"), F.max("node").alias("last"))
+    return saved(members.join(heads.filter("pivot != last").select("bucket", "pivot"), "bucket"), "buckets")
 
 
 def _with_root(members: DataFrame, roots: DataFrame) -> DataFrame:
@@ -183,7 +181,7 @@ def _with_root(members: DataFrame, roots: DataFrame) -> DataFrame:
 
 
 def _unsettled(members: DataFrame) -> DataFrame:
-    """Members ``(bucket, node, n, root)`` of buckets that hold more than one component."""
+    """Members ``(bucket, node, root, members)`` of buckets that hold more than one component."""
     mixed = members.groupBy("bucket").agg(
         F.min("root").alias("lo"), F.max("root").alias("hi"), F.count(F.lit(1)).alias("members"))
     return members.join(mixed.filter("lo != hi").select("bucket", "members"), "bucket")
@@ -191,21 +189,18 @@ def _unsettled(members: DataFrame) -> DataFrame:
 
 def _divided(crowded: DataFrame, rows: DataFrame, width: int, seed: int) -> DataFrame:
     """The crowded buckets' members in sub-buckets of further permutations."""
-    nodes = rows.join(crowded.select(F.col("node").alias("rid")).distinct(), "rid", "left_semi")
-    again = _signed(nodes, width, BANDS, seed).select(F.col("rid").alias("node"), "bands")
-    return (crowded.select("bucket", "node", "n", "root").join(again, "node")
-            .select("node", "n", "root", "bucket", F.explode("bands").alias("band"))
-            .select("node", "n", "root", F.xxhash64("bucket", "band").alias("bucket")))
+    nodes = rows.join(crowded.select("node").distinct(), "node", "left_semi")
+    again = _signed(nodes, width, BANDS, seed).select("node", "bands")
+    return (crowded.select("bucket", "node", "root").join(again, "node")
+            .select("node", "root", "bucket", F.explode("bands").alias("band"))
+            .select("node", "root", F.xxhash64("bucket", "band").alias("bucket")))
 
 
-def _across(unsettled: DataFrame, percent: int) -> DataFrame:
+def _across(unsettled: DataFrame) -> DataFrame:
     """Pairs of a bucket whose members are in different components."""
-    left = unsettled.select("bucket", F.col("node").alias("a"), F.col("n").alias("na"),
-                            F.col("root").alias("ra"))
-    right = unsettled.select("bucket", F.col("node").alias("b"), F.col("n").alias("nb"),
-                             F.col("root").alias("rb"))
-    pairs = left.join(right, "bucket").filter("ra < rb")
-    return pairs.filter(_size_can_do(F.col("na"), F.col("nb"), percent)).select("a", "b").distinct()
+    left = unsettled.select("bucket", F.col("node").alias("a"), F.col("root").alias("ra"))
+    right = unsettled.select("bucket", F.col("node").alias("b"), F.col("root").alias("rb"))
+    return left.join(right, "bucket").filter("ra < rb").select("a", "b").distinct()
 
 
 def _group_links(small: DataFrame, rows: DataFrame, width: int, percent: int) -> DataFrame:
@@ -215,23 +210,33 @@ def _group_links(small: DataFrame, rows: DataFrame, width: int, percent: int) ->
         F.count(F.lit(1)).alias("members"))
     once = same.groupBy("x", "y", "members").agg(F.min("bucket").alias("bucket")).select("bucket")
     members = small.select("bucket", "node", "root").join(once, "bucket", "left_semi")
-    return saved(members.join(rows.select(F.col("rid").alias("node"), "text"), "node")
+    return saved(members.join(rows, "node")
                  .groupBy("bucket").applyInArrow(_group_comparer(width, percent), "a bigint, b bigint"),
                  "links")
 
 
-def _class_roots(classes: DataFrame, rows: DataFrame, width: int, percent: int,
+def _candidates(nodes: DataFrame, classes: DataFrame, source: DataFrame) -> DataFrame:
+    """``(node, text)`` of classes that meet another one; the one join that moves all texts.
+
+    A text is found again by the id and hash of the row that stands for its class.
+    """
+    keys = nodes.join(classes.select("node", "key", "hash"), "node")
+    found = source.join(keys.select("key", "hash"), ["key", "hash"], "left_semi").dropDuplicates(["key", "hash"])
+    return saved(found.join(keys, ["key", "hash"]).select("node", "text"), "candidates")
+
+
+def _class_roots(classes: DataFrame, source: DataFrame, width: int, percent: int,
                  levels: int) -> DataFrame:
     buckets = _buckets(classes)
-    # the one join that moves texts of the whole table; later ones read this part
-    rows = saved(rows.select("rid", "text").join(
-        buckets.select(F.col("node").alias("rid")).distinct(), "rid", "left_semi"), "candidates")
-    star = (buckets.filter("node != pivot")
-            .filter(_size_can_do(F.col("n"), F.col("pivot_n"), percent))
-            .select(F.col("node").alias("a"), F.col("pivot").alias("b")).distinct())
+    rows = _candidates(buckets.select("node").distinct(), classes, source)
+    size = classes.select("node", "n")
+    star = (buckets.filter("node != pivot").select(F.col("node").alias("a"), F.col("pivot").alias("b")).distinct()
+            .join(size.select(F.col("node").alias("a"), F.col("n").alias("na")), "a")
+            .join(size.select(F.col("node").alias("b"), F.col("n").alias("nb")), "b")
+            .filter(_size_can_do(F.col("na"), F.col("nb"), percent)).select("a", "b"))
     links = _links(star, rows, width, percent)
     roots = components(links)
-    members = buckets.select("bucket", "node", "n")
+    members = buckets.select("bucket", "node")
     open_ = saved(_unsettled(_with_root(members, roots)), "unsettled")
     small = open_.filter(F.col("members") <= CROWD)
     for level in range(1, levels + 1):
@@ -243,26 +248,33 @@ def _class_roots(classes: DataFrame, rows: DataFrame, width: int, percent: int,
     links = links.unionByName(_group_links(small, rows, width, percent))
     rest = open_.filter(F.col("members") > CROWD)
     if not rest.isEmpty():
-        links = links.unionByName(_links(_across(rest, percent), rows, width, percent))
+        links = links.unionByName(_links(_across(rest), rows, width, percent))
     return components(links)
 
 
+def _keyed(rows: DataFrame) -> DataFrame:
+    """``rows`` with the key and hash by which a text is found again."""
+    return rows.withColumn("key", F.coalesce("id", F.lit(-(1 << 63)))).withColumn("hash", F.xxhash64("text"))
+
+
 def _groups(rows: DataFrame, width: int, percent: int, levels: int = 4) -> DataFrame:
-    """``(rid, id, n_shingles, component_id, kept)`` of stored ``(rid, id, text)``, rid unique."""
+    """``(rid, id, n_shingles, component_id, kept)`` of rows ``(rid, id, text)``."""
+    rows = _keyed(rows)
     signed = saved(_signed(rows, width, BANDS, seed=7), "signatures")
-    classes = saved(signed.filter("n > 0").groupBy("digest").agg(
-        F.min("rid").alias("node"), F.first("n").alias("n"), F.first("bands").alias("bands")), "classes")
-    roots = _class_roots(classes, rows, width, percent, levels)
-    by_digest = classes.select("digest", "node").join(roots, "node", "left").select(
-        "digest", F.coalesce("root", "node").alias("root"))
+    heads = signed.filter("n > 0").groupBy("digest").agg(F.min("rid").alias("node"))
+    classes = saved(signed.join(heads.select(F.col("node").alias("rid")), "rid").select(
+        F.col("rid").alias("node"), "key", "hash", "n", "digest", "bands"), "classes")
+    roots = _class_roots(classes, rows.select("key", "hash", "text"), width, percent, levels)
+    by_digest = saved(classes.select("digest", "node").join(roots, "node", "left").select(
+        "digest", F.coalesce("root", "node").alias("root")), "class-roots")
     # without words a row is a component of its own; its root is no class
-    grouped = (signed.select("rid", "n", "digest").filter("n > 0").join(by_digest, "digest")
-               .select("rid", "n", "root")
-               .unionByName(signed.filter("n = 0").select("rid", "n", F.expr("-1 - rid").alias("root"))))
-    grouped = saved(grouped.join(rows.select("rid", "id"), "rid"), "grouped")
-    heads = grouped.groupBy("root").agg(
-        F.min(F.struct(F.col("id").isNull().alias("none"), "id", "rid")).alias("head"))
-    return grouped.join(heads, "root").select(
+    light = signed.select("rid", "id", "n", "digest")
+    grouped = saved(light.filter("n > 0").join(by_digest, "digest").select("rid", "id", "n", "root")
+                    .unionByName(light.filter("n = 0").select("rid", "id", "n", F.expr("-1 - rid").alias("root"))),
+                    "grouped")
+    firsts = saved(grouped.groupBy("root").agg(
+        F.min(F.struct(F.col("id").isNull().alias("none"), "id", "rid")).alias("head")), "group-heads")
+    return grouped.join(firsts, "root").select(
         "rid", "id", F.col("n").alias("n_shingles"), F.col("head.id").alias("component_id"),
         (F.col("rid") == F.col("head.rid")).alias("kept"))
 
@@ -276,10 +288,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     and empty texts, and texts without words, have an empty set and stand
     alone.  A null id never names a component that has another id; of
     repeated rows with the smallest id exactly one is kept.  An empty table
-    gives no rows.
+    gives no rows.  The input is read twice, so it must give the same rows each
+    time (files, or a table that was written).
     """
-    rows = saved(texts(docs, id_col, text_col).select(
-        F.monotonically_increasing_id().alias("rid"), "id", "text"), "near-input")
+    rows = texts(docs, id_col, text_col).select(F.monotonically_increasing_id().alias("rid"), "id", "text")
     return _groups(rows, width, percent).drop("rid").withColumnRenamed("id", id_col)
 
 
