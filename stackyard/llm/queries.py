@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from stackyard.llm.bestfit_packing import pack
 from stackyard.llm.bpe_codec import decode, encode
 from stackyard.llm.exact_dedup import exact_dedup
+from stackyard.llm.interpolated_lm import lm_scores
 from stackyard.llm.minmax_dedup import near_duplicates
 from stackyard.llm.sharding import shard_documents
 from stackyard.llm.syncmers import fingerprints
@@ -24,6 +25,10 @@ def op1_minmax_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(load(spark, sf_dir, "documents"))
 
 
+def op2_interpolated_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_scores(load(spark, sf_dir, "documents"))
+
+
 def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_urls(load(spark, sf_dir, "pages"))
 
@@ -63,7 +68,7 @@ def op10_syncmers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
-        op1_minmax_dedup, op3_url_filter, op4_sharding, op5_bestfit_packing, op6_exact_dedup,
+        op1_minmax_dedup, op2_interpolated_lm, op3_url_filter, op4_sharding, op5_bestfit_packing, op6_exact_dedup,
         op7_bpe_codec, op8_toxicity, op9_token_counts, op10_syncmers)}
 
 #: The same patterns as in url_filter, each run over every url (DuckDB has no \\b beside '-').
