@@ -168,7 +168,7 @@ def _numbered(pieces: DataFrame, chunks: int) -> DataFrame:
     starts = saved(chunked.groupBy("length", "chunk").agg(F.count(F.lit(1)).alias("n")).select(
         "length", "chunk", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("first")), "chunk-starts")
     inside = Window.partitionBy("length", "chunk").orderBy("rid", "piece")
-    return (chunked.withColumn("row", F.row_number().over(inside)).join(starts, ["length", "chunk"])
+    return (chunked.withColumn("row", F.row_number().over(inside)).join(starts.hint("merge"), ["length", "chunk"])
             .withColumn("number", F.col("first") + F.col("row") - 1).drop("chunk", "row", "first"))
 
 

@@ -197,15 +197,8 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, id_col: str, text_col: s
     return [(r.text, r.y) for r in sorted(rows, key=lambda r: (r.id, r.text))]
 
 
-def score(docs: DataFrame, model: ToxicityModel, id_col: str = "doc_id",
-          text_col: str = "text") -> DataFrame:
-    """``docs`` with a ``score`` column per row, from the text alone."""
-    columns = docs.columns
-    value = _score_udf(model)(F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")))
-    return docs.select(*[F.col(f"`{c}`") for c in columns], value.alias("__score"))
-
-
-def _score_udf(model: ToxicityModel):
+def score(model: ToxicityModel):
+    """A column function: the score of a text column without nulls."""
     @F.pandas_udf("double")
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         scorer = _Scorer(model.ordinary, model.toxic) if model.usable else None
@@ -234,15 +227,16 @@ def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
     score is the share of toxic labels.  An empty table gives no rows.
     """
     model = train(docs, labels, id_col, text_col)
-    rows = score(texts(docs, id_col, text_col), model, "id", "text")
+    rows = texts(docs, id_col, text_col).select("id", score(model)("text").alias("score"))
     return rows.select(
         F.col("id").alias(id_col), F.coalesce(crc_mod("id", 4) == 2, F.lit(False)).alias("held_out"),
-        F.col("__score").alias("score"),
-        F.when(F.col("__score") >= threshold, 1).otherwise(0).alias("predicted"))
+        "score", F.when(F.col("score") >= threshold, 1).otherwise(0).alias("predicted"))
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                threshold: float = THRESHOLD) -> DataFrame:
     """The rows of ``docs`` that score below the threshold, with all their columns."""
     model = train(docs, labels, id_col, text_col)
-    return score(docs, model, id_col, text_col).filter(F.col("__score") < threshold).drop("__score")
+    doc = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc")
+    text = F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))
+    return docs.select(doc, score(model)(text).alias("score")).filter(F.col("score") < threshold).select("doc.*")
