@@ -243,7 +243,7 @@ def learn_weights(tuples: DataFrame, n: int, v: int, iterations: int = ITERATION
         F.expr("IF(context > 0, pair / context, 0D)").alias("p2"),
         (F.col("word") / F.lit(float(max(n, 1)))).alias("p1")), "held-out-counts")
     p0 = 1.0 / (v + 1)
-    weights = [[1 / 3, 1 / 3, 1 / 3] for _ in range(BUCKETS)]
+    weights = [[0.0, 0.5, 0.5]] + [[1 / 3, 1 / 3, 1 / 3] for _ in range(1, BUCKETS)]
     full: set[int] = set()
     for _ in range(iterations):
         l2, l1, l0 = (F.element_at(F.array(*[F.lit(w[i]) for w in weights]), F.col("bucket") + 1)
@@ -316,7 +316,7 @@ def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     tuples = (rows.mapInArrow(_teller(True), told).groupBy("block")
               .cogroup(replies.filter("held").groupBy("block"))
               .applyInArrow(_tuples, "pair bigint, context bigint, word bigint, n bigint"))
-    weights = learn_weights(tuples, n_core, v_core)
+    weights = learn_weights(tuples, n_core, v_core) if n else [[0.0, 0.0, 1.0]] * BUCKETS
     scored = (rows.mapInArrow(_teller(False), told).groupBy("block")
               .cogroup(replies.filter("NOT held").groupBy("block"))
               .applyInArrow(_scorer(weights, n, v), "id bigint, held_out boolean, n_tokens bigint, "
