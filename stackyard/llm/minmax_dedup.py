@@ -16,10 +16,10 @@ to a band: 32 bands.  A pair of similarity J shares no band with probability
    connected are never compared, which is what keeps a bucket of thousands of
    near copies linear.  A bucket of up to ``CROWD`` such members is compared in
    one group, so that each text travels once per bucket and not per pair;
-   buckets of the same members count once.  A larger one is first divided by
-   bands of further permutations, so that only members alike beyond the shared
-   band meet; what stays large after ``levels`` divisions goes through a join
-   on the bucket.
+   buckets of the same members count once.  The members of larger ones are put
+   into buckets of their rarest shingles instead (prefix filter, which is
+   exact): documents that share a passage but nothing else no longer meet.
+   What is large even then goes through a join on the bucket.
 
 No unbounded bucket is collected and none is cut.  Hot buckets are aggregated
 in the map tasks; joins on them are plain sort-merge joins that AQE splits.
@@ -27,7 +27,7 @@ in the map tasks; joins on them are plain sort-merge joins that AQE splits.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from stackyard.llm.common import saved, texts, worker_state
@@ -38,7 +38,7 @@ SHINGLE_WORDS = 5
 SIMILARITY = 75       # percent
 ROWS_PER_BAND = 4
 BANDS = 32            # half from minima, half from maxima
-CROWD = 64            # members of a bucket beyond which it is divided further
+CROWD = 64            # members of a bucket that are compared in one group
 
 
 def _permutations(n: int, seed: int):
@@ -187,13 +187,44 @@ def _unsettled(members: DataFrame) -> DataFrame:
     return members.join(mixed.filter("lo != hi").select("bucket", "members"), "bucket")
 
 
-def _divided(crowded: DataFrame, rows: DataFrame, width: int, seed: int) -> DataFrame:
-    """The crowded buckets' members in sub-buckets of further permutations."""
-    nodes = rows.join(crowded.select("node").distinct(), "node", "left_semi")
-    again = _signed(nodes, width, BANDS, seed).select("node", "bands")
-    return (crowded.select("bucket", "node", "root").join(again, "node")
-            .select("node", "root", "bucket", F.explode("bands").alias("band"))
-            .select("node", "root", F.xxhash64("bucket", "band").alias("bucket")))
+def _shingles_of(width: int):
+    def run(batches):
+        import numpy as np
+        import pyarrow as pa
+        hasher = worker_state("word_hasher", WordHasher)
+        for batch in batches:
+            text = batch.column("text").to_pylist()
+            for lo, hi in slabs([len(t) for t in text]):
+                sets = hasher.shingle_sets(text[lo:hi], width)
+                sizes = np.array([len(s) for s in sets], np.int64)
+                of = pa.array(np.repeat(np.arange(lo, hi), sizes))
+                yield pa.record_batch(
+                    [batch.column("node").take(of), batch.column("root").take(of),
+                     pa.array(np.repeat(sizes, sizes)), pa.array(np.concatenate(sets).view(np.int64))],
+                    names=["node", "root", "n", "shingle"])
+    return run
+
+
+def _rare_buckets(crowded: DataFrame, rows: DataFrame, width: int, percent: int) -> DataFrame:
+    """The crowded buckets' members ``(bucket, node, root)`` by their rare shingles.
+
+    With the shingles of each set in one order, rarest first, two sets of n and
+    m shingles that are similar enough share one among the first
+    ``n - ceil(percent * n / 100) + 1`` and as many of m.  So nothing is lost,
+    and what all of a crowd have in common makes no bucket.
+    """
+    nodes = crowded.select("node", "root").distinct()
+    shingles = saved(rows.join(nodes, "node").mapInArrow(
+        _shingles_of(width), "node bigint, root bigint, n bigint, shingle bigint"), "crowd-shingles")
+    shared = saved(shingles.groupBy("shingle").agg(F.count(F.lit(1)).alias("often")).filter("often > 1"),
+                   "shared-shingles")
+    own = shingles.join(shared, "shingle")
+    rarest = Window.partitionBy("node").orderBy("often", "shingle")
+    # shingles of one member alone come first and need no bucket
+    place = F.col("n") - F.count(F.lit(1)).over(Window.partitionBy("node")) + F.row_number().over(rarest)
+    first = F.expr(f"n - ceil({percent} * n / 100) + 1")
+    return own.withColumn("place", place).filter(F.col("place") <= first).select(
+        F.col("shingle").alias("bucket"), "node", "root")
 
 
 def _across(unsettled: DataFrame) -> DataFrame:
@@ -225,8 +256,7 @@ def _candidates(nodes: DataFrame, classes: DataFrame, source: DataFrame) -> Data
     return saved(found.join(keys, ["key", "hash"]).select("node", "text"), "candidates")
 
 
-def _class_roots(classes: DataFrame, source: DataFrame, width: int, percent: int,
-                 levels: int) -> DataFrame:
+def _class_roots(classes: DataFrame, source: DataFrame, width: int, percent: int) -> DataFrame:
     buckets = _buckets(classes)
     rows = _candidates(buckets.select("node").distinct(), classes, source)
     size = classes.select("node", "n")
@@ -237,18 +267,15 @@ def _class_roots(classes: DataFrame, source: DataFrame, width: int, percent: int
     links = _links(star, rows, width, percent)
     roots = components(links)
     members = buckets.select("bucket", "node")
-    open_ = saved(_unsettled(_with_root(members, roots)), "unsettled")
-    small = open_.filter(F.col("members") <= CROWD)
-    for level in range(1, levels + 1):
-        crowded = open_.filter(F.col("members") > CROWD)
-        if crowded.isEmpty():
-            break
-        open_ = saved(_unsettled(_divided(crowded, rows, width, seed=1000 + level)), "unsettled")
-        small = small.unionByName(open_.filter(F.col("members") <= CROWD))
-    links = links.unionByName(_group_links(small, rows, width, percent))
-    rest = open_.filter(F.col("members") > CROWD)
-    if not rest.isEmpty():
-        links = links.unionByName(_links(_across(rest), rows, width, percent))
+    unsettled = saved(_unsettled(_with_root(members, roots)), "unsettled")
+    links = links.unionByName(_group_links(unsettled.filter(F.col("members") <= CROWD), rows, width, percent))
+    crowded = unsettled.filter(F.col("members") > CROWD)
+    if not crowded.isEmpty():
+        rare = saved(_unsettled(_rare_buckets(crowded, rows, width, percent)), "rare-unsettled")
+        links = links.unionByName(_group_links(rare.filter(F.col("members") <= CROWD), rows, width, percent))
+        rest = rare.filter(F.col("members") > CROWD)
+        if not rest.isEmpty():
+            links = links.unionByName(_links(_across(rest), rows, width, percent))
     return components(links)
 
 
@@ -257,14 +284,14 @@ def _keyed(rows: DataFrame) -> DataFrame:
     return rows.withColumn("key", F.coalesce("id", F.lit(-(1 << 63)))).withColumn("hash", F.xxhash64("text"))
 
 
-def _groups(rows: DataFrame, width: int, percent: int, levels: int = 4) -> DataFrame:
+def _groups(rows: DataFrame, width: int, percent: int) -> DataFrame:
     """``(rid, id, n_shingles, component_id, kept)`` of rows ``(rid, id, text)``."""
     rows = _keyed(rows)
     signed = saved(_signed(rows, width, BANDS, seed=7), "signatures")
     heads = signed.filter("n > 0").groupBy("digest").agg(F.min("rid").alias("node"))
     classes = saved(signed.join(heads.select(F.col("node").alias("rid")), "rid").select(
         F.col("rid").alias("node"), "key", "hash", "n", "digest", "bands"), "classes")
-    roots = _class_roots(classes, rows.select("key", "hash", "text"), width, percent, levels)
+    roots = _class_roots(classes, rows.select("key", "hash", "text"), width, percent)
     by_digest = saved(classes.select("digest", "node").join(roots, "node", "left").select(
         "digest", F.coalesce("root", "node").alias("root")), "class-roots")
     # without words a row is a component of its own; its root is no class
