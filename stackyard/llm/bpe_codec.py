@@ -25,9 +25,10 @@ from stackyard.llm.pretokens import chunks
 from stackyard.llm.vocabulary import NONE, Vocabulary, from_ranks
 from stackyard.llm.words import slabs
 
-CACHED_CHUNKS = 500_000
-_SLAB_CHARS = 1 << 24
-_REPLAY_BYTES = 1 << 22
+CACHED_CHUNKS = 300_000
+_SLAB_CHARS = 1 << 21     # texts whose chunks are held as lists
+_REPLAY_BYTES = 1 << 22   # words that are replayed together
+_STEP = 1 << 18
 
 
 def _by_rank(ranks: np.ndarray, positions: np.ndarray):
@@ -62,12 +63,12 @@ def replay(vocabulary: Vocabulary, words: list[bytes]) -> list[bytes]:
     lengths = np.fromiter(map(len, words), np.int64, len(words))
     bounds = np.concatenate([[0], np.cumsum(lengths)])
     n = int(bounds[-1])
-    tokens = vocabulary.of_byte[np.frombuffer(b"".join(words), np.uint8)]
+    tokens = vocabulary.of_byte.astype(np.int32)[np.frombuffer(b"".join(words), np.uint8)]
     after = np.arange(1, n + 1, dtype=np.int32)
     before = np.arange(-1, n - 1, dtype=np.int32)
     after[bounds[1:] - 1] = -1
     before[bounds[:-1]] = -1
-    rank = np.full(n, NONE, np.int64)   # of the pair that starts at a position
+    rank = np.full(n, NONE, np.int32)   # of the pair that starts at a position
     gone = np.zeros(n, bool)
     inverted: list[int] = []
 
@@ -88,8 +89,10 @@ def replay(vocabulary: Vocabulary, words: list[bytes]) -> list[bytes]:
                 index[r] = [at]
                 heapq.heappush(waiting, r)
 
-    everywhere = np.arange(n)
-    enter(refresh(everywhere), everywhere)
+    for start in range(0, n, _STEP):
+        refresh(np.arange(start, min(start + _STEP, n), dtype=np.int32))
+    live = np.flatnonzero(rank != NONE).astype(np.int32)
+    enter(rank[live], live)
     while waiting:
         now = heapq.heappop(waiting)
         at = np.unique(np.concatenate(index.pop(now)))
@@ -142,14 +145,19 @@ class Codec:
         for c, parts in found:
             self.known[c] = b"".join([ids[i] for i in parts])
 
-    def encode(self, batch: list[str]) -> list[bytes]:
-        """Little-endian unsigned 32-bit ids of each text."""
-        cut = [chunks(t) for t in batch]
+    def learn(self, batch: list[str]) -> None:
+        """Ids of all chunks of the texts, so that ``encode`` looks them up."""
         if len(self.known) > CACHED_CHUNKS:
             self.known.clear()
-        known = self.known
-        self._learn(list({c for cs in cut for c in cs if c not in known}))
-        return [b"".join(map(known.__getitem__, cs)) for cs in cut]
+        known, new = self.known, set()
+        for lo, hi in slabs([len(t) for t in batch], _SLAB_CHARS):
+            for t in batch[lo:hi]:
+                new.update([c for c in chunks(t) if c not in known])
+        self._learn(list(new))
+
+    def encode(self, text: str) -> bytes:
+        """Little-endian unsigned 32-bit ids of a text that was learned."""
+        return b"".join(map(self.known.__getitem__, chunks(text)))
 
     def decode(self, ids: bytes) -> bytes:
         return b"".join(map(self.vocabulary.tokens.__getitem__, np.frombuffer(ids, "<u4").tolist()))
@@ -161,12 +169,14 @@ def _mapper(path: str, pattern: str, decoding: bool):
         codec = worker_state(f"bpe_codec:{path}", lambda: Codec(path, pattern))
         for batch in batches:
             source = batch.column("ids" if decoding else "text").to_pylist()
+            if not decoding:
+                codec.learn(source)
             for lo, hi in slabs([len(x) for x in source], _SLAB_CHARS):
                 if decoding:
                     made = [codec.decode(x) for x in source[lo:hi]]
                     columns, names = [batch.column("ids").slice(lo, hi - lo)], ["id", "ids", "decoded"]
                 else:
-                    made, columns, names = codec.encode(source[lo:hi]), [], ["id", "ids"]
+                    made, columns, names = [codec.encode(t) for t in source[lo:hi]], [], ["id", "ids"]
                 yield pa.record_batch([batch.column("id").slice(lo, hi - lo), *columns,
                                        pa.array(made, pa.binary())], names=names)
     return run

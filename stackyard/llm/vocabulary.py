@@ -12,7 +12,7 @@ import json
 
 import numpy as np
 
-NONE = np.int64(1) << 40   # the rank of a pair that does not merge
+NONE = np.int64(1) << 30   # the rank of a pair that does not merge
 _SHIFT = np.int64(20)
 
 
@@ -32,7 +32,7 @@ class Vocabulary:
 
     def lookup(self, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Rank (``NONE`` if there is none) and joined token of pairs; a token -1 never merges."""
-        key = (left << _SHIFT) | right
+        key = (left.astype(np.int64) << _SHIFT) | right
         at = np.minimum(np.searchsorted(self.pairs, key), len(self.pairs) - 1)
         found = (self.pairs[at] == key) & (left >= 0) & (right >= 0)
         return np.where(found, self.ranks[at], NONE), np.where(found, self.joined[at], -1)
