@@ -42,9 +42,14 @@ def before(x: ColumnOrName, sep: str) -> Column:
     return F.substring_index(_c(x), sep, 1)
 
 
+def strip_ws(x: ColumnOrName) -> Column:
+    """``x`` without leading and trailing white space of any kind (``trim`` takes blanks only)."""
+    return F.regexp_replace(_c(x), r"^\s+|\s+$", "")
+
+
 def ws_fields(x: ColumnOrName) -> Column:
-    """Whitespace-separated fields of ``x`` (runs of blanks are one separator)."""
-    return F.split(F.trim(_c(x)), r"\s+")
+    """Whitespace-separated fields of ``x`` (runs of white space are one separator)."""
+    return F.split(strip_ws(x), r"\s+")
 
 
 def last_ws_field(x: ColumnOrName) -> Column:
@@ -93,7 +98,7 @@ def from_offset(x: ColumnOrName, start: int) -> Column:
 
 def collapse_ws(x: ColumnOrName) -> Column:
     """Trim and collapse every whitespace run to one blank (unquoted echo)."""
-    return F.regexp_replace(F.trim(_c(x)), r"\s+", " ")
+    return F.regexp_replace(strip_ws(x), r"\s+", " ")
 
 
 def member_of(node: ColumnOrName, csv_list: ColumnOrName, sep: str = ",") -> Column:
@@ -103,13 +108,14 @@ def member_of(node: ColumnOrName, csv_list: ColumnOrName, sep: str = ",") -> Col
 
 
 def exact_avg(total: ColumnOrName, count: ColumnOrName, scale: int = 2, digits: int = 6) -> Column:
-    """Average of non-negative values with ``scale`` decimals, rounded half
-    up to ``digits`` decimals in integer arithmetic: the sum is taken in
+    """Average of values with ``scale`` decimals, rounded half up (away from
+    zero) to ``digits`` decimals in decimal arithmetic: the sum is taken in
     whole units of ``10**-scale`` first.  Engines that sum doubles in a
     different order then still agree, even when the average falls exactly
-    on a rounding tie."""
-    units = F.round(_c(total) * (10 ** scale)).cast("long")
-    n = _c(count).cast("long")
-    shift = 10 ** (digits - scale)
-    half_up = F.floor((units * (2 * shift) + n) / (n * 2))  # exact: both sides are integers
-    return (half_up / F.lit(10 ** digits)).cast("double")
+    on a rounding tie.  Exact while the scaled sum has at most 38 digits."""
+    units = F.round(_c(total) * (10 ** scale)).cast("decimal(30,0)")
+    n = _c(count).cast("decimal(20,0)")
+    doubled = F.abs(units) * F.lit(2 * 10 ** (digits - scale)).cast("decimal(7,0)")
+    half_up = F.call_function("div", doubled + n, n * F.lit(2).cast("decimal(1,0)"))
+    return F.signum(units) * (half_up / F.lit(10 ** digits)).cast("double")
+

@@ -9,7 +9,8 @@ the window runs per (slice, key).  A left row with no right row earlier in
 its own slice takes the carry-in: the last right row of the key's earlier
 slices.  Only keys that cross a slice boundary need one (about two per
 slice), so the carry-in table is bounded by the slice count and broadcast.
-Equi joins and windows only; no pairs are formed.
+Equi joins and windows only; no pairs are formed.  As in SQL, a null key or
+a null time matches nothing.
 """
 
 from __future__ import annotations
@@ -18,36 +19,44 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from stackyard.operators.ordinal import with_slice
+from stackyard.operators.ordinal import TIE, with_slice
 
 
 def asof_join(left: DataFrame, right: DataFrame, key: str, left_ts: str, right_ts: str,
               right_cols: Sequence[str], right_tiebreak: str | None = None,
-              partitions: int | None = None) -> DataFrame:
+              partitions: int | None = None, strict: bool = False) -> DataFrame:
     """Left rows with ``right_cols`` of the matching right row (NULL when
     there is none).  Among right rows with equal time the largest
-    ``right_tiebreak`` wins."""
+    ``right_tiebreak`` wins.  ``strict`` looks before the left time, not at
+    it.  The times may be of any ordered type."""
     n = partitions or int(left.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     rcols = list(right_cols)
     rstruct = F.struct(*[F.col(c).alias(c) for c in rcols])
     lstruct = F.struct(*[F.col(c) for c in left.columns])
+    # a null key or time matches nothing: such right rows go, such left rows stay unmatched
+    right = right.where(F.col(key).isNotNull() & F.col(right_ts).isNotNull())
     tb = F.col(right_tiebreak) if right_tiebreak else F.lit(None)
 
-    r = right.select(F.col(key).alias("_k"), F.col(right_ts).cast("timestamp_ntz").alias("_t"),
+    def time(df, name):
+        c = F.col(name)
+        return c.cast("timestamp_ntz") if isinstance(df.schema[name].dataType, T.TimestampType) else c
+
+    r = right.select(F.col(key).alias("_k"), time(right, right_ts).alias("_t"),
                      F.lit(0).alias("_side"), tb.alias("_tb"), rstruct.alias("_r"))
-    lft = left.select(F.col(key).alias("_k"), F.col(left_ts).cast("timestamp_ntz").alias("_t"),
-                      F.lit(1).alias("_side"), F.lit(None).cast(r.schema["_tb"].dataType).alias("_tb"),
+    # in the sort, rights of the same time come first, or last when they do not count
+    lft = left.select(F.col(key).alias("_k"), time(left, left_ts).alias("_t"),
+                      F.lit(-1 if strict else 1).alias("_side"), F.lit(None).cast(r.schema["_tb"].dataType).alias("_tb"),
                       F.lit(None).cast(r.schema["_r"].dataType).alias("_r"), lstruct.alias("_l"))
     r = r.withColumn("_l", F.lit(None).cast(lft.schema["_l"].dataType))
-    # rights sort before lefts at equal time: "at or before"
     u = with_slice(r.unionByName(lft), [("_k", False), ("_t", False), ("_side", False),
                                          ("_tb", False)], n)
 
-    w_in = (Window.partitionBy("_rp", "_k").orderBy("_t", "_side", "_tb")
+    w_in = (Window.partitionBy("_rp", "_k").orderBy("_t", "_side", "_tb", TIE)
             .rowsBetween(Window.unboundedPreceding, Window.currentRow))
     matched = (u.withColumn("_in", F.last("_r", ignorenulls=True).over(w_in))
-               .where(F.col("_side") == 1))
+               .where(F.col("_side") != 0))
 
     # per (slice, key): the last right row; carried into the key's later slices
     last_r = F.max(F.when(F.col("_side") == 0, F.struct("_t", "_tb", "_r")))
@@ -60,6 +69,24 @@ def asof_join(left: DataFrame, right: DataFrame, key: str, left_ts: str, right_t
                             .alias("_carry"))
     out = matched.join(F.broadcast(carry), (F.col("_rp") == F.col("_c_rp"))
                        & F.col("_k").eqNullSafe(F.col("_c_k")), "left")
-    best = F.coalesce(F.col("_in"), F.col("_carry"))
+    best = F.when(F.col("_k").isNotNull() & F.col("_t").isNotNull(),
+                  F.coalesce(F.col("_in"), F.col("_carry")))
     return out.select(*[F.col("_l")[c].alias(c) for c in left.columns],
                       *[best[c].alias(c) for c in rcols])
+
+
+def sum_between(left: DataFrame, steps: DataFrame, key: str, lo: str, hi: str, at: str,
+                running: str, out: str, partitions: int | None = None) -> DataFrame:
+    """Left rows with the sum over ``[lo, hi]`` from a table of running sums.
+
+    ``steps`` holds one row per ``(key, at)`` with the sum up to and including
+    it.  The sum over a range is the running sum as of ``hi`` less the one
+    before ``lo``: two look-ups per row and no pairs, however many steps lie
+    between.  NULL where no step is at or before ``hi``.
+    """
+    high = asof_join(left, steps.select(key, F.col(at).alias("_at"), F.col(running).alias("_high")),
+                     key, hi, "_at", ["_high"], partitions=partitions)
+    both = asof_join(high, steps.select(key, F.col(at).alias("_at"), F.col(running).alias("_low")),
+                     key, lo, "_at", ["_low"], partitions=partitions, strict=True)
+    total = F.col("_high") - F.coalesce(F.col("_low"), F.lit(0))
+    return both.withColumn(out, total).drop("_high", "_low")

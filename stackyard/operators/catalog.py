@@ -8,14 +8,17 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def split_statements(script: str) -> list[str]:
-    """Split on ``;`` outside quotes and ``--`` comments.  Not a SQL parser:
-    each piece goes to Spark as it is."""
+    """Split on ``;`` outside quotes (with backslash escapes) and comments
+    (``--`` and ``/* */``).  Not a SQL parser: each piece goes to Spark as it is."""
     out, buf, quote, i = [], [], None, 0
     while i < len(script):
         ch = script[i]
         if quote:
             buf.append(ch)
-            if ch == quote:
+            if ch == "\\" and quote != "`" and i + 1 < len(script):
+                i += 1
+                buf.append(script[i])
+            elif ch == quote:
                 quote = None
         elif ch in ("'", '"', "`"):
             quote = ch
@@ -24,6 +27,11 @@ def split_statements(script: str) -> list[str]:
             j = script.find("\n", i)
             i = len(script) if j < 0 else j
             continue
+        elif ch == "/" and script.startswith("/*", i):
+            j = script.find("*/", i + 2)
+            i = len(script) if j < 0 else j + 2
+            buf.append(" ")
+            continue
         elif ch == ";":
             out.append("".join(buf).strip())
             buf = []

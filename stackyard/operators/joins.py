@@ -1,4 +1,4 @@
-"""Joins and the size check that guards every broadcast."""
+"""Joins."""
 
 from __future__ import annotations
 
@@ -9,29 +9,15 @@ from pyspark.sql import functions as F
 
 from stackyard.functions.strings import literal_pattern
 
-DEFAULT_BROADCAST_ROWS = 1_000_000
 
+def lookup(left: DataFrame, right: DataFrame, on, how: str = "inner") -> DataFrame:
+    """Equi lookup of attributes from a dimension-like table.
 
-def at_most(df: DataFrame, max_rows: int) -> bool:
-    """True when ``df`` has at most ``max_rows`` rows.
-
-    Reads at most ``max_rows + 1`` rows (the limit is pushed into each scan
-    task), so the check stays cheap even when the answer is no.
+    No hint: Spark broadcasts ``right`` when its bytes are under
+    ``autoBroadcastJoinThreshold``, at planning or at run time (AQE), and sorts
+    and merges otherwise.
     """
-    return df.limit(max_rows + 1).count() <= max_rows
-
-
-def broadcast_if_small(df: DataFrame, max_rows: int = DEFAULT_BROADCAST_ROWS) -> DataFrame:
-    """Hint a broadcast only behind a proven row bound; otherwise leave the
-    join to Spark (sort-merge, or AQE's runtime switch to broadcast when
-    the shuffled side turns out small)."""
-    return F.broadcast(df) if at_most(df, max_rows) else df
-
-
-def lookup(left: DataFrame, right: DataFrame, on, how: str = "inner",
-           max_rows: int = DEFAULT_BROADCAST_ROWS) -> DataFrame:
-    """Equi lookup of attributes from a dimension-like table."""
-    return left.join(broadcast_if_small(right, max_rows), on, how)
+    return left.join(right, on, how)
 
 
 def member_join(df: DataFrame, list_col: str, other: DataFrame, other_key: str,

@@ -25,6 +25,7 @@ Order items are column names (ascending) or ``desc("col")``.
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -53,35 +54,10 @@ def _sort_cols(spec):
     return [F.col(c).desc() if d else F.col(c).asc() for c, d in spec]
 
 
-def _sql_lit(value, dtype) -> str:
-    """SQL literal of a collected value, typed as the column."""
-    if value is None:
-        return f"CAST(NULL AS {dtype.simpleString()})"
-    if isinstance(dtype, T.TimestampType):  # collected as local wall time
-        return f"timestamp_micros({int(round(value.timestamp() * 1_000_000))})"
-    text = str(value).replace("\\", "\\\\").replace("'", "\\'")
-    return f"CAST('{text}' AS {dtype.simpleString()})"
-
-
-def _before(spec, types, bound) -> str:
-    """SQL: row strictly before ``bound`` in the (key, order) sort, SQL null
-    order (nulls first ascending, last descending)."""
-    expr = "false"
-    for (c, d), v in reversed(list(zip(spec, bound))):
-        x, lv = f"`{c}`", _sql_lit(v, types[c])
-        if v is None:
-            lt, eq = (f"{x} IS NOT NULL" if d else "false"), f"{x} IS NULL"
-        elif d:
-            lt, eq = f"({x} IS NOT NULL AND {x} > {lv})", f"coalesce({x} = {lv}, false)"
-        else:
-            lt, eq = f"({x} IS NULL OR {x} < {lv})", f"coalesce({x} = {lv}, false)"
-        expr = f"({lt} OR ({eq} AND {expr}))"
-    return expr
+PER_SLICE = 20  # sampled rows per slice
 
 
 def _py_cmp(spec):
-    import functools
-
     def cmp(a, b):
         for (_, d), x, y in zip(spec, a, b):
             if x == y:
@@ -97,121 +73,92 @@ def _py_cmp(spec):
     return functools.cmp_to_key(cmp)
 
 
-MAX_SLICES = 1 << 16
-_TREE_MAX = 64  # slices a CASE tree handles within codegen's method size
-
+def _slice_bounds(df: DataFrame, spec, n: int, per_slice: int) -> list[tuple]:
+    """Up to ``n - 1`` increasing bounds of the sort columns.
 
-def _slice_bounds(df: DataFrame, spec, n: int, per_slice: int = 20) -> list[tuple]:
-    """Up to ``n - 1`` increasing bounds of (key, order) from a sample of
-    ``per_slice * n`` rows, collected once (bounded by ``n``, not by the
-    data).  One job: the rows with the smallest hash of the sort columns, a
-    deterministic pseudo-random sample (per-task top-k, then merge)."""
+    The sample is the rows whose hash falls under a threshold set from the row
+    count: about ``per_slice * n`` in total, however many tasks read
+    the table.  Equal rows are counted in the map tasks, so a repeated row
+    is one entry.  What reaches the driver is bounded by ``n``.
+    """
     names = [c for c, _ in spec]
-    picked = (df.select(*names).orderBy(F.xxhash64(*names), *names).limit(per_slice * n)
-              .collect())
+    total = df.agg(F.count(F.lit(1))).first()[0]
+    one_in = max(1, total // (per_slice * n))
+    picked = (df.select(*names).where(F.pmod(F.xxhash64(F.lit("slice"), *names), F.lit(one_in)) == 0)
+              .groupBy(*names).agg(F.count(F.lit(1)).alias("_weight")).collect())
     if not picked:
         return []
     cmp = _py_cmp(spec)
-    sample = sorted((tuple(r) for r in picked), key=cmp)
-    bounds: list[tuple] = []
-    for i in range(1, n):
-        b = sample[min(len(sample) - 1, i * len(sample) // n)]
-        if not bounds or cmp(bounds[-1]) < cmp(b):
-            bounds.append(b)
+    sample = sorted(((tuple(r)[:-1], r["_weight"]) for r in picked), key=lambda x: cmp(x[0]))
+    weight, bounds, seen, i = sum(w for _, w in sample), [], 0, 1
+    for value, w in sample:
+        seen += w
+        if i < n and seen * n > i * weight:
+            bounds.append(value)
+            i = seen * n // weight + 1
     return bounds
 
 
-def _tree(spec, types, bounds, lo, hi) -> str:
-    """SQL: number of ``bounds[lo:hi]`` at or before the row (nested CASE)."""
-    if lo >= hi:
-        return str(lo)
-    mid = (lo + hi) // 2
-    return (f"CASE WHEN {_before(spec, types, bounds[mid])} "
-            f"THEN {_tree(spec, types, bounds, lo, mid)} "
-            f"ELSE {_tree(spec, types, bounds, mid + 1, hi)} END")
-
-
-def _ascending_key(spec, types) -> Column | None:
-    """A struct of the sort columns whose plain ascending order is the
-    (key, order) order with SQL null placement (nulls first ascending, last
-    descending); ``None`` when a descending column is not numeric, date or
-    time (it cannot be negated)."""
-    fields = []
-    for i, (c, d) in enumerate(spec):
-        x, t = F.col(c), types[c]
-        if not d:
-            fields.append(x.alias(f"v{i}"))
-            continue
-        if isinstance(t, (T.TimestampType, T.TimestampNTZType)):
-            v = F.timestamp_diff("MICROSECOND", F.expr("TIMESTAMP_NTZ'1970-01-01 00:00:00'"),
-                                 x.cast("timestamp_ntz"))
-        elif isinstance(t, T.DateType):
-            v = F.datediff(x, F.lit("1970-01-01").cast("date")).cast("long")
-        elif isinstance(t, (T.ByteType, T.ShortType, T.IntegerType, T.LongType)):
-            v = x.cast("decimal(20,0)")
-        elif isinstance(t, (T.FloatType, T.DoubleType, T.DecimalType)):
-            v = x
-        else:
-            return None
-        fields += [x.isNull().alias(f"n{i}"), (-v).alias(f"v{i}")]
-    return F.struct(*fields)
+def _at_or_after(spec, types, bounds) -> Column:
+    """How many of the sorted ``bounds`` are at or before the row.
+
+    A binary search of log2(n) steps over one constant array per sort column;
+    the arrays are part of the expression, not of the rows.
+    """
+    arrays = [F.array(*[F.lit(b[j]) for b in bounds]).cast(T.ArrayType(types[c]))
+              for j, (c, _) in enumerate(spec)]
+
+    def row_before(at: Column) -> Column:
+        # SQL null order: nulls first ascending, last descending
+        before = F.lit(False)
+        for (c, d), values in reversed(list(zip(spec, arrays))):
+            x, v = F.col(f"`{c}`"), F.get(values, at)
+            less = (F.when(v.isNull(), x.isNotNull()).otherwise(x.isNotNull() & (x > v)) if d
+                    else F.when(v.isNull(), F.lit(False)).otherwise(x.isNull() | (x < v)))
+            before = less | (x.eqNullSafe(v) & before)
+        return before
+
+    def step(acc: Column, _: Column) -> Column:
+        mid = F.floor((acc["lo"] + acc["hi"]) / 2).cast("int")
+        lower = row_before(mid)
+        open_ = acc["lo"] < acc["hi"]
+        return F.struct(F.when(open_ & ~lower, mid + 1).otherwise(acc["lo"]).alias("lo"),
+                        F.when(open_ & lower, mid).otherwise(acc["hi"]).alias("hi"))
+
+    start = F.struct(F.lit(0).alias("lo"), F.lit(len(bounds)).alias("hi"))
+    steps = F.sequence(F.lit(1), F.lit(len(bounds).bit_length() + 1))
+    return F.aggregate(steps, start, step, lambda acc: acc["lo"])
+
+
+TIE = "_sy_tie"  # orders rows that are equal in all sort columns, so that slices can part them
 
 
 def with_slice(df: DataFrame, spec, n: int, out: str = "_rp",
-                per_slice: int = 20) -> DataFrame:
-    """``df`` plus a deterministic range slice id (0..n-1) of (key, order).
+               per_slice: int = PER_SLICE) -> DataFrame:
+    """``df`` plus a range slice id (0..n-1) of (key, order), and the column ``TIE``.
 
     The slice is a pure function of the row and of bounds fixed for the
     query, so every branch of a plan (and every rerun after an executor
-    loss) agrees on it, unlike a shuffle's own range sampling.
-
-    Bounds: the sort key of a sample of ``per_slice * n`` rows (those with
-    the smallest hash, a deterministic pick), cut into ``n`` quantiles; the
-    resulting array is a scalar subquery, evaluated once per query and
-    bounded by ``n``.  Lookup: a binary search over that array with
-    ``aggregate`` (``log2 n`` steps per row), whatever ``n`` is.
+    loss) agrees on it, unlike a shuffle's own range sampling.  ``TIE`` is a
+    hash of the whole row and the last sort column: many rows of one sort
+    value are spread over slices.  Windows inside a slice order by it too.
     """
-    n = max(1, min(n, MAX_SLICES))
-    if n == 1:
+    df = df.withColumn(TIE, F.xxhash64(*[F.col(f"`{c}`") for c in df.columns]))
+    if n <= 1:
+        return df.withColumn(out, F.lit(0))
+    spec = [*spec, (TIE, False)]
+    bounds = _slice_bounds(df, spec, n, per_slice)
+    if not bounds:
         return df.withColumn(out, F.lit(0))
-    names = [c for c, _ in spec]
     types = {f.name: f.dataType for f in df.schema.fields}
-    key = _ascending_key(spec, types)
-    if key is None or n <= _TREE_MAX:
-        # few slices (or descending text): a compiled CASE tree, bounds from
-        # one sample job now
-        bounds = _slice_bounds(df, spec, min(n, _TREE_MAX), per_slice)
-        if not bounds:
-            return df.withColumn(out, F.lit(0))
-        return df.withColumn(out, F.expr(_tree(spec, types, bounds, 0, len(bounds))).cast("int"))
-    sample = (df.select(key.alias("__sy_k"), *names)
-              .orderBy(F.xxhash64(*names), *names).limit(per_slice * n).select("__sy_k"))
-    whole = Window.orderBy("__sy_k").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    ranked = sample.select("__sy_k", F.row_number().over(Window.orderBy("__sy_k")).alias("__sy_i"),
-                           F.count(F.lit(1)).over(whole).alias("__sy_c"))
-    quantile = F.floor((F.col("__sy_i") - 1) * n / F.col("__sy_c"))
-    bounds = (ranked.where(quantile >= 1).groupBy(quantile.alias("__sy_q"))
-              .agg(F.min("__sy_k").alias("__sy_b"))
-              .agg(F.array_distinct(F.sort_array(F.collect_list("__sy_b"))).alias("__sy_bounds")))
-    steps = n.bit_length() + 1
-    mid = "CAST((acc.lo + acc.hi) div 2 AS INT)"
-    search = (f"aggregate(sequence(1, {steps}), named_struct('lo', 0, 'hi', size(__sy_bounds)), "
-              f"(acc, i) -> CASE WHEN acc.lo >= acc.hi THEN acc "
-              f"WHEN __sy_key < element_at(__sy_bounds, {mid} + 1) "
-              f"THEN named_struct('lo', acc.lo, 'hi', {mid}) "
-              f"ELSE named_struct('lo', {mid} + 1, 'hi', acc.hi) END, "
-              f"acc -> acc.lo)")
-    return (df.withColumn("__sy_key", key)
-            .withColumn("__sy_bounds", F.coalesce(bounds.scalar(), F.array().cast(
-                T.ArrayType(sample.schema["__sy_k"].dataType))))
-            .withColumn(out, F.expr(search).cast("int"))
-            .drop("__sy_key", "__sy_bounds"))
+    return df.withColumn(out, _at_or_after(spec, types, bounds))
 
 
 def _positions(df: DataFrame, keys: list[str], order, sums: Sequence[str] = (),
                partitions: int | None = None) -> DataFrame:
     """``df`` plus ``_pos`` (0-based position in key) and ``_run_<c>``
-    (running sum of ``c`` up to and including the row; NULL adds nothing).
+    (running sum of ``c`` up to and including the row, in the type of
+    ``sum(c)``; NULL adds nothing, and only NULLs so far give NULL).
 
     Rows are cut into ``n`` range slices of (key, order); a window numbers
     rows per (slice, key), so a hot key is spread over many slices and
@@ -224,22 +171,20 @@ def _positions(df: DataFrame, keys: list[str], order, sums: Sequence[str] = (),
     n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     spec = [(k, False) for k in keys] + _spec(order)
     sliced = with_slice(df, spec, n)
-    w = Window.partitionBy("_rp", *keys).orderBy(*_sort_cols(_spec(order)))
+    w = Window.partitionBy("_rp", *keys).orderBy(*_sort_cols(_spec(order)), TIE)
     local = sliced.withColumn("_local", F.row_number().over(w))
     for c in sums:
-        local = local.withColumn(f"_lsum_{c}", F.coalesce(
-            F.sum(c).over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow)), F.lit(0))
-            .cast("double"))
+        local = local.withColumn(
+            f"_lsum_{c}", F.sum(c).over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
     counts = sliced.groupBy("_rp", *keys).agg(
-        F.count(F.lit(1)).alias("_n"), *[F.coalesce(F.sum(c), F.lit(0)).cast("double")
-                                         .alias(f"_s_{c}") for c in sums])
+        F.count(F.lit(1)).alias("_n"), *[F.sum(c).alias(f"_s_{c}") for c in sums])
     span = Window.partitionBy(*keys)
     prev = Window.partitionBy(*keys).orderBy("_rp").rowsBetween(Window.unboundedPreceding, -1)
     crossing = counts.withColumn("_slices", F.count(F.lit(1)).over(span)).where("_slices > 1")
     offsets = crossing.select(
         F.col("_rp").alias("_o_rp"), *[F.col(k).alias(f"_k_{k}") for k in keys],
         F.coalesce(F.sum("_n").over(prev), F.lit(0)).alias("_off"),
-        *[F.coalesce(F.sum(f"_s_{c}").over(prev), F.lit(0.0)).alias(f"_offs_{c}") for c in sums])
+        *[F.sum(f"_s_{c}").over(prev).alias(f"_offs_{c}") for c in sums])
     cond = F.col("_rp") == F.col("_o_rp")
     for k in keys:
         cond = cond & F.col(k).eqNullSafe(F.col(f"_k_{k}"))
@@ -247,10 +192,18 @@ def _positions(df: DataFrame, keys: list[str], order, sums: Sequence[str] = (),
     j = local.join(F.broadcast(offsets), cond, "left")
     return j.select(*df.columns,
                     (F.col("_local") - 1 + F.coalesce(F.col("_off"), F.lit(0))).alias("_pos"),
-                    *[(F.col(f"_lsum_{c}") + F.coalesce(F.col(f"_offs_{c}"), F.lit(0.0)))
+                    *[F.coalesce(F.col(f"_lsum_{c}") + F.col(f"_offs_{c}"), f"_lsum_{c}", f"_offs_{c}")
                       .alias(f"_run_{c}") for c in sums])
 
 
+def null_safe_join(left: DataFrame, right: DataFrame, on: Sequence[str], how: str = "inner") -> DataFrame:
+    """Equi join on ``on`` where NULL equals NULL; the columns appear once."""
+    cond = functools.reduce(lambda a, b: a & b,
+                            [left[c].eqNullSafe(F.col(f"_on_{c}")) for c in on])
+    renamed = right.select(*[F.col(c).alias(f"_on_{c}" if c in on else c) for c in right.columns])
+    return left.join(renamed, cond, how).drop(*[f"_on_{c}" for c in on])
+
+
 def ordinal(df: DataFrame, keys: Sequence[str], order: Sequence,
             out: str = "ordinal", base: int = 0, partitions: int | None = None) -> DataFrame:
     """O3: ``base``-based position of each row within its key, by ``order``.
@@ -292,11 +245,14 @@ def ranks(df: DataFrame, keys: Sequence[str], value: str, tiebreak: str,
     d = _positions(distinct, keys, [v], ["_cnt"], partitions=partitions).select(
         *keys, value, (F.col("_pos") + 1).alias("dense_rank"),
         (F.col("_run__cnt") - F.col("_cnt") + 1).cast("long").alias("rank"))
-    out = p.join(d, [*keys, value]).select(
-        *df.columns, (F.col("_pos") + 1).alias("row_number"), "rank", "dense_rank", "_pos")
     if tiles:
+        # joined to the distinct values, which are fewer than the rows of a hot key
         sizes = distinct.groupBy(*keys).agg(F.sum("_cnt").alias("_size"))
-        out = out.join(sizes, keys)
+        d = null_safe_join(d, sizes, keys)
+    out = null_safe_join(p, d, [*keys, value]).select(
+        *df.columns, (F.col("_pos") + 1).alias("row_number"), "rank", "dense_rank", "_pos",
+        *(["_size"] if tiles else []))
+    if tiles:
         q = F.floor(F.col("_size") / tiles)
         r = F.col("_size") % tiles
         big = r * (q + 1)

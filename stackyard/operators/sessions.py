@@ -22,7 +22,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from stackyard.operators.ordinal import with_slice
+from stackyard.operators.ordinal import TIE, with_slice
 
 
 def sessionize(df: DataFrame, key: str, ts: str, gap: str, tiebreak: str,
@@ -31,7 +31,7 @@ def sessionize(df: DataFrame, key: str, ts: str, gap: str, tiebreak: str,
     n = partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     gap_iv = F.expr(f"INTERVAL {gap}")
     sliced = with_slice(df, [(key, False), (ts, False), (tiebreak, False)], n)
-    w = Window.partitionBy("_rp", key).orderBy(ts, tiebreak)
+    w = Window.partitionBy("_rp", key).orderBy(ts, tiebreak, TIE)
     prev = F.lag(ts).over(w)
     local = sliced.withColumn("_brk", F.when(prev.isNull() | (F.col(ts) >= prev + gap_iv), 1)
                               .otherwise(0))

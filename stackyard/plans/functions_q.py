@@ -64,7 +64,7 @@ FROM customer JOIN nation ON c_nationkey = n_nationkey
 """)
 def x6_render_template(spark, sf):
     cust = lookup(load(spark, sf, "customer"), load(spark, sf, "nation"),
-                  F.col("c_nationkey") == F.col("n_nationkey"), max_rows=10_000)
+                  F.col("c_nationkey") == F.col("n_nationkey"))
     params = F.create_map(F.lit("{name}"), F.col("c_name"), F.lit("{nation}"), F.col("n_name"),
                           F.lit("{segment}"), F.col("c_mktsegment"))
     return cust.select("c_custkey", S.render(F.lit("jdbc://{nation}/{name}?segment={segment}"),

@@ -61,8 +61,8 @@ def j4_lookup(spark, sf):
     cust = load(spark, sf, "customer").select("c_custkey", "c_nationkey")
     nat = load(spark, sf, "nation")
     reg = load(spark, sf, "region")
-    out = J.lookup(cust, nat, cust.c_nationkey == nat.n_nationkey, "left", max_rows=10_000)
-    out = J.lookup(out, reg, out.n_regionkey == reg.r_regionkey, "left", max_rows=10_000)
+    out = J.lookup(cust, nat, cust.c_nationkey == nat.n_nationkey, "left")
+    out = J.lookup(out, reg, out.n_regionkey == reg.r_regionkey, "left")
     return out.select("c_custkey", "n_name", "r_name")
 
 

@@ -5,7 +5,7 @@ Per-key windows use the skew-safe operators of ``operators.ordinal``."""
 from pyspark.sql import functions as F
 
 from stackyard.operators import ordinal as O
-from stackyard.operators.asof import asof_join
+from stackyard.operators.asof import asof_join, sum_between
 from stackyard.plans.registry import query
 from stackyard.streaming.events import interval_join
 from stackyard.tables import load
@@ -77,17 +77,18 @@ FROM customer JOIN supplier ON c_nationkey = s_nationkey
 GROUP BY c_custkey
 """)
 def s4_range_join(spark, sf):
-    # band join: bucket the balance so each customer meets only suppliers of
-    # its own and the two neighbouring buckets (no all-pairs per nation)
+    # a band count needs no pairs: suppliers up to the upper bound less those below the lower one,
+    # from running counts of the suppliers found by two as-of look-ups
     width = 100.0
-    c = load(spark, sf, "customer").select("c_custkey", "c_nationkey", "c_acctbal") \
-        .withColumn("_b", F.explode(F.sequence(F.floor(F.col("c_acctbal") / width) - 1,
-                                               F.floor(F.col("c_acctbal") / width) + 1)))
-    s = load(spark, sf, "supplier").select("s_suppkey", "s_nationkey", "s_acctbal") \
-        .withColumn("_sb", F.floor(F.col("s_acctbal") / width))
-    j = c.join(s, (c.c_nationkey == s.s_nationkey) & (c._b == s._sb)
-               & s.s_acctbal.between(c.c_acctbal - width, c.c_acctbal + width))
-    return j.groupBy("c_custkey").agg(F.count(F.lit(1)).alias("n_suppliers"))
+    c = load(spark, sf, "customer").select("c_custkey", "c_nationkey", "c_acctbal")
+    s = (load(spark, sf, "supplier").where("s_nationkey IS NOT NULL AND s_acctbal IS NOT NULL")
+         .groupBy(F.col("s_nationkey").alias("nation"), F.col("s_acctbal").alias("at"))
+         .agg(F.count(F.lit(1)).alias("n")))
+    counts = O.running_sum(s, ["nation"], ["at"], "n", out="upto")
+    ends = c.select("c_custkey", F.col("c_nationkey").alias("nation"),
+                    (F.col("c_acctbal") - width).alias("lo"), (F.col("c_acctbal") + width).alias("hi"))
+    n = sum_between(ends, counts, "nation", "lo", "hi", "at", "upto", "n_suppliers")
+    return n.where("n_suppliers > 0").select("c_custkey", "n_suppliers")
 
 
 @query("s5_asof_join", "S5", sql="""
@@ -113,7 +114,7 @@ SELECT l_returnflag, l_linestatus, round(SUM(l_quantity), 2) AS sum_qty,
        round(SUM(l_extendedprice * (1 - l_discount)), 4) AS sum_disc_price,
        round(AVG(l_quantity), 6) AS avg_qty, MIN(l_discount) AS min_disc, MAX(l_tax) AS max_tax,
        COUNT(*) AS count_order
-FROM lineitem GROUP BY l_returnflag, l_linestatus HAVING COUNT(*) > 9950
+FROM lineitem GROUP BY l_returnflag, l_linestatus HAVING 6 * COUNT(*) > (SELECT COUNT(*) FROM lineitem)
 """)
 def s6_group_having(spark, sf):
     li = load(spark, sf, "lineitem")
@@ -124,7 +125,9 @@ def s6_group_having(spark, sf):
         F.round(F.avg("l_quantity"), 6).alias("avg_qty"),
         F.min("l_discount").alias("min_disc"), F.max("l_tax").alias("max_tax"),
         F.count(F.lit(1)).alias("count_order"))
-    return g.where(F.col("count_order") > 9950)
+    # groups above a sixth of the table
+    total = li.agg(F.count(F.lit(1)).alias("n"))
+    return g.where(6 * F.col("count_order") > total.scalar())
 
 
 @query("s7_count_distinct", "S7", sql="""
@@ -194,7 +197,7 @@ def s11_lag_lead(spark, sf):
     ends = ev.groupBy("user_id").agg(
         F.min_by("event_type", F.struct(*order)).alias("first_type"),
         F.max_by("event_type", F.struct(*order)).alias("last_type"))
-    return (both.join(ends, "user_id")
+    return (O.null_safe_join(both, ends, ["user_id"])
             .select("event_id", "user_id", "lag_event_type", "lag_ts", "lead_event_type",
                     "first_type", "last_type"))
 
@@ -212,15 +215,15 @@ def s12_frames(spark, sf):
     o = load(spark, sf, "orders").select("o_orderkey", "o_custkey", "o_orderdate", "o_totalprice")
     run = O.running_sum(o, ["o_custkey"], ["o_orderdate", "o_orderkey"], "o_totalprice",
                         out="running_total")
-    # range frame: orders of the same customer dated in [d - 30 days, d],
-    # found by a bucketed interval join (each order meets one window only)
-    prev = o.select(F.col("o_custkey").alias("c"), F.col("o_orderdate").alias("d_prev"),
-                    F.col("o_totalprice").alias("p_prev"))
-    cur = o.select("o_orderkey", "o_custkey",
-                   (F.col("o_orderdate") - F.expr("INTERVAL 30 DAYS")).alias("d_from"))
-    pairs = interval_join(cur, prev.withColumnRenamed("c", "o_custkey"), "o_custkey",
-                          "d_from", "d_prev", "30 days")
-    win = pairs.groupBy("o_orderkey").agg(F.round(F.sum("p_prev"), 2).alias("total_30d"))
+    # range frame: the sum up to the day less the sum before the day 30 days ago; the key is text
+    # because a window, unlike a join, also has a group of NULL customers
+    key = F.coalesce(F.col("o_custkey").cast("string"), F.lit("")).alias("customer")
+    days = o.groupBy(key, "o_orderdate").agg(F.sum("o_totalprice").alias("day_total"))
+    upto = O.running_sum(days, ["customer"], ["o_orderdate"], "day_total", out="upto")
+    ends = o.select("o_orderkey", key, F.col("o_orderdate").alias("hi"),
+                    (F.col("o_orderdate") - F.expr("INTERVAL 30 DAYS")).alias("lo"))
+    win = sum_between(ends, upto, "customer", "lo", "hi", "o_orderdate", "upto", "total_30d").select(
+        "o_orderkey", F.round("total_30d", 2).alias("total_30d"))
     return run.join(win, "o_orderkey").select(
         "o_orderkey", "o_custkey", F.round("running_total", 2).alias("running_total"), "total_30d")
 

@@ -1,7 +1,8 @@
 """Streams (IO11, R1-R9).
 
-Stream runs read files cut from ``events`` in time order (file i holds the
-i-th time range, one file per micro-batch), run with ``availableNow`` and a
+Stream runs read files cut from ``events`` in time order (as many files per
+time range as the session has shuffle partitions, one range per micro-batch),
+run with ``availableNow`` and a
 checkpoint under the shared folder, and return what the sink wrote.  The
 queries whose final result does not depend on batch boundaries have an
 oracle; the late-row query (R4) depends on them by design and is checked
@@ -20,26 +21,32 @@ from stackyard.streaming.sinks import (append_updates, ingest_logs, read_latest,
 from stackyard.streaming.state import running_state, running_totals
 from stackyard.tables import load
 
-N_FILES = 4
+LEAST_BATCHES, ROWS_PER_BATCH = 4, 5_000_000
 JSON_TIME = {"timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"}
 EVENT_COLS = ["event_id", "ts", "user_id", "event_type", "value"]
 
 
+def files_per_batch(spark) -> int:
+    return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
 def event_files(spark, sf, extra=None, fmt="parquet"):
-    """Write ``events`` as N_FILES time-ordered files (plus ``extra`` rows as
-    a later file); return (folder, schema).
+    """Write ``events`` as time ranges in time order (plus ``extra`` rows as a
+    later range); return (folder, schema).
 
     The file source takes files in modification-time order, so each time
-    range is appended by its own write, one after the other.
+    range is appended by its own write, one after the other, in
+    ``files_per_batch`` files by as many tasks.
     """
     root = scratch_path(spark, "events-src")
     ev = load(spark, sf, "events").select(*EVENT_COLS)
-    edges = ev.select(F.percentile_approx("ts", [i / N_FILES for i in range(1, N_FILES)], 10000)
+    n = max(LEAST_BATCHES, ev.count() // ROWS_PER_BATCH)
+    edges = ev.select(F.percentile_approx("ts", [i / n for i in range(1, n)], 10000)
                       .alias("q")).first()["q"]
     bounds = [None, *edges, None]
 
     def put(df):
-        w = df.coalesce(1).write.mode("append")
+        w = df.repartition(files_per_batch(spark)).write.mode("append")
         (w.options(**JSON_TIME).json(root) if fmt == "json" else w.parquet(root))
 
     for lo, hi in zip(bounds[:-1], bounds[1:]):
@@ -55,7 +62,7 @@ def event_files(spark, sf, extra=None, fmt="parquet"):
 
 
 def read_stream(spark, root, schema, fmt="parquet"):
-    r = spark.readStream.schema(schema).option("maxFilesPerTrigger", "1")
+    r = spark.readStream.schema(schema).option("maxFilesPerTrigger", str(files_per_batch(spark)))
     return r.options(**JSON_TIME).json(root) if fmt == "json" else r.parquet(root)
 
 
@@ -69,7 +76,7 @@ SELECT event_id, ts, user_id, event_type, value FROM events
 def io11_ingest_logs(spark, sf):
     src, schema = event_files(spark, sf, fmt="json")
     out, ckpt = scratch_path(spark, "io11-out"), scratch_path(spark, "io11-ckpt")
-    q = ingest_logs(spark, src, schema, out, ckpt, fmt="json", max_files_per_trigger=1,
+    q = ingest_logs(spark, src, schema, out, ckpt, fmt="json", max_files_per_trigger=files_per_batch(spark),
                     options=JSON_TIME)
     q.awaitTermination()
     return spark.read.parquet(out)

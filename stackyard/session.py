@@ -2,8 +2,8 @@
 
 Library code never builds a session; it takes the caller's.  Scratch output
 (round trips, stream checkpoints, lineage cuts) goes under the folder the
-cluster names in ``spark.checkpoint.dir``.  Only when that is unset (local
-tests) do we create one.
+cluster names in ``spark.checkpoint.dir``.  Only when that is unset on a local master (tests)
+do we create one; elsewhere an unset folder is an error.
 """
 
 from __future__ import annotations
@@ -58,6 +58,8 @@ def checkpoint_root(spark: SparkSession) -> str:
         except Exception:
             d = None
     if not d:
+        if not spark.sparkContext.master.startswith("local["):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         d = tempfile.mkdtemp(prefix="stackyard-ckpt-", dir=os.environ.get("TMPDIR", "/tmp"))
         spark.sparkContext.setCheckpointDir(d)
         d = spark.sparkContext.getCheckpointDir() or d

@@ -35,9 +35,11 @@ def import_jdbc(spark: SparkSession, url: str, table: str, key: str | None = Non
 def import_since(src: DataFrame, col: str, last) -> tuple[DataFrame, DataFrame]:
     """IO9: rows with ``col`` above the stored high-water mark ``last``, and
     the new mark as a one-row frame (a global max: a partial aggregate).
-    On a jdbc or Parquet source the filter reaches the scan."""
+    Without new rows the mark stays ``last``, so the next run imports nothing
+    again.  On a jdbc or Parquet source the filter reaches the scan."""
     rows = src.where(F.col(col) > F.lit(last)) if last is not None else src
-    mark = rows.agg(F.max(col).alias("high_water_mark"))
+    kept = F.lit(last).cast(src.schema[col].dataType)
+    mark = rows.agg(F.coalesce(F.max(col), kept).alias("high_water_mark"))
     return rows, mark
 
 

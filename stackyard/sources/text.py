@@ -40,9 +40,12 @@ def _fields(sep: str, collapse: bool):
 
 def read_delimited(spark: SparkSession, path, schema: T.StructType | Sequence[str],
                    sep: str = " ", comment: str | None = "#",
-                   collapse: bool = True) -> tuple[DataFrame, DataFrame]:
+                   collapse: bool | None = None) -> tuple[DataFrame, DataFrame]:
     """IO1: positional fields of each line.
 
+    Runs of the separator count as one where ``collapse`` is set; by default
+    that holds for blanks only, so ``a,,c`` keeps its empty field.
+
     Returns ``(rows, rejects)``.  ``rows`` holds every non-blank,
     non-comment line with its fields (NULL when missing, and NULL for all
     fields when the separator is absent, never the whole line), the raw
@@ -51,6 +54,7 @@ def read_delimited(spark: SparkSession, path, schema: T.StructType | Sequence[st
     """
     if not isinstance(schema, T.StructType):
         schema = T.StructType([T.StructField(n, T.StringType()) for n in schema])
+    collapse = sep == " " if collapse is None else collapse
     body = _body(_lines(spark, path), comment)
     parts = _fields(sep, collapse)
     has_sep = F.instr(F.trim("line") if (collapse and sep == " ") else F.col("line"), sep) > 0
@@ -91,17 +95,36 @@ def list_files(spark: SparkSession, root: str, glob: str = "*",
                      "length", "modificationTime")
 
 
+def _escaped(name: str):
+    x = F.replace(F.col(f"`{name}`"), F.lit("\\"), F.lit("\\\\"))
+    x = F.replace(F.replace(x, F.lit("\n"), F.lit("\\n")), F.lit("\r"), F.lit("\\r"))
+    return x.alias(name)
+
+
+def _unescaped(name: str):
+    # pairs of backslashes are set aside first, so that an escaped backslash before an n stays one
+    x = F.replace(F.col(f"`{name}`"), F.lit("\\\\"), F.lit("\x00"))
+    x = F.replace(F.replace(x, F.lit("\\n"), F.lit("\n")), F.lit("\\r"), F.lit("\r"))
+    return F.replace(x, F.lit("\x00"), F.lit("\\")).alias(name)
+
+
 def write_text(df: DataFrame, path: str, codec: str = "none", sep: str = ",",
                mode: str = "errorifexists") -> None:
     """IO6: delimited text with a compression codec.  gzip and deflate files
     cannot be split on read (one task per file); bzip2 can.  LZO is not
-    shipped with Spark and is refused here."""
+    shipped with Spark and is refused here.  A line break inside a value is
+    written as ``\\n`` or ``\\r`` (and a backslash doubled), so each row is one line;
+    ``read_text`` undoes it."""
     if codec not in CODECS:
         raise ValueError(f"codec must be one of {CODECS}")
+    df = df.select(*[_escaped(f.name) if isinstance(f.dataType, T.StringType) else F.col(f"`{f.name}`")
+                     for f in df.schema])
     (df.write.mode(mode).option("compression", codec).option("sep", sep)
      .option("header", "false").csv(path))
 
 
 def read_text(spark: SparkSession, path, schema: T.StructType | str, sep: str = ",") -> DataFrame:
     """IO6: read delimited text; the codec is taken from the file suffix."""
-    return spark.read.schema(schema).option("sep", sep).option("mode", "PERMISSIVE").csv(path)
+    raw = spark.read.schema(schema).option("sep", sep).option("mode", "PERMISSIVE").csv(path)
+    return raw.select(*[_unescaped(f.name) if isinstance(f.dataType, T.StringType) else F.col(f"`{f.name}`")
+                        for f in raw.schema])

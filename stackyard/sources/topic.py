@@ -32,14 +32,21 @@ def encode_topic(df: DataFrame, key: str, topic: str, partitions: int = 1) -> Da
 def decode_topic(df: DataFrame, schema: T.StructType | str,
                  keep: tuple[str, ...] = ("topic", "partition")) -> tuple[DataFrame, DataFrame]:
     """Parse JSON values.  Returns ``(decoded, rejects)``: values that are
-    not valid JSON go to ``rejects`` with their raw text instead of turning
-    into rows of NULLs."""
+    not JSON objects of the schema's types go to ``rejects`` with their raw
+    text instead of turning into rows of NULLs."""
     text = F.col("value").cast("string")
-    valid = F.try_parse_json(text).isNotNull()
+    if isinstance(schema, str):
+        schema = T.StructType.fromDDL(schema)
+    options = {**JSON_TIME_OPTIONS, "columnNameOfCorruptRecord": "_corrupt"}
+    checked = T.StructType([*schema.fields, T.StructField("_corrupt", T.StringType())])
     parsed = df.select(*[c for c in keep if c in df.columns], text.alias("_raw"),
-                       valid.alias("_ok"),
-                       F.from_json(text, schema, JSON_TIME_OPTIONS).alias("_v"))
-    decoded = parsed.where("_ok").select(*[c for c in keep if c in df.columns], "_v.*")
+                       F.from_json(text, checked, options).alias("_v"))
+    # an array would be read as its first object, so the text has to start as one
+    parsed = parsed.withColumn("_ok", F.coalesce(
+        F.col("_raw").rlike(r"^\s*\{") & F.col("_v").isNotNull() & F.col("_v._corrupt").isNull(),
+        F.lit(False)))
+    decoded = parsed.where("_ok").select(*[c for c in keep if c in df.columns],
+                                         *[F.col(f"_v.`{f.name}`") for f in schema.fields])
     rejects = parsed.where(~F.col("_ok")).select(*[c for c in keep if c in df.columns],
                                                  F.col("_raw").alias("value"))
     return decoded, rejects

@@ -24,14 +24,18 @@ def write_xml_properties(df: DataFrame, path: str, mode: str = "errorifexists")
      .option("rootTag", "configuration").option("rowTag", "property").save(path))
 
 
-def overlay(base: DataFrame, extra: DataFrame, replace: bool = False) -> DataFrame:
+def overlay(base: DataFrame, extra: DataFrame, replace: bool = False,
+            order: str | None = None) -> DataFrame:
     """Add properties to a set.  ``replace=False`` appends (duplicates of a
     name stay, as when lines are added before the closing tag);
-    ``replace=True`` is an upsert by name, extra winning."""
+    ``replace=True`` is an upsert by name, extra winning; of several rows of
+    one name in ``extra`` the last by ``order`` wins (without it: the largest
+    value)."""
     base = base.select("name", "value", F.col("description") if "description" in base.columns
                        else F.lit(None).cast("string").alias("description"))
+    place = F.col(order) if order else F.lit(1)
     extra = extra.select("name", "value", F.col("description") if "description" in extra.columns
-                         else F.lit(None).cast("string").alias("description"))
+                         else F.lit(None).cast("string").alias("description"), place.alias("_seq"))
     if not replace:
-        return base.unionByName(extra)
-    return upsert(base, extra.withColumn("_seq", F.lit(1)), ["name"], ["_seq"])
+        return base.unionByName(extra.drop("_seq"))
+    return upsert(base, extra, ["name"], ["_seq", "value", "description"])

@@ -18,7 +18,6 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from stackyard.operators.joins import DEFAULT_BROADCAST_ROWS, broadcast_if_small
 
 EPOCH_NTZ = "TIMESTAMP_NTZ'1970-01-01 00:00:00'"
 
@@ -97,11 +96,10 @@ def late_count(progress: Sequence[dict]) -> int:
     return total
 
 
-def enrich(stream: DataFrame, static: DataFrame, on, how: str = "left",
-           max_rows: int = DEFAULT_BROADCAST_ROWS) -> DataFrame:
-    """Stream-static join.  The static side is broadcast only when its
-    row count is proven under ``max_rows``; otherwise Spark shuffles both."""
-    return stream.join(broadcast_if_small(static, max_rows), on, how)
+def enrich(stream: DataFrame, static: DataFrame, on, how: str = "left") -> DataFrame:
+    """Stream-static join.  Spark broadcasts the static side when its bytes
+    are under the threshold and shuffles both sides otherwise."""
+    return stream.join(static, on, how)
 
 
 _UNIT_US = {"microsecond": 1, "millisecond": 1_000, "second": 1_000_000,
@@ -128,6 +126,9 @@ def interval_join(left: DataFrame, right: DataFrame, key: str, left_ts: str, rig
     found once and a key only meets rows one window apart.  On streams both
     sides carry watermarks and state is evicted after ``width + delay``.
     """
+    if how not in ("inner", "left", "left_outer", "leftouter"):
+        # a right row is offered to two buckets, so it cannot be told unmatched once
+        raise ValueError("interval_join is inner or left")
     w_us = interval_micros(width)
     lt = with_event_time(left, left_ts, delay, "_l_et")
     lt = lt.withColumn("_l_b", F.floor(F.unix_micros("_l_et") / F.lit(w_us)))

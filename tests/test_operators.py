@@ -131,14 +131,6 @@ def test_delete_markers_hide_older_cells(spark):
     assert got == [(1, "b"), (2, "c")]
 
 
-def test_broadcast_only_behind_a_size_check(spark):
-    nat = spark.read.parquet(f"{SMALL}/nation.parquet")
-    cust = spark.read.parquet(f"{SMALL}/customer.parquet")
-    small = J.lookup(cust, nat, cust.c_nationkey == nat.n_nationkey, max_rows=100)
-    assert "BroadcastHashJoin" in small._jdf.queryExecution().executedPlan().toString()
-    assert J.at_most(nat, 25) and not J.at_most(nat, 24)
-
-
 def test_telemetry_percentiles_are_sketches(spark):
     ev = spark.read.parquet(f"{SMALL}/events.parquet")
     r = A.telemetry_rollup(ev, ["event_type"], "ts", "value", "1 day")
@@ -206,8 +198,7 @@ def test_hot_key_is_split_and_offsets_are_bounded(skewed):
     assert a == b
 
 
-def test_broadcast_hint_only_below_the_bound(spark):
+def test_lookup_leaves_the_broadcast_to_spark(spark):
     nat = spark.read.parquet(f"{SMALL}/nation.parquet")
-    hinted = J.broadcast_if_small(nat, 25)._jdf.queryExecution().analyzed().toString()
-    plain = J.broadcast_if_small(nat, 24)._jdf.queryExecution().analyzed().toString()
-    assert "broadcast" in hinted.lower() and "broadcast" not in plain.lower()
+    plan = J.lookup(nat, nat.select("n_nationkey"), "n_nationkey")._jdf.queryExecution().analyzed().toString()
+    assert "hint" not in plan.lower()

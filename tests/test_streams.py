@@ -46,7 +46,7 @@ def test_late_rows_follow_the_watermark_model(spark):
     out = SQ.r4_late_rows_dropped(spark, SMALL)
     ev = load(spark, SMALL, "events").select(*SQ.EVENT_COLS).toPandas()
     edges = list(load(spark, SMALL, "events").select(F.percentile_approx(
-        "ts", [i / SQ.N_FILES for i in range(1, SQ.N_FILES)], 10000).alias("q")).first()["q"])
+        "ts", [i / SQ.LEAST_BATCHES for i in range(1, SQ.LEAST_BATCHES)], 10000).alias("q")).first()["q"])
     bounds = [None, *edges, None]
     files = []
     for lo, hi in zip(bounds[:-1], bounds[1:]):
