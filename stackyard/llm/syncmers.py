@@ -157,7 +157,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     edges = {b: i for i, b in enumerate(bounds)} | {least: len(bounds)}
     routed = rows.mapInArrow(_router(bounds, edges),
                              "id bigint, null_id boolean, text string, slice int, edge boolean")
-    ordered = routed.repartition(n, "slice").sortWithinPartitions("slice", "edge", "id", "text")
+    ordered = routed.repartitionById(len(bounds) + 1, "slice").sortWithinPartitions("slice", "edge", "id", "text")
     return ordered.mapInArrow(
         _printer, "id bigint, n_chars bigint, edited_sha256 string, fingerprint string, "
         "edited_fingerprint string, near_edited double, near_next double").withColumnRenamed("id", id_col)
