@@ -19,7 +19,8 @@ to a band: 32 bands.  A pair of similarity J shares no band with probability
    buckets of the same members count once.  The members of larger ones are put
    into buckets of their rarest shingles instead (prefix filter, which is
    exact): documents that share a passage but nothing else no longer meet.
-   What is large even then goes through a join on the bucket.
+   What is large even then is dealt into parts, and parts are compared two by
+   two, so that a text travels once per pair of parts.
 
 No unbounded bucket is collected and none is cut.  Hot buckets are aggregated
 in the map tasks; joins on them are plain sort-merge joins that AQE splits.
@@ -38,7 +39,9 @@ SHINGLE_WORDS = 5
 SIMILARITY = 75       # percent
 ROWS_PER_BAND = 4
 BANDS = 32            # half from minima, half from maxima
-CROWD = 64            # members of a bucket that are compared in one group
+CROWD = 64            # members of a bucket beyond which rare shingles divide it
+PART = 512            # rows of a large bucket that are compared with as many others in one group
+COLUMNS = 1 << 13     # of a comparison matrix held at a time
 
 
 def _permutations(n: int, seed: int):
@@ -127,6 +130,158 @@ def _similar(p, q, percent: int) -> bool:
     return 100 * both >= percent * (len(p) + len(q) - both)
 
 
+def _shared_counts(left: list, right: list):
+    """``float32[len(left), len(right)]``: how many shingles two sets share.
+
+    Sets become rows of a 0/1 matrix over the shingles that occur on both sides, a
+    slice of columns at a time, and a matrix product counts the matches.
+    """
+    import numpy as np
+    out = np.zeros((len(left), len(right)), np.float32)
+    common = np.intersect1d(np.concatenate(left), np.concatenate(right))
+    placed = []
+    for sets in (left, right):
+        values = np.concatenate(sets)
+        row = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+        column = np.minimum(np.searchsorted(common, values), max(len(common) - 1, 0))
+        both = common[column] == values if len(common) else np.zeros(len(values), bool)
+        order = np.argsort(column[both], kind="stable")
+        placed.append((row[both][order], column[both][order]))
+    for start in range(0, len(common), COLUMNS):
+        parts = []
+        for sets, (row, column) in zip((left, right), placed):
+            a, b = np.searchsorted(column, [start, start + COLUMNS])
+            dense = np.zeros((len(sets), min(COLUMNS, len(common) - start)), np.float32)
+            dense[row[a:b], column[a:b] - start] = 1
+            parts.append(dense)
+        out += parts[0] @ parts[1].T
+    return out
+
+
+def _group_comparer(width: int, percent: int):
+    """Links between the components that meet in a group of rows ``(node, root, part, text)``.
+
+    Rows of two parts are compared across parts only; of one part, all.
+    """
+    def run(table):
+        import numpy as np
+        import pyarrow as pa
+        hasher = worker_state("word_hasher", WordHasher)
+        node, root, part = (np.array(table.column(c).to_pylist(), np.int64) for c in ("node", "root", "part"))
+        held = table.column("text").to_pylist()
+        sets = []
+        for x, y in slabs([len(t) for t in held]):
+            sets += hasher.shingle_sets(held[x:y], width)
+        ours = np.flatnonzero(part == part.min())
+        theirs = np.flatnonzero(part != part.min())
+        theirs = theirs if len(theirs) else ours
+        size = np.array([len(s) for s in sets], np.float64)
+        both = _shared_counts([sets[i] for i in ours], [sets[i] for i in theirs]).astype(np.float64)
+        alike = 100 * both >= percent * (size[ours][:, None] + size[theirs][None, :] - both)
+        i, j = np.nonzero(alike & (root[ours][:, None] != root[theirs][None, :]))
+        return pa.table({"a": pa.array(node[ours][i]), "b": pa.array(node[theirs][j])})
+    return run
+
+
+def _comparer(width: int, percent: int):
+    def run(batches):
+        import pyarrow as pa
+        hasher = worker_state("word_hasher", WordHasher)
+        for batch in batches:
+            a, b = batch.column("a").to_pylist(), batch.column("b").to_pylist()
+            ta, tb = batch.column("ta"), batch.column("tb")
+            keep = []
+            for lo, hi in slabs([1 << 10] * len(a)):
+                text = {}
+                for ids, column in ((a, ta), (b, tb)):
+                    for i in range(lo, hi):
+                        if ids[i] not in text:
+                            text[ids[i]] = column[i].as_py()
+                sets, nodes, held = {}, list(text), list(text.values())
+                for x, y in slabs([len(t) for t in held]):
+                    sets.update(zip(nodes[x:y], hasher.shingle_sets(held[x:y], width)))
+                for i in range(lo, hi):
+                    if _similar(sets[a[i]], sets[b[i]], percent):
+                        keep.append(i)
+            yield pa.record_batch([pa.array([a[i] for i in keep], pa.int64()),
+                                   pa.array([b[i] for i in keep], pa.int64())], names=["a", "b"])
+    return run
+
+
+def _similar(p, q, percent: int) -> bool:
+    import numpy as np
+    both = len(np.intersect1d(p, q, assume_unique=True))
+    return 100 * both >= percent * (len(p) + len(q) - both)
+
+
+def _group_comparer(width: int, percent: int):
+    """Links between the components that meet in a group of rows ``(node, root, part, text)``.
+
+    Rows of two parts are compared across parts only; of one part, all.
+    """
+    def run(table):
+        import pyarrow as pa
+        hasher = worker_state("word_hasher", WordHasher)
+        node, root, part, held = (table.column(c).to_pylist() for c in ("node", "root", "part", "text"))
+        sets = []
+        for x, y in slabs([len(t) for t in held]):
+            sets += hasher.shingle_sets(held[x:y], width)
+        crossing = len(set(part)) > 1
+        order = sorted(range(len(node)), key=lambda i: len(sets[i]))
+        joined = {r: r for r in root}
+
+        def top(r):
+            while joined[r] != r:
+                r = joined[r]
+            return r
+
+        links = []
+        for x, i in enumerate(order):
+            mine, size = top(root[i]), len(sets[i])
+            for j in order[x + 1:]:
+                if 100 * size < percent * len(sets[j]):
+                    break
+                if crossing and part[i] == part[j] or top(root[j]) == mine:
+                    continue
+                if _similar(sets[i], sets[j], percent):
+                    joined[top(root[j])] = mine
+                    links.append((node[i], node[j]))
+        return pa.table({"a": pa.array([a for a, _ in links], pa.int64()),
+                         "b": pa.array([b for _, b in links], pa.int64())})
+    return run
+
+
+def _comparer(width: int, percent: int):
+    def run(batches):
+        import pyarrow as pa
+        hasher = worker_state("word_hasher", WordHasher)
+        for batch in batches:
+            a, b = batch.column("a").to_pylist(), batch.column("b").to_pylist()
+            ta, tb = batch.column("ta"), batch.column("tb")
+            keep = []
+            for lo, hi in slabs([1 << 10] * len(a)):
+                text = {}
+                for ids, column in ((a, ta), (b, tb)):
+                    for i in range(lo, hi):
+                        if ids[i] not in text:
+                            text[ids[i]] = column[i].as_py()
+                sets, nodes, held = {}, list(text), list(text.values())
+                for x, y in slabs([len(t) for t in held]):
+                    sets.update(zip(nodes[x:y], hasher.shingle_sets(held[x:y], width)))
+                for i in range(lo, hi):
+                    if _similar(sets[a[i]], sets[b[i]], percent):
+                        keep.append(i)
+            yield pa.record_batch([pa.array([a[i] for i in keep], pa.int64()),
+                                   pa.array([b[i] for i in keep], pa.int64())], names=["a", "b"])
+    return run
+
+
+def _similar(p, q, percent: int) -> bool:
+    import numpy as np
+    both = len(np.intersect1d(p, q, assume_unique=True))
+    return 100 * both >= percent * (len(p) + len(q) - both)
+
+
 def _group_comparer(width: int, percent: int):
     """Links between the components that meet in a small bucket."""
     def run(table):
@@ -170,10 +325,21 @@ def _size_can_do(a: Column, b: Column, percent: int) -> Column:
 
 
 def _buckets(classes: DataFrame) -> DataFrame:
-    """``(bucket, node, pivot)`` of buckets with two or more members."""
+    """``(bucket, node, pivot)`` of buckets with two or more members.
+
+    The pivot is the member that meets the most others over all its buckets:
+    among copies of one document that differ from each other, the document
+    they were made from, which each of them is most like.
+    """
     members = classes.select("node", F.explode("bands").alias("bucket"))
-    heads = members.groupBy("bucket").agg(F.min("node").alias("pivot"), F.max("node").alias("last"))
-    return saved(members.join(heads.filter("pivot != last").select("bucket", "pivot"), "bucket"), "buckets")
+    shared = members.groupBy("bucket").agg(F.min("node").alias("first"), F.max("node").alias("last"),
+                                           F.count(F.lit(1)).alias("members")).filter("first != last")
+    members = saved(members.join(shared.select("bucket", "members"), "bucket"), "bucket-members")
+    met = members.groupBy("node").agg(F.sum("members").alias("met"))
+    heads = members.select("bucket", "node").join(met, "node").groupBy("bucket").agg(
+        F.max(F.struct("met", (-F.col("node")).alias("first"))).alias("head"))
+    heads = saved(heads.select("bucket", (-F.col("head.first")).alias("pivot")), "pivots")
+    return saved(members.select("bucket", "node").join(heads, "bucket"), "buckets")
 
 
 def _with_root(members: DataFrame, roots: DataFrame) -> DataFrame:
@@ -227,23 +393,23 @@ def _rare_buckets(crowded: DataFrame, rows: DataFrame, width: int, percent: int)
         F.col("shingle").alias("bucket"), "node", "root")
 
 
-def _across(unsettled: DataFrame) -> DataFrame:
-    """Pairs of a bucket whose members are in different components."""
-    left = unsettled.select("bucket", F.col("node").alias("a"), F.col("root").alias("ra"))
-    right = unsettled.select("bucket", F.col("node").alias("b"), F.col("root").alias("rb"))
-    return left.join(right, "bucket").filter("ra < rb").select("a", "b").distinct()
-
+def _group_links(open_: DataFrame, rows: DataFrame, width: int, percent: int) -> DataFrame:
+    """Links inside buckets ``(bucket, node, root, members)``; equal member sets count once.
 
-def _group_links(small: DataFrame, rows: DataFrame, width: int, percent: int) -> DataFrame:
-    """Links inside buckets of at most ``CROWD`` members; equal member sets count once."""
-    same = small.groupBy("bucket").agg(
-        F.bit_xor(F.xxhash64("node")).alias("x"), F.bit_xor(F.xxhash64(F.lit(1), "node")).alias("y"),
-        F.count(F.lit(1)).alias("members"))
-    once = same.groupBy("x", "y", "members").agg(F.min("bucket").alias("bucket")).select("bucket")
-    members = small.select("bucket", "node", "root").join(once, "bucket", "left_semi")
-    return saved(members.join(rows, "node")
-                 .groupBy("bucket").applyInArrow(_group_comparer(width, percent), "a bigint, b bigint"),
-                 "links")
+    A bucket of more than ``PART`` members is dealt into parts of about that
+    many, and every two parts are compared in a group of their own.
+    """
+    same = open_.groupBy("bucket", "members").agg(
+        F.bit_xor(F.xxhash64("node")).alias("x"), F.bit_xor(F.xxhash64(F.lit(1), "node")).alias("y"))
+    once = saved(same.groupBy("x", "y", "members").agg(F.min("bucket").alias("bucket")), "once")
+    parts = f"CAST(ceil(members / {PART}) AS INT)"
+    dealt = (open_.select("bucket", "node", "root", "members").join(once.select("bucket"), "bucket", "left_semi")
+             .withColumn("part", F.expr(f"CAST(pmod(xxhash64(node), {parts}) AS INT)"))
+             .withColumn("other", F.explode(F.expr(f"sequence(0, {parts} - 1)")))
+             .select("bucket", F.least("part", "other").alias("lo"), F.greatest("part", "other").alias("hi"),
+                     "node", "root", "part"))
+    return saved(dealt.join(rows, "node").groupBy("bucket", "lo", "hi").applyInArrow(
+        _group_comparer(width, percent), "a bigint, b bigint"), "links")
 
 
 def _candidates(nodes: DataFrame, classes: DataFrame, source: DataFrame) -> DataFrame:
@@ -272,10 +438,7 @@ def _class_roots(classes: DataFrame, source: DataFrame, width: int, percent: int
     crowded = unsettled.filter(F.col("members") > CROWD)
     if not crowded.isEmpty():
         rare = saved(_unsettled(_rare_buckets(crowded, rows, width, percent)), "rare-unsettled")
-        links = links.unionByName(_group_links(rare.filter(F.col("members") <= CROWD), rows, width, percent))
-        rest = rare.filter(F.col("members") > CROWD)
-        if not rest.isEmpty():
-            links = links.unionByName(_links(_across(rest), rows, width, percent))
+        links = links.unionByName(_group_links(rare, rows, width, percent))
     return components(links)
 
 

@@ -101,7 +101,9 @@ def crowd_of_documents():
 
 @pytest.mark.parametrize("crowd", [64, 4, 1])
 def test_crowded_buckets_lose_no_link(spark, monkeypatch, crowd):
-    monkeypatch.setattr(near, "CROWD", crowd)   # 1: every comparison through the join
+    monkeypatch.setattr(near, "CROWD", crowd)
+    monkeypatch.setattr(near, "PART", 4 * crowd)
+    monkeypatch.setattr(near, "COLUMNS", 50)
     docs = crowd_of_documents()
     rows = near.texts(table(spark, docs)).selectExpr("monotonically_increasing_id() AS rid", "id", "text")
     got = {r.id: (r.n_shingles, r.component_id, r.kept)
