@@ -19,6 +19,7 @@ import heapq
 
 import numpy as np
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from stackyard.llm.common import texts, worker_state
 from stackyard.llm.pretokens import chunks
@@ -163,40 +164,42 @@ class Codec:
         return b"".join(map(self.vocabulary.tokens.__getitem__, np.frombuffer(ids, "<u4").tolist()))
 
 
-def _mapper(path: str, pattern: str, decoding: bool):
+def _mapper(path: str, pattern: str, encoding: bool, decoding: bool):
     def run(batches):
         import pyarrow as pa
         codec = worker_state(f"bpe_codec:{path}", lambda: Codec(path, pattern))
         for batch in batches:
-            source = batch.column("ids" if decoding else "text").to_pylist()
-            if not decoding:
+            source = batch.column("text" if encoding else "ids").to_pylist()
+            if encoding:
                 codec.learn(source)
             for lo, hi in slabs([len(x) for x in source], _SLAB_CHARS):
+                ids = [codec.encode(t) for t in source[lo:hi]] if encoding else source[lo:hi]
+                columns, names = [batch.column("id").slice(lo, hi - lo), pa.array(ids, pa.binary())], ["id", "ids"]
                 if decoding:
-                    made = [codec.decode(x) for x in source[lo:hi]]
-                    columns, names = [batch.column("ids").slice(lo, hi - lo)], ["id", "ids", "decoded"]
-                else:
-                    made, columns, names = [codec.encode(t) for t in source[lo:hi]], [], ["id", "ids"]
-                yield pa.record_batch([batch.column("id").slice(lo, hi - lo), *columns,
-                                       pa.array(made, pa.binary())], names=names)
+                    columns.append(pa.array([codec.decode(x) for x in ids], pa.binary()))
+                    names.append("decoded")
+                yield pa.record_batch(columns, names=names)
     return run
 
 
 def encode(docs: DataFrame, ranks: str, pattern: str, id_col: str = "doc_id",
-           text_col: str = "text") -> DataFrame:
+           text_col: str = "text", decoded: bool = False) -> DataFrame:
     """``(id_col, ids)``: token ids of each text, as little-endian unsigned 32-bit integers.
 
     ``ranks`` is a file of base64 tokens and ranks, ``pattern`` what cuts texts
     before the merges.  Special strings are ordinary text.  Null and empty texts
     have no ids.  Row ids, null or repeated, are carried along; an empty
-    table gives no rows.
+    table gives no rows.  ``decoded`` adds the bytes that the ids decode to,
+    in the same pass.
     """
+    kind = "id bigint, ids binary" + ", decoded binary" * decoded
     return texts(docs, id_col, text_col).mapInArrow(
-        _mapper(ranks, pattern, decoding=False), "id bigint, ids binary").withColumnRenamed("id", id_col)
+        _mapper(ranks, pattern, True, decoded), kind).withColumnRenamed("id", id_col)
 
 
 def decode(encoded: DataFrame, ranks: str, pattern: str, id_col: str = "doc_id") -> DataFrame:
-    """``(id_col, ids, decoded)``: the bytes that the ids of ``encode`` stand for."""
-    return encoded.select(encoded[id_col].alias("id"), "ids").mapInArrow(
-        _mapper(ranks, pattern, decoding=True),
+    """``(id_col, ids, decoded)``: the bytes that the ids of ``encode`` stand for (null ids: none)."""
+    ids = F.coalesce(F.col("ids"), F.lit(b""))
+    return encoded.select(F.col(f"`{id_col}`").alias("id"), ids.alias("ids")).mapInArrow(
+        _mapper(ranks, pattern, False, True),
         "id bigint, ids binary, decoded binary").withColumnRenamed("id", id_col)

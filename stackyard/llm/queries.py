@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stackyard.llm.bestfit_packing import pack
-from stackyard.llm.bpe_codec import decode, encode
+from stackyard.llm.bpe_codec import encode
 from stackyard.llm.exact_dedup import exact_dedup
 from stackyard.llm.interpolated_lm import lm_scores
 from stackyard.llm.minmax_dedup import near_duplicates
@@ -47,8 +47,7 @@ def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     ranks, pattern = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
-    ids = encode(load(spark, sf_dir, "documents"), ranks, pattern)
-    return decode(ids, ranks, pattern).select(
+    return encode(load(spark, sf_dir, "documents"), ranks, pattern, decoded=True).select(
         "doc_id", F.expr("CAST(octet_length(ids) / 4 AS BIGINT)").alias("n_tokens"),
         F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
