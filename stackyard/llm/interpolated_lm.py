@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 from stackyard.llm.common import crc_mod, saved, shuffle_partitions, texts, worker_state
 from stackyard.llm.words import WordHasher, mix, slabs
 
-BLOCK_CHARS = 1 << 24      # texts of one block, together
+BLOCK_CHARS = 1 << 22      # texts of one block, together
 RANGE_BYTES = 1 << 23      # text bytes per range of keys
 HELD_PART = 8              # one training document in so many teaches the weights
 BUCKETS = 32               # of context frequency: 0, 1, 2-3, 4-7, ...
