@@ -139,19 +139,38 @@ def s7_count_distinct(spark, sf):
         F.count_distinct("user_id").alias("n_users"), F.count(F.lit(1)).alias("n_events"))
 
 
-@query("s8_approx_count_distinct", "S8")
+@query("s8_approx_count_distinct", "S8", sql="""
+SELECT event_type, COUNT(DISTINCT user_id) AS n_users, true AS sketch_within_a_tenth
+FROM events GROUP BY event_type
+""")
 def s8_approx_count_distinct(spark, sf):
-    # HyperLogLog++ sketches merge map-side; rows-only check (approximate)
-    return load(spark, sf, "events").groupBy("event_type").agg(
-        F.approx_count_distinct("user_id", 0.02).alias("n_users_approx"))
+    # HyperLogLog++ sketches merge map-side; five standard deviations of 0.02
+    g = load(spark, sf, "events").groupBy("event_type").agg(
+        F.approx_count_distinct("user_id", 0.02).alias("sketch"), F.count_distinct("user_id").alias("n_users"))
+    return g.select("event_type", "n_users",
+                    (F.abs(F.col("sketch") - F.col("n_users")) <= 0.1 * F.col("n_users"))
+                    .alias("sketch_within_a_tenth"))
 
 
 @query("s9_grouping_sets", "S9", sql="""
 SELECT o_orderstatus, o_orderpriority, CAST(GROUPING(o_orderstatus, o_orderpriority) AS BIGINT) AS gid,
        COUNT(*) AS n_orders, round(SUM(o_totalprice), 2) AS total
-FROM orders GROUP BY CUBE (o_orderstatus, o_orderpriority)
+FROM orders GROUP BY GROUPING SETS ((o_orderstatus, o_orderpriority), (o_orderpriority), ())
 """)
 def s9_grouping_sets(spark, sf):
+    o = load(spark, sf, "orders")
+    status, priority = F.col("o_orderstatus"), F.col("o_orderpriority")
+    return o.groupingSets([[status, priority], [priority], []], status, priority).agg(
+        F.grouping_id().cast("long").alias("gid"), F.count(F.lit(1)).alias("n_orders"),
+        F.round(F.sum("o_totalprice"), 2).alias("total"))
+
+
+@query("s9_cube", "S9", sql="""
+SELECT o_orderstatus, o_orderpriority, CAST(GROUPING(o_orderstatus, o_orderpriority) AS BIGINT) AS gid,
+       COUNT(*) AS n_orders, round(SUM(o_totalprice), 2) AS total
+FROM orders GROUP BY CUBE (o_orderstatus, o_orderpriority)
+""")
+def s9_cube(spark, sf):
     o = load(spark, sf, "orders")
     return o.cube("o_orderstatus", "o_orderpriority").agg(
         F.grouping_id().cast("long").alias("gid"), F.count(F.lit(1)).alias("n_orders"),

@@ -60,8 +60,8 @@ def u3_replace_dataset(spark, sf):
     o = load(spark, sf, "orders").select("o_orderkey", "o_orderstatus")
     write_table(o, root, "errorifexists")
     current = spark.read.parquet(root)
-    new_path = replace_table(spark, current.where(F.col("o_orderstatus") != "P"), root)
-    return spark.read.parquet(new_path)
+    replace_table(spark, current.where(F.col("o_orderstatus") != "P"), root)
+    return spark.read.parquet(root)
 
 
 @query("u4_delete_where", "U4", sql="""

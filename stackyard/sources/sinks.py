@@ -25,12 +25,29 @@ def write_table(df: DataFrame, path: str, mode: str = "errorifexists", fmt: str
 
 
 def replace_table(spark: SparkSession, df: DataFrame, path: str, fmt: str = "parquet") -> str:
-    """Replace a whole dataset.  The new data goes to a fresh sibling
-    folder first (the plan may still read the old one), and the caller gets
-    the new location to swap in.  Returns the new path."""
-    new_path = f"{path.rstrip('/')}.v{uuid.uuid4().hex[:8]}"
-    df.write.mode("errorifexists").format(fmt).save(new_path)
-    return new_path
+    """Replace a whole dataset under its own path, which is returned.
+
+    The new data goes to a fresh sibling folder first (the plan may still
+    read the old one); then the two folders change names.  If the second
+    rename fails the old data gets its name back.  Readers that already
+    listed the old files must list again.
+    """
+    path, tag = path.rstrip("/"), uuid.uuid4().hex[:8]
+    fresh, old = f"{path}.new-{tag}", f"{path}.old-{tag}"
+    df.write.mode("errorifexists").format(fmt).save(fresh)
+    jvm = spark.sparkContext._jvm
+    at = {p: jvm.org.apache.hadoop.fs.Path(p) for p in (path, fresh, old)}
+    fs = at[path].getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    existed = fs.exists(at[path])
+    if existed and not fs.rename(at[path], at[old]):
+        raise OSError(f"cannot move {path} aside")
+    if not fs.rename(at[fresh], at[path]):
+        if existed:
+            fs.rename(at[old], at[path])
+        raise OSError(f"cannot move the new data to {path}")
+    if existed:
+        fs.delete(at[old], True)
+    return path
 
 
 def backup_once(df: DataFrame, path: str, fmt: str = "parquet") -> None:

@@ -157,3 +157,13 @@ def test_sums_between_without_pairs(spark):
     got = sum_between(ends, steps, "k", "lo", "hi", "at", "upto", "n", partitions=4).collect()
     assert {(r.k, r.lo, r.hi): r.n for r in got} == {
         ("a", 9.5, 20.0): 11, ("a", -5.0, 3.0): 4, ("a", -5.0, -1.0): None, (None, 0.0, 9.0): None}
+
+
+def test_a_dataset_is_replaced_under_its_own_path(spark, tmp_path):
+    from stackyard.sources.sinks import replace_table
+    path = str(tmp_path / "t")
+    spark.range(5).write.parquet(path)
+    assert replace_table(spark, spark.read.parquet(path).where("id > 2"), path) == path
+    assert sorted(r.id for r in spark.read.parquet(path).collect()) == [3, 4]
+    assert [p.name for p in tmp_path.iterdir()] == ["t"]
+    assert replace_table(spark, spark.range(1), str(tmp_path / "new")) == str(tmp_path / "new")
