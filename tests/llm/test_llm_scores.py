@@ -274,6 +274,39 @@ def test_index_uses_the_rarest_token_and_finds_every_match(spark):
             assert not re.search(r.pattern, u.lower()) or r.pattern in fetched
 
 
+OPTIONAL = [
+    "http://clickbait.example.com/x", "http://click-bait.example.com/x", "http://a.clickbait.org/", "http://bait.x/",
+    "http://online-casino.x/", "http://casino-x/", "http://a.online-casino-x/", "http://mycasino.x/",
+    "http://free-porn.x/", "http://porn.x/", "http://a.porn-x/", "http://payday-loan/", "http://payday-loans.x/",
+    "http://a.payday-loan.x/", "http://payday-loaning.x/", "http://replica-watches/", "http://a.replica-watches.x/",
+    "http://xcheap-pills.x/", "http://x-cheap-pills.x/", "http://a.spam-farm.x/", "http://spam-farms.x/",
+]
+
+
+def test_every_way_through_a_rule_is_indexed(spark):
+    import re
+    rules = url_filter.PATTERN_RULES
+    pages = spark.createDataFrame(list(enumerate(OPTIONAL)), "page_id bigint, url string")
+    got = {r.page_id: (r.verdict, r.pattern) for r in url_filter.filter_urls(pages, places=()).collect()}
+    for i, u in enumerate(OPTIONAL):
+        first = min((r.pattern for r in rules if re.search(r.pattern, u)), default=None)
+        assert got[i] == ("block" if first else "allow", first), u
+    assert sum(p is not None and "bait" in p for _, p in got.values()) == 3
+
+
+def test_tokens_come_from_the_expression():
+    def ways(pattern):
+        return {tuple(sorted(w)) for w in url_filter.PatternRule(pattern).ways}
+
+    assert ways(r"/click-?bait\.") == {("bait", "click"), ("clickbait",)}
+    assert ways(r"/(free-)?porn[.-]") == {("free", "porn"), ("porn",)}
+    assert ways(r"/(a|bc)\b.*\bd[/.]+e/") == {("a", "d", "e"), ("bc", "d", "e")}
+    assert ways(r"/loans?x*-far/") == {("far", "loan"), ("far", "loans"), ("far",)}
+    for none in ("casino", r"/casino", r"/x?", r"/a[a-c]/", r"/(ab)*/", r"/b\w+", r"/(?i:abc)/", r"(?i)/abc/", r"/(?=abc/)"):
+        with pytest.raises(ValueError):
+            ways(none)
+
+
 # shards
 
 def check_shards(rows, docs):
