@@ -6,9 +6,9 @@ text that two documents share gives the same anchors in both, whatever
 stands around it.  About 2 / (k - s + 1) of all places are anchors, and no
 stretch of text is without one for long.
 
-A fingerprint is the anchors with the smallest hashes, each with its place.
-Two fingerprints are compared by position: of the smallest anchors of both
-together, the share that both hold in the same order of places.
+A fingerprint is all distinct anchors of a text, each with its first place, so
+it grows with the text.  Two fingerprints are compared by position: of the
+anchors of both together, the share that both hold in the same order of places.
 """
 
 from __future__ import annotations
@@ -24,7 +24,7 @@ from stackyard.llm.common import shuffle_partitions, texts
 from stackyard.llm.words import mix
 
 K, S = 24, 9
-ANCHORS = 64
+OUT_BYTES = 1 << 24   # of fingerprints in a batch that goes out
 _ROUNDS = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)
 _U = np.uint64
 
@@ -57,30 +57,45 @@ def syncmers(text: str, k: int = K, s: int = S) -> tuple[np.ndarray, np.ndarray]
     return whole, at
 
 
-def fingerprint(text: str, anchors: int = ANCHORS) -> list[tuple[int, int]]:
-    """The ``anchors`` smallest distinct anchor hashes (32 bits), each with its first place."""
+def fingerprint(text: str) -> np.ndarray:
+    """``int64[n, 2]``: all distinct anchor hashes (32 bits) in order, each with its first place."""
     hashes, places = syncmers(text)
     kept, first = np.unique(hashes >> _U(32), return_index=True)
-    return list(zip(kept[:anchors].tolist(), places[first[:anchors]].tolist()))
+    return np.array([kept.astype(np.int64), places[first]]).T
 
 
-def as_text(prints: list[tuple[int, int]]) -> str:
+def as_text(prints: np.ndarray) -> str:
     """``hash:place`` of each anchor, hexadecimal, joined by commas."""
-    return ",".join([f"{h:08x}:{p:x}" for h, p in prints])
-
-
-def likeness(a: list[tuple[int, int]], b: list[tuple[int, int]], anchors: int = ANCHORS) -> float:
+    n = len(prints)
+    if not n:
+        return ""
+    digits = [np.frombuffer(c.astype(">u4").tobytes().hex().encode(), np.uint8).reshape(n, 8) for c in prints.T]
+    width = max(int(prints[:, 1].max()).bit_length() + 3 >> 2, 1)
+    out = np.empty((n, width + 10), np.uint8)
+    out[:, :8], out[:, 8], out[:, 9:-1], out[:, -1] = digits[0], ord(":"), digits[1][:, 8 - width:], ord(",")
+    kept = np.ones(out.shape, bool)   # but zeros in front of a place
+    kept[:, 9:-2] = prints[:, 1:] >> np.arange(4 * width - 4, 0, -4) > 0
+    return out[kept][:-1].tobytes().decode()
+
+
+def likeness(a: np.ndarray, b: np.ndarray) -> float:
     """0 to 1; 1 for equal fingerprints, also for two empty ones."""
-    if a == b:
-        return 1.0
-    places_a, places_b = dict(a), dict(b)
-    common = sorted(places_a.keys() | places_b.keys())[:anchors]
-    shared = sorted((places_a[h], places_b[h]) for h in common if h in places_a and h in places_b)
+    a, b = (np.asarray(prints, np.int64).reshape(-1, 2) for prints in (a, b))
+    if not len(a) or not len(b):
+        return float(len(a) == len(b))
+    at = np.minimum(np.searchsorted(b[:, 0], a[:, 0]), len(b) - 1)
+    both = b[at, 0] == a[:, 0]
+    shared = b[at[both], 1][np.argsort(a[both, 1])]
+    total = len(a) + len(b) - len(shared)
+    if (np.diff(shared) > 0).all():
+        return len(shared) / total
     tails: list[int] = []   # of rising chains of places
-    for _, p in shared:
-        i = bisect_left(tails, p)
-        tails[i:i + 1] = [p]
-    return len(tails) / len(common)
+    for p in shared.tolist():
+        if not tails or p > tails[-1]:
+            tails.append(p)
+        else:
+            tails[bisect_left(tails, p)] = p
+    return len(tails) / total
 
 
 def edited(text: str, other: str) -> str:
@@ -112,11 +127,18 @@ def _router(bounds: list[int], edges: dict[int, int]):
     return run
 
 
-def _printer(batches):
+def _printed(out: list[tuple]):
     import pyarrow as pa
+    columns = list(zip(*out)) if out else [()] * 7
+    kinds = (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64())
+    return pa.record_batch([pa.array(c, t) for c, t in zip(columns, kinds)], names=[
+        "id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"])
+
+
+def _printer(batches):
     held = None   # the last row, which waits for the next one
     for batch in batches:
-        out = []
+        out, size = [], 0
         for key, null, text, part, edge in zip(*(batch.column(c).to_pylist() for c in (
                 "id", "null_id", "text", "slice", "edge"))):
             row = (None if null else key, text, part, edge, fingerprint(text))
@@ -126,11 +148,12 @@ def _printer(batches):
                 other = fingerprint(changed)
                 out.append((doc, len(whole), hashlib.sha256(changed.encode()).hexdigest(), as_text(prints),
                             as_text(other), likeness(prints, other), likeness(prints, row[4])))
+                size += len(out[-1][3]) + len(out[-1][4])
+                if size > OUT_BYTES:
+                    yield _printed(out)
+                    out, size = [], 0
             held = row
-        columns = list(zip(*out)) if out else [()] * 7
-        kinds = (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64())
-        yield pa.record_batch([pa.array(c, t) for c, t in zip(columns, kinds)], names=[
-            "id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"])
+        yield _printed(out)
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -201,6 +201,30 @@ def test_likeness():
     assert syncmers.likeness([(1, 0), (2, 5), (3, 9)], [(1, 9), (2, 5), (3, 0)]) == 1 / 3
 
 
+def test_long_texts_keep_all_anchors():
+    import random
+    rng = random.Random(3)
+    letters = "abcdefghijklmnopqrstuvwxyz    "
+    passage = "".join(rng.choices(letters, k=1000))
+    one, other = ("".join(rng.choices(letters, k=n)) + passage + "".join(rng.choices(letters, k=20_000 - n))
+                  for n in (6_000, 14_000))
+    changed = "".join("#" if i % 97 == 0 else c for i, c in enumerate(one))
+    anchors = {}
+    for t in (one, other, changed):
+        anchors[t] = {}
+        for p in range(len(t) - syncmers.K + 1):   # each k-mer on its own
+            if len(syncmers.syncmers(t[p:p + syncmers.K])[1]):
+                anchors[t].setdefault(t[p:p + syncmers.K], p)
+        prints = syncmers.fingerprint(t)
+        assert sorted(p for _, p in prints) == sorted(anchors[t].values())
+        assert syncmers.as_text(prints) == ",".join(f"{h:08x}:{p:x}" for h, p in prints)
+    for a, b, least in ((one, other, 60), (one, changed, 1000)):
+        both = anchors[a].keys() & anchors[b].keys()   # all of them in the same order of places
+        expected = len(both) / len(anchors[a].keys() | anchors[b].keys())
+        assert len(both) > least
+        assert syncmers.likeness(syncmers.fingerprint(a), syncmers.fingerprint(b)) == expected < 1
+
+
 def check_fingerprints(rows, docs):
     """``docs`` in the order in which they follow each other."""
     expected = []
