@@ -134,11 +134,16 @@ def _shared_counts(left: list, right: list):
     """``float32[len(left), len(right)]``: how many shingles two sets share.
 
     Sets become rows of a 0/1 matrix over the shingles that occur on both sides, a
-    slice of columns at a time, and a matrix product counts the matches.
+    slice of columns at a time, and a matrix product counts the matches.  If
+    ``right`` is ``left``, a set is not counted against itself.
     """
     import numpy as np
     out = np.zeros((len(left), len(right)), np.float32)
-    common = np.intersect1d(np.concatenate(left), np.concatenate(right))
+    if right is left:
+        common, often = np.unique(np.concatenate(left), return_counts=True)
+        common = common[often > 1]
+    else:
+        common = np.intersect1d(np.concatenate(left), np.concatenate(right))
     placed = []
     for sets in (left, right):
         values = np.concatenate(sets)
@@ -161,7 +166,8 @@ def _shared_counts(left: list, right: list):
 def _group_comparer(width: int, percent: int):
     """Links between the components that meet in a group of rows ``(node, root, part, text)``.
 
-    Rows of two parts are compared across parts only; of one part, all.
+    Rows of two parts are compared across parts only; of one part, all.  Of the
+    links, only those that join two components are given, fewer than rows.
     """
     def run(table):
         import numpy as np
@@ -174,141 +180,27 @@ def _group_comparer(width: int, percent: int):
             sets += hasher.shingle_sets(held[x:y], width)
         ours = np.flatnonzero(part == part.min())
         theirs = np.flatnonzero(part != part.min())
+        left = [sets[i] for i in ours]
+        right = [sets[i] for i in theirs] if len(theirs) else left
         theirs = theirs if len(theirs) else ours
         size = np.array([len(s) for s in sets], np.float64)
-        both = _shared_counts([sets[i] for i in ours], [sets[i] for i in theirs]).astype(np.float64)
+        both = _shared_counts(left, right).astype(np.float64)
         alike = 100 * both >= percent * (size[ours][:, None] + size[theirs][None, :] - both)
         i, j = np.nonzero(alike & (root[ours][:, None] != root[theirs][None, :]))
-        return pa.table({"a": pa.array(node[ours][i]), "b": pa.array(node[theirs][j])})
-    return run
-
-
-def _comparer(width: int, percent: int):
-    def run(batches):
-        import pyarrow as pa
-        hasher = worker_state("word_hasher", WordHasher)
-        for batch in batches:
-            a, b = batch.column("a").to_pylist(), batch.column("b").to_pylist()
-            ta, tb = batch.column("ta"), batch.column("tb")
-            keep = []
-            for lo, hi in slabs([1 << 10] * len(a)):
-                text = {}
-                for ids, column in ((a, ta), (b, tb)):
-                    for i in range(lo, hi):
-                        if ids[i] not in text:
-                            text[ids[i]] = column[i].as_py()
-                sets, nodes, held = {}, list(text), list(text.values())
-                for x, y in slabs([len(t) for t in held]):
-                    sets.update(zip(nodes[x:y], hasher.shingle_sets(held[x:y], width)))
-                for i in range(lo, hi):
-                    if _similar(sets[a[i]], sets[b[i]], percent):
-                        keep.append(i)
-            yield pa.record_batch([pa.array([a[i] for i in keep], pa.int64()),
-                                   pa.array([b[i] for i in keep], pa.int64())], names=["a", "b"])
-    return run
-
-
-def _similar(p, q, percent: int) -> bool:
-    import numpy as np
-    both = len(np.intersect1d(p, q, assume_unique=True))
-    return 100 * both >= percent * (len(p) + len(q) - both)
-
-
-def _group_comparer(width: int, percent: int):
-    """Links between the components that meet in a group of rows ``(node, root, part, text)``.
-
-    Rows of two parts are compared across parts only; of one part, all.
-    """
-    def run(table):
-        import pyarrow as pa
-        hasher = worker_state("word_hasher", WordHasher)
-        node, root, part, held = (table.column(c).to_pylist() for c in ("node", "root", "part", "text"))
-        sets = []
-        for x, y in slabs([len(t) for t in held]):
-            sets += hasher.shingle_sets(held[x:y], width)
-        crossing = len(set(part)) > 1
-        order = sorted(range(len(node)), key=lambda i: len(sets[i]))
-        joined = {r: r for r in root}
-
-        def top(r):
-            while joined[r] != r:
-                r = joined[r]
-            return r
-
-        links = []
-        for x, i in enumerate(order):
-            mine, size = top(root[i]), len(sets[i])
-            for j in order[x + 1:]:
-                if 100 * size < percent * len(sets[j]):
-                    break
-                if crossing and part[i] == part[j] or top(root[j]) == mine:
-                    continue
-                if _similar(sets[i], sets[j], percent):
-                    joined[top(root[j])] = mine
-                    links.append((node[i], node[j]))
-        return pa.table({"a": pa.array([a for a, _ in links], pa.int64()),
-                         "b": pa.array([b for _, b in links], pa.int64())})
-    return run
-
-
-def _comparer(width: int, percent: int):
-    def run(batches):
-        import pyarrow as pa
-        hasher = worker_state("word_hasher", WordHasher)
-        for batch in batches:
-            a, b = batch.column("a").to_pylist(), batch.column("b").to_pylist()
-            ta, tb = batch.column("ta"), batch.column("tb")
-            keep = []
-            for lo, hi in slabs([1 << 10] * len(a)):
-                text = {}
-                for ids, column in ((a, ta), (b, tb)):
-                    for i in range(lo, hi):
-                        if ids[i] not in text:
-                            text[ids[i]] = column[i].as_py()
-                sets, nodes, held = {}, list(text), list(text.values())
-                for x, y in slabs([len(t) for t in held]):
-                    sets.update(zip(nodes[x:y], hasher.shingle_sets(held[x:y], width)))
-                for i in range(lo, hi):
-                    if _similar(sets[a[i]], sets[b[i]], percent):
-                        keep.append(i)
-            yield pa.record_batch([pa.array([a[i] for i in keep], pa.int64()),
-                                   pa.array([b[i] for i in keep], pa.int64())], names=["a", "b"])
-    return run
-
-
-def _similar(p, q, percent: int) -> bool:
-    import numpy as np
-    both = len(np.intersect1d(p, q, assume_unique=True))
-    return 100 * both >= percent * (len(p) + len(q) - both)
-
-
-def _group_comparer(width: int, percent: int):
-    """Links between the components that meet in a small bucket."""
-    def run(table):
-        import pyarrow as pa
-        hasher = worker_state("word_hasher", WordHasher)
-        node, root = table.column("node").to_pylist(), table.column("root").to_pylist()
-        sets, texts_ = [], table.column("text").to_pylist()
-        for x, y in slabs([len(t) for t in texts_]):
-            sets += hasher.shingle_sets(texts_[x:y], width)
-        order = sorted(range(len(node)), key=lambda i: len(sets[i]))
-        joined = {r: r for r in root}
+        joined = {r: r for r in root.tolist()}
 
         def top(r):
             while joined[r] != r:
-                r = joined[r]
+                joined[r] = r = joined[joined[r]]
             return r
 
-        links = []
-        for x, i in enumerate(order):
-            for j in order[x + 1:]:
-                if 100 * len(sets[i]) < percent * len(sets[j]):
-                    break
-                if top(root[i]) != top(root[j]) and _similar(sets[i], sets[j], percent):
-                    joined[top(root[i])] = top(root[j])
-                    links.append((node[i], node[j]))
-        return pa.table({"a": pa.array([a for a, _ in links], pa.int64()),
-                         "b": pa.array([b for _, b in links], pa.int64())})
+        keep = []
+        for k, (x, y) in enumerate(zip(root[ours][i].tolist(), root[theirs][j].tolist())):
+            x, y = top(x), top(y)
+            if x != y:
+                joined[x] = y
+                keep.append(k)
+        return pa.table({"a": pa.array(node[ours][i[keep]], pa.int64()), "b": pa.array(node[theirs][j[keep]], pa.int64())})
     return run
 
 

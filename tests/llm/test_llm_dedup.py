@@ -111,6 +111,30 @@ def test_crowded_buckets_lose_no_link(spark, monkeypatch, crowd):
     assert got == near_components(docs)
 
 
+def test_near_duplicates_is_defined_once():
+    import ast
+    import inspect
+    names = [n.name for n in ast.parse(inspect.getsource(near)).body if isinstance(n, ast.FunctionDef)]
+    assert sorted(set(names)) == sorted(names)
+
+
+@pytest.mark.parametrize("columns", [1 << 13, 7])
+def test_parts_are_compared_across(monkeypatch, columns):
+    import pyarrow as pa
+    monkeypatch.setattr(near, "COLUMNS", columns)
+    body = " ".join(f"w{i}" for i in range(100))
+    texts = [body + f" x{i}" for i in range(6)] + ["something else of some more words"]
+
+    def links(part):
+        rows = pa.table({"node": range(7), "root": range(7), "part": part, "text": texts})
+        return [(r["a"], r["b"]) for r in near._group_comparer(5, 75)(rows).to_pylist()]
+
+    across = links([0, 0, 0, 4, 4, 4, 4])
+    assert len(across) == 5 and all(a < 3 <= b < 6 for a, b in across)
+    assert all(b < 3 <= a < 6 for a, b in links([4, 4, 4, 0, 0, 0, 0]))
+    assert len(links([2] * 7)) == 5 and {n for link in links([2] * 7) for n in link} == set(range(6))
+
+
 def test_near_duplicates_of_nothing(spark):
     assert near.near_duplicates(table(spark, [])).collect() == []
     assert near.near_duplicates(table(spark, [(1, None), (2, " ")])).filter("kept").count() == 2
