@@ -377,3 +377,43 @@ def test_rebalance_edits_as_little_as_it_needs():
 def test_slot_map_has_versions(spark):
     rows = sharding.slot_map(spark, [[0, 1], [1, 1]]).collect()
     assert sorted(map(tuple, rows)) == [(1, 0, 0), (1, 1, 1), (2, 0, 1), (2, 1, 1)]
+
+
+def test_stored_map_gets_its_next_version(spark, tmp_path):
+    path = str(tmp_path / "map")
+    size = {"shards": 4, "slots": 64, "map_path": path}
+    docs = [(i, "x" * (i * 37 % 500)) for i in range(300)]
+
+    def versions():
+        out = {}
+        for r in spark.read.parquet(path).collect():
+            out.setdefault(r.version, {})[r.vslot] = r.shard
+        return out
+
+    def stored():
+        return spark.read.parquet(path)
+
+    first = sharding.shard_documents(table(spark, docs), **size).collect()
+    old = versions()
+    assert old.keys() == {1, 2} and {r.map_version for r in first} == {2}
+    assert [old[1][s] for s in range(64)] == sharding.first_map(64, 4)
+    assert all(old[2][r.vslot] == r.shard for r in first)
+    with pytest.raises(Exception, match="ALREADY_EXISTS"):
+        sharding.shard_documents(table(spark, docs), **size)
+
+    more = docs + [(i, "y" * 3000) for i in range(300, 330)]
+    second = sharding.shard_documents(table(spark, more), stored=stored(), **size).collect()
+    new = versions()
+    check_shards(second, more)
+    assert new.keys() == {1, 2, 3} and (new[1], new[2]) == (old[1], old[2])
+    assert {r.map_version for r in second} == {3} and all(new[3][r.vslot] == r.shard for r in second)
+    assert 0 < sum(new[3][s] != new[2][s] for s in range(64)) < 48
+    # a reader of version 2 still finds what the first run placed
+    found = sharding.located(table(spark, docs), stored(), 2).collect()
+    assert {(r.doc_id, r.vslot, r.shard) for r in found} == {(r.doc_id, r.vslot, r.shard) for r in first}
+
+    third = sharding.shard_documents(table(spark, more), stored=stored(), **size).collect()
+    assert versions() == new and sorted(third) == sorted(second)
+    for wrong in ({**size, "slots": 32}, {**size, "shards": 3}, {**size, "map_path": None}):
+        with pytest.raises(ValueError):
+            sharding.shard_documents(table(spark, docs), stored=stored(), **wrong)
