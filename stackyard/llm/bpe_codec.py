@@ -1,12 +1,21 @@
 """Byte-level BPE encoding and decoding, by replaying the merges over all words.
 
-The distinct pre-tokens of a slab of texts are laid out in one array of tokens
-linked to their neighbours.  An inverted index holds, for each merge, the
-positions where its pair stands.  Merges are applied in rank order, each at all of its
-positions at once; only the neighbours of a merged position are looked up
-again and enter the index.  A word's result does not depend on the words
-beside it, so each task replays the distinct words of its own texts and
-nothing is shuffled.
+The distinct pre-tokens of all texts are found and replayed once each:
+
+1. every block of texts asks, once for each of its distinct words, the task that
+   owns the word's hash range (words packed, one row per block and range);
+2. the owner replays its distinct words and answers each block in the order asked;
+3. a block meets its answers again and looks its texts up in them.
+
+So a text crosses the network once and nothing that grows with the corpus is
+broadcast or collected.  The texts are read twice and must be the same
+each time; a block that does not find its answers fails the job.
+
+In a replay the words are laid out in one array of tokens linked to their
+neighbours.  An inverted index holds, for each merge, the positions where its
+pair stands.  Merges are applied in rank order, each at all of its positions at
+once; only the neighbours of a merged position are looked up again and enter
+the index.
 
 Joining a pair can, in rare words, bring up a pair of a lower rank than the
 merge being applied.  Those words are merged again one step at a time, which
@@ -16,17 +25,21 @@ is the order the rank files define.
 from __future__ import annotations
 
 import heapq
+import math
+from collections.abc import Iterable
 
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stackyard.llm.common import texts, worker_state
-from stackyard.llm.pretokens import chunks
+from stackyard.llm.common import shuffle_partitions, texts, worker_state
+from stackyard.llm.pretokens import SPACES, chunks
 from stackyard.llm.vocabulary import NONE, Vocabulary, from_ranks
 from stackyard.llm.words import slabs
 
 CACHED_CHUNKS = 300_000
+BLOCK_CHARS = 1 << 24     # texts of one block, together
+RANGE_BYTES = 1 << 28     # texts for which one more range of words is made
 _SLAB_CHARS = 1 << 21     # texts whose chunks are held as lists
 _REPLAY_BYTES = 1 << 22   # words that are replayed together
 _STEP = 1 << 18
@@ -136,13 +149,35 @@ class Codec:
         self.pattern = regex.compile(pattern)
         self.known: dict[str, bytes] = {}
 
-    def _learn(self, new: list[str]) -> None:
-        number: dict[bytes, int] = {}
-        found = [(c, [number.setdefault(p.encode(), len(number)) for p in self.pattern.findall(c)])
-                 for c in new]
-        words, ids = list(number), []
+    def cut(self, new: Iterable[str], regular: Iterable[str] = ()) -> tuple[list[bytes], list[tuple[str, list[int]]]]:
+        """The distinct words of some chunks, and for each chunk the numbers of its words.
+
+        ``regular`` chunks are of texts that were cut at white space; those that begin
+        with it and do not end with it keep their words when they stand in a row.
+        """
+        number: dict[str, int] = {}
+        rest, row = list(new), []
+        for c in regular:
+            (row if c[0] in SPACES and c[-1] not in SPACES else rest).append(c)
+        found = [(c, [number.setdefault(p, len(number)) for p in self.pattern.findall(c)]) for c in rest]
+        for lo, hi in slabs([len(c) for c in row], _SLAB_CHARS):
+            parts = self.pattern.findall("".join(row[lo:hi]))
+            at = [number.setdefault(p, len(number)) for p in parts]
+            ends = np.cumsum(np.fromiter(map(len, row[lo:hi]), np.int64, hi - lo))
+            cuts = np.searchsorted(np.cumsum(np.fromiter(map(len, parts), np.int64, len(parts))), ends) + 1
+            cuts = [0, *cuts.tolist()]
+            found += zip(row[lo:hi], [at[x:y] for x, y in zip(cuts[:-1], cuts[1:])])
+        return [w.encode() for w in number], found
+
+    def replayed(self, words: list[bytes]) -> list[bytes]:
+        ids = []
         for lo, hi in slabs([len(w) for w in words], _REPLAY_BYTES):
             ids += replay(self.vocabulary, words[lo:hi])
+        return ids
+
+    def _learn(self, new: list[str]) -> None:
+        words, found = self.cut(new)
+        ids = self.replayed(words)
         for c, parts in found:
             self.known[c] = b"".join([ids[i] for i in parts])
 
@@ -164,21 +199,143 @@ class Codec:
         return b"".join(map(self.vocabulary.tokens.__getitem__, np.frombuffer(ids, "<u4").tolist()))
 
 
-def _mapper(path: str, pattern: str, encoding: bool, decoding: bool):
+def _codec(path: str, pattern: str) -> Codec:
+    return worker_state(f"bpe_codec:{path}:{pattern}", lambda: Codec(path, pattern))
+
+
+def _blocks(batches):
+    """``(block id, ids, texts)`` of blocks of bounded size, the same on every reading."""
+    import xxhash
+    from pyspark import TaskContext
+    task, number = TaskContext.get().partitionId(), 0
+    ids, text, size = [], [], 0
+
+    def block():
+        name = f"{task} {number} {ids} {[len(t) for t in text]}"
+        return xxhash.xxh3_64_intdigest(name.encode()) >> 1, ids, text
+
+    for batch in batches:
+        for i, t in zip(batch.column("id").to_pylist(), batch.column("text").to_pylist()):
+            if text and size + len(t) > BLOCK_CHARS:
+                yield block()
+                ids, text, size, number = [], [], 0, number + 1
+            ids.append(i)
+            text.append(t)
+            size += len(t)
+    if text:
+        yield block()
+
+
+def _pieces(text: list[str]) -> tuple[set[str], set[str]]:
+    """The chunks of texts that are one chunk, and those of the others."""
+    whole: set[str] = set()
+    regular: set[str] = set()
+    for t in text:
+        found = chunks(t)
+        (regular if len(found) > 1 else whole).update(found)
+    return whole, regular
+
+
+def _in_order(words: list[bytes]) -> tuple[list[int], list[int]]:
+    """Hashes of the words, and their numbers, in the order in which a block asks."""
+    import xxhash
+    hashes = np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
+    order = np.argsort(hashes)
+    if (hashes[order][1:] == hashes[order][:-1]).any():   # equal hashes go by word
+        order = np.array(sorted(range(len(words)), key=lambda i: (int(hashes[i]), words[i])), np.int64)
+    return hashes[order].tolist(), order.tolist()
+
+
+def _packed(items: list[bytes]) -> bytes:
+    import zstandard as zs
+    sizes = np.fromiter(map(len, items), "<u4", len(items)).tobytes()
+    return zs.ZstdCompressor().compress(np.array(len(items), "<u4").tobytes() + sizes + b"".join(items))
+
+
+def _unpacked(packed: bytes) -> list[bytes]:
+    import zstandard as zs
+    data = zs.ZstdDecompressor().decompress(packed)
+    n = int(np.frombuffer(data, "<u4", 1)[0])
+    ends = (4 + 4 * n + np.cumsum(np.frombuffer(data, "<u4", n, 4), dtype=np.int64)).tolist()
+    return [data[a:b] for a, b in zip([4 + 4 * n, *ends[:-1]], ends)]
+
+
+def _asker(path: str, pattern: str, ranges: int):
+    """Questions ``(owner, block, words)`` of each block."""
+    def run(batches):
+        from itertools import groupby
+
+        import pyarrow as pa
+        codec = _codec(path, pattern)
+        for block, _, text in _blocks(batches):
+            words, _ = codec.cut(*_pieces(text))
+            hashes, order = _in_order(words)
+            out = [(owner, block, _packed([words[i] for _, i in asked])) for owner, asked in
+                   groupby(zip(hashes, order), lambda x: x[0] * ranges >> 64)]
+            columns = list(zip(*out)) if out else [()] * 3
+            yield pa.record_batch([pa.array(c, t) for c, t in zip(columns, (
+                pa.int32(), pa.int64(), pa.binary()))], names=["owner", "block", "words"])
+    return run
+
+
+def _answerer(path: str, pattern: str):
+    """Replays the distinct words of one range, and answers each block in the order asked."""
+    def run(table):
+        import pyarrow as pa
+        number: dict[bytes, int] = {}
+        asked = [[number.setdefault(w, len(number)) for w in _unpacked(words)]
+                 for words in table.column("words").to_pylist()]
+        ids = _codec(path, pattern).replayed(list(number))
+        return pa.table({"owner": table.column("owner"), "block": table.column("block"),
+                         "ids": pa.array([_packed([ids[i] for i in places]) for places in asked], pa.binary())})
+    return run
+
+
+def _named(batches):
+    """Each block as a row, to meet its answers."""
+    import pyarrow as pa
+    for block, ids, text in _blocks(batches):
+        yield pa.record_batch([pa.array([block], pa.int64()), pa.array([ids], pa.list_(pa.int64())),
+                               pa.array([_packed([t.encode() for t in text])], pa.binary())],
+                              names=["block", "rows", "texts"])
+
+
+def _meeter(path: str, pattern: str, decoding: bool):
+    """A block's texts looked up in its answers."""
+    def run(told, answers):
+        import pyarrow as pa
+        codec = _codec(path, pattern)
+        if told.num_rows != 1:
+            raise RuntimeError("blocks differ between two readings of the documents")
+        text = [t.decode() for t in _unpacked(told.column("texts")[0].as_py())]
+        words, found = codec.cut(*_pieces(text))
+        given: list[bytes] = []
+        for a in sorted(answers.to_pylist(), key=lambda a: a["owner"]):
+            given += _unpacked(a["ids"])
+        if len(given) != len(words):
+            raise RuntimeError("blocks differ between two readings of the documents")
+        ids = [b""] * len(words)
+        for i, x in zip(_in_order(words)[1], given):
+            ids[i] = x
+        known = {c: b"".join([ids[i] for i in parts]) for c, parts in found}
+        out = [b"".join(map(known.__getitem__, chunks(t))) for t in text]
+        columns = {"id": pa.array(told.column("rows")[0].as_py(), pa.int64()), "ids": pa.array(out, pa.binary())}
+        if decoding:
+            columns["decoded"] = pa.array([codec.decode(x) for x in out], pa.binary())
+        return pa.table(columns)
+    return run
+
+
+def _decoder(path: str, pattern: str):
     def run(batches):
         import pyarrow as pa
-        codec = worker_state(f"bpe_codec:{path}", lambda: Codec(path, pattern))
+        codec = _codec(path, pattern)
         for batch in batches:
-            source = batch.column("text" if encoding else "ids").to_pylist()
-            if encoding:
-                codec.learn(source)
+            source = batch.column("ids").to_pylist()
             for lo, hi in slabs([len(x) for x in source], _SLAB_CHARS):
-                ids = [codec.encode(t) for t in source[lo:hi]] if encoding else source[lo:hi]
-                columns, names = [batch.column("id").slice(lo, hi - lo), pa.array(ids, pa.binary())], ["id", "ids"]
-                if decoding:
-                    columns.append(pa.array([codec.decode(x) for x in ids], pa.binary()))
-                    names.append("decoded")
-                yield pa.record_batch(columns, names=names)
+                yield pa.record_batch(
+                    [batch.column("id").slice(lo, hi - lo), pa.array(source[lo:hi], pa.binary()),
+                     pa.array([codec.decode(x) for x in source[lo:hi]], pa.binary())], names=["id", "ids", "decoded"])
     return run
 
 
@@ -192,14 +349,22 @@ def encode(docs: DataFrame, ranks: str, pattern: str, id_col: str = "doc_id",
     table gives no rows.  ``decoded`` adds the bytes that the ids decode to,
     in the same pass.
     """
-    kind = "id bigint, ids binary" + ", decoded binary" * decoded
-    return texts(docs, id_col, text_col).mapInArrow(
-        _mapper(ranks, pattern, True, decoded), kind).withColumnRenamed("id", id_col)
+    spark = docs.sparkSession
+    rows = texts(docs, id_col, text_col)
+    size = rows.agg(F.sum(F.octet_length("text").cast("bigint"))).first()[0] or 0
+    ranges = max(shuffle_partitions(spark), math.ceil(size / RANGE_BYTES))
+    asked = rows.mapInArrow(_asker(ranks, pattern, ranges), "owner int, block bigint, words binary")
+    answers = asked.groupBy("owner").applyInArrow(
+        _answerer(ranks, pattern), "owner int, block bigint, ids binary")
+    met = rows.mapInArrow(_named, "block bigint, rows array<bigint>, texts binary").groupBy("block").cogroup(
+        answers.groupBy("block")).applyInArrow(
+        _meeter(ranks, pattern, decoded), "id bigint, ids binary" + ", decoded binary" * decoded)
+    return met.withColumnRenamed("id", id_col)
 
 
 def decode(encoded: DataFrame, ranks: str, pattern: str, id_col: str = "doc_id") -> DataFrame:
     """``(id_col, ids, decoded)``: the bytes that the ids of ``encode`` stand for (null ids: none)."""
     ids = F.coalesce(F.col("ids"), F.lit(b""))
     return encoded.select(F.col(f"`{id_col}`").alias("id"), ids.alias("ids")).mapInArrow(
-        _mapper(ranks, pattern, False, True),
+        _decoder(ranks, pattern),
         "id bigint, ids binary, decoded binary").withColumnRenamed("id", id_col)

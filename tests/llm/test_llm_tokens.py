@@ -74,6 +74,26 @@ def test_codec_of_awkward_rows(spark):
     assert bpe_codec.encode(table(spark, []), *args).collect() == []
 
 
+def test_a_word_is_replayed_once_in_the_whole_table(spark, monkeypatch, tmp_path):
+    log = str(tmp_path / "words")
+    replay = bpe_codec.replay
+
+    def logged(vocabulary, words):
+        with open(log, "a") as f:
+            f.write("".join(w.hex() + "\n" for w in words))
+        return replay(vocabulary, words)
+
+    monkeypatch.setattr(bpe_codec, "replay", logged)
+    docs = [(i, f"the same words {i % 7} and more of the same {i % 5}") for i in range(400)]
+    got = bpe_codec.encode(table(spark, docs).repartition(6), P.path("byte_bpe_50k.tiktoken"), P.PATTERN).collect()
+    library = reference_encoding("byte_bpe_50k.tiktoken")
+    assert {r.doc_id: np.frombuffer(r.ids, "<u4").tolist() for r in got} == {
+        i: library.encode_ordinary(t) for i, t in docs}
+    with open(log) as f:
+        seen = f.read().split()
+    assert len(seen) == len(set(seen)) > 10
+
+
 def test_chunks_cut_where_pre_tokens_end():
     import regex
     pattern = regex.compile(P.PATTERN)
