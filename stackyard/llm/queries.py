@@ -18,6 +18,7 @@ from stackyard.llm.syncmers import fingerprints
 from stackyard.llm.token_counts import count_tokens
 from stackyard.llm.toxicity import toxicity
 from stackyard.llm.url_filter import PATTERN_RULES, filter_urls
+from stackyard.llm.warc import archive_roundtrip
 from stackyard.tables import load
 
 
@@ -65,10 +66,15 @@ def op10_syncmers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints(load(spark, sf_dir, "documents"))
 
 
+def op11_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return archive_roundtrip(load(spark, sf_dir, "pages")).select(
+        "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
         op1_minmax_dedup, op2_interpolated_lm, op3_url_filter, op4_sharding, op5_bestfit_packing, op6_exact_dedup,
-        op7_bpe_codec, op8_toxicity, op9_token_counts, op10_syncmers)}
+        op7_bpe_codec, op8_toxicity, op9_token_counts, op10_syncmers, op11_warc)}
 
 #: The same patterns as in url_filter, each run over every url (DuckDB has no \\b beside '-').
 _BLOCKED = " OR ".join(f"regexp_matches(lower(url), '{r.pattern}')" for r in PATTERN_RULES)
@@ -97,4 +103,15 @@ ORACLES: dict[str, str] = {
         g AS (SELECT text, max(doc_id) AS keep_id, count(*) AS group_size FROM t GROUP BY text)
         SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, sha256(t.text) AS text_sha256
         FROM t JOIN g ON t.text = g.text""",
+    # base32 of a SHA-1: every five hexadecimal digits are four of its letters
+    "op11_warc": """
+        WITH t AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
+        h AS (SELECT *, sha1(html) AS sha, max(page_id) OVER (PARTITION BY html) AS top FROM t)
+        SELECT page_id, strlen(html) AS payload_bytes,
+            list_aggregate([substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+                CAST((CAST(('0x' || substr(sha, 1 + 5 * (i // 4), 5)) AS BIGINT) >> (5 * (3 - i % 4))) & 31 AS BIGINT) + 1, 1)
+                FOR i IN range(32)], 'string_agg', '') AS payload_digest,
+            CASE WHEN page_id IS DISTINCT FROM top THEN 'revisit' ELSE 'response' END AS record_type,
+            CASE WHEN page_id IS DISTINCT FROM top THEN top END AS refers_to
+        FROM h""",
 }
