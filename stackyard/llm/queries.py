@@ -13,7 +13,9 @@ from stackyard.llm.bpe_codec import encode
 from stackyard.llm.exact_dedup import exact_dedup
 from stackyard.llm.interpolated_lm import lm_scores
 from stackyard.llm.minmax_dedup import near_duplicates
+from stackyard.llm.pair_maxscore import ranked
 from stackyard.llm.sharding import shard_documents
+from stackyard.llm.spelling import spelling_variants
 from stackyard.llm.syncmers import fingerprints
 from stackyard.llm.token_counts import count_tokens
 from stackyard.llm.toxicity import toxicity
@@ -71,16 +73,30 @@ def op11_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
         "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op12_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling_variants(load(spark, sf_dir, "documents"))
+
+
+def op13_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranked(load(spark, sf_dir, "documents"), load(spark, sf_dir, "benchmark"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
         op1_minmax_dedup, op2_interpolated_lm, op3_url_filter, op4_sharding, op5_bestfit_packing, op6_exact_dedup,
-        op7_bpe_codec, op8_toxicity, op9_token_counts, op10_syncmers, op11_warc)}
+        op7_bpe_codec, op8_toxicity, op9_token_counts, op10_syncmers, op11_warc,
+        op12_spelling, op13_search)}
 
 #: The same patterns as in url_filter, each run over every url (DuckDB has no \\b beside '-').
 _BLOCKED = " OR ".join(f"regexp_matches(lower(url), '{r.pattern}')" for r in PATTERN_RULES)
 _FIRST = ", ".join(f"CASE WHEN regexp_matches(lower(url), '{r.pattern}') THEN '{r.pattern}' END"
                    for r in sorted(PATTERN_RULES, key=lambda r: r.pattern))
 
+def _terms(col: str) -> str:
+    return (f"regexp_extract_all(translate({col}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), "
+            r"'[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')")
+
+
 ORACLES: dict[str, str] = {
     "op3_url_filter": rf"""
         WITH t AS (SELECT page_id, url,
@@ -114,4 +130,18 @@ ORACLES: dict[str, str] = {
             CASE WHEN page_id IS DISTINCT FROM top THEN 'revisit' ELSE 'response' END AS record_type,
             CASE WHEN page_id IS DISTINCT FROM top THEN top END AS refers_to
         FROM h""",
+    "op13_search": f"""
+        WITH d AS (SELECT doc_id, row_number() OVER () AS row_no, text FROM documents),
+        t AS (SELECT row_no, doc_id, unnest({_terms('text')}) AS term FROM d),
+        f AS (SELECT row_no, doc_id, term, count(*) AS tf FROM t GROUP BY ALL),
+        l AS (SELECT row_no, CAST(sum(tf) AS BIGINT) AS n FROM f GROUP BY row_no),
+        g AS (SELECT count(*) AS n_docs, CAST(sum(n) AS BIGINT) AS n_terms FROM l),
+        q AS (SELECT DISTINCT item_id, unnest({_terms('text')}) AS term FROM benchmark),
+        w AS (SELECT term, CAST(floor(1000 * ln((2 * any_value(n_docs) + 2) / (2 * count(*) + 1))) AS BIGINT) AS w
+              FROM f, g GROUP BY term),
+        s AS (SELECT item_id, row_no, doc_id,
+                CAST(sum(w * ((1000000000 * tf) // (1000 * tf + 20 * (50 + (50 * n * n_docs) // n_terms)))) AS BIGINT) AS score
+              FROM q JOIN w USING (term) JOIN f USING (term) JOIN l USING (row_no), g GROUP BY ALL)
+        SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id, row_no) AS INTEGER) AS rank,
+            doc_id, score FROM s WHERE score > 0 QUALIFY rank <= 50""",
 }
