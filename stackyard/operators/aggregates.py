@@ -12,6 +12,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from stackyard.operators.ordinal import _positions
+
 
 def _cols(xs):
     return [F.col(x) if isinstance(x, str) else x for x in xs]
@@ -24,9 +26,9 @@ def ordered_concat(df: DataFrame, keys: Sequence[str], value: str | Column,
 
     ``lead=True`` keeps a separator before the first element too (the shell
     fold ``acc=$acc:$x``).  The order columns should be unique within a key;
-    ties fall back to the value.  The result is one string per key, so the
-    group size is bounded by what one value may hold; the collect buffers
-    merge map-side like any partial aggregate.
+    ties fall back to the value.  The result is one string per key, so this is
+    for groups that fit in one value and so in one buffer; ``concat_parts`` has
+    no such bound.
     """
     val = value if isinstance(value, Column) else F.col(value)
     item = F.struct(*_cols(order), val.cast("string").alias("_v"))
@@ -36,6 +38,31 @@ def ordered_concat(df: DataFrame, keys: Sequence[str], value: str | Column,
     return df.groupBy(*keys).agg(joined.alias(out))
 
 
+def concat_parts(df: DataFrame, keys: Sequence[str], value: str, order: Sequence, sep: str = ",",
+                 lead: bool = False, part_bytes: int = 1 << 20, out: str = "joined",
+                 partitions: int | None = None) -> DataFrame:
+    """A1/A2 for groups of any size: ``(keys, part, out)``, where the parts of a key, put one
+    after the other, are what ``ordered_concat`` gives.
+
+    The bytes before each value are a running sum that is safe under a hot key
+    (``ordinal``), and a value belongs to the part in which it begins, so a buffer
+    holds ``part_bytes`` and one value more.  Null values do not count; a key with
+    nothing else has one empty part.  ``order`` (column names or ``desc``) must be
+    unique within a key.
+    """
+    joined = F.concat(F.lit(sep), F.coalesce(F.col(value).cast("string"), F.lit("")))
+    rows = df.select(*df.columns, F.when(F.col(value).isNull(), F.lit("")).otherwise(joined).alias("_v"))
+    rows = rows.withColumn("_b", F.octet_length("_v").cast("long"))
+    at = _positions(rows, list(keys), order, ["_b"], partitions=partitions)
+    part = F.floor((F.col("_run__b") - F.col("_b")) / F.lit(part_bytes))
+    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_pos", "_v"))), lambda e: e["_v"]), "")
+    parts = at.groupBy(*keys, part.cast("long").alias("part")).agg(text.alias(out))
+    if lead:
+        return parts
+    first = F.substring(out, len(sep) + 1, 2_147_483_647)   # no separator before the first value
+    return parts.withColumn(out, F.when(F.col("part") == 0, first).otherwise(F.col(out)))
+
+
 def _by(df, keys, order, cols, fn):
     cols = list(cols) if cols else [c for c in df.columns if c not in keys]
     payload = F.struct(*[F.col(c) for c in cols])

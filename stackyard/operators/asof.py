@@ -3,14 +3,13 @@ same key at or before the left row's time.
 
 Spark has no as-of join.  The usual composition (union both sides, then
 ``last(ignorenulls)`` over a window per key) puts a whole key in one task.
-Here the union is cut into the deterministic range slices of
-``operators.ordinal`` on (key, time, side), so a hot key spans many slices;
-the window runs per (slice, key).  A left row with no right row earlier in
+Here the union is cut into the range slices of ``operators.ordinal`` on (key,
+time, side), so a hot key spans many slices; the window runs per (slice, key)
+and what it finds is written once.  A left row with no right row earlier in
 its own slice takes the carry-in: the last right row of the key's earlier
 slices.  Only keys that cross a slice boundary need one (about two per
 slice), so the carry-in table is bounded by the slice count and broadcast.
-Equi joins and windows only; no pairs are formed.  As in SQL, a null key or
-a null time matches nothing.
+No pairs are formed.  As in SQL, a null key or a null time matches nothing.
 """
 
 from __future__ import annotations
@@ -21,7 +20,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from stackyard.operators.ordinal import TIE, with_slice
+from stackyard.operators.ordinal import SLICE, going_on, in_slice, mended, slice_count, slices, upto
+from stackyard.session import written
 
 
 def asof_join(left: DataFrame, right: DataFrame, key: str, left_ts: str, right_ts: str,
@@ -31,7 +31,6 @@ def asof_join(left: DataFrame, right: DataFrame, key: str, left_ts: str, right_t
     there is none).  Among right rows with equal time the largest
     ``right_tiebreak`` wins.  ``strict`` looks before the left time, not at
     it.  The times may be of any ordered type."""
-    n = partitions or int(left.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     rcols = list(right_cols)
     rstruct = F.struct(*[F.col(c).alias(c) for c in rcols])
     lstruct = F.struct(*[F.col(c) for c in left.columns])
@@ -50,43 +49,17 @@ def asof_join(left: DataFrame, right: DataFrame, key: str, left_ts: str, right_t
                       F.lit(-1 if strict else 1).alias("_side"), F.lit(None).cast(r.schema["_tb"].dataType).alias("_tb"),
                       F.lit(None).cast(r.schema["_r"].dataType).alias("_r"), lstruct.alias("_l"))
     r = r.withColumn("_l", F.lit(None).cast(lft.schema["_l"].dataType))
-    u = with_slice(r.unionByName(lft), [("_k", False), ("_t", False), ("_side", False),
-                                         ("_tb", False)], n)
-
-    w_in = (Window.partitionBy("_rp", "_k").orderBy("_t", "_side", "_tb", TIE)
-            .rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    matched = (u.withColumn("_in", F.last("_r", ignorenulls=True).over(w_in))
-               .where(F.col("_side") != 0))
-
+    order = [("_t", False), ("_side", False), ("_tb", False)]
+    w = in_slice(["_k"], order)
+    u = (slices(r.unionByName(lft), [("_k", False), *order], slice_count(left, partitions))
+         .withColumn("_in", F.last("_r", ignorenulls=True).over(upto(w)))
+         .withColumn("_end", F.lead(F.lit(1)).over(w).isNull()))
+    u = written(u.where((F.col("_side") != 0) | F.col("_end")).drop("_r", "_tb"), "asof")
     # per (slice, key): the last right row; carried into the key's later slices
-    last_r = F.max(F.when(F.col("_side") == 0, F.struct("_t", "_tb", "_r")))
-    per_slice = u.groupBy("_rp", "_k").agg(last_r.alias("_last"))
-    crossing = per_slice.withColumn("_nsl", F.count(F.lit(1)).over(Window.partitionBy("_k"))) \
-        .where("_nsl > 1")
-    before = Window.partitionBy("_k").orderBy("_rp").rowsBetween(Window.unboundedPreceding, -1)
-    carry = crossing.select(F.col("_rp").alias("_c_rp"), F.col("_k").alias("_c_k"),
-                            F.last(F.col("_last")["_r"], ignorenulls=True).over(before)
-                            .alias("_carry"))
-    out = matched.join(F.broadcast(carry), (F.col("_rp") == F.col("_c_rp"))
-                       & F.col("_k").eqNullSafe(F.col("_c_k")), "left")
-    best = F.when(F.col("_k").isNotNull() & F.col("_t").isNotNull(),
-                  F.coalesce(F.col("_in"), F.col("_carry")))
+    before = Window.partitionBy("_k").orderBy(SLICE).rowsBetween(Window.unboundedPreceding, -1)
+    carry = going_on(u.where("_end").select(SLICE, "_k", "_in"), ["_k"]).select(
+        SLICE, "_k", F.last("_in", ignorenulls=True).over(before).alias("_carry"))
+    out = mended(u.where(F.col("_side") != 0), carry, [SLICE, "_k"])
+    best = F.when(F.col("_k").isNotNull() & F.col("_t").isNotNull(), F.coalesce(F.col("_in"), F.col("_carry")))
     return out.select(*[F.col("_l")[c].alias(c) for c in left.columns],
                       *[best[c].alias(c) for c in rcols])
-
-
-def sum_between(left: DataFrame, steps: DataFrame, key: str, lo: str, hi: str, at: str,
-                running: str, out: str, partitions: int | None = None) -> DataFrame:
-    """Left rows with the sum over ``[lo, hi]`` from a table of running sums.
-
-    ``steps`` holds one row per ``(key, at)`` with the sum up to and including
-    it.  The sum over a range is the running sum as of ``hi`` less the one
-    before ``lo``: two look-ups per row and no pairs, however many steps lie
-    between.  NULL where no step is at or before ``hi``.
-    """
-    high = asof_join(left, steps.select(key, F.col(at).alias("_at"), F.col(running).alias("_high")),
-                     key, hi, "_at", ["_high"], partitions=partitions)
-    both = asof_join(high, steps.select(key, F.col(at).alias("_at"), F.col(running).alias("_low")),
-                     key, lo, "_at", ["_low"], partitions=partitions, strict=True)
-    total = F.col("_high") - F.coalesce(F.col("_low"), F.lit(0))
-    return both.withColumn(out, total).drop("_high", "_low")

@@ -1,20 +1,27 @@
-"""Per-key positions, ranks, running sums, lag/lead and top-n, safe under a
-hot key (SURVEY O3, K2, S10-S13).
+"""Per-key positions, ranks, sliding frames, running sums, lag/lead and top-n, safe
+under a hot key (SURVEY O3, K2, S10-S13).
 
 A plain ``row_number() OVER (PARTITION BY key ...)`` sends a whole group to
 one task; if one key holds a third of the table, that task holds a third of
-the data.  Here rows are first cut into range slices of ``(key, order)``
-(bounds from a bounded sample; each row's slice is a pure function of the
-row), numbered (and summed) by a window per ``(slice, key)``, and shifted by
-what the same key holds in earlier slices.  Only keys that continue across
-a slice boundary need a shift, at most about two per slice, so the offset
-table is bounded by the slice count and broadcast.  All of it runs in the
-JVM; no group is ever larger than a slice.
-
-Everything else is built on that position with aggregates and equi joins:
-``rank`` is the smallest position among equal values, ``dense_rank`` the
-position among distinct values, ``ntile`` arithmetic on position and group
-size, ``lag``/``lead`` an equi join on ``(key, position +- offset)``.
+the data.  Here rows are first dealt out by ranges of ``(key, order)``
+(``repartitionByRange``), and the number of the range, the slice, becomes a
+column.  Built-in windows then run per ``(slice, key)``, and the result is
+written once.  What a window at a slice edge misses, because the key goes on
+in the slices beside it, comes from a few rows per slice:
+
+* positions, sums and sizes: the totals of the key's other slices;
+* ``lag``, ``lead`` and frames of so many rows: the rows next to the edges;
+* rank and dense rank: whether the first value of a slice is the last one of
+  the slice before.
+
+Only keys that go on over an edge need this, at most about two per slice, so
+these tables are bounded by the number of slices (times the rows a frame
+reaches over) and broadcast.  No group is larger than a slice, no rows are
+joined with rows, and the plan that is returned reads the written rows without
+a shuffle.  As the table is written, every branch sees the same slices.
+
+Rows that are equal in all order columns are parted too: by a hash of the whole
+row, then by a row number, so that slices are even whatever the data.
 
 ``top_n`` relies on Spark's window group limit: ``row_number() <= n`` is
 applied per map partition before the shuffle, so each task ships at most n
@@ -26,12 +33,14 @@ Order items are column names (ascending) or ``desc("col")``.
 from __future__ import annotations
 
 import functools
-from collections.abc import Sequence
+from collections.abc import Callable, Mapping, Sequence
+from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from stackyard.session import written
 
 def desc(name: str) -> tuple[str, str]:
     """Order item: ``name`` descending (nulls last), as in SQL."""
@@ -54,104 +63,59 @@ def _sort_cols(spec):
     return [F.col(c).desc() if d else F.col(c).asc() for c, d in spec]
 
 
-PER_SLICE = 20  # sampled rows per slice
+SLICE, TIE, ROW = "_rp", "_sy_tie", "_sy_row"
 
 
-def _py_cmp(spec):
-    def cmp(a, b):
-        for (_, d), x, y in zip(spec, a, b):
-            if x == y:
-                continue
-            if x is None:
-                r = -1
-            elif y is None:
-                r = 1
-            else:
-                r = -1 if x < y else 1
-            return -r if d else r
-        return 0
-    return functools.cmp_to_key(cmp)
+def _hashable(field: T.StructField) -> Column:
+    c = F.col(f"`{field.name}`")
+    return F.to_json(c) if "map<" in field.dataType.simpleString() else c
 
 
-def _slice_bounds(df: DataFrame, spec, n: int, per_slice: int) -> list[tuple]:
-    """Up to ``n - 1`` increasing bounds of the sort columns.
+def slices(df: DataFrame, spec, n: int) -> DataFrame:
+    """``df`` dealt out by ranges of the sort columns, with the range as ``SLICE``.
 
-    The sample is the rows whose hash falls under a threshold set from the row
-    count: about ``per_slice * n`` in total, however many tasks read
-    the table.  Equal rows are counted in the map tasks, so a repeated row
-    is one entry.  What reaches the driver is bounded by ``n``.
+    ``TIE`` (a hash of the row) and ``ROW`` order rows that are equal in the sort
+    columns, so that ranges can part them.  The ranges differ between runs of
+    the plan: write what is computed from them before using it twice.
     """
-    names = [c for c, _ in spec]
-    total = df.agg(F.count(F.lit(1))).first()[0]
-    one_in = max(1, total // (per_slice * n))
-    picked = (df.select(*names).where(F.pmod(F.xxhash64(F.lit("slice"), *names), F.lit(one_in)) == 0)
-              .groupBy(*names).agg(F.count(F.lit(1)).alias("_weight")).collect())
-    if not picked:
-        return []
-    cmp = _py_cmp(spec)
-    sample = sorted(((tuple(r)[:-1], r["_weight"]) for r in picked), key=lambda x: cmp(x[0]))
-    weight, bounds, seen, i = sum(w for _, w in sample), [], 0, 1
-    for value, w in sample:
-        seen += w
-        if i < n and seen * n > i * weight:
-            bounds.append(value)
-            i = seen * n // weight + 1
-    return bounds
-
-
-def _at_or_after(spec, types, bounds) -> Column:
-    """How many of the sorted ``bounds`` are at or before the row.
-
-    A binary search of log2(n) steps over one constant array per sort column;
-    the arrays are part of the expression, not of the rows.
-    """
-    arrays = [F.array(*[F.lit(b[j]) for b in bounds]).cast(T.ArrayType(types[c]))
-              for j, (c, _) in enumerate(spec)]
-
-    def row_before(at: Column) -> Column:
-        # SQL null order: nulls first ascending, last descending
-        before = F.lit(False)
-        for (c, d), values in reversed(list(zip(spec, arrays))):
-            x, v = F.col(f"`{c}`"), F.get(values, at)
-            less = (F.when(v.isNull(), x.isNotNull()).otherwise(x.isNotNull() & (x > v)) if d
-                    else F.when(v.isNull(), F.lit(False)).otherwise(x.isNull() | (x < v)))
-            before = less | (x.eqNullSafe(v) & before)
-        return before
-
-    def step(acc: Column, _: Column) -> Column:
-        mid = F.floor((acc["lo"] + acc["hi"]) / 2).cast("int")
-        lower = row_before(mid)
-        open_ = acc["lo"] < acc["hi"]
-        return F.struct(F.when(open_ & ~lower, mid + 1).otherwise(acc["lo"]).alias("lo"),
-                        F.when(open_ & lower, mid).otherwise(acc["hi"]).alias("hi"))
-
-    start = F.struct(F.lit(0).alias("lo"), F.lit(len(bounds)).alias("hi"))
-    steps = F.sequence(F.lit(1), F.lit(len(bounds).bit_length() + 1))
-    return F.aggregate(steps, start, step, lambda acc: acc["lo"])
-
-
-TIE = "_sy_tie"  # orders rows that are equal in all sort columns, so that slices can part them
-
-
-def with_slice(df: DataFrame, spec, n: int, out: str = "_rp",
-               per_slice: int = PER_SLICE) -> DataFrame:
-    """``df`` plus a range slice id (0..n-1) of (key, order), and the column ``TIE``.
-
-    The slice is a pure function of the row and of bounds fixed for the
-    query, so every branch of a plan (and every rerun after an executor
-    loss) agrees on it, unlike a shuffle's own range sampling.  ``TIE`` is a
-    hash of the whole row and the last sort column: many rows of one sort
-    value are spread over slices.  Windows inside a slice order by it too.
-    """
-    df = df.withColumn(TIE, F.xxhash64(*[F.col(f"`{c}`") for c in df.columns]))
-    if n <= 1:
-        return df.withColumn(out, F.lit(0))
-    spec = [*spec, (TIE, False)]
-    bounds = _slice_bounds(df, spec, n, per_slice)
-    if not bounds:
-        return df.withColumn(out, F.lit(0))
-    types = {f.name: f.dataType for f in df.schema.fields}
-    return df.withColumn(out, _at_or_after(spec, types, bounds))
+    tied = df.withColumn(TIE, F.xxhash64(*[_hashable(f) for f in df.schema.fields])) \
+        .withColumn(ROW, F.monotonically_increasing_id())
+    return tied.repartitionByRange(n, *_sort_cols(spec), TIE, ROW).withColumn(SLICE, F.spark_partition_id())
+
+
+def with_slice(df: DataFrame, spec, n: int) -> DataFrame:
+    """``slices`` as a written table."""
+    return written(slices(df, spec, n), "slices")
+
+
+def slice_count(df: DataFrame, partitions: int | None) -> int:
+    return partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+
+def in_slice(keys: Sequence[str], order=(), backwards: bool = False) -> WindowSpec:
+    """Rows of one key in one slice, in the order of the slices (or backwards)."""
+    cols = [*_sort_cols(order), F.col(TIE).asc(), F.col(ROW).asc()]
+    if backwards:
+        cols = [*_sort_cols([(c, not d) for c, d in order]), F.col(TIE).desc(), F.col(ROW).desc()]
+    return Window.partitionBy(SLICE, *keys).orderBy(*cols)
+
+
+def upto(w: WindowSpec) -> WindowSpec:
+    return w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+
+
+def going_on(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Of a table of edge rows, those of keys that stand in several slices."""
+    span = Window.partitionBy(*keys)
+    return (rows.withColumn("_lo", F.min(SLICE).over(span)).withColumn("_hi", F.max(SLICE).over(span))
+            .where("_lo < _hi").drop("_lo", "_hi"))
+
+
+def mended(rows: DataFrame, fixes: DataFrame, on: Sequence[str]) -> DataFrame:
+    """``rows`` with the columns of ``fixes``, a table bounded by the slice count, null where there is no fix."""
+    cond = functools.reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"_on_{c}")) for c in on])
+    renamed = fixes.select(*[F.col(c).alias(f"_on_{c}") if c in on else F.col(c) for c in fixes.columns])
+    return rows.join(F.broadcast(renamed), cond, "left").drop(*[f"_on_{c}" for c in on])
 
 
 def _positions(df: DataFrame, keys: list[str], order, sums: Sequence[str] = (),
@@ -160,40 +124,23 @@ def _positions(df: DataFrame, keys: list[str], order, sums: Sequence[str] = (),
     (running sum of ``c`` up to and including the row, in the type of
     ``sum(c)``; NULL adds nothing, and only NULLs so far give NULL).
 
-    Rows are cut into ``n`` range slices of (key, order); a window numbers
-    rows per (slice, key), so a hot key is spread over many slices and
-    tasks.  A key that continues across slices is shifted by its rows in
-    earlier slices; only such keys need an offset (at most about two per
-    slice), so the offset table is bounded by ``n`` and broadcast.
+    Local numbers and sums per (slice, key), shifted by what the key's earlier
+    slices hold.
     """
-    keys, sums = list(keys), list(sums)
-    spark = df.sparkSession
-    n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    spec = [(k, False) for k in keys] + _spec(order)
-    sliced = with_slice(df, spec, n)
-    w = Window.partitionBy("_rp", *keys).orderBy(*_sort_cols(_spec(order)), TIE)
-    local = sliced.withColumn("_local", F.row_number().over(w))
+    keys, order = list(keys), _spec(order)
+    w = in_slice(keys, order)
+    local = slices(df, [*_spec(keys), *order], slice_count(df, partitions)).withColumn("_local", F.row_number().over(w))
     for c in sums:
-        local = local.withColumn(
-            f"_lsum_{c}", F.sum(c).over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
-    counts = sliced.groupBy("_rp", *keys).agg(
-        F.count(F.lit(1)).alias("_n"), *[F.sum(c).alias(f"_s_{c}") for c in sums])
-    span = Window.partitionBy(*keys)
-    prev = Window.partitionBy(*keys).orderBy("_rp").rowsBetween(Window.unboundedPreceding, -1)
-    crossing = counts.withColumn("_slices", F.count(F.lit(1)).over(span)).where("_slices > 1")
-    offsets = crossing.select(
-        F.col("_rp").alias("_o_rp"), *[F.col(k).alias(f"_k_{k}") for k in keys],
-        F.coalesce(F.sum("_n").over(prev), F.lit(0)).alias("_off"),
-        *[F.sum(f"_s_{c}").over(prev).alias(f"_offs_{c}") for c in sums])
-    cond = F.col("_rp") == F.col("_o_rp")
-    for k in keys:
-        cond = cond & F.col(k).eqNullSafe(F.col(f"_k_{k}"))
-    # only keys crossing a slice boundary: at most ~2 rows per slice
-    j = local.join(F.broadcast(offsets), cond, "left")
-    return j.select(*df.columns,
-                    (F.col("_local") - 1 + F.coalesce(F.col("_off"), F.lit(0))).alias("_pos"),
-                    *[F.coalesce(F.col(f"_lsum_{c}") + F.col(f"_offs_{c}"), f"_lsum_{c}", f"_offs_{c}")
-                      .alias(f"_run_{c}") for c in sums])
+        local = local.withColumn(f"_lsum_{c}", F.sum(c).over(upto(w)))
+    local = written(local.withColumn("_end", F.lead(F.lit(1)).over(w).isNull()), "positions")
+    before = Window.partitionBy(*keys).orderBy(SLICE).rowsBetween(Window.unboundedPreceding, -1)
+    offsets = going_on(local.where("_end").select(SLICE, *keys, "_local", *[f"_lsum_{c}" for c in sums]), keys).select(
+        SLICE, *keys, F.coalesce(F.sum("_local").over(before), F.lit(0)).alias("_off"),
+        *[F.sum(f"_lsum_{c}").over(before).alias(f"_offs_{c}") for c in sums])
+    return mended(local, offsets, [SLICE, *keys]).select(
+        *df.columns, (F.col("_local") - 1 + F.coalesce(F.col("_off"), F.lit(0))).alias("_pos"),
+        *[F.coalesce(F.col(f"_lsum_{c}") + F.col(f"_offs_{c}"), f"_lsum_{c}", f"_offs_{c}")
+          .alias(f"_run_{c}") for c in sums])
 
 
 def null_safe_join(left: DataFrame, right: DataFrame, on: Sequence[str], how: str = "inner") -> DataFrame:
@@ -232,58 +179,133 @@ def ranks(df: DataFrame, keys: Sequence[str], value: str, tiebreak: str,
     ``rank`` / ``dense_rank`` by ``value`` (equal values share a rank), per
     key.
 
-    Rank and dense rank come from the table of distinct ``(key, value)``
-    with their row counts (a partial aggregate): dense rank is the position
-    among distinct values, rank is one plus the rows with a better value
-    (running count minus own count).  That table is joined back by
-    ``(key, value)``.
+    All four are built-in windows per (slice, key).  In a key's later slices the
+    rows and the distinct values of the earlier ones are added; where the first
+    value of a slice is the last one before it, that value is not counted
+    again and its rows take the rank it had there.
     """
     keys = list(keys)
-    v = desc(value) if descending else value
-    p = _positions(df, keys, [v, tiebreak], partitions=partitions)
-    distinct = df.groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_cnt"))
-    d = _positions(distinct, keys, [v], ["_cnt"], partitions=partitions).select(
-        *keys, value, (F.col("_pos") + 1).alias("dense_rank"),
-        (F.col("_run__cnt") - F.col("_cnt") + 1).cast("long").alias("rank"))
-    if tiles:
-        # joined to the distinct values, which are fewer than the rows of a hot key
-        sizes = distinct.groupBy(*keys).agg(F.sum("_cnt").alias("_size"))
-        d = null_safe_join(d, sizes, keys)
-    out = null_safe_join(p, d, [*keys, value]).select(
-        *df.columns, (F.col("_pos") + 1).alias("row_number"), "rank", "dense_rank", "_pos",
-        *(["_size"] if tiles else []))
+    by_value = _spec([desc(value) if descending else value])
+    order = [*by_value, *_spec([tiebreak])]
+    w = in_slice(keys, order)
+    wv = Window.partitionBy(SLICE, *keys).orderBy(*_sort_cols(by_value))
+    local = (slices(df, [*_spec(keys), *order], slice_count(df, partitions))
+             .withColumn("_pos", F.row_number().over(w)).withColumn("_rank", F.rank().over(wv))
+             .withColumn("_dense", F.dense_rank().over(wv)))
+    local = written(local.withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy(SLICE, *keys))), "ranks")
+    # one row per (slice, key): its last row, with the value of its first one
+    span, at = Window.partitionBy(*keys), Window.partitionBy(*keys).orderBy(SLICE)
+    before, so_far = at.rowsBetween(Window.unboundedPreceding, -1), at.rowsBetween(Window.unboundedPreceding, 0)
+    firsts = local.where("_pos = 1").select(SLICE, *keys, F.col(value).alias("_first"))
+    lasts = local.where("_pos = _n").select(SLICE, *keys, F.col(value).alias("_last"), "_n", "_rank", "_dense")
+    ends = null_safe_join(going_on(lasts, keys), going_on(firsts, keys), [SLICE, *keys])
+    ends = ends.withColumn("_off", F.coalesce(F.sum("_n").over(before), F.lit(0))) \
+        .withColumn("_goes_on", F.coalesce(F.lag("_last").over(at).eqNullSafe(F.col("_first"))
+                                           & F.lag(SLICE).over(at).isNotNull(), F.lit(False)))
+    # the rank of a slice's last value: known here, unless the slice has but the value that goes on
+    own = F.when(~F.col("_goes_on") | (F.col("_dense") > 1), F.col("_off") + F.col("_rank"))
+    ends = ends.withColumn("_last_rank", F.last(own, ignorenulls=True).over(so_far))
+    fixes = ends.select(
+        SLICE, *keys, "_off", F.when(F.col("_goes_on"), F.lag("_last_rank").over(at)).alias("_held_rank"),
+        (F.coalesce(F.sum("_dense").over(before), F.lit(0))
+         - F.sum(F.col("_goes_on").cast("int")).over(so_far)).alias("_dense_off"),
+        F.sum("_n").over(span).alias("_size"))
+    j = mended(local, fixes, [SLICE, *keys])
+    off = F.coalesce("_off", F.lit(0))
+    held = F.col("_held_rank").isNotNull() & (F.col("_dense") == 1)
+    j = j.withColumn("_at", F.col("_pos") - 1 + off)
+    cols = [(F.col("_at") + 1).alias("row_number"),
+            F.when(held, F.col("_held_rank")).otherwise(F.col("_rank") + off).cast("long").alias("rank"),
+            (F.col("_dense") + F.coalesce("_dense_off", F.lit(0))).cast("long").alias("dense_rank")]
     if tiles:
-        q = F.floor(F.col("_size") / tiles)
-        r = F.col("_size") % tiles
+        size = F.coalesce("_size", "_n")
+        q, r = F.floor(size / tiles), size % tiles
         big = r * (q + 1)
-        tile = (F.when(F.col("_pos") < big, F.floor(F.col("_pos") / (q + 1)) + 1)
-                .otherwise(r + F.floor((F.col("_pos") - big) / F.greatest(q, F.lit(1))) + 1))
-        out = out.withColumn("ntile", tile.cast("long")).drop("_size")
-    return out.drop("_pos")
+        tile = (F.when(F.col("_at") < big, F.floor(F.col("_at") / (q + 1)) + 1)
+                .otherwise(r + F.floor((F.col("_at") - big) / F.greatest(q, F.lit(1))) + 1))
+        cols.append(tile.cast("long").alias("ntile"))
+    return j.select(*df.columns, *cols)
+
+
+@dataclass(frozen=True)
+class Over:
+    """A window value that looks ``back`` rows back and ``ahead`` rows ahead, or at the key's ends."""
+
+    make: Callable[[WindowSpec], Column]
+    back: int = 0
+    ahead: int = 0
+    whole: bool = False
+
+
+def lag(col: str, offset: int = 1) -> Over:
+    return Over(lambda w: F.lag(col, offset).over(w), back=offset)
+
+
+def lead(col: str, offset: int = 1) -> Over:
+    return Over(lambda w: F.lead(col, offset).over(w), ahead=offset)
+
+
+def rows_frame(fn: Callable[[str], Column], col: str, back: int, ahead: int = 0) -> Over:
+    """``fn(col)`` over ``ROWS BETWEEN back PRECEDING AND ahead FOLLOWING``, e.g. ``rows_frame(F.min, "v", 6)``."""
+    return Over(lambda w: fn(col).over(w.rowsBetween(-back, ahead)), back=back, ahead=ahead)
+
+
+_WHOLE = (Window.unboundedPreceding, Window.unboundedFollowing)
+
+
+def first(col: str) -> Over:
+    return Over(lambda w: F.first(col).over(w.rowsBetween(*_WHOLE)), whole=True)
+
+
+def last(col: str) -> Over:
+    return Over(lambda w: F.last(col).over(w.rowsBetween(*_WHOLE)), whole=True)
+
+
+def over(df: DataFrame, keys: Sequence[str], order: Sequence, values: Mapping[str, Over],
+         partitions: int | None = None) -> DataFrame:
+    """``df`` plus window values, all from one pass over the slices.
+
+    Rows near the edge of a slice, as many as the widest value reaches, are put
+    beside the edge rows of the key's other slices, where the same windows run
+    again: around each edge these rows stand without a gap.  The first and last
+    value of a key are those of its first and last edge row.
+    """
+    keys, order, values = list(keys), _spec(order), dict(values)
+    near = {c: v for c, v in values.items() if not v.whole}
+    far = {c: v for c, v in values.items() if v.whole}
+    reach = max(1, max([v.back for v in near.values()], default=0) + max([v.ahead for v in near.values()], default=0))
+    w = in_slice(keys, order)
+    local = slices(df, [*_spec(keys), *order], slice_count(df, partitions))
+    held = {c: f"_v{i}" for i, c in enumerate(values)}
+    for c, v in values.items():
+        local = local.withColumn(held[c], v.make(w))
+    local = written(local.withColumn("_at", F.row_number().over(w))
+                    .withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy(SLICE, *keys))), "over")
+    edges = going_on(local.where((F.col("_at") <= reach) | (F.col("_at") > F.col("_n") - reach)), keys)
+    along = Window.partitionBy(*keys).orderBy(SLICE, "_at")
+    right = edges.select(SLICE, *keys, "_at", *[v.make(along).alias(f"_f{held[c]}") for c, v in values.items()])
+    j = mended(local, right.select(SLICE, *keys, "_at", F.lit(True).alias("_edge"), *[f"_f{held[c]}" for c in near]),
+               [SLICE, *keys, "_at"])
+    if far:
+        j = mended(j, right.where("_at = 1").select(SLICE, *keys, F.lit(True).alias("_on"), *[f"_f{held[c]}" for c in far]),
+                   [SLICE, *keys])
+    cols = []
+    for c, v in values.items():
+        beside = F.col("_on") if v.whole else F.col("_edge") & (
+            (F.col("_at") <= v.back) | (F.col("_at") > F.col("_n") - v.ahead))
+        cols.append(F.when(beside, F.col(f"_f{held[c]}")).otherwise(F.col(held[c])).alias(c))
+    return j.select(*df.columns, *cols)
 
 
 def shifted(df: DataFrame, keys: Sequence[str], order: Sequence, cols: Sequence[str],
             offset: int | Sequence[int] = 1, prefix: str | Sequence[str] = "lag_",
             partitions: int | None = None) -> DataFrame:
     """``lag`` (offset > 0) or ``lead`` (offset < 0) of ``cols`` within
-    the key, for one or several offsets from a single position pass: an equi
-    join on ``(key, position - offset)`` each.  A hot key does not
-    concentrate: the join key is unique per row."""
-    keys = list(keys)
+    the key, for one or several offsets from a single pass."""
     offsets = [offset] if isinstance(offset, int) else list(offset)
     prefixes = [prefix] if isinstance(prefix, str) else list(prefix)
-    p = _positions(df, keys, order, partitions=partitions)
-    out, added = p, []
-    for off, pre in zip(offsets, prefixes):
-        other = p.select(*[F.col(k).alias(f"_sk_{k}") for k in keys],
-                         (F.col("_pos") + off).alias("_spos"),
-                         *[F.col(c).alias(f"{pre}{c}") for c in cols])
-        cond = F.col("_pos") == F.col("_spos")
-        for k in keys:
-            cond = cond & F.col(k).eqNullSafe(F.col(f"_sk_{k}"))
-        out = out.join(other, cond, "left").drop("_spos", *[f"_sk_{k}" for k in keys])
-        added += [f"{pre}{c}" for c in cols]
-    return out.select(*df.columns, *added)
+    return over(df, keys, order, {f"{p}{c}": lag(c, o) if o > 0 else lead(c, -o)
+                                  for o, p in zip(offsets, prefixes) for c in cols}, partitions)
 
 
 def top_n(df: DataFrame, keys: Sequence[str], order: Sequence, n: int,

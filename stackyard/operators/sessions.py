@@ -1,14 +1,14 @@
 """Batch sessionization that survives a hot key.
 
 ``session_window`` in a batch plan shuffles every event of a key to one
-task and merges sessions there.  Here events are cut into the deterministic
-range slices of ``operators.ordinal`` (a hot key spans many slices), sessions
-are found inside each (slice, key) with window functions, and then stitched
+task and merges sessions there.  Here events are cut into the range slices of
+``operators.ordinal`` (a hot key spans many slices), sessions are found
+inside each (slice, key) with window functions and written once, and then stitched
 across slice boundaries: the first session of a slice continues the last
 session of the key's previous slice when the gap between them is below
 ``gap``.  Stitching needs one row per (slice, key) and only keys that cross
 a slice boundary (about two per slice), a table bounded by the slice count
-that is broadcast.  One shuffle of the events, then one aggregate.
+that is broadcast.  What is left is one aggregate.
 
 Session bounds follow Spark's session windows: start at the first event,
 end at the last event plus the gap; an event exactly ``gap`` after the
@@ -22,38 +22,31 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from stackyard.operators.ordinal import TIE, with_slice
+from stackyard.operators.ordinal import SLICE, going_on, in_slice, mended, slice_count, slices, upto
+from stackyard.session import written
 
 
 def sessionize(df: DataFrame, key: str, ts: str, gap: str, tiebreak: str,
                aggs: Sequence[Column] = (), partitions: int | None = None) -> DataFrame:
     """``(window_start, window_end, key, aggs...)`` per session of ``key``."""
-    n = partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     gap_iv = F.expr(f"INTERVAL {gap}")
-    sliced = with_slice(df, [(key, False), (ts, False), (tiebreak, False)], n)
-    w = Window.partitionBy("_rp", key).orderBy(ts, tiebreak, TIE)
+    order = [(ts, False), (tiebreak, False)]
+    w = in_slice([key], order)
     prev = F.lag(ts).over(w)
-    local = sliced.withColumn("_brk", F.when(prev.isNull() | (F.col(ts) >= prev + gap_iv), 1)
-                              .otherwise(0))
-    local = local.withColumn("_ls", F.sum("_brk").over(
-        w.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
-    # one row per (slice, key): first and last event time, local session count
-    per_slice = local.groupBy("_rp", key).agg(F.min(ts).alias("_first"), F.max(ts).alias("_last"),
-                                              F.max("_ls").alias("_s"))
-    spans = per_slice.withColumn("_nsl", F.count(F.lit(1)).over(Window.partitionBy(key))) \
-        .where("_nsl > 1")
-    by_slice = Window.partitionBy(key).orderBy("_rp")
-    cont = F.when(F.lag("_last").over(by_slice).isNotNull()
-                  & (F.col("_first") < F.lag("_last").over(by_slice) + gap_iv), 1).otherwise(0)
-    before = Window.partitionBy(key).orderBy("_rp").rowsBetween(Window.unboundedPreceding, -1)
-    upto = Window.partitionBy(key).orderBy("_rp").rowsBetween(Window.unboundedPreceding, 0)
-    shifts = (spans.withColumn("_c", cont)
-              .withColumn("_shift", F.coalesce(F.sum("_s").over(before), F.lit(0))
-                          - F.sum("_c").over(upto))
-              .select(F.col("_rp").alias("_o_rp"), F.col(key).alias("_o_key"), "_shift"))
-    # only keys crossing a slice boundary: bounded by the slice count
-    j = local.join(F.broadcast(shifts), (F.col("_rp") == F.col("_o_rp"))
-                   & F.col(key).eqNullSafe(F.col("_o_key")), "left")
+    local = slices(df, [(key, False), *order], slice_count(df, partitions)).withColumn(
+        "_brk", F.when(prev.isNull() | (F.col(ts) >= prev + gap_iv), 1).otherwise(0))
+    local = written(local.withColumn("_ls", F.sum("_brk").over(upto(w)))
+                    .withColumn("_first", F.first(ts).over(upto(w)))
+                    .withColumn("_end", F.lead(F.lit(1)).over(w).isNull()), "sessions")
+    # one row per (slice, key), its last event: first and last time, local session count
+    spans = going_on(local.where("_end").select(SLICE, key, "_first", F.col(ts).alias("_last"), F.col("_ls").alias("_s")),
+                     [key])
+    at = Window.partitionBy(key).orderBy(SLICE)
+    cont = F.when(F.lag("_last").over(at).isNotNull() & (F.col("_first") < F.lag("_last").over(at) + gap_iv), 1).otherwise(0)
+    shifts = spans.withColumn("_c", cont).select(
+        SLICE, key, (F.coalesce(F.sum("_s").over(at.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+                     - F.sum("_c").over(upto(at))).alias("_shift"))
+    j = mended(local, shifts, [SLICE, key])
     sid = F.col("_ls") + F.coalesce(F.col("_shift"), F.lit(0))
     out = j.groupBy(key, sid.alias("_session")).agg(
         F.min(ts).alias("window_start"), (F.max(ts) + gap_iv).alias("window_end"), *aggs)

@@ -13,9 +13,9 @@ from stackyard.plans.registry import query
 from stackyard.session import scratch_path
 from stackyard.sources import text as TX
 from stackyard.sources.jdbc import import_since, register_sources
-from stackyard.sources.sinks import backup_once, overwrite_days, write_table
+from stackyard.sources.sinks import backup_once, overwrite_days, overwrite_days_table, write_table
 from stackyard.sources.topic import decode_topic, encode_topic
-from stackyard.sources.xml import read_xml_properties, write_xml_properties
+from stackyard.sources.xml import overlay, read_xml_properties, write_xml_properties
 from stackyard.tables import load
 
 
@@ -60,6 +60,19 @@ def io2_read_properties(spark, sf):
     return TX.read_properties(spark, path)
 
 
+@query("io2_lookup", "IO2", sql="""
+SELECT 'cust.' || o_custkey AS key, arg_min(o_orderstatus || o_orderkey, o_orderkey) AS value FROM orders GROUP BY o_custkey
+""")
+def io2_lookup(spark, sf):
+    # every order writes its customer's property again: the first of the repeated lines wins
+    line = F.concat(F.lit("cust."), F.col("o_custkey").cast("string"), F.lit(" "), "o_orderstatus",
+                    F.col("o_orderkey").cast("string"), F.lit(" END\r"))
+    path = scratch_path(spark, "io2l")
+    (load(spark, sf, "orders").repartitionByRange("o_orderkey").sortWithinPartitions("o_orderkey")
+     .select(line.alias("value")).write.text(path))
+    return TX.lookup_properties(spark, path).select("key", "value")
+
+
 @query("io3_list_files", "IO3", sql="""
 SELECT DISTINCT CAST(n_regionkey AS VARCHAR) AS region_dir, true AS has_files FROM nation
 """)
@@ -147,6 +160,27 @@ def io7_xml_overlay(spark, sf):
     return read_xml_properties(spark, path)
 
 
+@query("io7_xml_replace", "IO7", sql="""
+SELECT 'nation.' || n_nationkey AS name, CASE WHEN n_nationkey < 5 THEN r_name ELSE n_name END AS value,
+       CASE WHEN n_nationkey >= 5 THEN 'region ' || n_regionkey END AS description
+FROM nation LEFT JOIN region ON n_nationkey = r_regionkey
+UNION ALL SELECT 'supplier.' || s_suppkey AS name, s_name AS value, NULL AS description FROM supplier
+""")
+def io7_xml_replace(spark, sf):
+    # a second file names five of the nations again, with other values, and every supplier
+    named = lambda p, c: F.concat(F.lit(p), F.col(c).cast("string")).alias("name")
+    base, over = scratch_path(spark, "io7-base"), scratch_path(spark, "io7-over")
+    write_xml_properties(load(spark, sf, "nation").select(
+        named("nation.", "n_nationkey"), F.col("n_name").alias("value"),
+        F.concat(F.lit("region "), F.col("n_regionkey").cast("string")).alias("description")), base)
+    write_xml_properties(load(spark, sf, "region").select(named("nation.", "r_regionkey"), F.col("r_name").alias("value"))
+                         .unionByName(load(spark, sf, "supplier").select(
+                             named("supplier.", "s_suppkey"), F.col("s_name").alias("value"))), over)
+    out = scratch_path(spark, "io7-out")
+    write_xml_properties(overlay(read_xml_properties(spark, base), read_xml_properties(spark, over), replace=True), out)
+    return read_xml_properties(spark, out)
+
+
 @query("io9_import_since", "IO9", sql="""
 SELECT o_orderkey, o_orderdate,
        (SELECT max(o_orderdate) FROM orders WHERE o_orderdate > TIMESTAMP '2000-06-01') AS high_water_mark
@@ -208,6 +242,22 @@ def io13_overwrite_days(spark, sf):
     return back.groupBy("day").agg(F.count(F.lit(1)).alias("n_events"))
 
 
+@query("io13_daily_table", "IO13", sql="""
+SELECT CAST(ts AS DATE) AS day, event_type, COUNT(*) AS n_events, round(SUM(value), 2) AS total FROM events
+WHERE CAST(ts AS DATE) <> DATE '2024-01-05' OR event_type <> 'error'
+GROUP BY 1, 2
+""")
+def io13_daily_table(spark, sf):
+    name = f"stackyard_days_{uuid.uuid4().hex[:8]}"
+    ev = load(spark, sf, "events").withColumn("day", F.to_date("ts"))
+    overwrite_days_table(ev, name, "day", path=scratch_path(spark, "io13t"))
+    # the rerun of one day without its errors, columns in another order
+    day = F.col("day") == F.lit("2024-01-05").cast("date")
+    overwrite_days_table(ev.where(day & (F.col("event_type") != "error")).select("day", *ev.columns[:-1]), name, "day")
+    return spark.table(name).groupBy("day", "event_type").agg(F.count(F.lit(1)).alias("n_events"),
+                                                             F.round(F.sum("value"), 2).alias("total"))
+
+
 @query("io14_federation", "IO14", sql="""
 SELECT n_name, COUNT(*) AS n_customers, round(SUM(c_acctbal), 2) AS acctbal
 FROM customer JOIN nation ON c_nationkey = n_nationkey GROUP BY n_name

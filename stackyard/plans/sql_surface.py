@@ -2,11 +2,16 @@
 (DataFrame API or ``spark.sql`` with DataFrame parameters, no global views).
 Per-key windows use the skew-safe operators of ``operators.ordinal``."""
 
+import datetime as dt
+
 from pyspark.sql import functions as F
 
 from stackyard.operators import ordinal as O
-from stackyard.operators.asof import asof_join, sum_between
+from stackyard.operators import sketches as SK
+from stackyard.operators.asof import asof_join
+from stackyard.operators.ranges import range_frame, range_join, range_totals
 from stackyard.plans.registry import query
+from stackyard.session import scratch_path
 from stackyard.streaming.events import interval_join
 from stackyard.tables import load
 
@@ -77,20 +82,29 @@ FROM customer JOIN supplier ON c_nationkey = s_nationkey
 GROUP BY c_custkey
 """)
 def s4_range_join(spark, sf):
-    # a band count needs no pairs: suppliers up to the upper bound less those below the lower one,
-    # from running counts of the suppliers found by two as-of look-ups
-    width = 100.0
-    c = load(spark, sf, "customer").select("c_custkey", "c_nationkey", "c_acctbal")
-    s = (load(spark, sf, "supplier").where("s_nationkey IS NOT NULL AND s_acctbal IS NOT NULL")
-         .groupBy(F.col("s_nationkey").alias("nation"), F.col("s_acctbal").alias("at"))
-         .agg(F.count(F.lit(1)).alias("n")))
-    counts = O.running_sum(s, ["nation"], ["at"], "n", out="upto")
-    ends = c.select("c_custkey", F.col("c_nationkey").alias("nation"),
-                    (F.col("c_acctbal") - width).alias("lo"), (F.col("c_acctbal") + width).alias("hi"))
-    n = sum_between(ends, counts, "nation", "lo", "hi", "at", "upto", "n_suppliers")
+    # a band count needs no pairs: a running count at the upper bound less the one at the lower bound
+    c = load(spark, sf, "customer").select("c_custkey", F.col("c_nationkey").alias("nation"),
+                                           (F.col("c_acctbal") - 100.0).alias("lo"), (F.col("c_acctbal") + 100.0).alias("hi"))
+    s = load(spark, sf, "supplier").select(F.col("s_nationkey").alias("nation"), F.col("s_acctbal").alias("at"))
+    n = range_totals(c, s, "nation", "lo", "hi", "at", count="n_suppliers")
     return n.where("n_suppliers > 0").select("c_custkey", "n_suppliers")
 
 
+@query("s4_interval_rows", "S4", sql="""
+SELECT c_custkey, o_orderkey, o_totalprice
+FROM customer JOIN orders ON c_nationkey = o_custkey % 25
+ AND o_totalprice BETWEEN 20 * abs(c_acctbal) AND 20 * abs(c_acctbal) + 10 * (1 + c_custkey % 97)
+""")
+def s4_interval_rows(spark, sf):
+    # every customer has an interval of its own width: 10 to 970
+    lo = 20 * F.abs("c_acctbal")
+    c = load(spark, sf, "customer").select("c_custkey", F.col("c_nationkey").cast("long").alias("nation"), lo.alias("lo"),
+                                           (lo + 10 * (1 + F.col("c_custkey") % 97)).alias("hi"))
+    o = load(spark, sf, "orders").select("o_orderkey", (F.col("o_custkey") % 25).alias("nation"), "o_totalprice")
+    return range_join(c, o, ["nation"], "lo", "hi", "o_totalprice", unit=50.0).select(
+        "c_custkey", "o_orderkey", "o_totalprice")
+
+
 @query("s5_asof_join", "S5", sql="""
 SELECT p.event_id AS purchase_id, p.user_id, v.event_id AS view_id, v.ts AS view_ts
 FROM (SELECT * FROM events WHERE event_type = 'purchase') p
@@ -152,6 +166,34 @@ def s8_approx_count_distinct(spark, sf):
                     .alias("sketch_within_a_tenth"))
 
 
+@query("s8_sketch_ranges", "S8", sql="""
+WITH r(lo, hi) AS (VALUES (DATE '2024-01-01', DATE '2024-01-07'), (DATE '2024-01-05', DATE '2024-01-20'),
+                          (DATE '2024-01-01', DATE '2024-01-31'))
+SELECT lo, hi, event_type, COUNT(DISTINCT user_id) AS n_users, COUNT(*) AS n_events,
+       true AS users_within_a_tenth, true AS median_within_a_tenth_of_ranks
+FROM events JOIN r ON CAST(ts AS DATE) BETWEEN lo AND hi GROUP BY lo, hi, event_type
+""")
+def s8_sketch_ranges(spark, sf):
+    # sketches per day are written once; any range of days is answered from them
+    ev = load(spark, sf, "events").withColumn("day", F.to_date("ts"))
+    daily = scratch_path(spark, "s8-daily")
+    SK.daily_sketches(ev, "day", ["event_type"], "user_id", "value").write.parquet(daily)
+    ranges = spark.createDataFrame([(dt.date(2024, 1, a), dt.date(2024, 1, b)) for a, b in ((1, 7), (5, 20), (1, 31))],
+                                   "lo date, hi date")
+    got = SK.sketch_ranges(spark.read.parquet(daily), ranges, "day", ["event_type"], [0.5])
+    # the exact answers, for comparison only
+    days = F.col("day").between(F.col("lo"), F.col("hi"))
+    exact = ev.join(F.broadcast(ranges.withColumn("day", F.explode(F.sequence("lo", "hi")))), "day").where(days)
+    both = exact.join(got.select("lo", "hi", "event_type", "n_distinct", F.col("quantiles")[0].alias("median")),
+                      ["lo", "hi", "event_type"]).groupBy("lo", "hi", "event_type").agg(
+        F.count_distinct("user_id").alias("n_users"), F.count(F.lit(1)).alias("n_events"),
+        F.max("n_distinct").alias("sketch"), F.avg((F.col("value") < F.col("median")).cast("int")).alias("below"),
+        F.avg((F.col("value") <= F.col("median")).cast("int")).alias("upto"))
+    return both.select("lo", "hi", "event_type", "n_users", "n_events",
+                       (F.abs(F.col("sketch") - F.col("n_users")) <= 0.1 * F.col("n_users")).alias("users_within_a_tenth"),
+                       ((F.col("below") <= 0.6) & (F.col("upto") >= 0.4)).alias("median_within_a_tenth_of_ranks"))
+
+
 @query("s9_grouping_sets", "S9", sql="""
 SELECT o_orderstatus, o_orderpriority, CAST(GROUPING(o_orderstatus, o_orderpriority) AS BIGINT) AS gid,
        COUNT(*) AS n_orders, round(SUM(o_totalprice), 2) AS total
@@ -210,15 +252,9 @@ FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)
 """)
 def s11_lag_lead(spark, sf):
     ev = load(spark, sf, "events").select("event_id", "user_id", "ts", "event_type")
-    order = ["ts", "event_id"]
-    both = O.shifted(ev, ["user_id"], order, ["event_type", "ts"], [1, -1], ["lag_", "lead_"])
-    # first/last over the whole key: aggregates, joined back by key
-    ends = ev.groupBy("user_id").agg(
-        F.min_by("event_type", F.struct(*order)).alias("first_type"),
-        F.max_by("event_type", F.struct(*order)).alias("last_type"))
-    return (O.null_safe_join(both, ends, ["user_id"])
-            .select("event_id", "user_id", "lag_event_type", "lag_ts", "lead_event_type",
-                    "first_type", "last_type"))
+    return O.over(ev, ["user_id"], ["ts", "event_id"], {
+        "lag_event_type": O.lag("event_type"), "lag_ts": O.lag("ts"), "lead_event_type": O.lead("event_type"),
+        "first_type": O.first("event_type"), "last_type": O.last("event_type")}).drop("ts", "event_type")
 
 
 @query("s12_frames", "S12", sql="""
@@ -234,17 +270,25 @@ def s12_frames(spark, sf):
     o = load(spark, sf, "orders").select("o_orderkey", "o_custkey", "o_orderdate", "o_totalprice")
     run = O.running_sum(o, ["o_custkey"], ["o_orderdate", "o_orderkey"], "o_totalprice",
                         out="running_total")
-    # range frame: the sum up to the day less the sum before the day 30 days ago; the key is text
-    # because a window, unlike a join, also has a group of NULL customers
-    key = F.coalesce(F.col("o_custkey").cast("string"), F.lit("")).alias("customer")
-    days = o.groupBy(key, "o_orderdate").agg(F.sum("o_totalprice").alias("day_total"))
-    upto = O.running_sum(days, ["customer"], ["o_orderdate"], "day_total", out="upto")
-    ends = o.select("o_orderkey", key, F.col("o_orderdate").alias("hi"),
-                    (F.col("o_orderdate") - F.expr("INTERVAL 30 DAYS")).alias("lo"))
-    win = sum_between(ends, upto, "customer", "lo", "hi", "o_orderdate", "upto", "total_30d").select(
-        "o_orderkey", F.round("total_30d", 2).alias("total_30d"))
-    return run.join(win, "o_orderkey").select(
-        "o_orderkey", "o_custkey", F.round("running_total", 2).alias("running_total"), "total_30d")
+    both = range_frame(run, ["o_custkey"], "o_orderdate", "30 days", {"total_30d": ("sum", "o_totalprice")})
+    return both.select("o_orderkey", "o_custkey", F.round("running_total", 2).alias("running_total"),
+                       F.round("total_30d", 2).alias("total_30d"))
+
+
+@query("s12_sliding", "S12", sql="""
+SELECT o_orderkey, o_custkey, MIN(o_totalprice) OVER r AS min_7, MAX(o_totalprice) OVER r AS max_7, COUNT(*) OVER r AS n_7,
+       MIN(o_totalprice) OVER d AS min_30d, MAX(o_totalprice) OVER d AS max_30d, COUNT(*) OVER d AS n_30d
+FROM orders WINDOW r AS (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey ROWS 6 PRECEDING),
+  d AS (PARTITION BY o_custkey ORDER BY o_orderdate RANGE BETWEEN INTERVAL 30 DAYS PRECEDING AND CURRENT ROW)
+""")
+def s12_sliding(spark, sf):
+    o = load(spark, sf, "orders").select("o_orderkey", "o_custkey", "o_orderdate", "o_totalprice")
+    rows = O.over(o, ["o_custkey"], ["o_orderdate", "o_orderkey"], {
+        "min_7": O.rows_frame(F.min, "o_totalprice", 6), "max_7": O.rows_frame(F.max, "o_totalprice", 6),
+        "n_7": O.rows_frame(F.count, "o_orderkey", 6)})
+    return range_frame(rows, ["o_custkey"], "o_orderdate", "30 days", {
+        "min_30d": ("min", "o_totalprice"), "max_30d": ("max", "o_totalprice"), "n_30d": ("count", None)}).drop(
+        "o_orderdate", "o_totalprice")
 
 
 @query("s13_top_k", "S13", sql="""

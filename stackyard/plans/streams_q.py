@@ -1,27 +1,27 @@
 """Streams (IO11, R1-R9).
 
 Stream runs read files cut from ``events`` in time order (as many files per
-time range as the session has shuffle partitions, one range per micro-batch),
-run with ``availableNow`` and a
-checkpoint under the shared folder, and return what the sink wrote.  The
-queries whose final result does not depend on batch boundaries have an
-oracle; the late-row query (R4) depends on them by design and is checked
-against a brute-force model in the tests.
+micro-batch as the session has shuffle partitions), run with ``availableNow`` and a
+checkpoint under the shared folder, and return what the sink wrote.  The late-row
+query (R4) takes one folder of days per micro-batch, so that SQL knows the batches.
 """
 
+import time
+
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from stackyard.functions.strings import exact_avg
 from stackyard.operators.sessions import sessionize
 from stackyard.plans.registry import query
 from stackyard.session import scratch_path
+from stackyard.sources.manifest import VersionedTable
 from stackyard.streaming import events as EV
-from stackyard.streaming.sinks import (append_updates, ingest_logs, read_latest, read_upserted,
-                                      start_available_now, upsert_batch)
+from stackyard.streaming.sinks import append_updates, ingest_logs, read_latest, start_available_now, upsert_batch
 from stackyard.streaming.state import running_state, running_totals
 from stackyard.tables import load
 
-LEAST_BATCHES, ROWS_PER_BATCH = 4, 5_000_000
+LEAST_BATCHES, ROWS_PER_FILE = 4, 1_000_000
 JSON_TIME = {"timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"}
 EVENT_COLS = ["event_id", "ts", "user_id", "event_type", "value"]
 
@@ -30,37 +30,53 @@ def files_per_batch(spark) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def _written_files(spark, root):
+    """``(file system, path)`` of the data files under ``root``, by name."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(root)
+    fs = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return fs, sorted((s.getPath() for s in fs.listStatus(at) if s.getPath().getName()[0] not in "._"),
+                      key=lambda p: p.getName())
+
+
 def event_files(spark, sf, extra=None, fmt="parquet"):
-    """Write ``events`` as time ranges in time order (plus ``extra`` rows as a
-    later range); return (folder, schema).
+    """Write ``events`` in time order (plus ``extra`` rows as later files); return (folder, schema).
 
-    The file source takes files in modification-time order, so each time
-    range is appended by its own write, one after the other, in
-    ``files_per_batch`` files by as many tasks.
+    One range-partitioned write, whatever the number of files: the names follow the
+    time, a range of many rows is cut into several files.  The file source takes files
+    in the order of their modification times, which are set accordingly.
     """
     root = scratch_path(spark, "events-src")
     ev = load(spark, sf, "events").select(*EVENT_COLS)
-    n = max(LEAST_BATCHES, ev.count() // ROWS_PER_BATCH)
-    edges = ev.select(F.percentile_approx("ts", [i / n for i in range(1, n)], 10000)
-                      .alias("q")).first()["q"]
-    bounds = [None, *edges, None]
 
     def put(df):
-        w = df.repartition(files_per_batch(spark)).write.mode("append")
+        w = df.write.mode("append").option("maxRecordsPerFile", str(ROWS_PER_FILE))
         (w.options(**JSON_TIME).json(root) if fmt == "json" else w.parquet(root))
 
-    for lo, hi in zip(bounds[:-1], bounds[1:]):
-        cond = F.lit(True)
-        if lo is not None:
-            cond = cond & (F.col("ts") > F.lit(str(lo)).cast("timestamp_ntz"))
-        if hi is not None:
-            cond = cond & (F.col("ts") <= F.lit(str(hi)).cast("timestamp_ntz"))
-        put(ev.where(cond))
+    put(ev.repartitionByRange(LEAST_BATCHES * files_per_batch(spark), "ts").sortWithinPartitions("ts"))
+    fs, files = _written_files(spark, root)
+    first = int(time.time() * 1000) - 1000 * (len(files) + 1)
+    for i, path in enumerate(files):
+        fs.setTimes(path, first + 1000 * i, -1)
     if extra is not None:
-        put(extra(ev))
+        put(extra(ev).repartition(files_per_batch(spark)))
     return root, ev.schema
 
 
+def event_days(spark, sf, days, extra):
+    """Write ``events`` once, so many days to a folder, and ``extra`` rows to a last one; return (folders, schema)."""
+    root = scratch_path(spark, "events-days")
+    ev = load(spark, sf, "events").select(*EVENT_COLS)
+    batch = F.floor(F.datediff(F.col("ts").cast("date"), F.lit("2024-01-01").cast("date")) / F.lit(days)).cast("int")
+    late = extra(ev).withColumn("batch", F.lit(LAST_BATCH))
+    ev.withColumn("batch", batch).unionByName(late).write.partitionBy("batch").parquet(root)
+    _, folders = _written_files(spark, root)
+    return (sorted((p.toString() for p in folders), key=lambda p: int(p.rpartition("=")[2])),
+            T.StructType([*ev.schema.fields, T.StructField("batch", T.IntegerType())]))
+
+
+LAST_BATCH = 1_000_000
+
+
 def read_stream(spark, root, schema, fmt="parquet"):
     r = spark.readStream.schema(schema).option("maxFilesPerTrigger", str(files_per_batch(spark)))
     return r.options(**JSON_TIME).json(root) if fmt == "json" else r.parquet(root)
@@ -103,14 +119,15 @@ FROM events GROUP BY 1, 2, 3
 """)
 def r1_tumbling_count_stream(spark, sf):
     src, schema = event_files(spark, sf)
-    log = scratch_path(spark, "r1-log")
+    log = VersionedTable(spark, scratch_path(spark, "r1-log"))
     agg = EV.windowed(read_stream(spark, src, schema), "ts", "tumbling:1 hour", ["event_type"],
                       HOURLY_AGGS(), delay="1 hour")
     # update mode: each batch emits the windows it changed; window state is
     # dropped once the watermark passes; the newest version per window wins
-    run_available_now(spark, agg.writeStream.foreachBatch(append_updates(log)).outputMode("update"),
-                      scratch_path(spark, "r1-ckpt"))
-    return read_latest(spark, log, ["window_start", "event_type"])
+    run_available_now(spark, agg.writeStream.foreachBatch(
+        append_updates(log, ["window_start", "event_type"])).outputMode("update"), scratch_path(spark, "r1-ckpt"))
+    return read_latest(log, ["window_start", "event_type"]).select(
+        "window_start", "window_end", "event_type", "n_events", "value_sum")
 
 
 @query("r2_sliding_avg", "R2", sql="""
@@ -159,22 +176,20 @@ WITH g AS (SELECT user_id, ts,
            FROM events),
      s AS (SELECT user_id, ts, SUM(brk) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS sid
            FROM g)
-SELECT * FROM (
-  SELECT MIN(ts) AS window_start, MAX(ts) + INTERVAL 30 MINUTE AS window_end, user_id,
-         COUNT(*) AS n_events
-  FROM s GROUP BY user_id, sid)
-WHERE window_end <= (SELECT MAX(ts) FROM events) - INTERVAL 1 HOUR
+SELECT MIN(ts) AS window_start, MAX(ts) + INTERVAL 30 MINUTE AS window_end, user_id,
+       COUNT(*) AS n_events
+FROM s GROUP BY user_id, sid
 """)
 def r3_session_window_stream(spark, sf):
     src, schema = event_files(spark, sf)
     sess = EV.windowed(read_stream(spark, src, schema), "ts", "session:30 minutes", ["user_id"],
                        [F.count(F.lit(1)).alias("n_events")], delay="1 hour")
     # append mode: a session is written once, when the watermark (max event
-    # time minus one hour) passes its end; sessions still open stay in state
-    out = scratch_path(spark, "r3-out")
+    # time minus one hour) passes its end; at the end of the input the others are read from the state
+    out, ckpt = scratch_path(spark, "r3-out"), scratch_path(spark, "r3-ckpt")
     run_available_now(spark, sess.writeStream.format("parquet").option("path", out)
-                      .outputMode("append"), scratch_path(spark, "r3-ckpt"))
-    return spark.read.parquet(out)
+                      .outputMode("append"), ckpt)
+    return spark.read.parquet(out).unionByName(EV.open_sessions(spark, ckpt, ["user_id"], ["n_events"]))
 
 
 def _late_rows(ev):
@@ -183,21 +198,32 @@ def _late_rows(ev):
             .withColumn("ts", F.col("ts") - F.expr("INTERVAL 3 HOURS")))
 
 
-@query("r4_late_rows_dropped", "R4")
+@query("r4_late_rows_dropped", "R4", sql="""
+WITH e AS (SELECT ts, event_type, date_diff('day', DATE '2024-01-01', CAST(ts AS DATE)) // 8 AS batch FROM events
+           UNION ALL SELECT ts - INTERVAL 3 HOUR, event_type, 1000000 FROM events WHERE event_id % 10 = 0),
+m AS (SELECT batch, MAX(MAX(ts)) OVER (ORDER BY batch ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)
+               - INTERVAL 1 HOUR AS mark FROM e GROUP BY batch),
+l AS (SELECT date_trunc('hour', ts) AS ws, event_type,
+             coalesce(date_trunc('hour', ts) + INTERVAL 1 HOUR <= mark, false) AS late FROM e JOIN m USING (batch))
+SELECT ws AS window_start, ws + INTERVAL 1 HOUR AS window_end, event_type,
+       COUNT(*) FILTER (NOT late) AS n_events, COUNT(*) FILTER (late) AS n_late FROM l GROUP BY ws, event_type
+""")
 def r4_late_rows_dropped(spark, sf):
-    """Hourly counts of a stream whose last file re-sends rows three hours
-    late; rows behind the watermark (1 hour) are dropped, the rest counted."""
-    src, schema = event_files(spark, sf, extra=_late_rows)
-    out = scratch_path(spark, "r4-out")
-    agg = EV.windowed(read_stream(spark, src, schema), "ts", "tumbling:1 hour", ["event_type"],
-                      [F.count(F.lit(1)).alias("n_events")], delay="1 hour")
-    run_available_now(spark, agg.writeStream.format("parquet").option("path", out).outputMode("append"),
-                      scratch_path(spark, "r4-ckpt"))
-    return spark.read.parquet(out)
+    """Hourly counts of a stream whose last folder re-sends rows three hours
+    late; rows behind the watermark (1 hour) are counted apart."""
+    folders, schema = event_days(spark, sf, 8, _late_rows)
+    out, ckpt = scratch_path(spark, "r4-out"), scratch_path(spark, "r4-ckpt")
+    for folder in folders:   # a run per folder, as new days arrive
+        # as a pattern, since for a plain folder the file source sets the base path to the folder itself
+        rows = spark.readStream.schema(schema).option("basePath", folder.rpartition("/")[0]).parquet(
+            f"{folder[:-1]}[{folder[-1]}]").drop("batch")
+        run_available_now(spark, rows.writeStream.foreachBatch(EV.split_late(out, "ts", ["event_type"])), ckpt)
+    return EV.read_split(spark, out, ["event_type"])[0]
 
 
 def _repeats(ev):
-    """Derived repeats: every twentieth event sent again in a later file."""
+    """Derived repeats: every twentieth event sent again in a later file, most of them long after
+    the watermark has passed (dropped as late), those of the last day within it (known ids)."""
     return ev.where(F.col("event_id") % 20 == 0)
 
 
@@ -207,7 +233,7 @@ SELECT event_id, ts, user_id, event_type, value FROM events
 def r5_dedup_stream(spark, sf):
     src, schema = event_files(spark, sf, extra=_repeats)
     out = scratch_path(spark, "r5-out")
-    d = EV.dedup_events(read_stream(spark, src, schema), "event_id", "ts", delay="40 days")
+    d = EV.dedup_events(read_stream(spark, src, schema), "event_id", "ts", delay="1 day")
     run_available_now(spark, d.writeStream.format("parquet").option("path", out).outputMode("append"),
                       scratch_path(spark, "r5-ckpt"))
     return spark.read.parquet(out)
@@ -247,11 +273,11 @@ FROM events GROUP BY user_id
 """)
 def r7_running_state(spark, sf):
     src, schema = event_files(spark, sf)
-    log = scratch_path(spark, "r7-log")
+    log = VersionedTable(spark, scratch_path(spark, "r7-log"))
     st = running_state(read_stream(spark, src, schema), "user_id", "ts", "event_id", "value")
-    run_available_now(spark, st.writeStream.foreachBatch(append_updates(log)).outputMode("update"),
+    run_available_now(spark, st.writeStream.foreachBatch(append_updates(log, ["key"])).outputMode("update"),
                       scratch_path(spark, "r7-ckpt"))
-    return read_latest(spark, log, ["key"]).withColumn("value_sum", F.round("value_sum", 2))
+    return read_latest(log, ["key"]).withColumn("value_sum", F.round("value_sum", 2))
 
 
 @query("r7_running_totals", "R7", sql="""
@@ -261,12 +287,12 @@ FROM events GROUP BY user_id
 """)
 def r7_running_totals(spark, sf):
     src, schema = event_files(spark, sf)
-    log = scratch_path(spark, "r7t-log")
+    log = VersionedTable(spark, scratch_path(spark, "r7t-log"))
     totals = running_totals(read_stream(spark, src, schema), "user_id", "ts", "event_id", "value")
     # update mode: changed keys per batch; the newest version per key wins
-    run_available_now(spark, totals.writeStream.foreachBatch(append_updates(log)).outputMode("update"),
+    run_available_now(spark, totals.writeStream.foreachBatch(append_updates(log, ["key"])).outputMode("update"),
                       scratch_path(spark, "r7t-ckpt"))
-    return read_latest(spark, log, ["key"]).withColumn("value_sum", F.round("value_sum", 2))
+    return read_latest(log, ["key"]).withColumn("value_sum", F.round("value_sum", 2))
 
 
 @query("r8_stream_upsert", "R8", sql="""
@@ -276,11 +302,11 @@ SELECT user_id, event_id, ts, event_type, value FROM (
 """)
 def r8_stream_upsert(spark, sf):
     src, schema = event_files(spark, sf)
-    table, staging = scratch_path(spark, "r8-table"), scratch_path(spark, "r8-stage")
-    fn = upsert_batch(table, staging, ["user_id"], ["ts", "event_id"], buckets=16)
+    table = VersionedTable(spark, scratch_path(spark, "r8-table"))
+    fn = upsert_batch(table, ["user_id"], ["ts", "event_id"], buckets=files_per_batch(spark))
     run_available_now(spark, read_stream(spark, src, schema).writeStream.foreachBatch(fn),
                       scratch_path(spark, "r8-ckpt"))
-    return read_upserted(spark, table).select(*EVENT_COLS)
+    return table.read().select(*EVENT_COLS)
 
 
 @query("r9_interval_join", "R9", sql="""

@@ -6,7 +6,7 @@ from stackyard.operators.filters import delete_where
 from stackyard.operators.updates import upsert
 from stackyard.plans.registry import query
 from stackyard.session import scratch_path
-from stackyard.sources.sinks import backup_once, replace_table, write_table
+from stackyard.sources.sinks import backup_once, replace_table
 from stackyard.tables import load
 
 
@@ -58,10 +58,8 @@ def u3_replace_dataset(spark, sf):
     # first version: all orders; replacement: orders without status P
     root = scratch_path(spark, "u3")
     o = load(spark, sf, "orders").select("o_orderkey", "o_orderstatus")
-    write_table(o, root, "errorifexists")
-    current = spark.read.parquet(root)
-    replace_table(spark, current.where(F.col("o_orderstatus") != "P"), root)
-    return spark.read.parquet(root)
+    table = replace_table(spark, o, root)
+    return replace_table(spark, table.read().where(F.col("o_orderstatus") != "P"), root).read()
 
 
 @query("u4_delete_where", "U4", sql="""

@@ -12,7 +12,7 @@ import os
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def make_session(cpus: int | str = 8, shuffle_partitions: int | None = None,
@@ -58,7 +58,7 @@ def checkpoint_root(spark: SparkSession) -> str:
         except Exception:
             d = None
     if not d:
-        if not spark.sparkContext.master.startswith("local["):
+        if spark.sparkContext.master.split("[")[0] != "local":
             raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         d = tempfile.mkdtemp(prefix="stackyard-ckpt-", dir=os.environ.get("TMPDIR", "/tmp"))
         spark.sparkContext.setCheckpointDir(d)
@@ -66,6 +66,28 @@ def checkpoint_root(spark: SparkSession) -> str:
     return d.rstrip("/")
 
 
+def _scratch_root(spark: SparkSession) -> str:
+    return f"{checkpoint_root(spark)}/stackyard/{spark.sparkContext.applicationId}"
+
+
 def scratch_path(spark: SparkSession, label: str) -> str:
-    """A fresh, never-reused folder under the checkpoint root."""
-    return f"{checkpoint_root(spark)}/stackyard/{label}-{uuid.uuid4().hex[:12]}"
+    """A fresh, never-reused folder of this application under the checkpoint root."""
+    return f"{_scratch_root(spark)}/{label}-{uuid.uuid4().hex[:12]}"
+
+
+def written(df: DataFrame, label: str) -> DataFrame:
+    """``df`` written once to the shared scratch folder and read back.
+
+    Cuts the lineage: every branch of a later plan reads the same files, and a
+    lost executor repeats only reads.
+    """
+    path = scratch_path(df.sparkSession, label)
+    df.write.parquet(path, compression="zstd")
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def clear_scratch(spark: SparkSession) -> None:
+    """Remove what this application left in the scratch folder.  Frames that
+    read it are of no use afterwards, so call it last."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_scratch_root(spark))
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)

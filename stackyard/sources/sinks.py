@@ -5,9 +5,10 @@ Paths are folders on shared storage.  Nothing here collects data.
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from stackyard.sources.manifest import VersionedTable
 
 MODES = ("append", "overwrite", "ignore", "errorifexists")
 
@@ -24,30 +25,15 @@ def write_table(df: DataFrame, path: str, mode: str = "errorifexists", fmt: str
     w.save(path)
 
 
-def replace_table(spark: SparkSession, df: DataFrame, path: str, fmt: str = "parquet") -> str:
-    """Replace a whole dataset under its own path, which is returned.
+def replace_table(spark: SparkSession, df: DataFrame, path: str) -> VersionedTable:
+    """Replace a whole dataset under its own path in one step (see ``manifest``).
 
-    The new data goes to a fresh sibling folder first (the plan may still
-    read the old one); then the two folders change names.  If the second
-    rename fails the old data gets its name back.  Readers that already
-    listed the old files must list again.
+    ``df`` may read the table it replaces.  Readers that have opened the old
+    version keep it until ``vacuum``.
     """
-    path, tag = path.rstrip("/"), uuid.uuid4().hex[:8]
-    fresh, old = f"{path}.new-{tag}", f"{path}.old-{tag}"
-    df.write.mode("errorifexists").format(fmt).save(fresh)
-    jvm = spark.sparkContext._jvm
-    at = {p: jvm.org.apache.hadoop.fs.Path(p) for p in (path, fresh, old)}
-    fs = at[path].getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    existed = fs.exists(at[path])
-    if existed and not fs.rename(at[path], at[old]):
-        raise OSError(f"cannot move {path} aside")
-    if not fs.rename(at[fresh], at[path]):
-        if existed:
-            fs.rename(at[old], at[path])
-        raise OSError(f"cannot move the new data to {path}")
-    if existed:
-        fs.delete(at[old], True)
-    return path
+    table = VersionedTable(spark, path)
+    table.replace(df)
+    return table
 
 
 def backup_once(df: DataFrame, path: str, fmt: str = "parquet") -> None:
@@ -66,3 +52,26 @@ def overwrite_days(df: DataFrame, path: str, day_col: str, fmt: str = "parquet")
     (df.write.mode("overwrite")
      .option("partitionOverwriteMode", "dynamic")
      .partitionBy(day_col).format(fmt).save(path))
+
+
+def overwrite_days_table(df: DataFrame, table: str, day_col: str, path: str | None = None, fmt: str = "parquet") -> None:
+    """IO13: the daily rerun by the name of a catalog table, which the first run creates (at ``path``, if given).
+
+    Only the days in ``df`` are replaced.  The rows are rebalanced by day
+    before the write: AQE splits a day that holds much of the rows over several tasks of the
+    advisory size and puts small days together, so a day has about its bytes over
+    that size in files, not one file per task.  Columns go by name.
+    """
+    spark = df.sparkSession
+    rows = df.hint("rebalance", F.col(day_col))
+    if not spark.catalog.tableExists(table):
+        writer = rows.write.partitionBy(day_col).format(fmt)
+        (writer.option("path", path) if path else writer).saveAsTable(table)
+        return
+    key = "spark.sql.sources.partitionOverwriteMode"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "dynamic")
+    try:
+        rows.select(*spark.table(table).columns).write.insertInto(table, overwrite=True)
+    finally:
+        spark.conf.set(key, before)

@@ -9,11 +9,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from stackyard.functions.strings import literal_pattern
+from stackyard.operators.aggregates import first_per_key
 
 CODECS = ("none", "gzip", "bzip2", "deflate", "snappy", "lz4")
 
@@ -52,10 +53,15 @@ def read_delimited(spark: SparkSession, path, schema: T.StructType | Sequence[st
     ``line`` and a ``complete`` flag; values that do not cast to the schema
     type become NULL (``try_cast``).  ``rejects`` is the incomplete part.
     """
+    rows = _delimited(_lines(spark, path), schema, sep, comment, collapse)
+    return rows, rows.where(~F.col("complete"))
+
+
+def _delimited(lines: DataFrame, schema, sep: str, comment: str | None, collapse: bool | None,
+               keep: Sequence[str] = ()) -> DataFrame:
     if not isinstance(schema, T.StructType):
         schema = T.StructType([T.StructField(n, T.StringType()) for n in schema])
     collapse = sep == " " if collapse is None else collapse
-    body = _body(_lines(spark, path), comment)
     parts = _fields(sep, collapse)
     has_sep = F.instr(F.trim("line") if (collapse and sep == " ") else F.col("line"), sep) > 0
     cols = []
@@ -64,8 +70,39 @@ def read_delimited(spark: SparkSession, path, schema: T.StructType | Sequence[st
         cols.append((v if isinstance(f.dataType, T.StringType) else v.try_cast(f.dataType))
                     .alias(f.name))
     complete = has_sep & (F.size(parts) >= len(schema.fields))
-    rows = body.select(*cols, "line", complete.alias("complete"))
-    return rows, rows.where(~F.col("complete"))
+    return _body(lines, comment).select(*cols, "line", complete.alias("complete"), *keep)
+
+
+def _properties(lines: DataFrame, sep: str, comment: str, end_marker: str | None,
+                keep: Sequence[str] = ()) -> DataFrame:
+    rows = _delimited(lines, ["key", "value", "_marker"], sep, comment, None, keep)
+    value = F.col("value")
+    if end_marker is not None:
+        value = F.when(value == end_marker, F.lit(None)).otherwise(value)
+    no_sep = F.instr(F.trim("line"), sep) == 0
+    return rows.select(F.when(no_sep, F.trim("line")).otherwise(F.col("key")).alias("key"),
+                       value.alias("value"), *keep)
+
+
+def numbered_lines(spark: SparkSession, path: str | Sequence[str]) -> DataFrame:
+    """``(file, line_no, line)`` of text files, lines counted from 1 per file however the files are split.
+
+    A file is read by many tasks, each a block of it.  Rows of a task are
+    numbered as they are read, so within a block a line's place is its number less
+    the smallest one there, and a block begins after the lines of the blocks before
+    it: one row per block, added up per file.  No file goes through one
+    task.  Blocks and numbers come from the scan itself, the same in both reads of it.
+    """
+    paths = [path] if isinstance(path, str) else list(path)
+    rows = spark.read.text(paths).select(
+        F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"),
+        F.monotonically_increasing_id().alias("at"), F.regexp_replace("value", "\r$", "").alias("line"))
+    blocks = rows.groupBy("file", "block").agg(F.count(F.lit(1)).alias("n"), F.min("at").alias("first"))
+    before = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    starts = blocks.select(F.col("file").alias("_file"), F.col("block").alias("_block"), "first",
+                           F.coalesce(F.sum("n").over(before), F.lit(0)).alias("lines_before"))
+    return rows.join(starts, (F.col("file") == F.col("_file")) & (F.col("block") == F.col("_block"))).select(
+        "file", (F.col("lines_before") + F.col("at") - F.col("first") + 1).alias("line_no"), "line")
 
 
 def read_properties(spark: SparkSession, path, sep: str = " ", comment: str = "#",
@@ -75,13 +112,23 @@ def read_properties(spark: SparkSession, path, sep: str = " ", comment: str = "#
     The optional end marker is dropped; a key with no value gets NULL.  A
     key may appear more than once; every row is kept (lookups decide).
     """
-    rows, _ = read_delimited(spark, path, ["key", "value", "_marker"], sep, comment)
-    value = F.col("value")
-    if end_marker is not None:
-        value = F.when(value == end_marker, F.lit(None)).otherwise(value)
-    no_sep = F.instr(F.trim("line"), sep) == 0
-    return rows.select(F.when(no_sep, F.trim("line")).otherwise(F.col("key")).alias("key"),
-                       value.alias("value"))
+    return _properties(_lines(spark, path), sep, comment, end_marker)
+
+
+def lookup_properties(spark: SparkSession, path, keys: Sequence[str] | None = None, per_file: bool = False,
+                      sep: str = " ", comment: str = "#", end_marker: str | None = "END") -> DataFrame:
+    """IO2: the value of each property, ``(key, value, file, line_no)``: of lines that repeat a key the
+    first wins, in the order of file names and line numbers (``per_file``: the first of each file).
+
+    ``keys`` asks for some properties only.  A first line without a value answers NULL;
+    a key that no line has gives no row.
+    """
+    props = _properties(numbered_lines(spark, path), sep, comment, end_marker, ["file", "line_no"])
+    if keys is not None:
+        props = props.where(F.col("key").isin(list(keys)))
+    by = ["key", "file"] if per_file else ["key"]
+    return first_per_key(props, by, ["file", "line_no"], [c for c in ("value", "file", "line_no") if c not in by]).select(
+        "key", "value", "file", "line_no")
 
 
 def list_files(spark: SparkSession, root: str, glob: str = "*",

@@ -13,9 +13,9 @@ their event time; the interval join keeps each side for ``width + delay``.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -84,16 +84,67 @@ def dedup_events(df: DataFrame, id_col: str, ts: str, delay: str = "1 day") -> D
     return df.dropDuplicates([id_col])
 
 
-def late_count(progress: Sequence[dict]) -> int:
-    """Rows dropped as late by stateful operators, summed over the
-    query's ``recentProgress`` (``numRowsDroppedByWatermark``).  Spark
-    counts rows as they reach the state store, after map-side partial
-    aggregation, so late input rows of one window and key may count once."""
-    total = 0
-    for p in progress:
-        for op in p.get("stateOperators", []) or []:
-            total += int(op.get("numRowsDroppedByWatermark", 0) or 0)
-    return total
+def split_late(path: str, ts: str, keys: Sequence[str], window: str = "1 hour",
+               delay: str = "1 hour") -> Callable[[DataFrame, int], None]:
+    """A ``foreachBatch`` function that counts each micro-batch's rows per window and key, rows
+    on time and late ones apart, and keeps the late rows themselves.
+
+    The watermark of a batch is the largest event time of the batches before it,
+    less ``delay``; a row is late when its window ended at or before it.  Spark's own
+    stateful operators drop such rows unseen.  The largest event time of a batch is
+    written with its counts, in one folder per batch, so a replayed batch
+    sees the same watermark and rewrites its own folders.  Read with ``read_split``.
+    """
+    counts, late_rows = f"{path.rstrip('/')}/counts", f"{path.rstrip('/')}/late"
+
+    def apply(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        mark = None
+        if batch_id > 0 and (done := _batches(spark, counts, batch_id)):
+            mark = spark.read.parquet(*done).agg(F.max("max_ts") - F.expr(f"INTERVAL {delay}")).first()[0]
+        start = F.window(F.col(ts), window)["start"]
+        rows = batch.withColumn("window_start", start)
+        end = F.col("window_start") + F.expr(f"INTERVAL {window}")
+        is_late = F.lit(False) if mark is None else F.coalesce(end <= F.lit(mark), F.lit(False))
+        rows = rows.withColumn("_late", is_late).persist()
+        try:
+            (rows.groupBy("window_start", end.alias("window_end"), *keys).agg(
+                F.count(F.when(~F.col("_late"), 1)).alias("n_events"), F.count(F.when(F.col("_late"), 1)).alias("n_late"),
+                F.max(ts).alias("max_ts")).write.mode("overwrite").parquet(f"{counts}/{batch_id:012d}"))
+            (rows.where("_late").drop("_late", "window_start").write.mode("overwrite")
+             .parquet(f"{late_rows}/{batch_id:012d}"))
+        finally:
+            rows.unpersist()
+    return apply
+
+
+def _batches(spark: SparkSession, folder: str, before: int | None = None) -> list[str]:
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    fs = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    names = [s.getPath().getName() for s in fs.listStatus(at)] if fs.exists(at) else []
+    return [f"{folder}/{n}" for n in sorted(names) if n.isdigit() and (before is None or int(n) < before)]
+
+
+def read_split(spark: SparkSession, path: str, keys: Sequence[str]) -> tuple[DataFrame, DataFrame]:
+    """What ``split_late`` wrote: counts per window and key (all windows, the last ones too), and the late rows."""
+    root = path.rstrip("/")
+    counts = spark.read.parquet(*_batches(spark, f"{root}/counts")).groupBy("window_start", "window_end", *keys).agg(
+        F.sum("n_events").alias("n_events"), F.sum("n_late").alias("n_late"))
+    return counts, spark.read.parquet(*_batches(spark, f"{root}/late"))
+
+
+def open_sessions(spark: SparkSession, checkpoint: str, keys: Sequence[str], aggs: Sequence[str]) -> DataFrame:
+    """The sessions that a stopped session-window stream still holds, read from its state.
+
+    ``aggs`` names the aggregates in their order; each must be one whose state is its
+    result (count, sum, min, max).  Together with what the sink has, these are all sessions
+    of the input.
+    """
+    state = spark.read.format("statestore").load(checkpoint).select("value.*")
+    held = [c for c in state.columns if c not in ("session_window", *keys)]
+    return state.select(to_wall_time("session_window.start").alias("window_start"),
+                        to_wall_time("session_window.end").alias("window_end"), *keys,
+                        *[F.col(c).alias(a) for c, a in zip(held, aggs, strict=True)])
 
 
 def enrich(stream: DataFrame, static: DataFrame, on, how: str = "left") -> DataFrame:

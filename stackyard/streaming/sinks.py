@@ -8,13 +8,12 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from pyspark.errors import AnalysisException
-
 from stackyard.operators.aggregates import last_per_key
+from stackyard.sources.manifest import VersionedTable
 
 
 def ingest_logs(spark: SparkSession, src_dir: str, schema, out: str, checkpoint: str,
@@ -39,67 +38,39 @@ def ingest_logs(spark: SparkSession, src_dir: str, schema, out: str, checkpoint:
     return w.start()
 
 
-def bucket_of(keys: Sequence[str], buckets: int) -> Column:
-    return F.pmod(F.xxhash64(*[F.col(k) for k in keys]), F.lit(buckets)).cast("int")
-
-
-def upsert_batch(path: str, staging: str, keys: Sequence[str], order: Sequence[str] = (),
-                 buckets: int = 64) -> Callable[[DataFrame, int], None]:
-    """A ``foreachBatch`` function that upserts each micro-batch into the
-    table at ``path``, partitioned by a hash bucket of the key.
+def upsert_batch(table: VersionedTable, keys: Sequence[str], order: Sequence[str] = (), buckets: int = 64,
+                 writer: str = "stream") -> Callable[[DataFrame, int], None]:
+    """A ``foreachBatch`` function that upserts each micro-batch into a
+    versioned table (``sources.manifest``) as one commit.
 
-    Only the buckets a batch touches are rewritten: their rows and the
-    batch's rows are reduced to the newest version per key (largest
-    ``order``; the batch id when no order is given), written aside to
-    ``staging/<batch>``, then swapped in by dynamic partition overwrite, so
-    no plan overwrites what it reads.  Because the newest version wins
-    against the table too, batches may arrive in any order, and replaying a
-    batch after a failure gives the same table.
+    Only the buckets a batch touches are read and rewritten.  The newest version of a key (largest
+    ``order``; the later batch when no order is given) wins against the table too.  A batch that is replayed after a failure is either
+    applied already, which the table knows by ``writer`` and batch id, or has left
+    nothing that can be seen.
     """
     def apply(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        if batch.isEmpty():  # nothing changed in this trigger
-            return
-        changes = batch.withColumn("_bucket", bucket_of(keys, buckets))
-        by = list(order)
-        if not by:
-            changes, by = changes.withColumn("_batch_id", F.lit(batch_id).cast("long")), ["_batch_id"]
-        stage = f"{staging.rstrip('/')}/batch={batch_id}"
-        try:
-            current = spark.read.parquet(path)
-        except AnalysisException:  # first batch: no table yet
-            current = None
-        rows = changes
-        if current is not None:
-            touched = changes.select("_bucket").distinct()
-            rows = current.join(touched, "_bucket", "left_semi").select(*changes.columns) \
-                .unionByName(changes)
-        merged = last_per_key(rows, [*keys], by).select(*changes.columns)
-        merged.write.mode("overwrite").partitionBy("_bucket").parquet(stage)
-        (spark.read.parquet(stage).write.mode("overwrite")
-         .option("partitionOverwriteMode", "dynamic").partitionBy("_bucket").parquet(path))
+        table.upsert(batch, keys, order, buckets, writer, batch_id)
     return apply
 
 
-def read_upserted(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.parquet(path).drop("_bucket", "_batch_id")
-
-
-def append_updates(path: str) -> Callable[[DataFrame, int], None]:
-    """A ``foreachBatch`` function for update-mode aggregates: append each
-    micro-batch's changed rows with its batch id (one write per batch; a
-    replayed batch rewrites its own ``_batch_id`` folder, so it is
-    idempotent).  Read with ``read_latest``."""
+def append_updates(table: VersionedTable, keys: Sequence[str], compact_every: int = 20,
+                   writer: str = "stream") -> Callable[[DataFrame, int], None]:
+    """A ``foreachBatch`` function for update-mode aggregates: each micro-batch's changed rows, with
+    its batch id, are one appended commit (a replayed batch is known by its id).  Every
+    ``compact_every`` batches the log is rewritten to the newest row of each key, so it
+    grows with the keys, not with the batches.  Read with ``read_latest``."""
     def apply(batch: DataFrame, batch_id: int) -> None:
-        (batch.withColumn("_batch_id", F.lit(batch_id).cast("long")).write.mode("overwrite")
-         .parquet(f"{path.rstrip('/')}/_batch_id={batch_id}"))
+        table.append(batch.withColumn("_batch_id", F.lit(batch_id).cast("long")), writer, batch_id)
+        if batch_id % compact_every == compact_every - 1:
+            table.compact(keys, ["_batch_id"])
+            table.vacuum()
     return apply
 
 
-def read_latest(spark: SparkSession, path: str, keys: Sequence[str]) -> DataFrame:
+def read_latest(table: VersionedTable, keys: Sequence[str]) -> DataFrame:
     """The newest version of every key in an ``append_updates`` log: a
     ``max_by`` on the batch id, combined map-side."""
-    log = spark.read.parquet(path)
+    log = table.read()
     cols = [c for c in log.columns if c not in (*keys, "_batch_id")]
     return last_per_key(log, list(keys), ["_batch_id"], cols)
 

@@ -17,6 +17,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -35,7 +36,7 @@ def _update(key: tuple, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.D
         s += float(pdf["value"].sum())
         us = pdf["_us"].to_numpy()
         ids = pdf["_id"].to_numpy()
-        i = max(range(len(pdf)), key=lambda j: (us[j], ids[j]))
+        i = np.lexsort((ids, us))[-1]
         if last_us is None or (us[i], ids[i]) > (last_us, last_id):
             last_us, last_id = int(us[i]), int(ids[i])
     state.update((n, s, last_id, last_us))

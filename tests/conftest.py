@@ -12,9 +12,10 @@ MEDIUM = "/root/testdata/sf0.01"
 
 @pytest.fixture(scope="session")
 def spark():
-    from stackyard.session import make_session
+    from stackyard.session import clear_scratch, make_session
     s = make_session(4, shuffle_partitions=8, app="stackyard-tests")
     yield s
+    clear_scratch(s)
     s.stop()
 
 

@@ -8,7 +8,8 @@ from pyspark.sql import types as T
 from conftest import SMALL
 from stackyard.functions import strings as S
 from stackyard.operators import catalog, ordinal, updates
-from stackyard.operators.asof import asof_join, sum_between
+from stackyard.operators.asof import asof_join
+from stackyard.operators.ranges import range_totals
 from stackyard.sources import jdbc, text, topic, xml
 from stackyard.streaming.events import interval_join
 
@@ -143,27 +144,22 @@ def test_slices_of_equal_values_and_any_number(spark):
     assert [r.t for r in got.select("t").limit(3).collect()] == ["9999", "9998", "9997"]
 
 
-def test_the_slice_sample_does_not_grow_with_the_tasks(spark):
-    frame = spark.range(0, 200_000, 1, 64).select("id", F.lit(1).alias("k"))
-    spec = [("k", False), ("id", False)]
-    bounds = ordinal._slice_bounds(frame, spec, 50, 20)
-    assert 40 <= len(bounds) <= 49 and bounds == sorted(bounds)
-
-
 def test_sums_between_without_pairs(spark):
-    steps = spark.createDataFrame([("a", float(i), i + 1) for i in range(50)], "k string, at double, upto bigint")
-    ends = spark.createDataFrame([("a", 9.5, 20.0), ("a", -5.0, 3.0), ("a", -5.0, -1.0), (None, 0.0, 9.0)],
-                                 "k string, lo double, hi double")
-    got = sum_between(ends, steps, "k", "lo", "hi", "at", "upto", "n", partitions=4).collect()
-    assert {(r.k, r.lo, r.hi): r.n for r in got} == {
-        ("a", 9.5, 20.0): 11, ("a", -5.0, 3.0): 4, ("a", -5.0, -1.0): None, (None, 0.0, 9.0): None}
+    steps = spark.createDataFrame([("a", float(i), 1 if i else None) for i in range(50)], "k string, at double, v bigint")
+    ends = spark.createDataFrame([("a", 9.5, 20.0), ("a", -5.0, 3.0), ("a", -5.0, -1.0), (None, 0.0, 9.0), ("b", 0.0, 9.0),
+                                  ("a", None, 5.0), ("a", 7.0, 3.0), ("a", 0.0, 0.0)], "k string, lo double, hi double")
+    got = range_totals(ends, steps, "k", "lo", "hi", "at", "v", partitions=4).collect()
+    assert {(r.k, r.lo, r.hi): (r.n, r.total) for r in got} == {
+        ("a", 9.5, 20.0): (11, 11), ("a", -5.0, 3.0): (4, 3), ("a", -5.0, -1.0): (0, None), (None, 0.0, 9.0): (0, None),
+        ("b", 0.0, 9.0): (0, None), ("a", None, 5.0): (0, None), ("a", 7.0, 3.0): (0, None), ("a", 0.0, 0.0): (1, None)}
 
 
 def test_a_dataset_is_replaced_under_its_own_path(spark, tmp_path):
     from stackyard.sources.sinks import replace_table
     path = str(tmp_path / "t")
-    spark.range(5).write.parquet(path)
-    assert replace_table(spark, spark.read.parquet(path).where("id > 2"), path) == path
-    assert sorted(r.id for r in spark.read.parquet(path).collect()) == [3, 4]
-    assert [p.name for p in tmp_path.iterdir()] == ["t"]
-    assert replace_table(spark, spark.range(1), str(tmp_path / "new")) == str(tmp_path / "new")
+    table = replace_table(spark, spark.range(5), path)
+    before = table.read()
+    assert replace_table(spark, before.where("id > 2"), path).versions() == [1, 2]
+    assert sorted(r.id for r in table.read().collect()) == [3, 4]
+    assert sorted(r.id for r in before.collect()) == [0, 1, 2, 3, 4]   # an open reader keeps its version
+    assert sorted(r.id for r in table.read(version=1).collect()) == [0, 1, 2, 3, 4]

@@ -6,6 +6,7 @@ Host names and values are invented."""
 
 import os
 
+import pytest
 from pyspark.sql import functions as F
 
 from stackyard.functions.strings import member_of
@@ -115,3 +116,70 @@ def test_xml_overlay_append_and_replace(spark, tmp_dir):
     replaced = overlay(base, extra, replace=True)
     assert sorted((r.name, r.value) for r in replaced.collect()) == [
         ("fs.defaultFS", "hdfs://node1:9000"), ("io.file.buffer.size", "65536")]
+
+
+@pytest.mark.parametrize("splits", [1, 64])
+def test_line_numbers_do_not_depend_on_the_splits(spark, tmp_path, splits):
+    import random
+    rng, files = random.Random(splits), {}
+    for name in ("a.txt", "b.txt", "sub c.txt"):
+        lines = [f"key{rng.randrange(40)} v{i}" + " x" * rng.randrange(30) + rng.choice(["", "\r"]) for i in range(700)]
+        lines[5] = ""
+        files[name] = [x.rstrip("\r") for x in lines]
+        (tmp_path / name).write_bytes(("\n".join(lines) + ("\n" if name == "a.txt" else "")).encode())
+    (tmp_path / "empty.txt").write_text("")
+    size = sum((tmp_path / n).stat().st_size for n in files)
+    saved = {c: spark.conf.get(c) for c in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", str(max(size // splits, 1) if splits > 1 else 1 << 27))
+        spark.conf.set("spark.sql.files.openCostInBytes", "1")
+        df = TX.numbered_lines(spark, str(tmp_path))
+        if splits > 1:
+            assert df.rdd.getNumPartitions() > 1
+        got = sorted((r.file.rpartition("/")[2].replace("%20", " "), r.line_no, r.line) for r in df.collect())
+        assert got == sorted((n, i + 1, x) for n, xs in files.items() for i, x in enumerate(xs))
+        first, per_file = {}, {}
+        for name in sorted(files):
+            for x in files[name]:
+                if x:
+                    key, value = x.split()[:2]
+                    first.setdefault(key, value)
+                    per_file.setdefault((key, name), value)
+        looked = TX.lookup_properties(spark, str(tmp_path))
+        assert {r.key: r.value for r in looked.collect()} == first
+        each = TX.lookup_properties(spark, str(tmp_path), per_file=True).collect()
+        assert {(r.key, r.file.rpartition("/")[2].replace("%20", " ")): r.value for r in each} == per_file
+        some = TX.lookup_properties(spark, str(tmp_path), keys=["key3", "none"]).collect()
+        assert [(r.key, r.value) for r in some] == [("key3", first["key3"])]
+    finally:
+        for c, v in saved.items():
+            spark.conf.set(c, v)
+
+
+def test_days_of_a_table_by_name_with_bounded_files(spark, tmp_path):
+    import uuid
+
+    from pyspark.sql import functions as F
+
+    from stackyard.sources.sinks import overwrite_days_table
+    name = f"days_{uuid.uuid4().hex[:8]}"
+    rows = spark.range(0, 40_000, 1, 16).select(
+        "id", F.when(F.col("id") % 3 == 0, 0).otherwise(F.col("id") % 20).alias("n"),
+        F.sha2(F.col("id").cast("string"), 512).alias("pad")).withColumn("day", F.expr("date_add(DATE'2024-01-01', CAST(n AS INT))"))
+    conf = "spark.sql.adaptive.advisoryPartitionSizeInBytes"
+    before = spark.conf.get(conf)
+    try:
+        spark.conf.set(conf, "200k")
+        for _ in range(2):
+            overwrite_days_table(rows, name, "day", path=str(tmp_path / "t"))
+        overwrite_days_table(rows.where("n = 4 AND id % 2 = 0").select("day", "pad", "n", "id"), name, "day")
+    finally:
+        spark.conf.set(conf, before)
+    back = spark.table(name)
+    assert back.where("n <> 4").count() == rows.where("n <> 4").count()
+    assert back.where("n = 4").count() == rows.where("n = 4 AND id % 2 = 0").count()
+    files = {r.day: r.f for r in back.select("day", F.input_file_name().alias("at")).groupBy("day").agg(F.count_distinct("at").alias("f")).collect()}
+    # the hot day is split (and what shares its reducer with it); a day is no file in every one of 16 tasks
+    assert files[min(files)] == max(files.values()) > 1 and sum(files.values()) < 16 * len(files) / 2
+    assert sum(f <= 4 for f in files.values()) > len(files) / 2
+    spark.sql(f"DROP TABLE {name}")

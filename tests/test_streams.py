@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 from stackyard.plans import streams_q as SQ
 from stackyard.session import scratch_path
 from stackyard.streaming import events as EV
-from stackyard.streaming.sinks import read_upserted, upsert_batch
+from stackyard.sources.manifest import VersionedTable
+from stackyard.streaming.sinks import upsert_batch
 from stackyard.tables import load
 
 SMALL = "/root/testdata/sf0.001"
@@ -21,13 +22,13 @@ def test_stream_window_equals_batch(spark):
     batch = EV.windowed(load(spark, SMALL, "events"), "ts", "tumbling:1 hour", ["event_type"],
                         [F.count(F.lit(1)).alias("n")])
     src, schema = SQ.event_files(spark, SMALL)
-    table, stage = scratch_path(spark, "t-win"), scratch_path(spark, "t-win-stage")
+    table = VersionedTable(spark, scratch_path(spark, "t-win"))
     agg = EV.windowed(SQ.read_stream(spark, src, schema), "ts", "tumbling:1 hour", ["event_type"],
                       [F.count(F.lit(1)).alias("n")], delay="1 hour")
-    fn = upsert_batch(table, stage, ["window_start", "event_type"], buckets=4)
+    fn = upsert_batch(table, ["window_start", "event_type"], buckets=4)
     SQ.run_available_now(spark, agg.writeStream.foreachBatch(fn).outputMode("update"),
                          scratch_path(spark, "t-win-ckpt"))
-    assert _rows(read_upserted(spark, table).select(*batch.columns)) == _rows(batch)
+    assert _rows(table.read().select(*batch.columns)) == _rows(batch)
 
 
 def test_dedup_stream_drops_repeats(spark):
@@ -38,42 +39,65 @@ def test_dedup_stream_drops_repeats(spark):
 
 
 def test_late_rows_follow_the_watermark_model(spark):
-    """Brute force: file by file (one micro-batch each).  The watermark in
-    effect for batch k is the max event time of batches before k minus one
-    hour; a row is dropped as late when its window ended at or before the
-    watermark of batch k-1 (Spark filters late rows with the previous
-    batch's watermark and evicts state with the current one)."""
-    out = SQ.r4_late_rows_dropped(spark, SMALL)
-    ev = load(spark, SMALL, "events").select(*SQ.EVENT_COLS).toPandas()
-    edges = list(load(spark, SMALL, "events").select(F.percentile_approx(
-        "ts", [i / SQ.LEAST_BATCHES for i in range(1, SQ.LEAST_BATCHES)], 10000).alias("q")).first()["q"])
-    bounds = [None, *edges, None]
-    files = []
-    for lo, hi in zip(bounds[:-1], bounds[1:]):
-        m = pd.Series(True, index=ev.index)
-        if lo is not None:
-            m &= ev.ts > pd.Timestamp(lo)
-        if hi is not None:
-            m &= ev.ts <= pd.Timestamp(hi)
-        files.append(ev[m])
-    late = ev[ev.event_id % 10 == 0].copy()
-    late["ts"] = late.ts - pd.Timedelta(hours=3)
-    files.append(late)
-    watermark, late_mark, kept = None, None, []
-    for f in files:
-        wend = f.ts.dt.floor("h") + pd.Timedelta(hours=1)
-        keep = f if late_mark is None else f[wend > late_mark]
-        kept.append(keep)
-        late_mark = watermark
-        cand = f.ts.max() - pd.Timedelta(hours=1)
-        watermark = cand if watermark is None else max(watermark, cand)
-    k = pd.concat(kept)
-    k["window_start"] = k.ts.dt.floor("h")
-    exp = k.groupby(["window_start", "event_type"]).size()
-    # append mode writes windows closed by the final watermark only
-    exp = exp[[ws + pd.Timedelta(hours=1) <= watermark for ws, _ in exp.index]]
-    got = {(pd.Timestamp(r.window_start), r.event_type): r.n_events for r in out.collect()}
-    assert got == {(ws, t): int(n) for (ws, t), n in exp.items()}
+    """Brute force, batch by batch: the watermark of a batch is the largest event time of the
+    batches before it less one hour; a row is late when its window ended at or before it."""
+    folders, _ = SQ.event_days(spark, SMALL, 8, SQ._late_rows)
+    kept, late, mark = {}, {}, None
+    for folder in folders:
+        f = spark.read.parquet(folder).toPandas()
+        for ts, kind in zip(f.ts, f.event_type):
+            start = ts.floor("h")
+            behind = mark is not None and start + pd.Timedelta(hours=1) <= mark
+            into = late if behind else kept
+            into[(start, kind)] = into.get((start, kind), 0) + 1
+        newest = f.ts.max() - pd.Timedelta(hours=1)
+        mark = newest if mark is None else max(mark, newest)
+    got = SQ.r4_late_rows_dropped(spark, SMALL).collect()
+    at = {(pd.Timestamp(r.window_start), r.event_type): (r.n_events, r.n_late) for r in got}
+    assert at == {k: (kept.get(k, 0), late.get(k, 0)) for k in {*kept, *late}}
+    assert sum(late.values()) > 50 and len(got) == len(at)
+
+
+def test_late_rows_are_kept_and_replays_change_nothing(spark):
+    schema = "ts timestamp_ntz, k string"
+    hour = lambda *hs: spark.createDataFrame([((pd.Timestamp("2024-05-01") + pd.Timedelta(hours=h)).to_pydatetime(), "a") for h in hs], schema)
+    path = scratch_path(spark, "t-late")
+    fn = EV.split_late(path, "ts", ["k"])
+    for i, rows in enumerate((hour(1.5), hour(9.5, 8.2, 1.7), hour(2.5, 8.7, 9.9), hour())):
+        fn(rows, i)
+        fn(rows, i)   # replayed at once
+    fn(hour(2.5, 8.7, 9.9), 2)   # and out of order
+    counts, late = EV.read_split(spark, path, ["k"])
+    assert {(r.window_start.hour, r.n_events, r.n_late) for r in counts.collect()} == {(1, 2, 0), (2, 0, 1), (8, 2, 0), (9, 2, 0)}
+    assert [(r.ts.hour, r.k) for r in late.collect()] == [(2, "a")]
+
+
+def test_sessions_of_sink_and_state_are_all_sessions(spark):
+    whole = EV.windowed(load(spark, SMALL, "events"), "ts", "session:30 minutes", ["user_id"],
+                        [F.count(F.lit(1)).alias("n_events")])
+    assert _rows(SQ.r3_session_window_stream(spark, SMALL)) == _rows(whole)
+
+
+def test_dedup_state_is_bounded_by_the_watermark(spark):
+    src, schema = SQ.event_files(spark, SMALL, extra=SQ._repeats)
+    ckpt = scratch_path(spark, "t-dedup-ckpt")
+    d = EV.dedup_events(SQ.read_stream(spark, src, schema), "event_id", "ts", delay="1 day")
+    SQ.run_available_now(spark, d.writeStream.format("parquet").option("path", scratch_path(spark, "t-dedup"))
+                         .outputMode("append"), ckpt)
+    held = spark.read.format("statestore").load(ckpt).count()
+    assert 0 < held < 0.2 * load(spark, SMALL, "events").count()
+
+
+def test_event_files_are_in_time_order_and_read_once(spark):
+    src, _ = SQ.event_files(spark, SMALL)
+    fs, files = SQ._written_files(spark, src)
+    last, times = None, []
+    for path in files:
+        ts = [r.ts for r in spark.read.parquet(path.toString()).collect()]
+        assert ts == sorted(ts) and (last is None or not ts or ts[0] >= last)
+        last = ts[-1] if ts else last
+        times.append(fs.getFileStatus(path).getModificationTime())
+    assert times == sorted(times) and len(set(times)) == len(times) > SQ.LEAST_BATCHES
 
 
 def test_running_state_final_equals_batch(spark):
@@ -102,20 +126,21 @@ def test_stream_sinks_are_idempotent_under_replay(spark):
     ev = load(spark, SMALL, "events").select(*SQ.EVENT_COLS)
     first, second = ev.where(F.col("ts") < F.lit("2024-01-15").cast("timestamp_ntz")), \
         ev.where(F.col("ts") >= F.lit("2024-01-15").cast("timestamp_ntz"))
-    table, stage = scratch_path(spark, "t-replay"), scratch_path(spark, "t-replay-stage")
-    up = upsert_batch(table, stage, ["user_id"], ["ts", "event_id"], buckets=4)
+    table = VersionedTable(spark, scratch_path(spark, "t-replay"))
+    up = upsert_batch(table, ["user_id"], ["ts", "event_id"], buckets=4)
     up(first, 0)
     up(second, 1)
-    once = _rows(read_upserted(spark, table))
+    once = _rows(table.read())
     up(second, 1)      # replay of the last batch
     up(first, 0)       # and of an older one, out of order
-    assert _rows(read_upserted(spark, table)) == once
+    assert _rows(table.read()) == once
     assert len(once) == ev.select("user_id").distinct().count()
 
-    log = scratch_path(spark, "t-log")
+    log = VersionedTable(spark, scratch_path(spark, "t-log"))
     counts = lambda df: df.groupBy("user_id").agg(F.count(F.lit(1)).alias("n"))
-    app = append_updates(log)
+    app = append_updates(log, ["user_id"], compact_every=2)
     app(counts(first), 0)
     app(counts(ev), 1)
-    app(counts(ev), 1)  # replay rewrites its own batch folder
-    assert _rows(read_latest(spark, log, ["user_id"])) == _rows(counts(ev))
+    app(counts(ev), 1)  # a replay is known
+    assert _rows(read_latest(log, ["user_id"])) == _rows(counts(ev))
+    assert log.read().count() == counts(ev).count()   # compacted: one row a key
