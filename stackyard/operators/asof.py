@@ -51,10 +51,10 @@ def asof_join(left: DataFrame, right: DataFrame, key: str, left_ts: str, right_t
     r = r.withColumn("_l", F.lit(None).cast(lft.schema["_l"].dataType))
     order = [("_t", False), ("_side", False), ("_tb", False)]
     w = in_slice(["_k"], order)
-    u = (slices(r.unionByName(lft), [("_k", False), *order], slice_count(left, partitions))
-         .withColumn("_in", F.last("_r", ignorenulls=True).over(upto(w)))
-         .withColumn("_end", F.lead(F.lit(1)).over(w).isNull()))
-    u = written(u.where((F.col("_side") != 0) | F.col("_end")).drop("_r", "_tb"), "asof")
+    u = slices(r.unionByName(lft), [("_k", False), *order], slice_count(left, partitions)).select(
+        "_k", "_t", "_side", "_l", SLICE, F.last("_r", ignorenulls=True).over(upto(w)).alias("_in"),
+        F.lead(F.lit(1)).over(w).isNull().alias("_end"))
+    u = written(u.where((F.col("_side") != 0) | F.col("_end")), "asof")
     # per (slice, key): the last right row; carried into the key's later slices
     before = Window.partitionBy("_k").orderBy(SLICE).rowsBetween(Window.unboundedPreceding, -1)
     carry = going_on(u.where("_end").select(SLICE, "_k", "_in"), ["_k"]).select(

@@ -78,9 +78,9 @@ def slices(df: DataFrame, spec, n: int) -> DataFrame:
     columns, so that ranges can part them.  The ranges differ between runs of
     the plan: write what is computed from them before using it twice.
     """
-    tied = df.withColumn(TIE, F.xxhash64(*[_hashable(f) for f in df.schema.fields])) \
-        .withColumn(ROW, F.monotonically_increasing_id())
-    return tied.repartitionByRange(n, *_sort_cols(spec), TIE, ROW).withColumn(SLICE, F.spark_partition_id())
+    tied = df.select("*", F.xxhash64(*[_hashable(f) for f in df.schema.fields]).alias(TIE),
+                     F.monotonically_increasing_id().alias(ROW))
+    return tied.repartitionByRange(n, *_sort_cols(spec), TIE, ROW).select("*", F.spark_partition_id().alias(SLICE))
 
 
 def with_slice(df: DataFrame, spec, n: int) -> DataFrame:
@@ -107,15 +107,15 @@ def upto(w: WindowSpec) -> WindowSpec:
 def going_on(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Of a table of edge rows, those of keys that stand in several slices."""
     span = Window.partitionBy(*keys)
-    return (rows.withColumn("_lo", F.min(SLICE).over(span)).withColumn("_hi", F.max(SLICE).over(span))
-            .where("_lo < _hi").drop("_lo", "_hi"))
+    return rows.select("*", (F.min(SLICE).over(span) < F.max(SLICE).over(span)).alias("_several")).where("_several")
 
 
 def mended(rows: DataFrame, fixes: DataFrame, on: Sequence[str]) -> DataFrame:
-    """``rows`` with the columns of ``fixes``, a table bounded by the slice count, null where there is no fix."""
+    """``rows`` with the columns of ``fixes``, a table bounded by the slice count, null where there
+    is no fix (and, named ``_on_``, those they are joined on)."""
     cond = functools.reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"_on_{c}")) for c in on])
     renamed = fixes.select(*[F.col(c).alias(f"_on_{c}") if c in on else F.col(c) for c in fixes.columns])
-    return rows.join(F.broadcast(renamed), cond, "left").drop(*[f"_on_{c}" for c in on])
+    return rows.join(F.broadcast(renamed), cond, "left")
 
 
 def _positions(df: DataFrame, keys: list[str], order, sums: Sequence[str] = (),
@@ -129,10 +129,9 @@ def _positions(df: DataFrame, keys: list[str], order, sums: Sequence[str] = (),
     """
     keys, order = list(keys), _spec(order)
     w = in_slice(keys, order)
-    local = slices(df, [*_spec(keys), *order], slice_count(df, partitions)).withColumn("_local", F.row_number().over(w))
-    for c in sums:
-        local = local.withColumn(f"_lsum_{c}", F.sum(c).over(upto(w)))
-    local = written(local.withColumn("_end", F.lead(F.lit(1)).over(w).isNull()), "positions")
+    local = written(slices(df, [*_spec(keys), *order], slice_count(df, partitions)).select(
+        "*", F.row_number().over(w).alias("_local"), *[F.sum(c).over(upto(w)).alias(f"_lsum_{c}") for c in sums],
+        F.lead(F.lit(1)).over(w).isNull().alias("_end")), "positions")
     before = Window.partitionBy(*keys).orderBy(SLICE).rowsBetween(Window.unboundedPreceding, -1)
     offsets = going_on(local.where("_end").select(SLICE, *keys, "_local", *[f"_lsum_{c}" for c in sums]), keys).select(
         SLICE, *keys, F.coalesce(F.sum("_local").over(before), F.lit(0)).alias("_off"),
@@ -189,16 +188,15 @@ def ranks(df: DataFrame, keys: Sequence[str], value: str, tiebreak: str,
     order = [*by_value, *_spec([tiebreak])]
     w = in_slice(keys, order)
     wv = Window.partitionBy(SLICE, *keys).orderBy(*_sort_cols(by_value))
-    local = (slices(df, [*_spec(keys), *order], slice_count(df, partitions))
-             .withColumn("_pos", F.row_number().over(w)).withColumn("_rank", F.rank().over(wv))
-             .withColumn("_dense", F.dense_rank().over(wv)))
-    local = written(local.withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy(SLICE, *keys))), "ranks")
+    local = written(slices(df, [*_spec(keys), *order], slice_count(df, partitions)).select(
+        "*", F.row_number().over(w).alias("_pos"), F.rank().over(wv).alias("_rank"), F.dense_rank().over(wv).alias("_dense"),
+        F.count(F.lit(1)).over(Window.partitionBy(SLICE, *keys)).alias("_n")), "ranks")
     # one row per (slice, key): its last row, with the value of its first one
     span, at = Window.partitionBy(*keys), Window.partitionBy(*keys).orderBy(SLICE)
     before, so_far = at.rowsBetween(Window.unboundedPreceding, -1), at.rowsBetween(Window.unboundedPreceding, 0)
     firsts = local.where("_pos = 1").select(SLICE, *keys, F.col(value).alias("_first"))
     lasts = local.where("_pos = _n").select(SLICE, *keys, F.col(value).alias("_last"), "_n", "_rank", "_dense")
-    ends = null_safe_join(going_on(lasts, keys), going_on(firsts, keys), [SLICE, *keys])
+    ends = null_safe_join(going_on(lasts, keys), firsts, [SLICE, *keys])
     ends = ends.withColumn("_off", F.coalesce(F.sum("_n").over(before), F.lit(0))) \
         .withColumn("_goes_on", F.coalesce(F.lag("_last").over(at).eqNullSafe(F.col("_first"))
                                            & F.lag(SLICE).over(at).isNotNull(), F.lit(False)))
@@ -275,23 +273,21 @@ def over(df: DataFrame, keys: Sequence[str], order: Sequence, values: Mapping[st
     far = {c: v for c, v in values.items() if v.whole}
     reach = max(1, max([v.back for v in near.values()], default=0) + max([v.ahead for v in near.values()], default=0))
     w = in_slice(keys, order)
-    local = slices(df, [*_spec(keys), *order], slice_count(df, partitions))
     held = {c: f"_v{i}" for i, c in enumerate(values)}
-    for c, v in values.items():
-        local = local.withColumn(held[c], v.make(w))
-    local = written(local.withColumn("_at", F.row_number().over(w))
-                    .withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy(SLICE, *keys))), "over")
+    local = written(slices(df, [*_spec(keys), *order], slice_count(df, partitions)).select(
+        "*", *[v.make(w).alias(held[c]) for c, v in values.items()], F.row_number().over(w).alias("_at"),
+        F.count(F.lit(1)).over(Window.partitionBy(SLICE, *keys)).alias("_n")), "over")
     edges = going_on(local.where((F.col("_at") <= reach) | (F.col("_at") > F.col("_n") - reach)), keys)
     along = Window.partitionBy(*keys).orderBy(SLICE, "_at")
     right = edges.select(SLICE, *keys, "_at", *[v.make(along).alias(f"_f{held[c]}") for c, v in values.items()])
     j = mended(local, right.select(SLICE, *keys, "_at", F.lit(True).alias("_edge"), *[f"_f{held[c]}" for c in near]),
                [SLICE, *keys, "_at"])
     if far:
-        j = mended(j, right.where("_at = 1").select(SLICE, *keys, F.lit(True).alias("_on"), *[f"_f{held[c]}" for c in far]),
-                   [SLICE, *keys])
+        j = mended(j.drop(*[f"_on_{c}" for c in (SLICE, *keys)]), right.where("_at = 1").select(
+            SLICE, *keys, F.lit(True).alias("_goes_on"), *[f"_f{held[c]}" for c in far]), [SLICE, *keys])
     cols = []
     for c, v in values.items():
-        beside = F.col("_on") if v.whole else F.col("_edge") & (
+        beside = F.col("_goes_on") if v.whole else F.col("_edge") & (
             (F.col("_at") <= v.back) | (F.col("_at") > F.col("_n") - v.ahead))
         cols.append(F.when(beside, F.col(f"_f{held[c]}")).otherwise(F.col(held[c])).alias(c))
     return j.select(*df.columns, *cols)

@@ -57,11 +57,10 @@ def range_totals(left: DataFrame, right: DataFrame, key: str, lo: str, hi: str,
     sums = {"_c": (F.col("_side") == _ROW).cast("long")}   # rows, values and their sum so far
     if value:
         sums |= {"_m": F.col("_v").isNotNull().cast("long"), "_s": F.col("_v")}
-    u = slices(u, [("_k", False), *order], slice_count(left, partitions))
-    for name, c in sums.items():
-        u = u.withColumn(name, F.sum(c).over(upto(w)))
-    u = u.withColumn("_end", F.lead(F.lit(1)).over(w).isNull())
-    u = written(u.where((F.col("_side") != _ROW) | F.col("_end")).drop("_v"), "range-totals")
+    u = slices(u, [("_k", False), *order], slice_count(left, partitions)).select(
+        "_k", "_t", "_side", "_id", "_l", SLICE, *[F.sum(c).over(upto(w)).alias(s) for s, c in sums.items()],
+        F.lead(F.lit(1)).over(w).isNull().alias("_end"))
+    u = written(u.where((F.col("_side") != _ROW) | F.col("_end")), "range-totals")
     before = Window.partitionBy("_k").orderBy(SLICE).rowsBetween(Window.unboundedPreceding, -1)
     earlier = going_on(u.where("_end").select(SLICE, "_k", *sums), ["_k"]).select(
         SLICE, "_k", *[F.sum(s).over(before).alias(f"{s}0") for s in sums])
@@ -121,12 +120,10 @@ def range_frame(df: DataFrame, keys: Sequence[str], at: str, width: int | float
     group, order = [*keys, "_b"], [("_x", False), ("_side", False)]
     w, back = in_slice(group, order), in_slice(group, order, backwards=True)
     u = slices(u, [*[(k, False) for k in group], *order], slice_count(df, partitions))
-    for (fn, _), h in zip(values.values(), held.values()):
-        u = u.withColumn(f"_p{h}", _all(fn, F.col(h)).over(upto(w)))
-    u = u.withColumn("_end", F.lead(F.lit(1)).over(w).isNull())
-    for (fn, _), h in zip(values.values(), held.values()):
-        u = u.withColumn(f"_s{h}", _all(fn, F.col(h)).over(upto(back)))
-    u = written(u.where((F.col("_side") != _ROW) | F.col("_end")).drop(*held.values(), "_x"), "range-frame")
+    u = u.select(*group, "_side", "_id", "_l", SLICE, F.lead(F.lit(1)).over(w).isNull().alias("_end"),
+                 *[_all(fn, F.col(h)).over(upto(o)).alias(f"{n}{h}") for (fn, _), h in zip(values.values(), held.values())
+                   for n, o in (("_p", w), ("_s", back))])
+    u = written(u.where((F.col("_side") != _ROW) | F.col("_end")), "range-frame")
     at_slice = Window.partitionBy(*group).orderBy(SLICE).rowsBetween(Window.unboundedPreceding, -1)
     after = Window.partitionBy(*group).orderBy(F.desc(SLICE)).rowsBetween(Window.unboundedPreceding, -1)
     ends = going_on(u.where("_end").select(SLICE, *group, *[f"_p{h}" for h in held.values()]), group).select(

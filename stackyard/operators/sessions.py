@@ -35,9 +35,8 @@ def sessionize(df: DataFrame, key: str, ts: str, gap: str, tiebreak: str,
     prev = F.lag(ts).over(w)
     local = slices(df, [(key, False), *order], slice_count(df, partitions)).withColumn(
         "_brk", F.when(prev.isNull() | (F.col(ts) >= prev + gap_iv), 1).otherwise(0))
-    local = written(local.withColumn("_ls", F.sum("_brk").over(upto(w)))
-                    .withColumn("_first", F.first(ts).over(upto(w)))
-                    .withColumn("_end", F.lead(F.lit(1)).over(w).isNull()), "sessions")
+    local = written(local.select("*", F.sum("_brk").over(upto(w)).alias("_ls"), F.first(ts).over(upto(w)).alias("_first"),
+                                 F.lead(F.lit(1)).over(w).isNull().alias("_end")), "sessions")
     # one row per (slice, key), its last event: first and last time, local session count
     spans = going_on(local.where("_end").select(SLICE, key, "_first", F.col(ts).alias("_last"), F.col("_ls").alias("_s")),
                      [key])
