@@ -35,38 +35,98 @@ CAPACITY = 2048
 SEPARATOR = 0
 CACHED_WORDS = 500_000
 _SLAB_CHARS = 1 << 22
+_TOGETHER = 1000   # words encoded in one call
 
 #: A text with these is not lower-cased before the look-up (special strings, combining marks).
 _AS_IS = re.compile("<\\||[\u0300-\u036f\u1ab0-\u1aff\u1dc0-\u1dff\u20d0-\u20ff]")
 
 
+_PLAIN = re.compile("[!-~\u00c0-\u024f]+")   # printable ASCII and Latin letters
+
+
+def _split_pattern(spec: dict):
+    """The expression whose matches are the pre-tokens of a ``tokenizers`` file, or None."""
+    import regex
+    for step in (spec.get("pre_tokenizer") or {}).get("pretokenizers", []):
+        if step["type"] == "Split" and step["behavior"] == "Removed" and step["invert"] and "Regex" in step["pattern"]:
+            return regex.compile(step["pattern"]["Regex"])
+    return None
+
+
 class WordIds:
     """Token ids of texts, word by word, for tokenizers that drop white space.
 
     Pre-tokens never span ASCII white space, so a text's ids are those of its
     words one after the other.  Words seen before come from a bounded cache; the
-    library encodes the others.
+    library encodes the others, many to a call with a blank between them.  Their ids
+    are cut apart again at the tokens that end a pre-token, which the
+    vocabulary marks with a suffix: a word of letters is one pre-token, and of printable ASCII and
+    Latin letters the file's own pattern says how many.  Other words are encoded one by one.
     """
 
     def __init__(self, path: str):
+        import json
+
+        import numpy as np
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
         self.tokenizer = Tokenizer.from_file(path)
         self.known: dict[bytes, bytes] = {}
+        with open(path, encoding="utf-8") as f:
+            spec = json.load(f)
+        self.suffix = spec["model"].get("end_of_word_suffix")
+        vocabulary = spec["model"]["vocab"]
+        self.ends = np.zeros(1 + max([*vocabulary.values(), *(t["id"] for t in spec["added_tokens"])]), bool)
+        if self.suffix:
+            self.ends[[i for t, i in vocabulary.items() if t.endswith(self.suffix)]] = True
+        self.pieces = _split_pattern(spec)
+
+    def _parts(self, word: bytes) -> int:
+        """Pre-tokens of a word, 0 if it must be encoded alone."""
+        if not self.suffix:
+            return 0
+        text = word.decode()
+        if text.isalpha():
+            return int(text.lower().isalpha())
+        lower = text.lower()
+        if self.pieces is None or "<|" in text or len(lower) != len(text) or not _PLAIN.fullmatch(text):
+            return 0
+        return len(self.pieces.findall(lower))
+
+    def _alone(self, words: list[bytes]) -> None:
+        import numpy as np
+        for i in range(0, len(words), 10_000):
+            part = words[i:i + 10_000]
+            for w, e in zip(part, self.tokenizer.encode_batch_fast(
+                    [w.decode() for w in part], add_special_tokens=False)):
+                self.known[w] = np.array(e.ids, "<u4").tobytes()
+
+    def _learn(self, new: list[bytes]) -> None:
+        import numpy as np
+        counted = [(w, n) for w in new if (n := self._parts(w))]
+        self._alone([w for w in new if not self._parts(w)] if len(counted) < len(new) else [])
+        for i in range(0, len(counted), _TOGETHER):
+            words, counts = zip(*counted[i:i + _TOGETHER])
+            got = self.tokenizer.encode_batch_fast([b" ".join(words).decode()], add_special_tokens=False)[0].ids
+            ids = np.array(got, "<u4")
+            ends = np.flatnonzero(self.ends[ids]) + 1
+            last = np.cumsum(counts)
+            if last[-1] != len(ends) or ends[-1] != len(ids):   # another notion of letters: no cutting
+                self._alone(list(words))
+                continue
+            cuts, data = (4 * ends[last - 1]).tolist(), ids.tobytes()
+            self.known.update(zip(words, [data[a:b] for a, b in zip([0, *cuts[:-1]], cuts)]))
 
     def encode(self, batch: list[str]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""
-        import numpy as np
         split = [(t.encode() if _AS_IS.search(t) else t.encode().lower()).split() for t in batch]
-        if len(self.known) > CACHED_WORDS:
-            self.known.clear()
         known = self.known
         new = list({w for words in split for w in words if w not in known})
-        for i in range(0, len(new), 50_000):
-            part = new[i:i + 50_000]
-            for w, e in zip(part, self.tokenizer.encode_batch_fast(
-                    [w.decode() for w in part], add_special_tokens=False)):
-                known[w] = np.array(e.ids, "<u4").tobytes()
+        if len(known) + len(new) > CACHED_WORDS:   # the older half goes, but what this batch needs is learned
+            for w in list(known)[:len(known) // 2]:
+                del known[w]
+            new = list({w for words in split for w in words if w not in known})
+        self._learn(new)
         return [b"".join(map(known.__getitem__, words)) for words in split]
 
 
