@@ -33,7 +33,7 @@ from stackyard.llm.words import slabs
 
 CAPACITY = 2048
 SEPARATOR = 0
-CACHED_WORDS = 500_000
+CACHED_WORDS = 800_000
 _SLAB_CHARS = 1 << 22
 _TOGETHER = 1000   # words encoded in one call
 
@@ -122,8 +122,9 @@ class WordIds:
         split = [(t.encode() if _AS_IS.search(t) else t.encode().lower()).split() for t in batch]
         known = self.known
         new = list({w for words in split for w in words if w not in known})
-        if len(known) + len(new) > CACHED_WORDS:   # the older half goes, but what this batch needs is learned
-            for w in list(known)[:len(known) // 2]:
+        if len(known) + len(new) > CACHED_WORDS:
+            # words met first are the frequent ones and stay; what this batch needs is learned again
+            for w in list(known)[CACHED_WORDS // 2:]:
                 del known[w]
             new = list({w for words in split for w in words if w not in known})
         self._learn(new)
