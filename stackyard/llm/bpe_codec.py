@@ -3,13 +3,15 @@
 The distinct pre-tokens of all texts are found and replayed once each:
 
 1. every block of texts asks, once for each of its distinct words, the task that
-   owns the word's hash range (words packed, one row per block and range);
+   owns the word's hash range (words packed, one row per block and range), and
+   sends its texts as word numbers, in the order asked, to where its answers will come;
 2. the owner replays its distinct words and answers each block in the order asked;
-3. a block meets its answers again and looks its texts up in them.
+3. a block's numbers meet its answers: numbers give ids, ids give the decoded bytes.
 
-So a text crosses the network once and nothing that grows with the corpus is
-broadcast or collected.  The texts are read twice and must be the same
-each time; a block that does not find its answers fails the job.
+Questions and numbers leave in one shuffle, so texts are read and cut once and
+never cross the network, and nothing that grows with the corpus is broadcast or
+collected.  Should a lost executor make a task cut its texts again, it must read the same rows;
+a block that does not find its answers fails the job.
 
 In a replay the words are laid out in one array of tokens linked to their
 neighbours.  An inverted index holds, for each merge, the positions where its
@@ -149,13 +151,15 @@ class Codec:
         self.pattern = regex.compile(pattern)
         self.known: dict[str, bytes] = {}
 
-    def cut(self, new: Iterable[str], regular: Iterable[str] = ()) -> tuple[list[bytes], list[tuple[str, list[int]]]]:
-        """The distinct words of some chunks, and for each chunk the numbers of its words.
+    def cut(self, new: Iterable[str], regular: Iterable[str] = (),
+            number: dict[str, int] | None = None) -> tuple[dict[str, int], list[tuple[str, list[int]]]]:
+        """The words of some chunks numbered (on top of those in ``number``), and for each chunk the
+        numbers of its words.
 
         ``regular`` chunks are of texts that were cut at white space; those that begin
         with it and do not end with it keep their words when they stand in a row.
         """
-        number: dict[str, int] = {}
+        number = {} if number is None else number
         rest, row = list(new), []
         for c in regular:
             (row if c[0] in SPACES and c[-1] not in SPACES else rest).append(c)
@@ -167,7 +171,23 @@ class Codec:
             cuts = np.searchsorted(np.cumsum(np.fromiter(map(len, parts), np.int64, len(parts))), ends) + 1
             cuts = [0, *cuts.tolist()]
             found += zip(row[lo:hi], [at[x:y] for x, y in zip(cuts[:-1], cuts[1:])])
-        return [w.encode() for w in number], found
+        return number, found
+
+    def numbered(self, text: list[str]) -> tuple[list[bytes], np.ndarray, np.ndarray]:
+        """The distinct words of a block, the word numbers of all its texts, and how many each text has."""
+        number: dict[str, int] = {}
+        known: dict[str, bytes] = {}
+        flat, sizes = [], []
+        for lo, hi in slabs([len(t) for t in text], _SLAB_CHARS):
+            found = [chunks(t) for t in text[lo:hi]]
+            whole = {c for cs in found if len(cs) == 1 for c in cs if c not in known}
+            regular = {c for cs in found if len(cs) > 1 for c in cs if c not in known}
+            for c, parts in self.cut(whole, regular, number)[1]:
+                known[c] = np.array(parts, "<u4").tobytes()
+            joined = [b"".join(map(known.__getitem__, cs)) for cs in found]
+            sizes += [len(j) // 4 for j in joined]
+            flat.append(b"".join(joined))
+        return [w.encode() for w in number], np.frombuffer(b"".join(flat), "<u4"), np.array(sizes, "<u4")
 
     def replayed(self, words: list[bytes]) -> list[bytes]:
         ids = []
@@ -176,8 +196,8 @@ class Codec:
         return ids
 
     def _learn(self, new: list[str]) -> None:
-        words, found = self.cut(new)
-        ids = self.replayed(words)
+        number, found = self.cut(new)
+        ids = self.replayed([w.encode() for w in number])
         for c, parts in found:
             self.known[c] = b"".join([ids[i] for i in parts])
 
@@ -226,24 +246,14 @@ def _blocks(batches):
         yield block()
 
 
-def _pieces(text: list[str]) -> tuple[set[str], set[str]]:
-    """The chunks of texts that are one chunk, and those of the others."""
-    whole: set[str] = set()
-    regular: set[str] = set()
-    for t in text:
-        found = chunks(t)
-        (regular if len(found) > 1 else whole).update(found)
-    return whole, regular
-
-
-def _in_order(words: list[bytes]) -> tuple[list[int], list[int]]:
+def _in_order(words: list[bytes]) -> tuple[list[int], np.ndarray]:
     """Hashes of the words, and their numbers, in the order in which a block asks."""
     import xxhash
     hashes = np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
     order = np.argsort(hashes)
     if (hashes[order][1:] == hashes[order][:-1]).any():   # equal hashes go by word
         order = np.array(sorted(range(len(words)), key=lambda i: (int(hashes[i]), words[i])), np.int64)
-    return hashes[order].tolist(), order.tolist()
+    return hashes[order].tolist(), order
 
 
 def _packed(items: list[bytes]) -> bytes:
@@ -260,21 +270,44 @@ def _unpacked(packed: bytes) -> list[bytes]:
     return [data[a:b] for a, b in zip([4 + 4 * n, *ends[:-1]], ends)]
 
 
+def _planes(a: np.ndarray) -> bytes:
+    """32-bit numbers, byte plane by byte plane, compressed."""
+    import zstandard as zs
+    return zs.ZstdCompressor(level=1).compress(np.ascontiguousarray(a).view(np.uint8).reshape(-1, 4).T.tobytes())
+
+
+def _from_planes(packed: bytes) -> np.ndarray:
+    import zstandard as zs
+    raw = np.frombuffer(zs.ZstdDecompressor().decompress(packed), np.uint8)
+    return np.ascontiguousarray(raw.reshape(4, -1).T).view("<u4").ravel()
+
+
+_SENT = "to bigint, block bigint, words binary, rows array<bigint>, sizes binary, numbers binary"
+
+
 def _asker(path: str, pattern: str, ranges: int):
-    """Questions ``(owner, block, words)`` of each block."""
+    """A block's questions, one row per owner, and its texts as numbers, for the block itself.
+
+    ``to`` is below 0 for an owner and the block otherwise.
+    """
     def run(batches):
         from itertools import groupby
 
         import pyarrow as pa
         codec = _codec(path, pattern)
-        for block, _, text in _blocks(batches):
-            words, _ = codec.cut(*_pieces(text))
+        for block, ids, text in _blocks(batches):
+            words, flat, sizes = codec.numbered(text)
+            del text
             hashes, order = _in_order(words)
-            out = [(owner, block, _packed([words[i] for _, i in asked])) for owner, asked in
+            place = np.empty(len(words), np.uint32)
+            place[order] = np.arange(len(words), dtype=np.uint32)
+            order = order.tolist()
+            out = [(-1 - owner, block, _packed([words[i] for _, i in asked]), None, None, None) for owner, asked in
                    groupby(zip(hashes, order), lambda x: x[0] * ranges >> 64)]
-            columns = list(zip(*out)) if out else [()] * 3
-            yield pa.record_batch([pa.array(c, t) for c, t in zip(columns, (
-                pa.int32(), pa.int64(), pa.binary()))], names=["owner", "block", "words"])
+            out.append((block, block, None, ids, _planes(sizes), _planes(place[flat]) if len(words) else b""))
+            kinds = (pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.int64()), pa.binary(), pa.binary())
+            yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*out), kinds)],
+                                  names=["to", "block", "words", "rows", "sizes", "numbers"])
     return run
 
 
@@ -282,47 +315,47 @@ def _answerer(path: str, pattern: str):
     """Replays the distinct words of one range, and answers each block in the order asked."""
     def run(table):
         import pyarrow as pa
-        number: dict[bytes, int] = {}
-        asked = [[number.setdefault(w, len(number)) for w in _unpacked(words)]
-                 for words in table.column("words").to_pylist()]
-        ids = _codec(path, pattern).replayed(list(number))
-        return pa.table({"owner": table.column("owner"), "block": table.column("block"),
+        to = table.column("to")[0].as_py()
+        blocks, asked = [], []
+        if to < 0:   # numbers are not for an owner
+            number: dict[bytes, int] = {}
+            for block, words in zip(table.column("block").to_pylist(), table.column("words")):
+                blocks.append(block)
+                asked.append([number.setdefault(w, len(number)) for w in _unpacked(words.as_py())])
+            ids = _codec(path, pattern).replayed(list(number))
+        return pa.table({"owner": pa.array([-1 - to] * len(blocks), pa.int32()), "block": pa.array(blocks, pa.int64()),
                          "ids": pa.array([_packed([ids[i] for i in places]) for places in asked], pa.binary())})
     return run
 
 
-def _named(batches):
-    """Each block as a row, to meet its answers."""
-    import pyarrow as pa
-    for block, ids, text in _blocks(batches):
-        yield pa.record_batch([pa.array([block], pa.int64()), pa.array([ids], pa.list_(pa.int64())),
-                               pa.array([_packed([t.encode() for t in text])], pa.binary())],
-                              names=["block", "rows", "texts"])
-
-
 def _meeter(path: str, pattern: str, decoding: bool):
-    """A block's texts looked up in its answers."""
+    """A block's numbers looked up in its answers."""
     def run(told, answers):
         import pyarrow as pa
         codec = _codec(path, pattern)
+        names = ["id", "ids", *["decoded"] * decoding]
+        if told.num_rows and told.column("to")[0].as_py() < 0:   # questions are not for a block
+            return pa.table({n: pa.array([], pa.int64() if n == "id" else pa.binary()) for n in names})
         if told.num_rows != 1:
-            raise RuntimeError("blocks differ between two readings of the documents")
-        text = [t.decode() for t in _unpacked(told.column("texts")[0].as_py())]
-        words, found = codec.cut(*_pieces(text))
+            raise RuntimeError("a block's texts were not the same when they were cut again")
         given: list[bytes] = []
         for a in sorted(answers.to_pylist(), key=lambda a: a["owner"]):
             given += _unpacked(a["ids"])
-        if len(given) != len(words):
-            raise RuntimeError("blocks differ between two readings of the documents")
-        ids = [b""] * len(words)
-        for i, x in zip(_in_order(words)[1], given):
-            ids[i] = x
-        known = {c: b"".join([ids[i] for i in parts]) for c, parts in found}
-        out = [b"".join(map(known.__getitem__, chunks(t))) for t in text]
-        columns = {"id": pa.array(told.column("rows")[0].as_py(), pa.int64()), "ids": pa.array(out, pa.binary())}
-        if decoding:
-            columns["decoded"] = pa.array([codec.decode(x) for x in out], pa.binary())
-        return pa.table(columns)
+        rows, sizes = told.column("rows")[0].as_py(), _from_planes(told.column("sizes")[0].as_py())
+        packed = told.column("numbers")[0].as_py()
+        numbers = _from_planes(packed) if packed else np.zeros(0, np.uint32)
+        if len(numbers) and int(numbers.max()) + 1 != len(given):
+            raise RuntimeError("a block's texts were not the same when they were cut again")
+        ends = np.cumsum(sizes, dtype=np.int64).tolist()
+        read = [codec.decode(x) for x in given] if decoding else []
+        out, plain = [], []
+        for a, b in zip([0, *ends[:-1]], ends):
+            at = numbers[a:b].tolist()
+            out.append(b"".join([given[i] for i in at]))
+            if decoding:
+                plain.append(b"".join([read[i] for i in at]))
+        columns = [pa.array(rows, pa.int64()), pa.array(out, pa.binary()), *([pa.array(plain, pa.binary())] if decoding else [])]
+        return pa.table(dict(zip(names, columns)))
     return run
 
 
@@ -353,11 +386,10 @@ def encode(docs: DataFrame, ranks: str, pattern: str, id_col: str = "doc_id",
     rows = texts(docs, id_col, text_col)
     size = rows.agg(F.sum(F.octet_length("text").cast("bigint"))).first()[0] or 0
     ranges = max(shuffle_partitions(spark), math.ceil(size / RANGE_BYTES))
-    asked = rows.mapInArrow(_asker(ranks, pattern, ranges), "owner int, block bigint, words binary")
-    answers = asked.groupBy("owner").applyInArrow(
-        _answerer(ranks, pattern), "owner int, block bigint, ids binary")
-    met = rows.mapInArrow(_named, "block bigint, rows array<bigint>, texts binary").groupBy("block").cogroup(
-        answers.groupBy("block")).applyInArrow(
+    # both uses of ``sent`` read one shuffle
+    sent = rows.mapInArrow(_asker(ranks, pattern, ranges), _SENT).groupBy("to")
+    answers = sent.applyInArrow(_answerer(ranks, pattern), "owner int, block bigint, ids binary")
+    met = sent.cogroup(answers.groupBy("block")).applyInArrow(
         _meeter(ranks, pattern, decoded), "id bigint, ids binary" + ", decoded binary" * decoded)
     return met.withColumnRenamed("id", id_col)
 
