@@ -52,3 +52,22 @@ def worker_state(name: str, make):
 
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def lean_memory() -> None:
+    """In a Python worker: memory of freed arrays and Arrow batches goes back to the system at once.
+
+    By default the allocators keep it, so that idle workers hold the peak of their last task.
+    """
+    def settle():
+        import ctypes
+
+        import pyarrow as pa
+        mmap_threshold = -3   # of mallopt; larger blocks are mapped and unmapped one by one
+        libc = ctypes.CDLL(None)
+        if hasattr(libc, "mallopt"):
+            libc.mallopt(mmap_threshold, 1 << 17)
+        pa.set_memory_pool(pa.system_memory_pool())
+        return True
+
+    worker_state("lean_memory", settle)

@@ -32,10 +32,10 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stackyard.llm.common import crc_mod, saved, shuffle_partitions, texts, worker_state
+from stackyard.llm.common import crc_mod, lean_memory, saved, shuffle_partitions, texts, worker_state
 from stackyard.llm.words import WordHasher, mix, slabs
 
-BLOCK_CHARS = 1 << 22      # texts of one block, together
+BLOCK_CHARS = 1 << 21      # texts of one block, together
 RANGE_BYTES = 1 << 23      # text bytes per range of keys
 HELD_PART = 8              # one training document in so many teaches the weights
 BUCKETS = 32               # of context frequency: 0, 1, 2-3, 4-7, ...
@@ -72,13 +72,14 @@ class _Tokens:
 
     def __init__(self, words: np.ndarray, places: np.ndarray, sizes: np.ndarray):
         """``words`` sorted keys; ``places`` of each token in them; ``sizes`` tokens per document."""
-        self.words, self.right, self.sizes = words, places, sizes
+        self.words, self.right, self.sizes = words, places.astype(np.int32), sizes
         self.starts = np.cumsum(sizes) - sizes
-        self.left = np.roll(places, 1)
+        self.left = np.roll(self.right, 1)
         # the context of a first word is the end of a document: as frequent as first words are
         self.left[self.starts] = np.searchsorted(words, END)
         pairs = mix(words[self.left] * _A + mix(words[self.right] + _B))
         self.pairs, self.first, self.pair = np.unique(pairs, return_index=True, return_inverse=True)
+        self.first, self.pair = self.first.astype(np.int32), self.pair.astype(np.int32)
 
     @classmethod
     def of(cls, batch: list[str], hasher: WordHasher) -> "_Tokens":
@@ -95,12 +96,15 @@ def _parted(batches):
     """``(block id, ids, parts, texts)`` of blocks of bounded size, the same on every reading."""
     import xxhash
     from pyspark import TaskContext
+    import pyarrow.compute as pc
+    lean_memory()
     task, number = TaskContext.get().partitionId(), 0
     for batch in batches:
-        ids, parts, text = (batch.column(c).to_pylist() for c in ("id", "part", "text"))
-        for lo, hi in slabs([len(t) for t in text], BLOCK_CHARS):
-            name = f"{task} {number} {ids[lo:hi]} {[len(t) for t in text[lo:hi]]}"
-            yield xxhash.xxh3_64_intdigest(name.encode()) >> 1, ids[lo:hi], parts[lo:hi], text[lo:hi]
+        sizes = pc.utf8_length(batch.column("text")).to_pylist()
+        for lo, hi in slabs(sizes, BLOCK_CHARS):   # only the rows of one block become Python objects
+            ids, parts, text = (batch.column(c).slice(lo, hi - lo).to_pylist() for c in ("id", "part", "text"))
+            name = f"{task} {number} {ids} {sizes[lo:hi]}"
+            yield xxhash.xxh3_64_intdigest(name.encode()) >> 1, ids, parts, text
             number += 1
 
 
@@ -144,6 +148,7 @@ def _asker(ranges: int):
 def _answer(table):
     """Counts over all blocks for one range of keys, and one row of its totals."""
     import pyarrow as pa
+    lean_memory()
     columns = {n: table.column(n).to_pylist() for n in table.schema.names}
     owner, out, sums = columns["owner"][0], [], [0, 0, 0, 0]
     for kind in (0, 1):
@@ -151,16 +156,18 @@ def _answer(table):
         if not rows:
             continue
         keys = [_unpack_sorted(columns["keys"][i]) for i in rows]
+        lengths = [len(k) for k in keys]
         distinct, place = np.unique(np.concatenate(keys), return_inverse=True)
-        ends = np.cumsum([len(k) for k in keys])
+        del keys
+        place, ends = place.astype(np.int32), np.cumsum(lengths)
         total, core = np.zeros(len(distinct), np.uint64), np.zeros(len(distinct), np.uint64)
-        for i, k, end in zip(rows, keys, ends):
+        for i, k, end in zip(rows, lengths, ends):
             if not columns["held"][i]:
-                at = place[end - len(k):end]   # keys of one block are distinct
+                at = place[end - k:end]   # keys of one block are distinct
                 total[at] += _unpack(columns["total"][i], np.uint64)
                 core[at] += _unpack(columns["core"][i], np.uint64)
-        for i, k, end in zip(rows, keys, ends):
-            counts = (core if columns["held"][i] else total)[place[end - len(k):end]]
+        for i, k, end in zip(rows, lengths, ends):
+            counts = (core if columns["held"][i] else total)[place[end - k:end]]
             out.append((columns["block"][i], columns["held"][i], kind, owner, _pack(counts), 0, 0, 0, 0))
         if kind == 0:
             sums = [int(total.sum()), int((total > 0).sum()), int(core.sum()), int((core > 0).sum())]
@@ -196,10 +203,11 @@ def _teller(held: bool):
 
 def _met(told, answers) -> tuple[_Tokens, np.ndarray, np.ndarray]:
     """A block's tokens, and the counts of its words and bigrams."""
+    lean_memory()
     if told.num_rows != 1:
         raise RuntimeError("blocks differ between two readings of the documents")
     row = told.slice(0, 1).to_pylist()[0]
-    tokens = _Tokens(_unpack_sorted(row["words"]), _unpack(row["places"], np.uint32).astype(np.int64),
+    tokens = _Tokens(_unpack_sorted(row["words"]), _unpack(row["places"], np.uint32),
                      _unpack(row["sizes"], np.int64))
     counts = [[], []]
     for a in sorted(answers.to_pylist(), key=lambda a: a["owner"]):
