@@ -30,13 +30,16 @@ def versions(cells: DataFrame, n: int, version: Sequence[str] = ("version",),
     return top_n(cells, list(keys), [desc(v) for v in version], n)
 
 
-def write_sorted(cells: DataFrame, path: str, partitions: int, key: str = "row_key",
-                 mode: str = "errorifexists") -> None:
+def write_sorted(cells: DataFrame, path: str, key: str = "row_key", mode: str = "errorifexists",
+                 rows_per_file: int = 5_000_000) -> None:
     """Lay cells out range-partitioned and sorted by row key, so each file
     covers a narrow key range and its Parquet min/max statistics let a
-    range scan skip the rest."""
-    (cells.repartitionByRange(partitions, key).sortWithinPartitions(key)
-     .write.mode(mode).parquet(path))
+    range scan skip the rest.
+
+    Files follow the data: AQE puts small ranges together up to the advisory
+    partition size, and a range of more than ``rows_per_file`` rows is cut into several files."""
+    (cells.repartitionByRange(key).sortWithinPartitions(key)
+     .write.mode(mode).option("maxRecordsPerFile", str(rows_per_file)).parquet(path))
 
 
 def scan(cells: DataFrame, start: str | None = None, stop: str | None = None,

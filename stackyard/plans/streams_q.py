@@ -18,7 +18,7 @@ from stackyard.session import scratch_path
 from stackyard.sources.manifest import VersionedTable
 from stackyard.streaming import events as EV
 from stackyard.streaming.sinks import append_updates, ingest_logs, read_latest, start_available_now, upsert_batch
-from stackyard.streaming.state import running_state, running_totals
+from stackyard.streaming.state import ROCKSDB, running_state, running_totals, session_totals
 from stackyard.tables import load
 
 LEAST_BATCHES, ROWS_PER_FILE = 4, 1_000_000
@@ -295,6 +295,33 @@ def r7_running_totals(spark, sf):
     return read_latest(log, ["key"]).withColumn("value_sum", F.round("value_sum", 2))
 
 
+def _heartbeat(ev):
+    """Derived: one event of no user, two days after the last one; it moves the watermark past all sessions."""
+    last = ev.agg(F.max("ts").alias("ts"))
+    return last.select(F.lit(-1).cast("long").alias("event_id"), (F.col("ts") + F.expr("INTERVAL 2 DAYS")).alias("ts"),
+                       F.lit(-1).cast("long").alias("user_id"), F.lit("heartbeat").alias("event_type"),
+                       F.lit(0.0).alias("value"))
+
+
+@query("r7_session_totals", "R7", sql="""
+WITH g AS (SELECT user_id, ts, value, event_id,
+                  CASE WHEN ts < lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) + INTERVAL 30 MINUTE
+                       THEN 0 ELSE 1 END AS brk
+           FROM events),
+     s AS (SELECT *, SUM(brk) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS sid FROM g)
+SELECT user_id AS key, MIN(ts) AS window_start, MAX(ts) + INTERVAL 30 MINUTE AS window_end,
+       COUNT(*) AS n_events, round(SUM(value), 2) AS total
+FROM s GROUP BY user_id, sid
+""")
+def r7_session_totals(spark, sf):
+    src, schema = event_files(spark, sf, extra=_heartbeat)
+    out = scratch_path(spark, "r7s-out")
+    totals = session_totals(read_stream(spark, src, schema), "user_id", "ts", "value")
+    start_available_now(spark, totals.writeStream.format("parquet").option("path", out).outputMode("append"),
+                        scratch_path(spark, "r7s-ckpt"), conf=ROCKSDB)
+    return spark.read.parquet(out).withColumn("total", F.round("total", 2))
+
+
 @query("r8_stream_upsert", "R8", sql="""
 SELECT user_id, event_id, ts, event_type, value FROM (
   SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS rn

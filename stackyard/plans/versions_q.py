@@ -42,7 +42,7 @@ SELECT 'prefix' AS scan, c_custkey, c_name FROM customer WHERE starts_with(c_nam
 def k3_range_scan(spark, sf):
     path = scratch_path(spark, "k3")
     cells = load(spark, sf, "customer").select(F.col("c_name").alias("row_key"), "c_custkey")
-    V.write_sorted(cells, path, partitions=spark.sparkContext.defaultParallelism)
+    V.write_sorted(cells, path)
     t = spark.read.parquet(path)
     rng = V.scan(t, "Customer#000000100", "Customer#000000200").withColumn("scan", F.lit("range"))
     pre = V.scan(t, prefix="Customer#0000010").withColumn("scan", F.lit("prefix"))

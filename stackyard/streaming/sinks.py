@@ -76,23 +76,26 @@ def read_latest(table: VersionedTable, keys: Sequence[str]) -> DataFrame:
 
 
 def start_available_now(spark: SparkSession, writer, checkpoint: str,
-                        state_partitions: int | None = None):
+                        state_partitions: int | None = None, conf: dict | None = None):
     """Start ``writer`` with ``availableNow`` and wait for it.
 
     The number of state partitions of a stateful stream is fixed by
     ``spark.sql.shuffle.partitions`` when the query first starts (then kept
     in the checkpoint).  It is set for the start only, by default to the
     cluster's parallelism (total executor cores), and the session value is
-    restored right after; the stream runs on a copy of the session conf.
+    restored right after, as are further settings in ``conf``; the stream runs
+    on a copy of the session conf.
     """
     n = state_partitions or spark.sparkContext.defaultParallelism
-    key = "spark.sql.shuffle.partitions"
-    before = spark.conf.get(key)
-    spark.conf.set(key, str(n))
+    settings = {"spark.sql.shuffle.partitions": str(n), **(conf or {})}
+    before = {key: spark.conf.get(key, None) for key in settings}
+    for key, value in settings.items():
+        spark.conf.set(key, value)
     try:
         q = writer.option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     finally:
-        spark.conf.set(key, before)
+        for key, value in before.items():
+            spark.conf.unset(key) if value is None else spark.conf.set(key, value)
     q.awaitTermination()
     if q.exception():
         raise q.exception()

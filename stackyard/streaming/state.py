@@ -1,5 +1,8 @@
 """Keyed running state.
 
+``session_totals`` is state with timers (``transformWithState``): a session's
+total leaves when the watermark passes its end.
+
 ``running_totals`` is the built-in form: a streaming aggregation in update
 mode, combined map-side before the shuffle, so a hot key in a micro-batch
 ships one buffer per task; use it whenever the state is an aggregate.
@@ -22,6 +25,9 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupStateTimeout
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor
+
+from stackyard.streaming.events import interval_micros, to_wall_time, with_event_time
 
 OUTPUT_SCHEMA = "key long, n_events long, value_sum double, last_event_id long, last_us long"
 STATE_SCHEMA = "n long, s double, last_id long, last_us long"
@@ -71,3 +77,74 @@ def running_totals(df: DataFrame, key: str, ts: str, id_col: str, value: str) ->
         last.alias("_last"))
     return agg.select("key", "n_events", "value_sum", F.col("_last.e").alias("last_event_id"),
                       F.col("_last.t").alias("last_ts"))
+
+
+ROCKSDB = {"spark.sql.streaming.stateStore.providerClass":
+           "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"}
+SESSIONS = "key long, start_us long, end_us long, n_events long, total double"
+
+
+class _Sessions(StatefulProcessor):
+    """The open sessions of one key, in one value; they leave by a timer at the end of the first of them."""
+
+    def __init__(self, gap_us: int):
+        self.gap_us = gap_us
+
+    def init(self, handle) -> None:
+        self.handle = handle
+        self.open = handle.getValueState(
+            "open", "start array<long>, last array<long>, n array<long>, total array<double>")
+
+    def _held(self) -> pd.DataFrame:
+        columns = ["start", "last", "n", "total"]
+        return pd.DataFrame(dict(zip(columns, self.open.get())) if self.open.exists() else [], columns=columns)
+
+    def _hold(self, spans: pd.DataFrame) -> None:
+        if not len(spans):
+            self.open.clear()
+            return
+        self.open.update(tuple(spans[c].tolist() for c in ("start", "last", "n", "total")))
+        self.handle.registerTimer(int(self._ends_ms(spans["last"]).min()))
+
+    def _ends_ms(self, last: pd.Series) -> pd.Series:
+        return -(-(last + self.gap_us) // 1000)
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        new = [pd.DataFrame({"start": p["us"], "last": p["us"], "n": 1, "total": p["amount"].fillna(0.0)})
+               for p in rows if len(p)]
+        held = self._held()
+        spans = pd.concat([held, *new] if len(held) else new, ignore_index=True).sort_values("start", kind="stable")
+        reach = spans["last"].cummax().shift()
+        number = (spans["start"] >= reach + self.gap_us).cumsum()
+        self._hold(spans.groupby(number).agg({"start": "min", "last": "max", "n": "sum", "total": "sum"}))
+        yield pd.DataFrame()
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        held = self._held()
+        done = self._ends_ms(held["last"]) <= timerValues.getCurrentWatermarkInMs()
+        if done.any():   # a session that has grown since has a later timer
+            self._hold(held[~done])
+            out = held[done]
+            yield pd.DataFrame({"key": key[0], "start_us": out["start"], "end_us": out["last"] + self.gap_us,
+                                "n_events": out["n"], "total": out["total"]})
+
+    def close(self) -> None:
+        pass
+
+
+def session_totals(df: DataFrame, key: str, ts: str, value: str, gap: str = "30 minutes",
+                   delay: str = "1 hour") -> DataFrame:
+    """``(key, window_start, window_end, n_events, total)`` of each session of a stream, once,
+    when the watermark passes its end (append mode; RocksDB state, see ``ROCKSDB``).
+
+    State per key is its open sessions alone.  A stream that has ended keeps them open; a
+    later event of any key, such as a heartbeat, moves the watermark and closes them.
+    """
+    ev = with_event_time(df, ts, delay)
+    # rows arrive as named tuples, whose fields cannot begin with an underscore
+    rows = ev.select(F.col(key).cast("long").alias("key"), "event_time", F.unix_micros("event_time").alias("us"),
+                     F.col(value).cast("double").alias("amount"))
+    out = rows.groupBy("key").transformWithStateInPandas(
+        _Sessions(interval_micros(gap)), SESSIONS, "append", "eventTime")
+    return out.select("key", to_wall_time(F.timestamp_micros("start_us")).alias("window_start"),
+                      to_wall_time(F.timestamp_micros("end_us")).alias("window_end"), "n_events", "total")
