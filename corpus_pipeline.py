@@ -2,6 +2,8 @@
 
 Each stage takes ``(spark, docs, sf_dir)``; all but the last return the columns
 of ``docs``, so stages can be written and read again one after the other.
+Further columns, whatever their names, are carried along.  Every stage takes
+texts of any length, and an empty table gives an empty one.
 """
 
 from __future__ import annotations
@@ -18,22 +20,37 @@ from stackyard.tables import load
 
 
 def toxicity_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that score below the toxicity threshold."""
+    """Documents that score below the toxicity threshold.
+
+    Null and empty texts are scored as the empty text.  Repeated rows have one score, so all of
+    them stay or go; rows with a null id are judged like others.
+    """
     return drop_toxic(docs, load(spark, sf_dir, "labels"))
 
 
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal texts the one with the largest doc_id."""
+    """Of equal texts the one with the largest doc_id.
+
+    A null text is the empty text, and one row with it stays.  A null id is smaller than any
+    other; of rows that repeat id and text one stays.
+    """
     return drop_copies(docs)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies."""
+    """One document of each group of near copies, that with the smallest doc_id.
+
+    A null id is larger than any other here, and of rows that repeat the smallest id one stays.
+    Texts without words (null, empty, white space) are near nothing and all stay.
+    """
     return drop_near_duplicates(docs)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of the documents and their places in training sequences."""
+    """The pieces of the documents and their places in training sequences.
+
+    Null and empty texts are one piece of one token; every row is packed, also rows of one id or none.
+    """
     return pack(docs, public_tokenizers.path("word_bpe_49k.json"))
 
 
