@@ -4,8 +4,8 @@ Each round points the larger neighbours of every node (large star) and then
 the smaller ones (small star) at the smallest neighbour.  It ends after
 O(log^2 n) rounds, whatever the diameter, with one star per component.  Only
 counts and a checksum reach the driver; each round is written to the shared
-scratch folder.  A node with very many edges is aggregated in the map tasks
-and its join is split by AQE.
+scratch folder.  A node with very many edges is aggregated in the map tasks,
+and the result is written before it is joined, so that AQE can split that join.
 """
 
 from __future__ import annotations
@@ -18,14 +18,14 @@ from stackyard.llm.common import saved
 
 def _large_star(edges: DataFrame) -> DataFrame:
     both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    least = both.groupBy("u").agg(F.min("v").alias("m"))
+    least = saved(both.groupBy("u").agg(F.min("v").alias("m")), "least")
     return (edges.select(F.col("v").alias("u"), F.col("u").alias("v"))
-            .join(least, "u").select(F.col("v").alias("u"), F.least("u", "m").alias("v")).distinct())
+            .join(least.hint("merge"), "u").select(F.col("v").alias("u"), F.least("u", "m").alias("v")).distinct())
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
-    least = edges.groupBy("u").agg(F.min("v").alias("m"))
-    moved = edges.join(least, "u").filter("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    least = saved(edges.groupBy("u").agg(F.min("v").alias("m")), "least")
+    moved = edges.join(least.hint("merge"), "u").filter("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
     return moved.unionByName(least.select("u", F.col("m").alias("v"))).distinct()
 
 
@@ -42,7 +42,7 @@ def components(edges: DataFrame) -> DataFrame:
                                                 F.least("a", "b").alias("v")).distinct(), "edges")
     before = _state(edges)
     while True:
-        edges = saved(_small_star(_large_star(edges)), "edges")
+        edges = saved(_small_star(saved(_large_star(edges), "large-star")), "edges")
         after = _state(edges)
         if after == before:
             break

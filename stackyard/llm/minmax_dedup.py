@@ -19,11 +19,13 @@ to a band: 32 bands.  A pair of similarity J shares no band with probability
    buckets of the same members count once.  The members of larger ones are put
    into buckets of their rarest shingles instead (prefix filter, which is
    exact): documents that share a passage but nothing else no longer meet.
-   What is large even then is dealt into parts, and parts are compared two by
-   two, so that a text travels once per pair of parts.
+   What is large even then, in members or in shingles, is dealt into parts, and
+   parts are compared two by two, so that a text travels once per pair of parts.
 
 No unbounded bucket is collected and none is cut.  Hot buckets are aggregated
-in the map tasks; joins on them are plain sort-merge joins that AQE splits.
+in the map tasks, and what that gives is written before buckets are joined with it:
+such a join is between two files, a plain sort-merge join that AQE splits.  None
+of the tables that grow with the input is broadcast.
 """
 
 from __future__ import annotations
@@ -41,6 +43,7 @@ ROWS_PER_BAND = 4
 BANDS = 32            # half from minima, half from maxima
 CROWD = 64            # members of a bucket beyond which rare shingles divide it
 PART = 512            # rows of a large bucket that are compared with as many others in one group
+PART_SHINGLES = 1 << 21   # and their shingles, together
 COLUMNS = 1 << 13     # of a comparison matrix held at a time
 
 
@@ -206,8 +209,8 @@ def _group_comparer(width: int, percent: int):
 
 def _links(pairs: DataFrame, rows: DataFrame, width: int, percent: int) -> DataFrame:
     """The pairs ``(a, b)`` whose full shingle sets are similar enough."""
-    both = (pairs.join(rows.select(F.col("node").alias("a"), F.col("text").alias("ta")), "a")
-            .join(rows.select(F.col("node").alias("b"), F.col("text").alias("tb")), "b"))
+    both = (pairs.join(rows.select(F.col("node").alias("a"), F.col("text").alias("ta")).hint("merge"), "a")
+            .join(rows.select(F.col("node").alias("b"), F.col("text").alias("tb")).hint("merge"), "b"))
     return saved(both.select("a", "b", "ta", "tb").mapInArrow(
         _comparer(width, percent), "a bigint, b bigint"), "links")
 
@@ -223,26 +226,31 @@ def _buckets(classes: DataFrame) -> DataFrame:
     among copies of one document that differ from each other, the document
     they were made from, which each of them is most like.
     """
-    members = classes.select("node", F.explode("bands").alias("bucket"))
-    shared = members.groupBy("bucket").agg(F.min("node").alias("first"), F.max("node").alias("last"),
-                                           F.count(F.lit(1)).alias("members")).filter("first != last")
-    members = saved(members.join(shared.select("bucket", "members"), "bucket"), "bucket-members")
-    met = members.groupBy("node").agg(F.sum("members").alias("met"))
-    heads = members.select("bucket", "node").join(met, "node").groupBy("bucket").agg(
+    members = classes.select("node", "n", F.explode("bands").alias("bucket"))
+    shared = saved(members.groupBy("bucket").agg(
+        F.min("node").alias("first"), F.max("node").alias("last"), F.count(F.lit(1)).alias("members"))
+        .filter("first != last").select("bucket", "members"), "shared-buckets")
+    members = saved(members.join(shared.hint("merge"), "bucket"), "bucket-members")
+    met = saved(members.groupBy("node").agg(F.sum("members").alias("met")), "met")
+    heads = members.select("bucket", "node").join(met.hint("merge"), "node").groupBy("bucket").agg(
         F.max(F.struct("met", (-F.col("node")).alias("first"))).alias("head"))
     heads = saved(heads.select("bucket", (-F.col("head.first")).alias("pivot")), "pivots")
-    return saved(members.select("bucket", "node").join(heads, "bucket"), "buckets")
+    return saved(members.select("bucket", "node", "n").join(heads.hint("merge"), "bucket"), "buckets")
 
 
 def _with_root(members: DataFrame, roots: DataFrame) -> DataFrame:
-    return members.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    return saved(members.join(roots.hint("merge"), "node", "left").withColumn("root", F.coalesce("root", "node")), "rooted")
 
 
 def _unsettled(members: DataFrame) -> DataFrame:
-    """Members ``(bucket, node, root, members)`` of buckets that hold more than one component."""
-    mixed = members.groupBy("bucket").agg(
-        F.min("root").alias("lo"), F.max("root").alias("hi"), F.count(F.lit(1)).alias("members"))
-    return members.join(mixed.filter("lo != hi").select("bucket", "members"), "bucket")
+    """Members ``(bucket, node, root, members, weight)`` of buckets that hold more than one component.
+
+    ``members`` is a written table, and the mixed buckets are written before they are looked up.
+    """
+    mixed = saved(members.groupBy("bucket").agg(
+        F.min("root").alias("lo"), F.max("root").alias("hi"), F.count(F.lit(1)).alias("members"),
+        F.sum("n").alias("weight")).filter("lo != hi").select("bucket", "members", "weight"), "mixed")
+    return members.select("bucket", "node", "root").join(mixed.hint("merge"), "bucket")
 
 
 def _shingles_of(width: int):
@@ -264,7 +272,7 @@ def _shingles_of(width: int):
 
 
 def _rare_buckets(crowded: DataFrame, rows: DataFrame, width: int, percent: int) -> DataFrame:
-    """The crowded buckets' members ``(bucket, node, root)`` by their rare shingles.
+    """The crowded buckets' members ``(bucket, node, root, n)`` by their rare shingles.
 
     With the shingles of each set in one order, rarest first, two sets of n and
     m shingles that are similar enough share one among the first
@@ -272,35 +280,35 @@ def _rare_buckets(crowded: DataFrame, rows: DataFrame, width: int, percent: int)
     and what all of a crowd have in common makes no bucket.
     """
     nodes = crowded.select("node", "root").distinct()
-    shingles = saved(rows.join(nodes, "node").mapInArrow(
+    shingles = saved(rows.join(nodes.hint("merge"), "node").mapInArrow(
         _shingles_of(width), "node bigint, root bigint, n bigint, shingle bigint"), "crowd-shingles")
     shared = saved(shingles.groupBy("shingle").agg(F.count(F.lit(1)).alias("often")).filter("often > 1"),
                    "shared-shingles")
-    own = shingles.join(shared, "shingle")
+    own = shingles.join(shared.hint("merge"), "shingle")
     rarest = Window.partitionBy("node").orderBy("often", "shingle")
     # shingles of one member alone come first and need no bucket
     place = F.col("n") - F.count(F.lit(1)).over(Window.partitionBy("node")) + F.row_number().over(rarest)
     first = F.expr(f"n - ceil({percent} * n / 100) + 1")
-    return own.withColumn("place", place).filter(F.col("place") <= first).select(
-        F.col("shingle").alias("bucket"), "node", "root")
+    return saved(own.withColumn("place", place).filter(F.col("place") <= first).select(
+        F.col("shingle").alias("bucket"), "node", "root", "n"), "rare-buckets")
 
 
 def _group_links(open_: DataFrame, rows: DataFrame, width: int, percent: int) -> DataFrame:
-    """Links inside buckets ``(bucket, node, root, members)``; equal member sets count once.
+    """Links inside buckets ``(bucket, node, root, members, weight)``; equal member sets count once.
 
-    A bucket of more than ``PART`` members is dealt into parts of about that
-    many, and every two parts are compared in a group of their own.
+    A bucket of more than ``PART`` members or ``PART_SHINGLES`` shingles is dealt into
+    parts of about that many, and every two parts are compared in a group of their own.
     """
     same = open_.groupBy("bucket", "members").agg(
         F.bit_xor(F.xxhash64("node")).alias("x"), F.bit_xor(F.xxhash64(F.lit(1), "node")).alias("y"))
     once = saved(same.groupBy("x", "y", "members").agg(F.min("bucket").alias("bucket")), "once")
-    parts = f"CAST(ceil(members / {PART}) AS INT)"
-    dealt = (open_.select("bucket", "node", "root", "members").join(once.select("bucket"), "bucket", "left_semi")
+    parts = f"CAST(ceil(greatest(members / {PART}, weight / {PART_SHINGLES})) AS INT)"
+    dealt = (open_.join(once.select("bucket").hint("merge"), "bucket", "left_semi")
              .withColumn("part", F.expr(f"CAST(pmod(xxhash64(node), {parts}) AS INT)"))
              .withColumn("other", F.explode(F.expr(f"sequence(0, {parts} - 1)")))
              .select("bucket", F.least("part", "other").alias("lo"), F.greatest("part", "other").alias("hi"),
                      "node", "root", "part"))
-    return saved(dealt.join(rows, "node").groupBy("bucket", "lo", "hi").applyInArrow(
+    return saved(dealt.join(rows.hint("merge"), "node").groupBy("bucket", "lo", "hi").applyInArrow(
         _group_comparer(width, percent), "a bigint, b bigint"), "links")
 
 
@@ -309,9 +317,9 @@ def _candidates(nodes: DataFrame, classes: DataFrame, source: DataFrame) -> Data
 
     A text is found again by the id and hash of the row that stands for its class.
     """
-    keys = nodes.join(classes.select("node", "key", "hash"), "node")
-    found = source.join(keys.select("key", "hash"), ["key", "hash"], "left_semi").dropDuplicates(["key", "hash"])
-    return saved(found.join(keys, ["key", "hash"]).select("node", "text"), "candidates")
+    keys = saved(nodes.join(classes.select("node", "key", "hash").hint("merge"), "node"), "candidate-keys")
+    found = source.join(keys.select("key", "hash").hint("merge"), ["key", "hash"], "left_semi").dropDuplicates(["key", "hash"])
+    return saved(found.join(keys.hint("merge"), ["key", "hash"]).select("node", "text"), "candidates")
 
 
 def _class_roots(classes: DataFrame, source: DataFrame, width: int, percent: int) -> DataFrame:
@@ -319,12 +327,12 @@ def _class_roots(classes: DataFrame, source: DataFrame, width: int, percent: int
     rows = _candidates(buckets.select("node").distinct(), classes, source)
     size = classes.select("node", "n")
     star = (buckets.filter("node != pivot").select(F.col("node").alias("a"), F.col("pivot").alias("b")).distinct()
-            .join(size.select(F.col("node").alias("a"), F.col("n").alias("na")), "a")
-            .join(size.select(F.col("node").alias("b"), F.col("n").alias("nb")), "b")
+            .join(size.select(F.col("node").alias("a"), F.col("n").alias("na")).hint("merge"), "a")
+            .join(size.select(F.col("node").alias("b"), F.col("n").alias("nb")).hint("merge"), "b")
             .filter(_size_can_do(F.col("na"), F.col("nb"), percent)).select("a", "b"))
     links = _links(star, rows, width, percent)
     roots = components(links)
-    members = buckets.select("bucket", "node")
+    members = buckets.select("bucket", "node", "n")
     unsettled = saved(_unsettled(_with_root(members, roots)), "unsettled")
     links = links.unionByName(_group_links(unsettled.filter(F.col("members") <= CROWD), rows, width, percent))
     crowded = unsettled.filter(F.col("members") > CROWD)
@@ -344,19 +352,19 @@ def _groups(rows: DataFrame, width: int, percent: int) -> DataFrame:
     rows = _keyed(rows)
     signed = saved(_signed(rows, width, BANDS, seed=7), "signatures")
     heads = signed.filter("n > 0").groupBy("digest").agg(F.min("rid").alias("node"))
-    classes = saved(signed.join(heads.select(F.col("node").alias("rid")), "rid").select(
+    classes = saved(signed.join(heads.select(F.col("node").alias("rid")).hint("merge"), "rid").select(
         F.col("rid").alias("node"), "key", "hash", "n", "digest", "bands"), "classes")
     roots = _class_roots(classes, rows.select("key", "hash", "text"), width, percent)
-    by_digest = saved(classes.select("digest", "node").join(roots, "node", "left").select(
+    by_digest = saved(classes.select("digest", "node").join(roots.hint("merge"), "node", "left").select(
         "digest", F.coalesce("root", "node").alias("root")), "class-roots")
     # without words a row is a component of its own; its root is no class
     light = signed.select("rid", "id", "n", "digest")
-    grouped = saved(light.filter("n > 0").join(by_digest, "digest").select("rid", "id", "n", "root")
+    grouped = saved(light.filter("n > 0").join(by_digest.hint("merge"), "digest").select("rid", "id", "n", "root")
                     .unionByName(light.filter("n = 0").select("rid", "id", "n", F.expr("-1 - rid").alias("root"))),
                     "grouped")
     firsts = saved(grouped.groupBy("root").agg(
         F.min(F.struct(F.col("id").isNull().alias("none"), "id", "rid")).alias("head")), "group-heads")
-    return grouped.join(firsts, "root").select(
+    return grouped.join(firsts.hint("merge"), "root").select(
         "rid", "id", F.col("n").alias("n_shingles"), F.col("head.id").alias("component_id"),
         (F.col("rid") == F.col("head.rid")).alias("kept"))
 
@@ -385,4 +393,4 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     rows = stored.select("rid", F.col(f"doc.`{id_col}`").cast("bigint").alias("id"),
                          F.coalesce(F.col(f"doc.`{text_col}`"), F.lit("")).alias("text"))
     kept = _groups(rows, width, percent).filter("kept").select("rid")
-    return stored.join(kept, "rid", "left_semi").select("doc.*")
+    return stored.join(kept.hint("merge"), "rid", "left_semi").select("doc.*")
