@@ -149,10 +149,10 @@ def _escaped(name: str):
 
 
 def _unescaped(name: str):
-    # pairs of backslashes are set aside first, so that an escaped backslash before an n stays one
-    x = F.replace(F.col(f"`{name}`"), F.lit("\\\\"), F.lit("\x00"))
-    x = F.replace(F.replace(x, F.lit("\\n"), F.lit("\n")), F.lit("\\r"), F.lit("\r"))
-    return F.replace(x, F.lit("\x00"), F.lit("\\")).alias(name)
+    # between pairs of backslashes, each an escaped one, \\n and \\r are line breaks
+    breaks = lambda x: F.replace(F.replace(x, F.lit("\\n"), F.lit("\n")), F.lit("\\r"), F.lit("\r"))
+    parts = F.transform(F.split(F.col(f"`{name}`"), r"\\\\", -1), breaks)
+    return F.array_join(parts, "\\").alias(name)
 
 
 def write_text(df: DataFrame, path: str, codec: str = "none", sep: str = ",",

@@ -48,7 +48,7 @@ def test_delimited_keeps_empty_fields(spark, tmp_path):
 
 @pytest.mark.parametrize("codec", ["none", "gzip"])
 def test_line_breaks_survive_text_files(spark, tmp_path, codec):
-    values = ["a\nb", "a\\nb", "c\r\nd", "back\\slash", "plain", "\\\\n"]
+    values = ["a\nb", "a\\nb", "c\r\nd", "back\\slash", "plain", "\\\\n", "nul\x00 in", "\\\n\\", "\\\\\r\\n"]
     frame = spark.createDataFrame([(i, v) for i, v in enumerate(values)], "i int, v string")
     text.write_text(frame, str(tmp_path / "t"), codec)
     back = text.read_text(spark, str(tmp_path / "t"), "i int, v string")
