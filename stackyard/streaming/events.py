@@ -101,11 +101,14 @@ def split_late(path: str, ts: str, keys: Sequence[str], window: str = "1 hour",
         spark = batch.sparkSession
         mark = None
         if batch_id > 0 and (done := _batches(spark, counts, batch_id)):
-            mark = spark.read.parquet(*done).agg(F.max("max_ts") - F.expr(f"INTERVAL {delay}")).first()[0]
+            # as text, so that the driver's own time zone plays no part
+            mark = spark.read.parquet(*done).agg(
+                (F.max("max_ts") - F.expr(f"INTERVAL {delay}")).cast("string")).first()[0]
         start = F.window(F.col(ts), window)["start"]
         rows = batch.withColumn("window_start", start)
         end = F.col("window_start") + F.expr(f"INTERVAL {window}")
-        is_late = F.lit(False) if mark is None else F.coalesce(end <= F.lit(mark), F.lit(False))
+        is_late = F.lit(False) if mark is None else F.coalesce(
+            end <= F.lit(mark).cast(batch.schema[ts].dataType), F.lit(False))
         rows = rows.withColumn("_late", is_late).persist()
         try:
             (rows.groupBy("window_start", end.alias("window_end"), *keys).agg(
