@@ -82,69 +82,102 @@ def running_totals(df: DataFrame, key: str, ts: str, id_col: str, value: str) ->
 ROCKSDB = {"spark.sql.streaming.stateStore.providerClass":
            "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"}
 SESSIONS = "key long, start_us long, end_us long, n_events long, total double"
+#: An open session: key (and whether it is null), first and last event in microseconds, events, total.
+SPAN = np.dtype([("null", "i8"), ("key", "i8"), ("start", "i8"), ("last", "i8"), ("n", "i8"), ("total", "f8")])
+NO_TIME = -2**63
+BUCKETS = 1024
 
 
 class _Sessions(StatefulProcessor):
-    """The open sessions of one key, in one value; they leave by a timer at the end of the first of them."""
+    """The open sessions of one bucket of keys, in one value; they leave by a timer at the end of the first of them."""
 
     def __init__(self, gap_us: int):
         self.gap_us = gap_us
 
     def init(self, handle) -> None:
         self.handle = handle
-        self.open = handle.getValueState(
-            "open", "start array<long>, last array<long>, n array<long>, total array<double>")
+        self.open = handle.getValueState("open", "spans binary")
 
-    def _held(self) -> pd.DataFrame:
-        columns = ["start", "last", "n", "total"]
-        return pd.DataFrame(dict(zip(columns, self.open.get())) if self.open.exists() else [], columns=columns)
+    def _held(self) -> np.ndarray:
+        value = self.open.get()
+        return np.frombuffer(value[0] if value else b"", SPAN)
 
-    def _hold(self, spans: pd.DataFrame) -> None:
+    def _hold(self, spans: np.ndarray) -> None:
         if not len(spans):
             self.open.clear()
             return
-        self.open.update(tuple(spans[c].tolist() for c in ("start", "last", "n", "total")))
-        self.handle.registerTimer(int(self._ends_ms(spans["last"]).min()))
-
-    def _ends_ms(self, last: pd.Series) -> pd.Series:
-        return -(-(last + self.gap_us) // 1000)
+        self.open.update((spans.tobytes(),))
+        self.handle.registerTimer(int(self._ends_ms(spans).min()))
+
+    def _ends_ms(self, spans: np.ndarray) -> np.ndarray:
+        return -(-(spans["last"] + self.gap_us) // 1000)
+
+    def _events(self, rows: pd.DataFrame) -> np.ndarray:
+        spans = np.empty(len(rows), SPAN)
+        spans["null"], spans["key"], spans["n"] = rows["unkeyed"], rows["key"], 1
+        spans["start"], spans["last"], spans["total"] = rows["us"], rows["us"], rows["amount"].fillna(0.0)
+        return spans
+
+    def _joined(self, spans: np.ndarray) -> np.ndarray:
+        """``spans`` with those of one key that lie less than the gap apart made one."""
+        spans = spans[np.lexsort((spans["start"], spans["key"], spans["null"]))]
+        first = np.ones(len(spans), bool)
+        first[1:] = (spans["key"][1:] != spans["key"][:-1]) | (spans["null"][1:] != spans["null"][:-1])
+        reach = pd.Series(spans["last"]).groupby(first.cumsum()).cummax().to_numpy()
+        first[1:] |= spans["start"][1:] >= reach[:-1] + self.gap_us
+        at = np.flatnonzero(first)
+        out = spans[at]
+        out["last"] = np.maximum.reduceat(spans["last"], at)
+        out["n"], out["total"] = np.add.reduceat(spans["n"], at), np.add.reduceat(spans["total"], at)
+        return out
+
+    def _out(self, spans: np.ndarray) -> pd.DataFrame:
+        no_time = spans["start"] == NO_TIME
+        return pd.DataFrame({"key": pd.arrays.IntegerArray(spans["key"].copy(), spans["null"] == 1),
+                             "start_us": pd.arrays.IntegerArray(spans["start"].copy(), no_time),
+                             "end_us": pd.arrays.IntegerArray(spans["last"] + self.gap_us, no_time),
+                             "n_events": spans["n"], "total": spans["total"]})
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        new = [pd.DataFrame({"start": p["us"], "last": p["us"], "n": 1, "total": p["amount"].fillna(0.0)})
-               for p in rows if len(p)]
-        held = self._held()
-        spans = pd.concat([held, *new] if len(held) else new, ignore_index=True).sort_values("start", kind="stable")
-        reach = spans["last"].cummax().shift()
-        number = (spans["start"] >= reach + self.gap_us).cumsum()
-        self._hold(spans.groupby(number).agg({"start": "min", "last": "max", "n": "sum", "total": "sum"}))
-        yield pd.DataFrame()
+        events = np.concatenate([self._events(p) for p in rows])
+        timed = events["start"] != NO_TIME
+        if timed.any():
+            self._hold(self._joined(np.concatenate([self._held(), events[timed]])))
+        if not timed.all():
+            yield self._out(events[~timed])
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         held = self._held()
-        done = self._ends_ms(held["last"]) <= timerValues.getCurrentWatermarkInMs()
+        done = self._ends_ms(held) <= timerValues.getCurrentWatermarkInMs()
         if done.any():   # a session that has grown since has a later timer
             self._hold(held[~done])
-            out = held[done]
-            yield pd.DataFrame({"key": key[0], "start_us": out["start"], "end_us": out["last"] + self.gap_us,
-                                "n_events": out["n"], "total": out["total"]})
+            yield self._out(held[done])
 
     def close(self) -> None:
         pass
 
 
 def session_totals(df: DataFrame, key: str, ts: str, value: str, gap: str = "30 minutes",
-                   delay: str = "1 hour") -> DataFrame:
+                   delay: str = "1 hour", buckets: int = BUCKETS) -> DataFrame:
     """``(key, window_start, window_end, n_events, total)`` of each session of a stream, once,
     when the watermark passes its end (append mode; RocksDB state, see ``ROCKSDB``).
 
-    State per key is its open sessions alone.  A stream that has ended keeps them open; a
-    later event of any key, such as a heartbeat, moves the watermark and closes them.
+    State is the open sessions alone.  A call of the processor costs milliseconds whatever it
+    does, so keys share ``buckets`` values of state (by hash; keep the number with the
+    checkpoint), each handled at once per micro-batch: calls do not grow with the keys, and a
+    value holds the open sessions of its share of a micro-batch.  A null key is a key; an event
+    without a time is a session of its own, without a window, and leaves at once.  A stream that
+    has ended keeps sessions open; a later event of any key, such as a heartbeat, moves the
+    watermark and closes them.
     """
     ev = with_event_time(df, ts, delay)
+    k = F.col(key).cast("long")
     # rows arrive as named tuples, whose fields cannot begin with an underscore
-    rows = ev.select(F.col(key).cast("long").alias("key"), "event_time", F.unix_micros("event_time").alias("us"),
+    rows = ev.select(F.pmod(F.xxhash64(k), F.lit(buckets)).alias("bucket"), k.isNull().cast("long").alias("unkeyed"),
+                     F.coalesce(k, F.lit(0)).alias("key"), F.col("event_time"),
+                     F.coalesce(F.unix_micros("event_time"), F.lit(NO_TIME)).alias("us"),
                      F.col(value).cast("double").alias("amount"))
-    out = rows.groupBy("key").transformWithStateInPandas(
+    out = rows.groupBy("bucket").transformWithStateInPandas(
         _Sessions(interval_micros(gap)), SESSIONS, "append", "eventTime")
     return out.select("key", to_wall_time(F.timestamp_micros("start_us")).alias("window_start"),
                       to_wall_time(F.timestamp_micros("end_us")).alias("window_end"), "n_events", "total")

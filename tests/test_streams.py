@@ -1,6 +1,8 @@
 """Streams: files in, sink out with availableNow; compared with the batch
 query and, for late rows, with a brute-force model of the watermark."""
 
+import datetime as dt
+
 import pandas as pd
 from pyspark.sql import functions as F
 
@@ -9,6 +11,7 @@ from stackyard.session import scratch_path
 from stackyard.streaming import events as EV
 from stackyard.sources.manifest import VersionedTable
 from stackyard.streaming.sinks import upsert_batch
+from stackyard.streaming.state import BUCKETS, ROCKSDB, session_totals
 from stackyard.tables import load
 
 SMALL = "/root/testdata/sf0.001"
@@ -144,3 +147,43 @@ def test_stream_sinks_are_idempotent_under_replay(spark):
     app(counts(ev), 1)  # a replay is known
     assert _rows(read_latest(log, ["user_id"])) == _rows(counts(ev))
     assert log.read().count() == counts(ev).count()   # compacted: one row a key
+
+
+def _session_totals(spark, rows, label):
+    """``session_totals`` of a folder per list of rows, a micro-batch each; (rows of the sink, queries)."""
+    root, out, ckpt = (scratch_path(spark, f"{label}-{x}") for x in ("src", "out", "ckpt"))
+    schema, queries = "user_id long, ts timestamp_ntz, value double", []
+    for i, batch in enumerate(rows):
+        spark.createDataFrame(batch, schema).coalesce(1).write.parquet(f"{root}/{i}")
+        totals = session_totals(spark.readStream.schema(schema).option("recursiveFileLookup", "true").parquet(root),
+                                "user_id", "ts", "value")
+        queries.append(SQ.start_available_now(
+            spark, totals.writeStream.format("parquet").option("path", out).outputMode("append"), ckpt, conf=ROCKSDB))
+    return spark.read.parquet(out), queries
+
+
+def test_session_totals_state_does_not_grow_with_the_keys(spark):
+    """Each call of the processor reads and writes its state, so there must not be one per key."""
+    start, keys = dt.datetime(2024, 5, 1), 3 * BUCKETS
+    out, (first, _) = _session_totals(spark, [
+        [(k, start + dt.timedelta(minutes=m), 1.0) for k in range(keys) for m in (0, 20, 300)],
+        [(-1, start + dt.timedelta(days=2), 0.0)]], "t-keys")
+    assert 0 < sum(p["stateOperators"][0]["numRowsUpdated"] for p in first.recentProgress) <= 4 * BUCKETS
+    assert out.groupBy("n_events", "total").count().sort("n_events").collect() == [(1, 1.0, keys), (2, 2.0, keys)]
+    assert out.select("key").distinct().count() == keys
+
+
+def test_session_totals_with_null_keys_times_and_values(spark):
+    """A null key is a key of its own, an event without a time a session of its own; neither touches other sessions."""
+    at = lambda h, m=0: dt.datetime(2024, 5, 1, h, m)
+    big = 2 ** 60 + 1   # not a double
+    out, _ = _session_totals(spark, [
+        [(1, at(1), 1.0), (None, at(1, 10), 2.0), (big, at(1, 5), 4.0), (None, at(1, 30), None), (0, at(1, 5), 8.0),
+         (1, None, 16.0), (None, None, None), (1, at(5), 32.0)],
+        [(1, at(5, 29), 64.0), (1, at(5, 59), 128.0), (big, None, 1.0), (2, None, 1.0)],
+        [(-1, dt.datetime(2024, 5, 3), 0.0)]], "t-nulls")
+    want = [(1, at(1), at(1, 30), 1, 1.0), (None, at(1, 10), at(2), 2, 2.0), (big, at(1, 5), at(1, 35), 1, 4.0),
+            (0, at(1, 5), at(1, 35), 1, 8.0), (1, None, None, 1, 16.0), (None, None, None, 1, 0.0),
+            (1, at(5), at(5, 59), 2, 96.0), (1, at(5, 59), at(6, 29), 1, 128.0), (big, None, None, 1, 1.0),
+            (2, None, None, 1, 1.0)]
+    assert sorted(map(tuple, out.collect()), key=repr) == sorted(want, key=repr)
