@@ -12,6 +12,7 @@ from stackyard.operators import joins as J
 from stackyard.operators import ordinal as O
 from stackyard.operators.asof import asof_join
 from stackyard.operators.versions import apply_deletes
+from stackyard.plans.registry import all_queries
 from stackyard.streaming.events import interval_join
 
 SMALL = "/root/testdata/sf0.001"
@@ -202,3 +203,15 @@ def test_lookup_leaves_the_broadcast_to_spark(spark):
     nat = spark.read.parquet(f"{SMALL}/nation.parquet")
     plan = J.lookup(nat, nat.select("n_nationkey"), "n_nationkey")._jdf.queryExecution().analyzed().toString()
     assert "hint" not in plan.lower()
+
+
+def test_sketch_beside_an_exact_count_is_not_kept_per_user(spark, tmp_dir):
+    """A sketch takes kilobytes, so it must be grouped by the type alone; the null type is a group."""
+    rows = [(t, u) for t in ("a", "b", None) for u in (*range(300), None, 7)]
+    spark.createDataFrame(rows, "event_type string, user_id long").write.parquet(f"{tmp_dir}/events.parquet")
+    got = all_queries()["s8_approx_count_distinct"].build(spark, tmp_dir)
+    assert sorted(map(tuple, got.collect()), key=repr) == sorted([(t, 300, True) for t in ("a", "b", None)], key=repr)
+    aggregates = [ln for ln in got._jdf.queryExecution().executedPlan().toString().splitlines() if "Aggregate(" in ln]
+    per_user = [ln for ln in aggregates if "user_id" in ln.partition("functions=")[0]]
+    assert any("approx_count_distinct" in ln for ln in aggregates) and per_user
+    assert not any("approx_count_distinct" in ln for ln in per_user)
