@@ -54,9 +54,12 @@ def insert_after_text(text, pattern: str, new_line: str) -> Column:
 def drop_after_text(text, pattern: str) -> Column:
     """Drop every line whose previous line matches ``pattern`` (the
     ``n=$(sed -n /p/=); sed "$((n+1))d"`` edit, applied to each match)."""
+    # beside each line the one before, from a second array: the split inside the lambda would
+    # run again for each line.  A dropped line is null, as is what fills up the shorter array
     arr = split_lines(text)
-    return join_lines(F.filter(
-        arr, lambda ln, i: (i == 0) | ~F.get(arr, i - 1).rlike(pattern)))
+    before = F.concat(F.array(F.lit(None).cast("string")), arr)
+    return join_lines(F.zip_with(
+        arr, before, lambda ln, prev: F.when(prev.isNull() | ~prev.rlike(pattern), ln)))
 
 
 def lines(df: DataFrame, id_col: str, text_col: str, keep: list[str] | None = None) -> DataFrame:

@@ -215,3 +215,17 @@ def test_sketch_beside_an_exact_count_is_not_kept_per_user(spark, tmp_dir):
     per_user = [ln for ln in aggregates if "user_id" in ln.partition("functions=")[0]]
     assert any("approx_count_distinct" in ln for ln in aggregates) and per_user
     assert not any("approx_count_distinct" in ln for ln in per_user)
+
+
+def test_drop_after_splits_a_text_once(spark):
+    """A split inside the lambda runs again for each line, so that time grows with the square of the lines."""
+    texts = [None, "", "a", "x", "x\n", "\nx\n\na", "x\nb\nc", "x\nx\nx\nb", "a\r\nx\r\nb\r\nc", "x\r\r\nb\n", "bx\na\nx"]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    got = df.select(L.drop_after_text("t", "x").alias("d"))
+    kept = ["a\nx\nc", "x\r\n", "bx\nx"]
+    assert [r.d for r in got.collect()] == [None, "", "a", "x", "x", "\nx\na", "x\nc", "x", *kept]
+    before, inside, lambdas = got._jdf.queryExecution().optimizedPlan().toString().partition("lambdafunction(")
+    assert "split(" in before and inside and "split(" not in lambdas
+    lines = ["x" if i % 3 == 0 else f"line {i}" for i in range(20_000)]
+    long = spark.createDataFrame([("\n".join(lines),)], "t string").select(L.drop_after_text("t", "^x$").alias("d")).first().d
+    assert long.split("\n") == [ln for i, ln in enumerate(lines) if i % 3 != 1]
