@@ -51,5 +51,5 @@ def test_stages_keep_awkward_columns(spark):
 def test_registered():
     names = E.queries()
     assert names["pipeline"] is pipeline.run
-    assert {n.split("_")[0] for n in QUERIES} == {f"op{i}" for i in range(1, 11)}
+    assert {n.split("_")[0] for n in QUERIES} == {f"op{i}" for i in range(1, 14)}
     assert set(QUERIES) <= set(names) and set(ORACLES) <= set(E.oracle_sql())
