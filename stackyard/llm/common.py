@@ -33,6 +33,15 @@ def saved(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def merged(left: DataFrame, right: DataFrame, on, how: str = "inner") -> DataFrame:
+    """A sort-merge join of tables that grow with the corpus.
+
+    Of written tables Spark knows the bytes of the compressed files, which are a small part of what their rows
+    take; a broadcast chosen by them passes through the driver's memory.
+    """
+    return left.join(right.hint("merge"), on, how)
+
+
 def crc_mod(id_col: str, m: int) -> Column:
     """crc32 of the id as text, modulo ``m`` (null for a null id)."""
     return F.pmod(F.crc32(F.col(id_col).cast("string").cast("binary")), F.lit(m))

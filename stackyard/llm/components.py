@@ -13,19 +13,19 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stackyard.llm.common import saved
+from stackyard.llm.common import merged, saved
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
     both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
     least = both.groupBy("u").agg(F.min("v").alias("m"))
-    return (edges.select(F.col("v").alias("u"), F.col("u").alias("v"))
-            .join(least, "u").select(F.col("v").alias("u"), F.least("u", "m").alias("v")).distinct())
+    turned = edges.select(F.col("v").alias("u"), F.col("u").alias("v"))
+    return merged(turned, least, "u").select(F.col("v").alias("u"), F.least("u", "m").alias("v")).distinct()
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
     least = edges.groupBy("u").agg(F.min("v").alias("m"))
-    moved = edges.join(least, "u").filter("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    moved = merged(edges, least, "u").filter("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
     return moved.unionByName(least.select("u", F.col("m").alias("v"))).distinct()
 
 

@@ -24,6 +24,7 @@ to a band: 32 bands.  A pair of similarity J shares no band with probability
 
 No unbounded bucket is collected and none is cut.  Hot buckets are aggregated
 in the map tasks; joins on them are plain sort-merge joins that AQE splits.
+No table is broadcast, so what reaches the driver does not grow with the corpus.
 """
 
 from __future__ import annotations
@@ -31,7 +32,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from stackyard.llm.common import saved, texts, worker_state
+from stackyard.llm.common import merged, saved, texts, worker_state
 from stackyard.llm.components import components
 from stackyard.llm.words import WordHasher, mix, slabs
 
@@ -206,8 +207,8 @@ def _group_comparer(width: int, percent: int):
 
 def _links(pairs: DataFrame, rows: DataFrame, width: int, percent: int) -> DataFrame:
     """The pairs ``(a, b)`` whose full shingle sets are similar enough."""
-    both = (pairs.join(rows.select(F.col("node").alias("a"), F.col("text").alias("ta")), "a")
-            .join(rows.select(F.col("node").alias("b"), F.col("text").alias("tb")), "b"))
+    both = merged(merged(pairs, rows.select(F.col("node").alias("a"), F.col("text").alias("ta")), "a"),
+                  rows.select(F.col("node").alias("b"), F.col("text").alias("tb")), "b")
     return saved(both.select("a", "b", "ta", "tb").mapInArrow(
         _comparer(width, percent), "a bigint, b bigint"), "links")
 
@@ -226,23 +227,23 @@ def _buckets(classes: DataFrame) -> DataFrame:
     members = classes.select("node", F.explode("bands").alias("bucket"))
     shared = members.groupBy("bucket").agg(F.min("node").alias("first"), F.max("node").alias("last"),
                                            F.count(F.lit(1)).alias("members")).filter("first != last")
-    members = saved(members.join(shared.select("bucket", "members"), "bucket"), "bucket-members")
+    members = saved(merged(members, shared.select("bucket", "members"), "bucket"), "bucket-members")
     met = members.groupBy("node").agg(F.sum("members").alias("met"))
-    heads = members.select("bucket", "node").join(met, "node").groupBy("bucket").agg(
+    heads = merged(members.select("bucket", "node"), met, "node").groupBy("bucket").agg(
         F.max(F.struct("met", (-F.col("node")).alias("first"))).alias("head"))
     heads = saved(heads.select("bucket", (-F.col("head.first")).alias("pivot")), "pivots")
-    return saved(members.select("bucket", "node").join(heads, "bucket"), "buckets")
+    return saved(merged(members.select("bucket", "node"), heads, "bucket"), "buckets")
 
 
 def _with_root(members: DataFrame, roots: DataFrame) -> DataFrame:
-    return members.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    return merged(members, roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
 
 
 def _unsettled(members: DataFrame) -> DataFrame:
     """Members ``(bucket, node, root, members)`` of buckets that hold more than one component."""
     mixed = members.groupBy("bucket").agg(
         F.min("root").alias("lo"), F.max("root").alias("hi"), F.count(F.lit(1)).alias("members"))
-    return members.join(mixed.filter("lo != hi").select("bucket", "members"), "bucket")
+    return merged(members, mixed.filter("lo != hi").select("bucket", "members"), "bucket")
 
 
 def _shingles_of(width: int):
@@ -272,11 +273,11 @@ def _rare_buckets(crowded: DataFrame, rows: DataFrame, width: int, percent: int)
     and what all of a crowd have in common makes no bucket.
     """
     nodes = crowded.select("node", "root").distinct()
-    shingles = saved(rows.join(nodes, "node").mapInArrow(
+    shingles = saved(merged(rows, nodes, "node").mapInArrow(
         _shingles_of(width), "node bigint, root bigint, n bigint, shingle bigint"), "crowd-shingles")
     shared = saved(shingles.groupBy("shingle").agg(F.count(F.lit(1)).alias("often")).filter("often > 1"),
                    "shared-shingles")
-    own = shingles.join(shared, "shingle")
+    own = merged(shingles, shared, "shingle")
     rarest = Window.partitionBy("node").orderBy("often", "shingle")
     # shingles of one member alone come first and need no bucket
     place = F.col("n") - F.count(F.lit(1)).over(Window.partitionBy("node")) + F.row_number().over(rarest)
@@ -295,12 +296,12 @@ def _group_links(open_: DataFrame, rows: DataFrame, width: int, percent: int) ->
         F.bit_xor(F.xxhash64("node")).alias("x"), F.bit_xor(F.xxhash64(F.lit(1), "node")).alias("y"))
     once = saved(same.groupBy("x", "y", "members").agg(F.min("bucket").alias("bucket")), "once")
     parts = f"CAST(ceil(members / {PART}) AS INT)"
-    dealt = (open_.select("bucket", "node", "root", "members").join(once.select("bucket"), "bucket", "left_semi")
+    dealt = (merged(open_.select("bucket", "node", "root", "members"), once.select("bucket"), "bucket", "left_semi")
              .withColumn("part", F.expr(f"CAST(pmod(xxhash64(node), {parts}) AS INT)"))
              .withColumn("other", F.explode(F.expr(f"sequence(0, {parts} - 1)")))
              .select("bucket", F.least("part", "other").alias("lo"), F.greatest("part", "other").alias("hi"),
                      "node", "root", "part"))
-    return saved(dealt.join(rows, "node").groupBy("bucket", "lo", "hi").applyInArrow(
+    return saved(merged(dealt, rows, "node").groupBy("bucket", "lo", "hi").applyInArrow(
         _group_comparer(width, percent), "a bigint, b bigint"), "links")
 
 
@@ -309,18 +310,18 @@ def _candidates(nodes: DataFrame, classes: DataFrame, source: DataFrame) -> Data
 
     A text is found again by the id and hash of the row that stands for its class.
     """
-    keys = nodes.join(classes.select("node", "key", "hash"), "node")
-    found = source.join(keys.select("key", "hash"), ["key", "hash"], "left_semi").dropDuplicates(["key", "hash"])
-    return saved(found.join(keys, ["key", "hash"]).select("node", "text"), "candidates")
+    keys = merged(nodes, classes.select("node", "key", "hash"), "node")
+    found = merged(source, keys.select("key", "hash"), ["key", "hash"], "left_semi").dropDuplicates(["key", "hash"])
+    return saved(merged(found, keys, ["key", "hash"]).select("node", "text"), "candidates")
 
 
 def _class_roots(classes: DataFrame, source: DataFrame, width: int, percent: int) -> DataFrame:
     buckets = _buckets(classes)
     rows = _candidates(buckets.select("node").distinct(), classes, source)
     size = classes.select("node", "n")
-    star = (buckets.filter("node != pivot").select(F.col("node").alias("a"), F.col("pivot").alias("b")).distinct()
-            .join(size.select(F.col("node").alias("a"), F.col("n").alias("na")), "a")
-            .join(size.select(F.col("node").alias("b"), F.col("n").alias("nb")), "b")
+    star = buckets.filter("node != pivot").select(F.col("node").alias("a"), F.col("pivot").alias("b")).distinct()
+    star = (merged(merged(star, size.select(F.col("node").alias("a"), F.col("n").alias("na")), "a"),
+                   size.select(F.col("node").alias("b"), F.col("n").alias("nb")), "b")
             .filter(_size_can_do(F.col("na"), F.col("nb"), percent)).select("a", "b"))
     links = _links(star, rows, width, percent)
     roots = components(links)
@@ -344,19 +345,19 @@ def _groups(rows: DataFrame, width: int, percent: int) -> DataFrame:
     rows = _keyed(rows)
     signed = saved(_signed(rows, width, BANDS, seed=7), "signatures")
     heads = signed.filter("n > 0").groupBy("digest").agg(F.min("rid").alias("node"))
-    classes = saved(signed.join(heads.select(F.col("node").alias("rid")), "rid").select(
+    classes = saved(merged(signed, heads.select(F.col("node").alias("rid")), "rid").select(
         F.col("rid").alias("node"), "key", "hash", "n", "digest", "bands"), "classes")
     roots = _class_roots(classes, rows.select("key", "hash", "text"), width, percent)
-    by_digest = saved(classes.select("digest", "node").join(roots, "node", "left").select(
+    by_digest = saved(merged(classes.select("digest", "node"), roots, "node", "left").select(
         "digest", F.coalesce("root", "node").alias("root")), "class-roots")
     # without words a row is a component of its own; its root is no class
     light = signed.select("rid", "id", "n", "digest")
-    grouped = saved(light.filter("n > 0").join(by_digest, "digest").select("rid", "id", "n", "root")
+    grouped = saved(merged(light.filter("n > 0"), by_digest, "digest").select("rid", "id", "n", "root")
                     .unionByName(light.filter("n = 0").select("rid", "id", "n", F.expr("-1 - rid").alias("root"))),
                     "grouped")
     firsts = saved(grouped.groupBy("root").agg(
         F.min(F.struct(F.col("id").isNull().alias("none"), "id", "rid")).alias("head")), "group-heads")
-    return grouped.join(firsts, "root").select(
+    return merged(grouped, firsts, "root").select(
         "rid", "id", F.col("n").alias("n_shingles"), F.col("head.id").alias("component_id"),
         (F.col("rid") == F.col("head.rid")).alias("kept"))
 
@@ -385,4 +386,4 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     rows = stored.select("rid", F.col(f"doc.`{id_col}`").cast("bigint").alias("id"),
                          F.coalesce(F.col(f"doc.`{text_col}`"), F.lit("")).alias("text"))
     kept = _groups(rows, width, percent).filter("kept").select("rid")
-    return stored.join(kept, "rid", "left_semi").select("doc.*")
+    return merged(stored, kept, "rid", "left_semi").select("doc.*")

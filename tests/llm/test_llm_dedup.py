@@ -154,3 +154,23 @@ def test_components_of_a_long_chain(spark):
     got = {r.node: r.root for r in components(edges).collect()}
     assert got == {i: 0 for i in range(201)} | {900: 900, 901: 900}
     assert components(edges.limit(0)).collect() == []
+
+
+def test_near_duplicates_broadcast_nothing(spark, monkeypatch):
+    from stackyard.llm import components as contraction
+    plans = []
+
+    def plan(df):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return df
+
+    def recorded(df, label, write=near.saved):
+        return write(plan(df), label)
+
+    monkeypatch.setattr(near, "CROWD", 4)
+    monkeypatch.setattr(near, "saved", recorded)
+    monkeypatch.setattr(contraction, "saved", recorded)
+    docs = table(spark, crowd_of_documents()[:30])
+    assert plan(near.drop_near_duplicates(docs)).count() == 10
+    assert sum("SortMergeJoin" in p for p in plans) > 10
+    assert not [p for p in plans if "Broadcast" in p]
